@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelloom.llm import simhash, substring
+from panelloom.llm import mixing, packing, sharding, simhash, substring
 
-_MODULES = (simhash, substring)
+_MODULES = (mixing, sharding, packing, simhash, substring)
 
 
 def queries() -> dict:

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm._spark import checkpointed, read
-from panelloom.llm._text import shingle_hashes, text_blocks
+from panelloom.llm._text import shingle_hashes, span_hashes, text_blocks
+from panelloom.llm._tiles import by_unit
 
 #: Windows in one segment at most; a longer run (periodic text) is cut.
 RUN = 64
@@ -63,17 +64,14 @@ def segments_of(word_hash: np.ndarray, rows: np.ndarray, length: int, anchor: in
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none
-    ends = np.append(starts[1:], n)
     windows = np.add.reduceat(valid.astype(np.int64), starts)
     twice = np.zeros(n, dtype=np.int8)
     for t in range(width):
         twice += shingle[t : t + n] == least
     doubled = np.maximum.reduceat(twice * valid, starts) > 1
     run_of = np.searchsorted(index, starts, side="right") - 1
-    from panelloom.llm._text import span_hashes
 
     content = span_hashes(word_hash, starts, starts + windows + length - 1)
-    del ends
     return starts, windows, least[starts], content, 1 + (doubled | long_run[run_of]).astype(np.int64)
 
 
@@ -100,48 +98,42 @@ def _segment_rows(length: int, anchor: int):
     return run
 
 
-def _contents(length: int):
-    """Words (hashes) of the wanted segments; of segments past the cap the hashes of their windows."""
+def _contents(length: int, hot: bool):
+    """Words (hashes) of the wanted segments below the cap, or (hot) the window hashes of those above it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(batch.schema.get_field_index("wanted"))
             offsets = np.asarray(wanted.offsets).astype(np.int64)
             flat = wanted.values
-            place_all = np.asarray(flat.field("place"))
-            key_all = np.asarray(flat.field("minimiser"))
-            hot_all = np.asarray(flat.field("hot").cast(pa.int8())).astype(bool)
+            use_all = np.asarray(flat.field("hot").cast(pa.int8())) == int(hot)
+            place_all, key_all = np.asarray(flat.field("place")), np.asarray(flat.field("minimiser"))
             ids = np.asarray(batch.column(0).fill_null(-(2**63)))
             for block in text_blocks(batch, "text"):
-                starts, ends, rows = block.words()
-                low, high = offsets[block.first_row], offsets[block.first_row + block.rows]
-                if low == high:
+                cut = offsets[block.first_row : block.first_row + block.rows + 1]
+                use = use_all[cut[0] : cut[-1]]
+                if not use.any():
                     continue
+                owner = np.repeat(np.arange(block.rows), np.diff(cut))[use]
+                place, key = place_all[cut[0] : cut[-1]][use], key_all[cut[0] : cut[-1]][use]
+                starts, ends, rows = block.words()
                 word = block.word_hashes(starts, ends)
                 base = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=block.rows))[:-1]])
-                owner = np.repeat(np.arange(block.rows), np.diff(offsets[block.first_row : block.first_row + block.rows + 1]))
-                place, key, hot = place_all[low:high], key_all[low:high], hot_all[low:high]
                 first, windows = base[owner] + place // 128, place % 128
-                cold = np.flatnonzero(~hot)
-                if len(cold):
-                    short = (word >> np.uint64(32)).astype(np.uint32)
-                    size = windows[cold] + length - 1
-                    at = np.repeat(first[cold] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    cut = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
-                    words = pa.Array.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(short[at].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(key[cold]), pa.array(ids[block.first_row + owner[cold]]), pa.array(place[cold] // 128), words], names=["key", "doc_id", "first", "words"])
-                warm = np.flatnonzero(hot)
-                if len(warm):
-                    whole, at = shingle_hashes(word, rows, length)
+                size = windows if hot else windows + length - 1
+                step = np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                at = np.repeat(first, size) + step
+                if hot:
+                    whole, begins = shingle_hashes(word, rows, length)
                     of_word = np.zeros(len(word), dtype=np.uint64)
-                    of_word[at] = whole
-                    count = windows[warm]
-                    step = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                    w = np.repeat(first[warm], count) + step
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(of_word[w].view(np.int64)), pa.array(ids[block.first_row + np.repeat(owner[warm], count)]), pa.array(np.repeat(place[warm] // 128, count) + step), pa.nulls(len(w), pa.binary())],
-                        names=["key", "doc_id", "first", "words"],
-                    )
+                    of_word[begins] = whole
+                    columns = [of_word[at].view(np.int64), ids[block.first_row + np.repeat(owner, size)], np.repeat(place // 128, size) + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "first"])
+                else:
+                    short = (word >> np.uint64(32)).astype(np.uint32)
+                    ends_at = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+                    words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends_at.tobytes()), pa.py_buffer(short[at].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[block.first_row + owner]), pa.array(place // 128), words], names=["key", "doc_id", "first", "words"])
 
     return run
 
@@ -263,8 +255,6 @@ def repeats_in_shard(words: list[np.ndarray], doc: np.ndarray, first: np.ndarray
 
 def _search(length: int, shard_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from panelloom.llm._tiles import by_unit
-
         held: list[pd.DataFrame] = []
         total = 0
 
@@ -293,7 +283,7 @@ def _search(length: int, shard_words: int):
     return run
 
 
-def _cut(length_of_digest: None = None):
+def _cut():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -301,12 +291,9 @@ def _cut(length_of_digest: None = None):
             spans_valid = np.asarray(spans.is_valid())
             offsets = np.asarray(spans.offsets).astype(np.int64)
             first_all, n_all = np.asarray(spans.values.field("first")), np.asarray(spans.values.field("n"))
-            texts = batch.column(batch.schema.get_field_index("text"))
             n_words = np.zeros(batch.num_rows, np.int64)
             removed = np.zeros(batch.num_rows, np.int64)
             digests: list[str] = []
-            kept_text: list[str] = []
-            del texts
             for block in text_blocks(batch, "text"):
                 starts, ends, rows = block.words()
                 counts = np.bincount(rows, minlength=block.rows)
@@ -338,7 +325,6 @@ def _cut(length_of_digest: None = None):
                 n_words[block.first_row : block.first_row + block.rows] = counts
                 removed[block.first_row : block.first_row + block.rows] = counts - kept
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(removed), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-            del kept_text
 
     return run
 
@@ -353,11 +339,11 @@ def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, cap: int
     different = earliest.groupBy("minimiser").agg(F.count(F.lit(1)).alias("__kinds"))
     firsts = earliest.join(different, "minimiser").select("minimiser", F.col("__first.doc_id").alias("doc_id"), F.col("__first.place").alias("place"), (F.col("__kinds") > cap).alias("hot"))
     wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "minimiser", "hot")).alias("wanted"))
-    contents = texts.join(wanted, "doc_id").mapInArrow(_contents(length), "key long, doc_id long, first long, words binary")
-    contents = checkpointed(contents)
-    cold = contents.where("words is not null").repartition("key").sortWithinPartitions("key", "doc_id", "first")
+    # Three plans read the same exchange of the texts by doc_id: these two and the cut in remove_repeats.
+    contents = lambda hot, schema: texts.join(wanted, "doc_id", "left").mapInArrow(_contents(length, hot), schema)
+    cold = contents(False, "key long, doc_id long, first long, words binary").repartition("key").sortWithinPartitions("key", "doc_id", "first")
     searched = cold.mapInPandas(_search(length, shard_words), "doc_id long, first long, n long")
-    hot = contents.where("words is null").select("key", "doc_id", "first")
+    hot = contents(True, "key long, doc_id long, first long")
     hot_first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "first")).alias("__first"))
     window_repeats = hot.join(hot_first, "key").where("struct(doc_id, first) <> __first").select("doc_id", "first", F.lit(length).cast("long").alias("n"))
     later = found.join(earliest, ["minimiser", "content"]).where("doc_id <> __first.doc_id or place <> __first.place")
