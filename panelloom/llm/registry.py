@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelloom.llm import mixing, packing, sharding, simhash, substring
+from panelloom.llm import chat, embedding, lines, mixing, packing, pii, quality, sharding, simhash, substring
 
-_MODULES = (mixing, sharding, packing, simhash, substring)
+_MODULES = (lines, quality, chat, mixing, sharding, embedding, packing, pii, simhash, substring)
 
 
 def queries() -> dict:
