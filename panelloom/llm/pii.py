@@ -112,6 +112,10 @@ def _pick(names: list[str], b: F.Column) -> F.Column:
     return F.get(F.array(*[F.lit(x) for x in names]), b % len(names))
 
 
+def _syllable(script: str, digest: F.Column):
+    return lambda i: F.concat(_pick(_ONSET[script], _byte(digest, i * 2)), _pick(_RIME[script], _byte(digest, i * 2 + 1)))
+
+
 def surrogate_form(seed: str, kind: F.Column, canonical: F.Column, attempt: F.Column) -> F.Column:
     """The canonical form of the surrogate."""
     digest = _digest(seed, kind, canonical, attempt)
@@ -128,8 +132,7 @@ def surrogate_form(seed: str, kind: F.Column, canonical: F.Column, attempt: F.Co
     person = F.lit("")
     for s in ("latin", "cyrillic"):
         given = F.when(gender == "m", _pick(GIVEN["m", s], _byte(digest, F.lit(0)))).when(gender == "f", _pick(GIVEN["f", s], _byte(digest, F.lit(0)))).otherwise(_pick(GIVEN["m", s] + GIVEN["f", s], _byte(digest, F.lit(0))))
-        syllables = F.transform(F.sequence(F.lit(1), attempt + 3), lambda i, s=s: F.concat(_pick(_ONSET[s], _byte(digest, i * 2)), _pick(_RIME[s], _byte(digest, i * 2 + 1))))
-        name = F.initcap(F.array_join(syllables, ""))
+        name = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), _syllable(s, digest)), ""))
         person = F.when(script == s, F.when(F.instr(bare, " ") > 0, F.concat_ws(" ", given, name)).otherwise(name)).otherwise(person)
     person = F.concat_ws("/", gender, script, person)
     return (
