@@ -34,22 +34,25 @@ def line_windows(docs: DataFrame, window: int = 3, id_column: str = "doc_id", te
     return hashed.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
 
 
-def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, text) of every row without the lines of repeated windows."""
+def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_removed, text) of every row without the lines of repeated windows.
+
+    carry: columns to hand through, packed in a struct column `row`.
+    """
     windows = line_windows(docs, window, id_column, text_column)
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
     marks = later.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + window - 1)))
     marks = marks.select("doc_id", F.array_distinct(covered).alias("covered"))
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
     joined = texts.join(marks, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("worded", F.when(F.col("covered").isNotNull(), _worded_lines()))
     gone = joined.withColumn("gone", F.transform("covered", lambda c: F.get("worded", c.cast("int"))))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    return gone.select("doc_id", n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
+    return gone.select("doc_id", n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), *(["row"] if carry else []))
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,12 +59,12 @@ def _byte(digest: F.Column, i: F.Column) -> F.Column:
     return F.conv(F.substr(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _reshape(text: F.Column, digest: F.Column, keep: F.Column) -> F.Column:
-    """Digits to digits and ASCII letters to letters of their case, from place `keep` (0-based) on."""
+def _reshape(text: F.Column, digest: F.Column, keep: F.Column, letters: int | F.Column = 26) -> F.Column:
+    """Digits to digits and ASCII letters to the first `letters` letters of their case, from place `keep` (0-based) on."""
 
     def one(i: F.Column) -> F.Column:
         c, b = F.substr(text, i + 1, F.lit(1)), _byte(digest, i)
-        new = F.when(c.between("0", "9"), (b % 10).cast("string")).when(c.between("a", "z"), F.char(97 + b % 26)).when(c.between("A", "Z"), F.char(65 + b % 26)).otherwise(c)
+        new = F.when(c.between("0", "9"), (b % 10).cast("string")).when(c.between("a", "z"), F.char(97 + b % letters)).when(c.between("A", "Z"), F.char(65 + b % letters)).otherwise(c)
         return F.when(i < keep, c).otherwise(new)
 
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(text) - 1), one), ""))
@@ -141,7 +141,7 @@ def surrogate_form(seed: str, kind: F.Column, canonical: F.Column, attempt: F.Co
         .when(kind == "card", card)
         .when(kind.isin("phone", "ssn"), number)
         .when(kind == "iban", _reshape(canonical, digest, F.lit(2)))
-        .when(kind == "secret", _reshape(canonical, digest, kept))
+        .when(kind == "secret", _reshape(canonical, digest, kept, F.when(F.rlike(F.substr(canonical, kept + 1, F.length(canonical)), F.lit('^[0-9a-f]+"?$')), 6).otherwise(26)))
         .otherwise(person)
     )
 

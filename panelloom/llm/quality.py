@@ -220,22 +220,22 @@ def _score(shipped):
     return run
 
 
-def judge(docs: DataFrame, model: Model | None, columns: list[str], threshold: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """`columns` of every row with the counts, base_failed, quality_probability and kept."""
+def judge(docs: DataFrame, model: Model | None, threshold: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+    """The counts, base_failed, quality_probability and kept of every row; its own columns are packed in `row`."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality_probability double"])
-    rows = docs.select(*columns).mapInArrow(_score(shipped), schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    schema = rows.schema["row"].dataType.simpleString()
+    scored = rows.mapInArrow(_score(shipped), f"row {schema}, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality_probability double").drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("quality_probability", F.lit(1.0)) >= threshold))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("quality_probability", F.lit(1.0)) >= threshold))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and classifier verdict of all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels"))
-    judged = judge(docs, model, ["doc_id", "text"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_probability")
+    judged = judge(docs, model)
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_probability")
 
 
 def queries() -> dict:
