@@ -47,7 +47,20 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{7,15}(?!\w)",
     "person": rf"(?<!\p{{L}}){_HONORIFIC} {_NAME}(?: {_NAME})?|(?<!\p{{L}}){_KNOWN} {_NAME}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: First characters that each kind can begin with; the pattern looks at a kind only where a word begins with one.
+_BEGINS = {"secret": "[AaPpSsTt]", "ip": "[0-9]", "iban": "[A-Z]", "ssn": "[0-9]", "card": "[0-9]", "phone": "[0-9+(]", "person": r"\p{Lu}", "email": "[A-Za-z0-9._%+-]"}
+
+
+def _guarded(kinds: list[str]) -> str:
+    by_first: dict[str, list[str]] = {}
+    for kind in kinds:
+        by_first.setdefault(_BEGINS[kind], []).append(PATTERNS[kind])
+    return r"(?<![A-Za-z0-9_])(?:" + "|".join(f"(?={first})(?:{'|'.join(f'(?:{p})' for p in own)})" for first, own in by_first.items()) + ")"
+
+
+PATTERN = _guarded(list(PATTERNS))
+#: The same for texts without an at sign.
+PATTERN_NO_EMAIL = _guarded([k for k in PATTERNS if k != "email"])
 
 
 def _digest(seed: str, kind: F.Column, canonical: F.Column, attempt: F.Column) -> F.Column:
@@ -116,9 +129,14 @@ def _syllable(script: str, digest: F.Column):
     return lambda i: F.concat(_pick(_ONSET[script], _byte(digest, i * 2)), _pick(_RIME[script], _byte(digest, i * 2 + 1)))
 
 
-def surrogate_form(seed: str, kind: F.Column, canonical: F.Column, attempt: F.Column) -> F.Column:
+def with_surrogate(entities: DataFrame, seed: str) -> DataFrame:
+    """Adds surrogate to (kind, canonical, attempt); the digest is a column of its own, so it is computed once a row."""
+    kind, canonical, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
+    return entities.withColumn("digest", _digest(seed, kind, canonical, attempt)).withColumn("surrogate", surrogate_form(kind, canonical, attempt, F.col("digest"))).drop("digest")
+
+
+def surrogate_form(kind: F.Column, canonical: F.Column, attempt: F.Column, digest: F.Column) -> F.Column:
     """The canonical form of the surrogate."""
-    digest = _digest(seed, kind, canonical, attempt)
     last_dot = F.length(canonical) - F.length(F.substring_index(canonical, ".", -1))
     address = F.concat(_reshape(F.substr(canonical, F.lit(1), last_dot), digest, F.lit(0)), F.substr(canonical, last_dot + 1, F.length(canonical)))
     longer = F.when(attempt > 0, F.concat(F.char(97 + attempt % 26), address)).otherwise(address)
@@ -167,7 +185,7 @@ def assign_surrogates(entities: DataFrame, seed: str, max_attempts: int = 12) ->
     known = checkpointed(entities.select("kind", "canonical").distinct())
     state = checkpointed(known.withColumn("attempt", F.lit(0)))
     for _ in range(max_attempts):
-        named = state.withColumn("surrogate", surrogate_form(seed, F.col("kind"), F.col("canonical"), F.col("attempt")))
+        named = with_surrogate(state, seed)
         winner = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("w"))
         real = known.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("is_real"))
         judged = named.join(winner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
@@ -178,14 +196,14 @@ def assign_surrogates(entities: DataFrame, seed: str, max_attempts: int = 12) ->
         again = state.select("kind", "canonical", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"), "surrogate")
         state = again.drop("surrogate")
     if "surrogate" not in state.columns:
-        state = state.withColumn("surrogate", surrogate_form(seed, F.col("kind"), F.col("canonical"), F.col("attempt")))
+        state = with_surrogate(state, seed)
     return state.select("kind", "canonical", "surrogate")
 
 
 def replace_entities(docs: DataFrame, seed: str = "surrogates", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_entities, text) of every row with surrogates in place of entities."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = texts.withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    found = texts.withColumn("found", F.when(F.instr("text", "@") > 0, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(PATTERN_NO_EMAIL), F.lit(0))))
     some = found.where(F.size("found") > 0).withColumn("text_key", F.xxhash64("text"))
     # Equal (doc_id, text) rows have equal entities; one of them stands for all.
     spread = some.select("doc_id", "text_key", "found").distinct().select("doc_id", "text_key", F.posexplode("found").alias("place", "surface"))
