@@ -129,15 +129,13 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, penal
     n, dim = len(rows), FAMILIES << BITS
     kernel = np.zeros((n, n))
     width = 1 << 12
-    owner = np.repeat(np.arange(n), [len(i) for i, _ in rows])
-    index = np.concatenate([i for i, _ in rows]).astype(np.int64)
-    value = np.concatenate([v for _, v in rows])
-    order = np.argsort(index, kind="stable")
-    index, value, owner = index[order], value[order], owner[order]
-    for low in range(0, dim, width):
-        a, b = np.searchsorted(index, [low, low + width])
+    # Feature numbers are ascending in each row, so a block of columns is a slice of it; no copy of all rows is made.
+    cuts = [np.searchsorted(index, np.arange(0, dim + 1, width)) for index, _ in rows]
+    for block in range(dim // width):
         dense = np.zeros((n, width), dtype=np.float32)
-        dense[owner[a:b], index[a:b] - low] = value[a:b]
+        for r, (index, value) in enumerate(rows):
+            part = slice(cuts[r][block], cuts[r][block + 1])
+            dense[r, index[part] - block * width] = value[part]
         kernel += dense @ dense.T
     alpha, bias = np.zeros(n), 0.0
     for _ in range(steps):
@@ -153,7 +151,10 @@ def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, penal
         alpha, bias = new_alpha, new_bias
         if moved < 1e-6 * max(1.0, np.abs(alpha).max()):
             break
-    return np.bincount(index, weights=value * alpha[owner], minlength=dim), float(bias)
+    weights = np.zeros(dim)
+    for (index, value), a in zip(rows, alpha):
+        weights[index] += a * value
+    return weights, float(bias)
 
 
 def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -174,7 +175,7 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 1500, penalty: float = 1e-3, seed: str = "quality") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 1000, penalty: float = 1e-3, seed: str = "quality") -> Model | None:
     """Fits the model; max_labelled bounds the labelled documents that reach the driver."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
     order = keyed_uniform(seed, F.col("doc_id").cast("string"))
@@ -182,11 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 1500, penalty:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "good")
     rows = joined.mapInArrow(_features, "doc_id long, good boolean, index array<int>, value array<float>").limit(4 * max_labelled).toArrow()
-    rows = rows.combine_chunks().sort_by([("doc_id", "ascending")])
-    y = np.array(rows["good"].to_pylist(), dtype=float)
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    y = rows["good"].to_numpy().astype(float)[order]
     if len(y) < 20 or y.min(initial=1) == y.max(initial=0):
         return None
-    vectors = [(np.asarray(i.values), np.asarray(v.values)) for i, v in zip(rows["index"].combine_chunks(), rows["value"].combine_chunks())]
+    vectors = [(np.asarray(i.values), np.asarray(v.values)) for i, v in zip(rows["index"], rows["value"])]
+    vectors = [vectors[i] for i in order]
     held = np.arange(len(y)) % 4 == 3
     for kind in (0.0, 1.0):
         if not ((y == kind) & held).any() or not ((y == kind) & ~held).any():
