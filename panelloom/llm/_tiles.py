@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
+def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int, sketch: str | None = None, sketch_bits: int = 64) -> DataFrame:
     """Rows of cells with two or more members, sent to every tile (i, j) that must see them, with i <= j.
 
     A cell of n rows has ceil(n / tile) chunks by a hash of the id; each pair of chunks is one unit of work.
-    Columns added: __ti, __tj, __chunk.
+    Columns added: __ti, __tj, __chunk. With a sketch (a long per row), cells of exactly two rows whose sketches differ
+    in more than sketch_bits bits are left out: for two rows that distance is the bits in (or xor and).
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    counted = [F.count(F.lit(1)).alias("__n")]
+    if sketch:
+        counted += [F.bit_count(F.bit_or(sketch).bitwiseXOR(F.bit_and(sketch))).alias("__apart")]
+    sizes = rows.groupBy(*keys).agg(*counted).where("__n > 1")
+    if sketch:
+        sizes = sizes.where((F.col("__n") > 2) | (F.col("__apart") <= sketch_bits)).drop("__apart")
+        rows = rows.drop(sketch)
     chunks = F.ceil(F.col("__n") / tile)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g") - 1))
     return (

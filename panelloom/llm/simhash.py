@@ -27,6 +27,9 @@ from panelloom.llm._spark import checkpointed, components, read
 from panelloom.llm._text import TextBlock, mix, text_blocks
 
 XXH64_SEED = 42
+#: With several words, two rows alone in a cell are compared if their next words differ in at most so many bits: at
+#: similarity 0.8 these are 10 on average and over 24 once in a million pairs, at chance 32.
+SKETCH_BITS = 24
 _LANES = np.uint64(0x0101010101010101)
 #: Masks of the five parity checks of Hamming(31, 26): bit p - 1 stands for position p = 1..31.
 _CHECKS = [np.uint32(sum(1 << (p - 1) for p in range(1, 32) if p >> b & 1)) for b in range(5)]
@@ -129,7 +132,8 @@ def _anchor_rows(words: int):
                 for side in range(2):
                     half = (value >> np.uint64(32 * side)) & np.uint64(0x7FFFFFFF)
                     rows, anchors = covering_anchors(half)
-                    yield pd.DataFrame({"cell": anchors.astype(np.int64) + ((2 * w + side) << 32), "node": node[rows]})
+                    sketch = frame[f"fp{(w + 1) % words}"].to_numpy()
+                    yield pd.DataFrame({"cell": anchors.astype(np.int64) + ((2 * w + side) << 32), "node": node[rows], "sketch": sketch[rows]})
 
     return run
 
@@ -179,8 +183,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int =
     prints = checkpointed(fingerprints(docs, k, words, id_column, text_column))
     node: Column = F.col("fp0") if words == 1 else F.xxhash64(*names)
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", node)
-    anchored = distinct.select("node", *names).mapInPandas(_anchor_rows(words), "cell long, node long")
-    units = _tiles.tiled(anchored, ["cell"], "node", tile).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
+    anchored = distinct.select("node", *names).mapInPandas(_anchor_rows(words), "cell long, node long, sketch long")
+    units = _tiles.tiled(anchored, ["cell"], "node", tile, "sketch", max_bits if words == 1 else SKETCH_BITS).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
     ordered = units.repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
     edges = ordered.mapInPandas(_compare(words, max_bits), "a long, b long")
     found = components(edges)
