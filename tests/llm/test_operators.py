@@ -1,0 +1,203 @@
+"""Edge cases and brute-force twins of the corpus operators on small fixtures."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from panelloom.llm import chat, embedding, lines, mixing, packing, pii, quality, sharding, simhash, substring
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, size long"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(40)) for _ in range(n))
+    shared = say(30)
+    out = [None, "", " \n\t", "one", "one two", "été À b", "x " * 300, "a\nb\nc\nd\na\nb\nc\n"]
+    out += [say(60) + "\n" + shared + "\n" + say(10) for _ in range(12)]
+    out += [out[9], out[9], out[9] + " tail", "\n".join(say(3) for _ in range(5)), say(3000)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", None, "clash", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+def test_substring_equals_brute_force(docs, texts):
+    got = {r.doc_id: r for r in substring.remove_repeats(docs, cap=2, shard_words=500).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        words = WORDS.findall(t or "")
+        gone = [False] * len(words)
+        for j in range(len(words) - 19):
+            key = tuple(words[j : j + 20])
+            if key in seen:
+                gone[j : j + 20] = [True] * 20
+            seen.add(key)
+        kept = " ".join(w for w, g in zip(words, gone) if not g)
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_simhash_equals_brute_force(docs, texts):
+    import xxhash
+
+    def word(t):
+        t = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+        w = WORDS.findall(t)
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64)) if hashes else 0
+
+    prints = [word(t) for t in texts]
+    root = list(range(len(prints)))
+    for _ in prints:
+        for a in range(len(prints)):
+            for b in range(len(prints)):
+                if (prints[a] ^ prints[b]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    for r in simhash.near_duplicates(docs, tile=2).collect():
+        assert (r.fp0 % 2**64, r.component_id) == (prints[r.doc_id], root[r.doc_id])
+
+
+def test_lines_remove_later_windows(spark):
+    rows = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\n\nb\nc\ny"), (3, None), (4, ""), (5, "a\nb\nc")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines.remove_repeated_lines(rows).collect()}
+    assert got == {1: (0, "a\nb\nc\nd"), 2: (3, "x\n\ny"), 3: (0, None), 4: (0, ""), 5: (3, "")}
+
+
+def test_quality_without_labels_and_with_clashing_columns(spark, docs, texts):
+    assert quality.train(docs, spark.createDataFrame([], "doc_id long, quality int")) is None
+    got = {r.row.doc_id: r for r in quality.judge(docs, None).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].n_words == len(WORDS.findall(t or ""))
+        assert got[i].kept == (not got[i].base_failed)
+    assert got[6].base_failed and not got[8].base_failed
+
+
+def test_quality_separates_held_out_kinds(spark):
+    rng = random.Random(1)
+    good, bad = "the river runs past old mills and slow fields".split(), "CLICK!! $$$ buy>> now|| free### win%%% cash".split()
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) + rng.choice("abcdefgh") for _ in range(40)), i % 2) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(table.where("doc_id < 120"), table.where("doc_id < 120").select("doc_id", "quality"))
+    held = quality.judge(table.where("doc_id >= 120"), model).select("row.quality", (F.col("quality_probability") >= 0.5).alias("p")).collect()
+    assert sum(r.p == bool(r.quality) for r in held) / len(held) >= 0.95
+
+
+def test_chat_reads_back_what_it_wrote(spark):
+    said = ["\\### Assistant: </turn> ok", "", None, "###</turn>\\", "line\nline \\\\", "</tur</turn>n>"]
+    rows = [(c, t, r, s) for c in range(3) for t, (r, s) in enumerate(zip(["user", "assistant", "we:ird", None, "assistant", "user"], said))]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(out) == 3
+    for r in out:
+        assert chat.read_turns(r.formatted) == [(role or "", text or "") for _, _, role, text in rows[:6]]
+        loss = [chat.unescape(r.formatted[g.start : g.end]) for g in r.generated]
+        assert loss == ["", "line\nline \\\\"]
+
+
+def test_templates_fold_constants_and_stay_sandboxed():
+    assert chat.parse("a{{ 'b' + 'c' | upper }}{% if 1 == 1 %}d{% else %}e{% endif %}") == [("text", "abCd")]
+    for bad in ("{{ x.__class__ }}", "{{ open('f') }}", "{% import os %}", "{% for a in b %}", "{{ a[0] }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.parse(bad)
+
+
+def test_mixing_meets_targets(docs, texts):
+    rows = mixing.mix_sources(docs).collect()
+    assert len(rows) == len(texts)
+    total = sum(r.size for r in rows)
+    assert abs(sum({r.source: r.target for r in rows}.values()) - total) < 1e-3
+    assert all(r.taken <= 3 * r.size and r.target <= 3 * r.source_size + 1e-6 for r in rows)
+    assert mixing.water_fill([10, 10, 10], [1, 2, 3], 3) == [5, 10, 15]
+
+
+def test_shards_are_minimax(spark, docs, texts):
+    rows = sharding.shard(docs, shards=4).collect()
+    of_text, load = {}, {}
+    for r in rows:
+        t = texts[r.doc_id] or ""
+        assert of_text.setdefault(t, r.shard) == r.shard and r.text_crc32 == zlib.crc32(t.encode()) and r.size == len(t.encode()) + 1
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    groups = docs.groupBy(F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 4).alias("h")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n")).orderBy("h").collect()
+    assert max(load.values()) == sharding.smallest_capacity([g.n for g in groups], 4)
+    for s in load:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_packing_boundaries_are_optimal():
+    import itertools
+
+    import numpy as np
+
+    lengths, counts = np.array([1, 3, 4, 9, 10, 30]), np.array([5, 1, 2, 7, 1, 1])
+    waste = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))
+    best = min(waste([*ends, 30]) for ends in itertools.combinations(lengths[:-1], 2))
+    assert waste(packing.bucket_boundaries(lengths, counts, lengths * counts, 3)) == best
+
+
+def test_packing_fills_batches(docs, texts):
+    rows = packing.pack(docs, buckets=3, token_budget=200).collect()
+    assert len(rows) == len(texts)
+    batches = {}
+    for r in rows:
+        assert r.n_tokens <= r.bucket_length
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    for own in batches.values():
+        assert len(own) == 1 or len(own) * own[0].bucket_length <= 200
+        assert sorted(r.place for r in own) == list(range(len(own)))
+
+
+def test_embedding_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 8))
+    rows = [(i, [float(x) for x in base[i % 20] + rng.normal(size=8) * 0.05 * (i % 3)], i % 2) for i in range(120)]
+    rows += [(500, rows[0][1], 0), (501, None, 0), (502, [0.0] * 8, 0), (503, [float("nan")] * 8, 0), (504, rows[0][1], None)]
+    got = {r.vec_id: r for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), cell_rows=10, tile=8).collect()}
+    unit = {i: np.float32(v).astype(float) for i, v, label in rows if v and label is not None and np.isfinite(v).all() and np.any(v)}
+    label = {i: x for i, _, x in rows}
+    link = lambda a, b: a != b and a in unit and b in unit and label[a] == label[b] and unit[a] @ unit[b] / np.linalg.norm(unit[a]) / np.linalg.norm(unit[b]) >= 0.98
+    for i, _, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            a = todo.pop()
+            new = [b for b in unit if b not in seen and link(a, b)]
+            seen.update(new)
+            todo += new
+        assert (got[i].n_links, got[i].component_id) == (sum(link(i, b) for b in unit), min(seen))
+
+
+def test_pii_surrogates_keep_format_and_coreference(spark):
+    rows = [(1, "Mail ann.lee7@corp.example.com or +1 (389) 555-5010."), (2, "389-555-5010? no: +13895555010, Mr. John Smith, 42.144.35.254"), (3, "ANN.LEE7@CORP.EXAMPLE.COM 4111111111111111 token = \"1beb58b8af68854f\""), (4, None), (5, ""), (6, "clean text, version 2.0 of 3 parts")]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4].text is None and got[5].text == "" and got[6].text == rows[5][1]
+    for secret in ("ann.lee7", "555-5010", "5555010", "John", "Smith", "42.144.35.254", "4111111111111111", "1beb58b8af68854f", "ANN.LEE7"):
+        assert all(secret not in (r.text or "") for r in got.values())
+    mail = re.search(r"\S+@\S+\.com", got[1].text).group()
+    assert mail.upper() in got[3].text
+    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1].text).group()
+    assert re.sub(r"[^0-9+]", "", phone) in got[2].text
+    assert re.search(r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+", got[2].text)
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("false")
+    assert substring.remove_repeats(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    assert lines.remove_repeated_lines(none).count() == 0
+    assert mixing.mix_sources(none).count() == 0
+    assert sharding.shard(none).count() == 0
+    assert packing.pack(none).count() == 0
+    assert pii.replace_entities(none).count() == 0
+    assert quality.judge(none, None).count() == 0
+    assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
