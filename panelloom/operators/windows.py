@@ -8,41 +8,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ENTITY = Window.partitionBy("entity_id")
-W = ENTITY.orderBy("t", "obs_id")
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def ENTITY():  # noqa: N802
+    return Window.partitionBy("entity_id")
+
+
+def W():  # noqa: N802
+    return ENTITY().orderBy("t", "obs_id")
+
+
+def SO_FAR():  # noqa: N802
+    return W().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def ordinal(panel: DataFrame) -> DataFrame:
     """Adds ord (0-based) and is_first."""
-    return panel.withColumn("ord", F.row_number().over(W) - 1).withColumn("is_first", F.col("ord") == 0)
+    return panel.withColumn("ord", F.row_number().over(W()) - 1).withColumn("is_first", F.col("ord") == 0)
 
 
 def cumulative_time(panel: DataFrame, gap: str = "gap") -> DataFrame:
     """Adds elapsed, the running sum of the gaps (a missing first gap counts 0), and bad_gap for later ones missing or <= 0."""
-    later = F.row_number().over(W) > 1
-    return panel.withColumn("elapsed", F.sum(F.coalesce(F.col(gap), F.lit(0.0))).over(SO_FAR)).withColumn("bad_gap", later & (F.col(gap).isNull() | (F.col(gap) <= 0)))
+    later = F.row_number().over(W()) > 1
+    return panel.withColumn("elapsed", F.sum(F.coalesce(F.col(gap), F.lit(0.0))).over(SO_FAR())).withColumn("bad_gap", later & (F.col(gap).isNull() | (F.col(gap) <= 0)))
 
 
 def with_gap(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("gap", F.col("t") - F.lag("t").over(W))
+    return panel.withColumn("gap", F.col("t") - F.lag("t").over(W()))
 
 
 def since_baseline(panel: DataFrame) -> DataFrame:
     """Adds since = t minus the entity's first time, null where any time of the entity is unknown."""
-    return panel.withColumn("since", F.when(F.count("t").over(ENTITY) == F.count(F.lit(1)).over(ENTITY), F.col("t") - F.min("t").over(ENTITY)))
+    return panel.withColumn("since", F.when(F.count("t").over(ENTITY()) == F.count(F.lit(1)).over(ENTITY()), F.col("t") - F.min("t").over(ENTITY())))
 
 
 def transition(panel: DataFrame, signed: str, state: str) -> DataFrame:
     """Adds switched: signed passes from below to at least zero, or state turns true; false on an entity's first row."""
-    sign = (F.lag(signed).over(W) < 0) & (F.col(signed) >= 0)
-    turned = ~F.lag(state).over(W) & F.col(state)
+    sign = (F.lag(signed).over(W()) < 0) & (F.col(signed) >= 0)
+    turned = ~F.lag(state).over(W()) & F.col(state)
     return panel.withColumn("switched", F.coalesce(sign, F.lit(False)) | F.coalesce(turned, F.lit(False)))
 
 
 def consecutive(panel: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with their predecessor's columns as prev_*; an entity's first row is dropped."""
-    before = F.lag(F.struct(*columns)).over(W)
+    before = F.lag(F.struct(*columns)).over(W())
     return panel.withColumn("__prev", before).where("__prev is not null").select("*", *[F.col(f"__prev.{c}").alias(f"prev_{c}") for c in columns]).drop("__prev")
 
 
@@ -80,7 +87,7 @@ def natural_pairs(panel: DataFrame) -> DataFrame:
 def rolling_tuples(panel: DataFrame, k: int = 3, carry: tuple[str, ...] = ("obs_id", "t", "v", "crossed", "post", "absent")) -> DataFrame:
     """One row per k consecutive observations: column c of member i is c_i, tuple_id joins the observation ids."""
     own = F.struct(*carry)
-    members = [own, *[F.lead(own, i).over(W) for i in range(1, k)]]
+    members = [own, *[F.lead(own, i).over(W()) for i in range(1, k)]]
     rows = panel.select("entity_id", *[m.alias(f"__{i}") for i, m in enumerate(members)]).where(f"__{k - 1} is not null")
     columns = [F.col(f"__{i}.{c}").alias(f"{c}_{i + 1}") for i in range(k) for c in carry]
     tuple_id = F.concat_ws("__", *[F.col(f"__{i}.obs_id").cast("string") for i in range(k)])
@@ -117,19 +124,19 @@ def initial_run(panel: DataFrame, stop_at_post: bool = True, at_least: int = 2)
 
     Breaks: an intervention after the first row, an absent or empty value and (stop_at_post) a treated state.
     """
-    broken = (F.coalesce("crossed", F.lit(False)) & (F.row_number().over(W) > 1)) | F.col("absent") | (F.col("v") <= 0)
+    broken = (F.coalesce("crossed", F.lit(False)) & (F.row_number().over(W()) > 1)) | F.col("absent") | (F.col("v") <= 0)
     if stop_at_post:
         broken = broken | F.col("post")
     flagged = panel.withColumn("__broken", broken.cast("int"))
-    kept = flagged.withColumn("__stopped", F.max("__broken").over(SO_FAR)).where("__stopped = 0").drop("__broken", "__stopped")
-    return kept.withColumn("run_length", F.count(F.lit(1)).over(ENTITY)).where(F.col("run_length") >= at_least)
+    kept = flagged.withColumn("__stopped", F.max("__broken").over(SO_FAR())).where("__stopped = 0").drop("__broken", "__stopped")
+    return kept.withColumn("run_length", F.count(F.lit(1)).over(ENTITY())).where(F.col("run_length") >= at_least)
 
 
 def restartable_runs(panel: DataFrame) -> DataFrame:
     """Runs that restart: an unusable row ends a run and belongs to none, a usable row after an intervention starts one."""
     usable = ~F.col("absent") & (F.col("v") > 0)
     starts = F.coalesce("crossed", F.lit(False)) | ~usable
-    marked = panel.withColumn("__usable", usable).withColumn("run_id", F.sum(starts.cast("int")).over(SO_FAR))
+    marked = panel.withColumn("__usable", usable).withColumn("run_id", F.sum(starts.cast("int")).over(SO_FAR()))
     return marked.where("__usable").drop("__usable")
 
 
@@ -167,18 +174,18 @@ def is_event(v_from: Column, v_to: Column, relative: float | Column, floor: floa
 
 def event_intervals(run: DataFrame, relative: float, floor: float = 0.0) -> DataFrame:
     """Intervals of initial runs with their event label, the mirrored shrink label and whether one event came before."""
-    nxt = F.lead("v").over(W)
+    nxt = F.lead("v").over(W())
     grown = is_event(F.col("v"), nxt, relative, floor)
     shrunk = is_event(nxt, F.col("v"), relative, floor)
-    rows = run.select("entity_id", "obs_id", "t", "v", nxt.alias("v_next"), (F.lead("t").over(W) - F.col("t")).alias("horizon_days"), grown.alias("event"), shrunk.alias("mirrored_shrink"))
-    prior = F.coalesce(F.max(F.col("event").cast("int")).over(W.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = run.select("entity_id", "obs_id", "t", "v", nxt.alias("v_next"), (F.lead("t").over(W()) - F.col("t")).alias("horizon_days"), grown.alias("event"), shrunk.alias("mirrored_shrink"))
+    prior = F.coalesce(F.max(F.col("event").cast("int")).over(W().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("prior_growth", prior == 1).where("v_next is not null")
 
 
 def survival(run: DataFrame, relative: float, floor: float = 0.0) -> DataFrame:
     """(entity_id, time_yr, event, log_v0, n_obs): time to the first event against the first value, right-censored."""
-    start = F.first("v").over(SO_FAR)
-    rows = run.withColumn("years", (F.col("t") - F.first("t").over(SO_FAR)) / 365.25).withColumn("v0", start).withColumn("hit", is_event(F.col("v0"), F.col("v"), relative, floor))
+    start = F.first("v").over(SO_FAR())
+    rows = run.withColumn("years", (F.col("t") - F.first("t").over(SO_FAR())) / 365.25).withColumn("v0", start).withColumn("hit", is_event(F.col("v0"), F.col("v"), relative, floor))
     first_hit = F.min(F.when(F.col("hit"), F.col("years")))
     return rows.groupBy("entity_id").agg(F.greatest(F.coalesce(first_hit, F.max("years")), F.lit(1e-3)).alias("time_yr"), first_hit.isNotNull().cast("int").alias("event"), F.log(F.max("v0")).alias("log_v0"), F.count(F.lit(1)).alias("n_obs"))
 
@@ -190,12 +197,12 @@ def usable_samples(run_lengths: DataFrame, ks: tuple[int, ...] = (2, 3, 4)) -> D
 
 
 def first_rows(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("__rank", F.row_number().over(W)).where("__rank = 1").drop("__rank")
+    return panel.withColumn("__rank", F.row_number().over(W())).where("__rank = 1").drop("__rank")
 
 
 def month_fraction(panel: DataFrame, day: str, cap: float = 95.0) -> DataFrame:
     """Adds months since the entity's first date: 12 per year, 1 per month, 1/30 per day, at most cap."""
-    start = F.first(day).over(SO_FAR)
+    start = F.first(day).over(SO_FAR())
     months = (F.year(day) - F.year(start)) * 12 + (F.month(day) - F.month(start)) + (F.dayofmonth(day) - F.dayofmonth(start)) / 30.0
     return panel.withColumn("months", F.least(months, F.lit(cap)))
 
@@ -209,8 +216,8 @@ def temporal_encoding(interval: Column, order: int, scale: float) -> Column:
 def anchored_tuples(panel: DataFrame) -> DataFrame:
     """(first, second, later) for every later observation of an entity."""
     rows = ordinal(panel).select("entity_id", "obs_id", "ord")
-    first = F.max(F.when(F.col("ord") == 0, F.col("obs_id"))).over(ENTITY)
-    second = F.max(F.when(F.col("ord") == 1, F.col("obs_id"))).over(ENTITY)
+    first = F.max(F.when(F.col("ord") == 0, F.col("obs_id"))).over(ENTITY())
+    second = F.max(F.when(F.col("ord") == 1, F.col("obs_id"))).over(ENTITY())
     return rows.withColumn("a", first).withColumn("b", second).where("ord >= 2").select("entity_id", "a", "b", F.col("obs_id").alias("c"))
 
 

@@ -134,7 +134,7 @@ def d11(t: Tables) -> DataFrame:
 @register("d12_eligible_points", panel_sql(_prefix(False) + f" select entity_id, obs_id, round((t - first_value(t) over ({_W})) / 365.25, 6) as t_years, round(ln(v), 6) as log_v from run"))
 def d12(t: Tables) -> DataFrame:
     run = X.initial_run(t.panel(), stop_at_post=False)
-    return run.select("entity_id", "obs_id", F.round((F.col("t") - F.first("t").over(X.SO_FAR)) / 365.25, 6).alias("t_years"), F.round(F.log("v"), 6).alias("log_v"))
+    return run.select("entity_id", "obs_id", F.round((F.col("t") - F.first("t").over(X.SO_FAR())) / 365.25, 6).alias("t_years"), F.round(F.log("v"), 6).alias("log_v"))
 
 
 @register("d13_usable_samples", panel_sql(_prefix(True) + ", l as (select distinct entity_id, n from r) select k::int as k, count(*)::bigint as entities, sum(n - k + 1)::bigint as samples from l, (values (2), (3), (4)) v(k) where n >= k group by k"))

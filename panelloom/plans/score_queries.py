@@ -70,7 +70,7 @@ def f08(t: Tables) -> DataFrame:
 @register("f10_mixed_model")
 def f10(t: Tables) -> DataFrame:
     run = X.initial_run(t.panel(), stop_at_post=False)
-    points = run.select("entity_id", ((F.col("t") - F.first("t").over(X.SO_FAR)) / 365.25).alias("x"), F.log("v").alias("y"))
+    points = run.select("entity_id", ((F.col("t") - F.first("t").over(X.SO_FAR())) / 365.25).alias("x"), F.log("v").alias("y"))
     par, sums = forecast.mixed_model(points)
     return forecast.blup(sums, par).select("entity_id", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"), F.lit(bool(par["converged"])).alias("converged"))
 
