@@ -4,9 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import scores, voxel
+from panelloom.operators import estimates, review, scores, voxel
 from panelloom.operators import windows as X
-from panelloom.plans import panel_queries, score_queries, voxel_queries
+from panelloom.plans import cohort_queries, panel_queries, score_queries, voxel_queries
+from panelloom.streaming import incremental
 
 PANEL = "entity_id string, obs_id long, t double, v double, cls string, crossed boolean, post boolean, absent boolean"
 
@@ -55,7 +56,7 @@ def test_folds_are_balanced_and_extend(spark):
     assert sum(sizes) == 150 and max(sizes) - min(sizes) <= 1
 
 
-@pytest.mark.parametrize("module", [panel_queries, score_queries, voxel_queries])
+@pytest.mark.parametrize("module", [panel_queries, score_queries, voxel_queries, cohort_queries])
 def test_queries_have_the_columns_of_their_sql(spark, module):
     folder = "/root/testdata/sf0.001"
     connection = duckdb.connect()
@@ -66,3 +67,53 @@ def test_queries_have_the_columns_of_their_sql(spark, module):
         if name in sql:
             found = connection.execute(f"select * from ({sql[name]}) limit 0").description
             assert sorted(query(spark, folder).columns) == sorted(c[0] for c in found), name
+
+
+def test_natural_key_sorts_digit_runs_as_numbers(spark):
+    rows = spark.createDataFrame([("v10",), ("v9",), ("a",), ("",), (None,)], "s string")
+    assert [r.s for r in rows.orderBy(review.natural_key(F.col("s")).asc_nulls_last()).collect()] == ["", "a", "v9", "v10", None]
+
+
+def test_freeze_rejects_unknown_entities_and_repeated_cases(spark):
+    folds = spark.createDataFrame([("A", 0), ("B", 1)], "entity_id string, fold int")
+    cases = spark.createDataFrame([(1, "A", True), (2, "B", True), (3, "C", False)], "case_id int, entity_id string, passed boolean")
+    frozen = review.freeze(cases, folds, F.col("passed"), "case_id", 5)
+    assert sorted((r.case_id, r.fold) for r in frozen.collect()) == [(1, 0), (2, 1)]
+    for bad in (cases.withColumn("passed", F.lit(True)), cases.unionByName(cases)):
+        with pytest.raises(Exception, match="fault"):
+            review.freeze(bad, folds, F.col("passed"), "case_id", 5).collect()
+    with pytest.raises(ValueError, match="missing"):
+        review.freeze(cases.drop("entity_id"), folds, F.lit(True), "case_id", 5)
+
+
+def test_required_flags_and_gates(spark):
+    with pytest.raises(Exception, match="flag"):
+        spark.range(1).select(review.required_flag(F.lit(""))).collect()
+    row = spark.range(1).select(review.case_gate(F.array(F.lit(0.9), F.lit(0.0), F.lit(0.9)), F.array(F.lit(False)), 0.5).alias("good"), review.case_gate(F.array(F.lit(0.1), F.lit(1.0)), F.array(F.lit(True)), 0.5).alias("bad"), review.least_overlap(F.lit("no list")).alias("least")).first()
+    assert row.good == [] and row.bad == ["overlap", "border"] and row.least == float("inf")
+
+
+def test_padding_never_crops(spark):
+    sizes = [(r.s, r.p) for r in spark.createDataFrame([(1,), (8,), (9,), (17,)], "s int").select("s", estimates.padded_size(F.col("s"), 4, 8).alias("p")).collect()]
+    assert sizes == [(1, 8), (8, 8), (9, 16), (17, 24)]
+
+
+def test_merged_tiles_of_one_field_give_the_field_back(spark):
+    tiles = spark.range(24).select(F.explode(F.array(F.lit(0), F.lit(8))).alias("start"), F.col("id").alias("place")).withColumn("offset", F.col("place") - F.col("start")).where("offset between 0 and 15").select(F.lit(1).alias("k"), "start", "offset", (F.col("place") * 2.0).alias("value"))
+    merged = estimates.merge_tiles(tiles, "k", 16).collect()
+    assert len(merged) == 24 and all(abs(r.value - 2 * r.place) < 1e-9 for r in merged)
+
+
+def test_calibration_of_true_probabilities_is_the_identity(spark):
+    cases = spark.createDataFrame([(p / 10, int(i < p)) for p in range(1, 10) for i in range(10)], "p double, y int")
+    line = estimates.calibration_line(cases).first()
+    assert abs(line.slope - 1) < 1e-3 and abs(line.intercept) < 1e-3
+
+
+def test_a_second_run_processes_only_new_files(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    run = lambda: sorted(r.id for r in incremental.process_new(spark, source, "id long", lambda d: d.where("id % 2 = 0"), target, progress).collect())
+    spark.range(4).write.parquet(source)
+    assert run() == [0, 2] and run() == [0, 2]
+    spark.range(4, 7).write.mode("append").parquet(source)
+    assert run() == [0, 2, 4, 6]
