@@ -27,10 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group.
 
-    Five-word shingles and six SimHash words: 384 bits, of which 59 may differ, which is where shingle sets of
-    similarity 0.8 fall on average.
+    Five-word shingles and twelve SimHash words: 768 bits, of which 122 may differ. Shingle sets of similarity 0.8
+    differ in 116 of them on average, with a standard deviation of 10.
     """
-    classes = simhash.near_duplicates(docs, k=5, words=6, max_bits=59)
+    classes = simhash.near_duplicates(docs, k=5, words=12, max_bits=122)
     kept = classes.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
 

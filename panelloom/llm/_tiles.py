@@ -14,15 +14,18 @@ def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int, sketch: s
     """Rows of cells with two or more members, sent to every tile (i, j) that must see them, with i <= j.
 
     A cell of n rows has ceil(n / tile) chunks by a hash of the id; each pair of chunks is one unit of work.
-    Columns added: __ti, __tj, __chunk. With a sketch (a long per row), cells of exactly two rows whose sketches differ
-    in more than sketch_bits bits are left out: for two rows that distance is the bits in (or xor and).
+    Columns added: __ti, __tj, __chunk. With a sketch (a non-negative int or a long per row; ids are unique in a cell),
+    cells of exactly two rows whose sketches differ in more than sketch_bits bits are left out, and of the cells that
+    hold the same rows one is kept: all of them would make the same comparisons. Equal sets are known by their size and
+    the xor of their hashed ids and sketches.
     """
     counted = [F.count(F.lit(1)).alias("__n")]
     if sketch:
-        counted += [F.bit_count(F.bit_or(sketch).bitwiseXOR(F.bit_and(sketch))).alias("__apart")]
+        counted += [F.bit_xor(sketch).alias("__xor"), F.bit_xor(F.xxhash64(id_column)).alias("__set")]
     sizes = rows.groupBy(*keys).agg(*counted).where("__n > 1")
     if sketch:
-        sizes = sizes.where((F.col("__n") > 2) | (F.col("__apart") <= sketch_bits)).drop("__apart")
+        sizes = sizes.where((F.col("__n") > 2) | (F.bit_count("__xor") <= sketch_bits))
+        sizes = sizes.groupBy("__n", "__xor", "__set").agg(F.min(F.struct(*keys)).alias("__cell")).select("__cell.*", "__n")
         rows = rows.drop(sketch)
     chunks = F.ceil(F.col("__n") / tile)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g") - 1))

@@ -7,6 +7,11 @@ distance 1 of the one lies within distance 2 (covering radius plus threshold) of
 sent to all anchors within distance 2 (1 or 16 of 2**26) and compared only with what meets it there. Distinct
 fingerprints travel, not documents, and cells of any size are cut into tiles.
 
+For similarities as low as 0.8 no exact covering is affordable: such pairs differ in some 15 % of all bits. With
+several words the same code is laid over many blocks of 31 bits drawn from all words, with threshold 0 in each: a
+fingerprint goes to the one anchor within the covering radius of each block. Two fingerprints whose bits differ with
+probability p share the anchor of a block with probability about (1 - p)**26, against 2**-26 at chance.
+
 Edge cases: a null text and a text without words have fingerprint zero, linked like any other; fewer words than
 the shingle length make one shingle; equal rows share a component; an empty table gives an empty result; other
 columns of the input are ignored.
@@ -27,9 +32,11 @@ from panelloom.llm._spark import checkpointed, components, read
 from panelloom.llm._text import TextBlock, mix, text_blocks
 
 XXH64_SEED = 42
-#: With several words, two rows alone in a cell are compared if their next words differ in at most so many bits: at
-#: similarity 0.8 these are 10 on average and over 24 once in a million pairs, at chance 32.
-SKETCH_BITS = 24
+#: With several words, two rows alone in a cell are compared if 31 fixed bits of theirs differ in at most so many: at
+#: similarity 0.8 that is 5 on average and over 12 for one pair in some 2000 (which may meet elsewhere), at chance 15.
+SKETCH_BITS = 12
+#: Rounds of blocks: in each the bits of all words are shuffled and cut into disjoint blocks of 31.
+ROUNDS = 8
 _LANES = np.uint64(0x0101010101010101)
 #: Masks of the five parity checks of Hamming(31, 26): bit p - 1 stands for position p = 1..31.
 _CHECKS = [np.uint32(sum(1 << (p - 1) for p in range(1, 32) if p >> b & 1)) for b in range(5)]
@@ -123,17 +130,42 @@ def covering_anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(anchors)
 
 
-def _anchor_rows(words: int):
+def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of one word: every anchor within distance 2 of each half."""
+    for frame in frames:
+        node = frame["node"].to_numpy()
+        value = frame["fp0"].to_numpy().view(np.uint64)
+        for side in range(2):
+            half = (value >> np.uint64(32 * side)) & np.uint64(0x7FFFFFFF)
+            rows, anchors = covering_anchors(half)
+            yield pd.DataFrame({"cell": anchors.astype(np.int64) + (side << 32), "node": node[rows], "sketch": frame["fp0"].to_numpy()[rows]})
+
+
+def nearest_anchors(block: np.ndarray) -> np.ndarray:
+    """The codeword of Hamming(31, 26) within distance 1 of each 31-bit value."""
+    block = block.astype(np.uint32)
+    syndrome = np.zeros(len(block), dtype=np.uint32)
+    for b, mask in enumerate(_CHECKS):
+        syndrome |= (np.bitwise_count(block & mask).astype(np.uint32) & np.uint32(1)) << np.uint32(b)
+    return block ^ np.where(syndrome > 0, np.uint32(1) << (np.maximum(syndrome, 1) - np.uint32(1)), np.uint32(0)).astype(np.uint32)
+
+
+def _block_rows(words: int, rounds: int):
+    """Cells of several words: the nearest anchor of every block."""
+    rng = np.random.default_rng(XXH64_SEED)
+    blocks = [order[31 * i : 31 * i + 31] for order in (rng.permutation(64 * words) for _ in range(rounds)) for i in range(64 * words // 31)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             node = frame["node"].to_numpy()
-            for w in range(words):
-                value = frame[f"fp{w}"].to_numpy().view(np.uint64)
-                for side in range(2):
-                    half = (value >> np.uint64(32 * side)) & np.uint64(0x7FFFFFFF)
-                    rows, anchors = covering_anchors(half)
-                    sketch = frame[f"fp{(w + 1) % words}"].to_numpy()
-                    yield pd.DataFrame({"cell": anchors.astype(np.int64) + ((2 * w + side) << 32), "node": node[rows], "sketch": sketch[rows]})
+            packed = np.stack([frame[f"fp{w}"].to_numpy() for w in range(words)], axis=1).view(np.uint8)
+            bits = np.ascontiguousarray(np.unpackbits(packed, axis=1, bitorder="little").T)
+            sketch = (frame["fp0"].to_numpy() & 0x7FFFFFFF).astype(np.int32)
+            for number, chosen in enumerate(blocks):
+                value = np.zeros(len(frame), dtype=np.uint32)
+                for place, bit in enumerate(chosen):
+                    value |= bits[bit].astype(np.uint32) << np.uint32(place)
+                yield pd.DataFrame({"cell": nearest_anchors(value).astype(np.int64) + (number << 32), "node": node, "sketch": sketch})
 
     return run
 
@@ -173,18 +205,21 @@ def _compare(words: int, max_bits: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int = 3, tile: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int = 3, tile: int = 1024, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, fp0, ..., component_id) for every row of docs; component_id is the smallest id reachable by links.
 
     With one word and max_bits <= 3 every link is found. With more words a pair whose words differ in at most
-    max_bits bits in all is linked if some half word of the pair differs in at most one bit.
+    max_bits bits in all is linked if it shares the anchor of some block; there are 64 * words // 31 blocks a round.
     """
     names = [f"fp{w}" for w in range(words)]
     prints = checkpointed(fingerprints(docs, k, words, id_column, text_column))
     node: Column = F.col("fp0") if words == 1 else F.xxhash64(*names)
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", node)
-    anchored = distinct.select("node", *names).mapInPandas(_anchor_rows(words), "cell long, node long, sketch long")
-    units = _tiles.tiled(anchored, ["cell"], "node", tile, "sketch", max_bits if words == 1 else SKETCH_BITS).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
+    if words == 1:
+        anchored, sketch_bits = distinct.select("node", *names).mapInPandas(_anchor_rows, "cell long, node long, sketch long"), max_bits
+    else:
+        anchored, sketch_bits = distinct.select("node", *names).mapInPandas(_block_rows(words, rounds), "cell long, node long, sketch int"), SKETCH_BITS
+    units = _tiles.tiled(anchored, ["cell"], "node", tile, "sketch", sketch_bits).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
     ordered = units.repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
     edges = ordered.mapInPandas(_compare(words, max_bits), "a long, b long")
     found = components(edges)

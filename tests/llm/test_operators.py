@@ -67,6 +67,31 @@ def test_simhash_equals_brute_force(docs, texts):
         assert (r.fp0 % 2**64, r.component_id) == (prints[r.doc_id], root[r.doc_id])
 
 
+def test_simhash_of_many_words_links_similar_texts_only(spark):
+    rng = random.Random(11)
+    rows, of = [], {}
+    for group in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for copy in range(3):
+            own = list(words)
+            for place in range(37, 300, 75 if copy else 10**6):
+                own[place] = f"new{rng.randrange(10**6)}"
+            of[len(rows)] = 3 * group
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000, None), (1001, ""), (1002, None), (1003, "one"), (1004, "One")]
+    of |= {1000: 1000, 1001: 1000, 1002: 1000, 1003: 1003, 1004: 1003}
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, words=12, max_bits=122, tile=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == of
+
+
+def test_cells_with_the_same_rows_are_kept_once(spark):
+    from panelloom.llm import _tiles
+
+    rows = spark.createDataFrame([(c, n, n % 2) for c in range(5) for n in (1, 3, 5)] + [(7, 1, 1), (7, 3, 1), (8, 1, 1), (8, 2, 0), (9, 1, 1)], "cell long, node long, sketch int")
+    got = [(r.cell, r.node) for r in _tiles.tiled(rows, ["cell"], "node", 10, "sketch", 0).collect()]
+    assert sorted(got) == [(0, 1), (0, 3), (0, 5), (7, 1), (7, 3)]
+
+
 def test_lines_remove_later_windows(spark):
     rows = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\n\nb\nc\ny"), (3, None), (4, ""), (5, "a\nb\nc")], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.text) for r in lines.remove_repeated_lines(rows).collect()}
