@@ -6,27 +6,35 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int, sketch: str | None = None, sketch_bits: int = 64) -> DataFrame:
+def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
     """Rows of cells with two or more members, sent to every tile (i, j) that must see them, with i <= j.
 
     A cell of n rows has ceil(n / tile) chunks by a hash of the id; each pair of chunks is one unit of work.
-    Columns added: __ti, __tj, __chunk. With a sketch (a non-negative int or a long per row; ids are unique in a cell),
-    cells of exactly two rows whose sketches differ in more than sketch_bits bits are left out, and of the cells that
-    hold the same rows one is kept: all of them would make the same comparisons. Equal sets are known by their size and
-    the xor of their hashed ids and sketches.
+    Columns added: __ti, __tj, __chunk.
     """
-    counted = [F.count(F.lit(1)).alias("__n")]
-    if sketch:
-        counted += [F.bit_xor(sketch).alias("__xor"), F.bit_xor(F.xxhash64(id_column)).alias("__set")]
-    sizes = rows.groupBy(*keys).agg(*counted).where("__n > 1")
-    if sketch:
-        sizes = sizes.where((F.col("__n") > 2) | (F.bit_count("__xor") <= sketch_bits))
-        sizes = sizes.groupBy("__n", "__xor", "__set").agg(F.min(F.struct(*keys)).alias("__cell")).select("__cell.*", "__n")
-        rows = rows.drop(sketch)
+    return _cut(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), keys, id_column, tile)
+
+
+def tiled_once(rows: DataFrame, key: str, id_column: str, tile: int, sketch: Column, sketch_bits: int) -> DataFrame:
+    """As tiled(), for rows of two columns with unique ids in a cell, without cells that need no comparison.
+
+    Cells of exactly two rows whose sketches (a non-negative int or a long made from the id) differ in more than
+    sketch_bits bits are left out, and of the cells that hold the same rows one is kept: all of them would make the
+    same comparisons. Equal sets are known by their size and the xor of their ids' hashes and sketches. The rows are
+    shuffled by cell once, for the counts and for the join with them; the filter is one that the join would infer on
+    its side alone, which would keep the exchange from being shared.
+    """
+    rows = rows.select(key, id_column).where(F.col(key).isNotNull()).repartition(key)
+    counted = [F.count(F.lit(1)).alias("__n"), F.bit_xor(sketch).alias("__xor"), F.bit_xor(F.xxhash64(id_column)).alias("__set")]
+    sizes = rows.groupBy(key).agg(*counted).where(f"__n > 2 or __n = 2 and bit_count(__xor) <= {sketch_bits}")
+    return _cut(rows, sizes.groupBy("__n", "__xor", "__set").agg(F.min(key).alias(key)).select(key, "__n"), [key], id_column, tile)
+
+
+def _cut(rows: DataFrame, sizes: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
     chunks = F.ceil(F.col("__n") / tile)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g") - 1))
     return (

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import _tiles
@@ -138,7 +138,7 @@ def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for side in range(2):
             half = (value >> np.uint64(32 * side)) & np.uint64(0x7FFFFFFF)
             rows, anchors = covering_anchors(half)
-            yield pd.DataFrame({"cell": anchors.astype(np.int64) + (side << 32), "node": node[rows], "sketch": frame["fp0"].to_numpy()[rows]})
+            yield pd.DataFrame({"cell": anchors.astype(np.int64) + (side << 32), "node": node[rows]})
 
 
 def nearest_anchors(block: np.ndarray) -> np.ndarray:
@@ -160,12 +160,11 @@ def _block_rows(words: int, rounds: int):
             node = frame["node"].to_numpy()
             packed = np.stack([frame[f"fp{w}"].to_numpy() for w in range(words)], axis=1).view(np.uint8)
             bits = np.ascontiguousarray(np.unpackbits(packed, axis=1, bitorder="little").T)
-            sketch = (frame["fp0"].to_numpy() & 0x7FFFFFFF).astype(np.int32)
             for number, chosen in enumerate(blocks):
                 value = np.zeros(len(frame), dtype=np.uint32)
                 for place, bit in enumerate(chosen):
                     value |= bits[bit].astype(np.uint32) << np.uint32(place)
-                yield pd.DataFrame({"cell": nearest_anchors(value).astype(np.int64) + (number << 32), "node": node, "sketch": sketch})
+                yield pd.DataFrame({"cell": nearest_anchors(value).astype(np.int64) + (number << 32), "node": node})
 
     return run
 
@@ -213,13 +212,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int =
     """
     names = [f"fp{w}" for w in range(words)]
     prints = checkpointed(fingerprints(docs, k, words, id_column, text_column))
-    node: Column = F.col("fp0") if words == 1 else F.xxhash64(*names)
+    # A node of several words is 33 bits of their hash and 31 bits of fp0, which tell how far two nodes are apart.
+    low = F.lit(0x7FFFFFFF).cast("long")
+    node = F.col("fp0") if words == 1 else F.xxhash64(*names).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("fp0").bitwiseAND(low))
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", node)
-    if words == 1:
-        anchored, sketch_bits = distinct.select("node", *names).mapInPandas(_anchor_rows, "cell long, node long, sketch long"), max_bits
-    else:
-        anchored, sketch_bits = distinct.select("node", *names).mapInPandas(_block_rows(words, rounds), "cell long, node long, sketch int"), SKETCH_BITS
-    units = _tiles.tiled(anchored, ["cell"], "node", tile, "sketch", sketch_bits).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
+    rows = _anchor_rows if words == 1 else _block_rows(words, rounds)
+    anchored = distinct.select("node", *names).mapInPandas(rows, "cell long, node long")
+    sketch, sketch_bits = (F.col("node"), max_bits) if words == 1 else (F.col("node").bitwiseAND(low), SKETCH_BITS)
+    units = _tiles.tiled_once(anchored, "cell", "node", tile, sketch, sketch_bits).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
     ordered = units.repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
     edges = ordered.mapInPandas(_compare(words, max_bits), "a long, b long")
     found = components(edges)

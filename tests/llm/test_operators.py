@@ -87,8 +87,8 @@ def test_simhash_of_many_words_links_similar_texts_only(spark):
 def test_cells_with_the_same_rows_are_kept_once(spark):
     from panelloom.llm import _tiles
 
-    rows = spark.createDataFrame([(c, n, n % 2) for c in range(5) for n in (1, 3, 5)] + [(7, 1, 1), (7, 3, 1), (8, 1, 1), (8, 2, 0), (9, 1, 1)], "cell long, node long, sketch int")
-    got = [(r.cell, r.node) for r in _tiles.tiled(rows, ["cell"], "node", 10, "sketch", 0).collect()]
+    rows = spark.createDataFrame([(c, n) for c in range(5) for n in (1, 3, 5)] + [(7, 1), (7, 3), (8, 1), (8, 2), (9, 1)], "cell long, node long")
+    got = [(r.cell, r.node) for r in _tiles.tiled_once(rows, "cell", "node", 10, F.col("node") % 2, 0).collect()]
     assert sorted(got) == [(0, 1), (0, 3), (0, 5), (7, 1), (7, 3)]
 
 
