@@ -89,6 +89,25 @@ def dense_components(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
+def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) of the graph with the edges (a, b); as many as nodes less components."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
 def run_units(frames: Iterator[pd.DataFrame], keys: list[str], one: Callable[[pd.DataFrame], pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
     for frame in by_unit(frames, keys):
         bounds = unit_bounds(frame, keys)

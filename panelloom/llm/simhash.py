@@ -35,6 +35,8 @@ XXH64_SEED = 42
 #: With several words, two rows alone in a cell are compared if 31 fixed bits of theirs differ in at most so many: at
 #: similarity 0.8 that is 5 on average and over 12 for one pair in some 2000 (which may meet elsewhere), at chance 15.
 SKETCH_BITS = 12
+#: Pairs that a task holds before it sends on a spanning forest of them; components need no more than that.
+HELD_PAIRS = 1 << 19
 #: Rounds of blocks: in each the bits of all words are shuffled and cut into disjoint blocks of 31.
 ROUNDS = 8
 _LANES = np.uint64(0x0101010101010101)
@@ -177,6 +179,7 @@ def _compare(words: int, max_bits: int):
         return sum(np.bitwise_count(a[w] ^ b[w]).astype(np.int16) for w in range(words))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n_held = [], 0
         for frame in _tiles.by_unit(frames, keys):
             bounds = _tiles.unit_bounds(frame, keys)
             node = frame["node"].to_numpy()
@@ -197,9 +200,15 @@ def _compare(words: int, max_bits: int):
                 own = np.flatnonzero(root != np.arange(len(root)))
                 left.append(members[own])
                 right.append(members[root[own]])
-            if left:
-                pairs = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
-                yield pairs.drop_duplicates()
+            held += zip(left, right)
+            n_held += sum(map(len, left))
+            if n_held > HELD_PAIRS:
+                a, b = _tiles.spanning_edges(*map(np.concatenate, zip(*held)))
+                yield pd.DataFrame({"a": a, "b": b})
+                held, n_held = [], 0
+        if n_held:
+            a, b = _tiles.spanning_edges(*map(np.concatenate, zip(*held)))
+            yield pd.DataFrame({"a": a, "b": b})
 
     return run
 

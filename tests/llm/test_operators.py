@@ -92,6 +92,18 @@ def test_cells_with_the_same_rows_are_kept_once(spark):
     assert sorted(got) == [(0, 1), (0, 3), (0, 5), (7, 1), (7, 3)]
 
 
+def test_spanning_edges_keep_components():
+    import numpy as np
+
+    from panelloom.llm import _tiles
+
+    a, b = _tiles.spanning_edges(np.array([9, 7, 5, 2, 30, 9]), np.array([7, 5, 2, 9, 40, 9]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(5, 2), (7, 2), (9, 2), (40, 30)]
+    chain = np.arange(1000)
+    a, b = _tiles.spanning_edges(chain[:-1], chain[1:])
+    assert (a == chain[1:]).all() and (b == 0).all()
+
+
 def test_lines_remove_later_windows(spark):
     rows = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\n\nb\nc\ny"), (3, None), (4, ""), (5, "a\nb\nc")], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.text) for r in lines.remove_repeated_lines(rows).collect()}
