@@ -10,7 +10,8 @@ fingerprints travel, not documents, and cells of any size are cut into tiles.
 For similarities as low as 0.8 no exact covering is affordable: such pairs differ in some 15 % of all bits. With
 several words the same code is laid over many blocks of 31 bits drawn from all words, with threshold 0 in each: a
 fingerprint goes to the one anchor within the covering radius of each block. Two fingerprints whose bits differ with
-probability p share the anchor of a block with probability about (1 - p)**26, against 2**-26 at chance.
+probability p share the anchor of a block with probability about (1 - p)**26, against 2**-26 at chance. similar_texts() uses that to
+find candidates only, under a loose limit of bits, and decides by the exact Jaccard similarity of the shingle sets.
 
 Edge cases: a null text and a text without words have fingerprint zero, linked like any other; fewer words than
 the shingle length make one shingle; equal rows share a component; an empty table gives an empty result; other
@@ -20,6 +21,7 @@ columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import _tiles
-from panelloom.llm._spark import checkpointed, components, read
+from panelloom.llm._spark import checkpointed, components, free_shuffles, read
 from panelloom.llm._text import TextBlock, mix, text_blocks
 
 XXH64_SEED = 42
@@ -152,17 +154,19 @@ def nearest_anchors(block: np.ndarray) -> np.ndarray:
     return block ^ np.where(syndrome > 0, np.uint32(1) << (np.maximum(syndrome, 1) - np.uint32(1)), np.uint32(0)).astype(np.uint32)
 
 
-def _block_rows(words: int, rounds: int):
-    """Cells of several words: the nearest anchor of every block."""
+def _block_rows(words: int, rounds: int, first: int = 0):
+    """Cells of several words: the nearest anchor of every block of the rounds from `first` to `rounds`."""
     rng = np.random.default_rng(XXH64_SEED)
-    blocks = [order[31 * i : 31 * i + 31] for order in (rng.permutation(64 * words) for _ in range(rounds)) for i in range(64 * words // 31)]
+    a_round = 64 * words // 31
+    blocks = [order[31 * i : 31 * i + 31] for order in (rng.permutation(64 * words) for _ in range(rounds)) for i in range(a_round)]
+    numbered = list(enumerate(blocks))[a_round * first :]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             node = frame["node"].to_numpy()
             packed = np.stack([frame[f"fp{w}"].to_numpy() for w in range(words)], axis=1).view(np.uint8)
             bits = np.ascontiguousarray(np.unpackbits(packed, axis=1, bitorder="little").T)
-            for number, chosen in enumerate(blocks):
+            for number, chosen in numbered:
                 value = np.zeros(len(frame), dtype=np.uint32)
                 for place, bit in enumerate(chosen):
                     value |= bits[bit].astype(np.uint32) << np.uint32(place)
@@ -213,6 +217,26 @@ def _compare(words: int, max_bits: int):
     return run
 
 
+#: Bits of a node that are fp0's own, where a fingerprint has several words.
+_LOW = 0x7FFFFFFF
+
+
+def _node(words: int) -> Column:
+    """fp0, or of several words 33 bits of their hash and 31 bits of fp0, which tell how far two nodes are apart."""
+    low = F.lit(_LOW).cast("long")
+    return F.col("fp0") if words == 1 else F.xxhash64(*[f"fp{w}" for w in range(words)]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("fp0").bitwiseAND(low))
+
+
+def _links(distinct: DataFrame, words: int, max_bits: int, tile: int, rows) -> DataFrame:
+    """(a, b): links of nodes that meet in a cell and differ in at most max_bits bits, as spanning forests."""
+    names = [f"fp{w}" for w in range(words)]
+    anchored = distinct.select("node", *names).mapInPandas(rows, "cell long, node long")
+    sketch, sketch_bits = (F.col("node"), max_bits) if words == 1 else (F.col("node").bitwiseAND(F.lit(_LOW).cast("long")), SKETCH_BITS)
+    units = _tiles.tiled_once(anchored, "cell", "node", tile, sketch, sketch_bits).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
+    ordered = units.repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
+    return ordered.mapInPandas(_compare(words, max_bits), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int = 3, tile: int = 1024, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, fp0, ..., component_id) for every row of docs; component_id is the smallest id reachable by links.
 
@@ -221,16 +245,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int =
     """
     names = [f"fp{w}" for w in range(words)]
     prints = checkpointed(fingerprints(docs, k, words, id_column, text_column))
-    # A node of several words is 33 bits of their hash and 31 bits of fp0, which tell how far two nodes are apart.
-    low = F.lit(0x7FFFFFFF).cast("long")
-    node = F.col("fp0") if words == 1 else F.xxhash64(*names).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("fp0").bitwiseAND(low))
-    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", node)
-    rows = _anchor_rows if words == 1 else _block_rows(words, rounds)
-    anchored = distinct.select("node", *names).mapInPandas(rows, "cell long, node long")
-    sketch, sketch_bits = (F.col("node"), max_bits) if words == 1 else (F.col("node").bitwiseAND(low), SKETCH_BITS)
-    units = _tiles.tiled_once(anchored, "cell", "node", tile, sketch, sketch_bits).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
-    ordered = units.repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
-    edges = ordered.mapInPandas(_compare(words, max_bits), "a long, b long")
+    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", _node(words))
+    edges = _links(distinct, words, max_bits, tile, _anchor_rows if words == 1 else _block_rows(words, rounds))
     found = components(edges)
     rooted = distinct.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -238,6 +254,102 @@ def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int =
     return prints.join(classes, names).select("doc_id", *names, "component_id")
 
 
+def text_key(text: Column) -> Column:
+    """64 bits of a text, never null; two of n texts share them by accident with probability n**2 / 2**65."""
+    return F.xxhash64(text)
+
+
+def _shingle_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            for block in text_blocks(batch, "text"):
+                hashes, counts = shingle_xxh64(block, k)
+                sets = [np.unique(own).tobytes() for own in np.split(hashes, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays([keys.slice(block.first_row, block.rows), pa.array(sets, pa.binary())], names=["text_key", "shingles"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of incidence matrices of `width` values each."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = count[column] > 1
+    owner, column = owner[use], (np.cumsum(count > 1) - 1)[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), dtype=np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        block = np.zeros((n, min(width, int(column[b - 1]) - low + 1)), dtype=np.float32)
+        block[owner[a:b], column[a:b] - low] = 1
+        out += (block @ block.T).astype(np.int64)
+    return out
+
+
+def _similar(similarity: float):
+    keys = ["class", "__ti", "__tj"]
+    least = Fraction(similarity).limit_denominator(10**6)
+
+    def one(unit: pd.DataFrame) -> pd.DataFrame | None:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in unit["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        shared = shared_counts(sets)
+        root = _tiles.dense_components(shared * least.denominator >= (sizes[:, None] + sizes[None, :] - shared) * least.numerator)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        node = unit["text_key"].to_numpy()
+        return pd.DataFrame({"a": node[own], "b": node[root[own]]}) if len(own) else None
+
+    return lambda frames: _tiles.run_units(frames, keys, one)
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: int = 12, max_bits: int = 150, tile: int = 1024, set_tile: int = 256, rounds: int = 16, rounds_a_pass: int = 4, text_column: str = "text") -> DataFrame:
+    """(text_key, component) of every distinct text; texts are linked if their k-word shingle sets are that similar.
+
+    Candidates are the classes of fingerprints that share an anchor and differ in at most max_bits of 64 * words bits;
+    inside a class every pair of texts is compared by its shingle sets (two empty sets are equal), and only a Jaccard
+    similarity of at least `similarity` links. So no link is false; a pair is missed only if it falls into two classes.
+    A class of n texts makes n * n / set_tile rows. The rounds of blocks are done in passes, one pass's shuffles at a time.
+    """
+    texts = docs.select(text_key(F.col(text_column)).alias("text_key"), F.col(text_column).alias("text"))
+    names = [f"fp{w}" for w in range(words)]
+    prints = fingerprints(texts, k, words, "text_key").withColumnRenamed("doc_id", "text_key").dropDuplicates(["text_key"])
+    prints = checkpointed(prints.withColumn("node", _node(words)))
+    distinct = checkpointed(prints.select("node", *names).distinct())
+    edges = None
+    for first in range(0, rounds, rounds_a_pass):
+        new = checkpointed(_links(distinct, words, max_bits, tile, _block_rows(words, min(first + rounds_a_pass, rounds), first)))
+        edges = new if edges is None else edges.unionByName(new)
+        free_shuffles(docs.sparkSession)
+    classes = prints.select("text_key", "node").join(components(edges), "node", "left")
+    classes = checkpointed(classes.select("text_key", F.coalesce("component", "node").alias("class")))
+    units = _tiles.tiled(classes, ["class"], "text_key", set_tile).drop("__chunk")
+    # A text alone in its class needs no set.
+    shared = classes.join(classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class", "left_semi")
+    sets = texts.join(shared, "text_key", "left_semi").select("text_key", "text").mapInArrow(_shingle_sets(k), "text_key long, shingles binary").dropDuplicates(["text_key"])
+    ordered = units.join(sets, "text_key").repartition("class", "__ti", "__tj").sortWithinPartitions("class", "__ti", "__tj", "text_key")
+    found = components(ordered.mapInPandas(_similar(similarity), "a long, b long")).withColumnRenamed("node", "text_key")
+    return classes.join(found, "text_key", "left").select("text_key", F.coalesce("component", "text_key").alias("component"))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of docs for each component of (text_key, component): the smallest id, null ids last, ties by row hash.
+
+    Only keys are grouped; rows that are equal in everything are told by their count and thinned on their own.
+    """
+    keys = ["__id", "__text", "__row"]
+    keyed = docs.withColumns({"__id": F.col(id_column), "__text": text_key(F.col(text_column)), "__row": F.xxhash64(*docs.columns)})
+    rows = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(classes.withColumnRenamed("text_key", "__text"), "__text")
+    firsts = rows.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("__none"), *keys, "__n")).alias("f"))
+    firsts = checkpointed(firsts.select(F.col("component").alias("__component"), *[F.col(f"f.{c}").alias(f"{c}_f") for c in (*keys, "__n")]))
+    same = F.col("__id").eqNullSafe(F.col("__id_f")) & (F.col("__text") == F.col("__text_f")) & (F.col("__row") == F.col("__row_f"))
+    alone = keyed.join(firsts.where("__n_f = 1"), same, "left_semi")
+    several = keyed.join(firsts.where("__n_f > 1"), same).dropDuplicates(["__component"])
+    return alone.select(*docs.columns).unionByName(several.select(*docs.columns))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents at three bits over three-word shingles."""
     out = near_duplicates(read(spark, sf_dir, "documents"))

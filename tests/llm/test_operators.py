@@ -238,3 +238,30 @@ def test_empty_tables(spark, docs):
     assert quality.judge(none, None).count() == 0
     assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_similar_texts_are_linked_by_exact_similarity(spark):
+    rng = random.Random(5)
+    sets, rows = [], []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for changes in (0, 3, 5, 7, 9):
+            own = list(base)
+            for place in rng.sample(range(200), changes):
+                own[place] = f"n{rng.randrange(10**6)}"
+            sets.append({tuple(own[i : i + 5]) for i in range(196)})
+            rows.append((len(rows), " ".join(own)))
+    root = list(range(len(rows)))
+    for g in range(0, len(rows), 5):
+        for _ in range(5):
+            for a in range(g, g + 5):
+                for b in range(g, g + 5):
+                    if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.k: r.doc_id for r in table.select("doc_id", simhash.text_key(F.col("text")).alias("k")).collect()}
+    groups = {}
+    for r in simhash.similar_texts(table).collect():
+        groups.setdefault(r.component, set()).add(keys[r.text_key])
+    assert len(set(root)) < 300 and max(root) > 0
+    assert sorted(map(sorted, groups.values())) == sorted([i for i in range(300) if root[i] == x] for x in set(root))
