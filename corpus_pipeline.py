@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import lines, mixing, packing, quality, simhash
+from panelloom.llm._spark import checkpointed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +36,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as the mixture takes them."""
+    """Documents repeated as often as the mixture takes them; every row counts, with a null or a repeated id too.
+
+    Rows are known by the hash of all their columns; rows equal in everything share the copies that they are given.
+    """
     weights = mixing.label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = mixing.mix_sources(docs, weights).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = docs.join(copies, "doc_id")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    row = F.xxhash64(*docs.columns)
+    mixed = mixing.mix_sources(docs, weights, row=row).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    copies = checkpointed(mixed.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n")).where("__copies > 0"))
+    keyed = docs.withColumn("__key", row)
+    same = (F.col("__key") == F.col("__row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    alone = keyed.join(copies.where("__n = 1"), same)
+    several = keyed.join(copies.where("__n > 1"), same).dropDuplicates(["doc_id", "__key"])
+    taken = alone.unionByName(several)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select(*docs.columns)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ keys and are told apart by nothing, so one of them may be taken; extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm._spark import checkpointed, keyed_uniform, read
@@ -64,13 +64,15 @@ def source_plan(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     return sized.sparkSession.createDataFrame(rows, "source string, source_size long, target double, epochs int, rest double")
 
 
-def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_epochs: int = 3, seed: str = "mix", row: Column | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for every row of docs.
 
     quality: (doc_id, weight), at most one row per document; the sampling rate of a document is its weight.
+    row: a long that tells rows apart, handed through as `row`; it breaks ties and stands for a null doc_id in the draw.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    uniform = keyed_uniform(seed, F.col("doc_id").cast("string"))
+    told = [] if row is None else ["row"]
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *[row.alias(c) for c in told])
+    uniform = keyed_uniform(seed, F.coalesce(*[F.col(c).cast("string") for c in ("doc_id", *told)]))
     if quality is not None:
         sized = sized.join(quality.select("doc_id", F.col("weight").cast("double").alias("weight")), "doc_id", "left")
     else:
@@ -95,12 +97,12 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
         bound = checkpointed(passed.select("source", (F.col("low") + F.col("range") * span).alias("low"), (F.col("left") - F.col("before")).alias("left")).limit(MAX_SOURCES + 1))
     fine = planned.alias("d").join(F.broadcast(bound).alias("b"), same("d", "b"), "left").select("d.*", "b.low", "b.left")
     edge = fine.where((F.col("key") >= F.col("low")) & (F.col("key") < F.col("low") + span))
-    upto = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("source").orderBy("key", "doc_id", "size", *told).rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.sum("size").over(upto)).withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("left")) & (F.col("rest") > 0))
     clear = fine.where(~F.coalesce((F.col("key") >= F.col("low")) & (F.col("key") < F.col("low") + span), F.lit(False))).withColumn("more", F.coalesce(F.col("key") < F.col("low"), F.lit(False)) & (F.col("rest") > 0))
     both = clear.unionByName(edge.drop("upto"))
     copies = F.col("epochs") + F.col("more").cast("int")
-    return both.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return both.select("doc_id", *told, "source", "size", "source_size", F.round("target", 6).alias("target"), copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

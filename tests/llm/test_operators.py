@@ -265,3 +265,19 @@ def test_similar_texts_are_linked_by_exact_similarity(spark):
         groups.setdefault(r.component, set()).add(keys[r.text_key])
     assert len(set(root)) < 300 and max(root) > 0
     assert sorted(map(sorted, groups.values())) == sorted([i for i in range(300) if root[i] == x] for x in set(root))
+
+
+def test_pipeline_stages_keep_rows_without_an_own_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    say = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    copied, near, other, lone, twin = say(), say(), say(), say(), say()
+    rows = [(1, copied, "a"), (1, copied, "a"), (1, copied, "b"), (None, copied, "a"), (2, near, "a"), (1, near + " more", "a"), (2, other, "a"), (None, lone, "a"), (None, twin, "b"), (None, twin, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, table, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, copied), (1, near + " more"), (2, other), (None, lone), (None, twin)], key=str)
+    spark.createDataFrame([(2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    even = spark.createDataFrame([(None, "x y", "a"), (None, "z w", "a"), (3, "u v", "a"), (3, "s t", "a"), (3, "s t", "a")], "doc_id long, text string, source string")
+    mixed = corpus_pipeline.source_mixing(spark, even, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in mixed) == [(0, "x y"), (0, "z w"), (3, "s t"), (3, "s t"), (3, "u v")]
