@@ -141,24 +141,42 @@ def tile_starts(size: Column, patch: Column, step: float) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.bround(gap * i).cast("int"))
 
 
-def largest_component(mask: DataFrame, rounds: int = 40) -> DataFrame:
-    """Voxels of the largest 26-connected component per (case, tp); ties go to the lowest label.
+def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
+    """Voxels of the largest 26-connected component per (case, tp); ties go to the component with the lowest voxel.
 
-    Labels spread by minima over neighbour joins until nothing changes; lineage is cut by checkpoints if configured.
+    Voxels are compared by (z, y, x), so axes of any length do. Every voxel points at a lower one of its component; each
+    round hooks the roots that neighbours point at to the least of them and then jumps pointers until all are roots, so
+    the rounds follow the logarithm of a path's length. Lineage is cut by checkpoints if configured. An error is raised
+    if labels have not settled after `rounds` rounds.
     """
-    cells = mask.select(*KEY, *VOXEL).withColumn("label", F.struct("z", "y", "x")).withColumn("label", (F.col("z") * 1_000_000 + F.col("y") * 1000 + F.col("x")).cast("long"))
-    offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    cut = (lambda df: df.checkpoint()) if mask.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.cache())
-    cells = cut(cells)
-    before = None
+    offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)])
+    cut = (lambda df: df.checkpoint()) if mask.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
+    here = F.struct(*[F.col(c).cast("long").alias(c) for c in VOXEL])
+    voxels = mask.select(*KEY, here.alias("v")).distinct()
+    told = voxels.withColumn("__o", F.explode(offsets)).select(*KEY, "v", F.struct(*[(F.col(f"v.{c}") + F.col(f"__o.d{c}")).alias(c) for c in VOXEL]).alias("w"))
+    # Each pair of neighbours once; groups with a null key are kept apart by null-safe joins.
+    own = lambda a, b: F.col(f"{a}.case_id").eqNullSafe(F.col(f"{b}.case_id")) & F.col(f"{a}.tp").eqNullSafe(F.col(f"{b}.tp"))
+    edges = cut(told.where("w < v").alias("e").join(voxels.alias("t"), own("e", "t") & (F.col("e.w") == F.col("t.v")), "left_semi"))
+    root = cut(voxels.withColumn("label", F.col("v")))
     for _ in range(rounds):
-        told = cells.withColumn("__o", F.explode(offsets)).select(*KEY, *[(F.col(c) + F.col(f"__o.d{c}")).alias(c) for c in VOXEL], "label")
-        least = told.groupBy(*KEY, *VOXEL).agg(F.min("label").alias("label"))
-        cells = cut(cells.drop("label").join(least, [*KEY, *VOXEL]))
-        now = cells.agg(F.sum("label")).first()[0]
-        if now == before:
+        labelled = edges.alias("e").join(root.alias("r"), own("e", "r") & (F.col("e.v") == F.col("r.v"))).select("e.*", F.col("r.label").alias("a"))
+        labelled = labelled.alias("e").join(root.alias("r"), own("e", "r") & (F.col("e.w") == F.col("r.v"))).select(*[F.col(f"e.{c}") for c in KEY], "a", F.col("r.label").alias("b"))
+        hooks = cut(labelled.where("a <> b").groupBy(*KEY, F.greatest("a", "b").alias("v")).agg(F.min(F.least("a", "b")).alias("low")))
+        if hooks.isEmpty():
             break
-        before = now
-    sizes = cells.groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("n"))
+        hooked = root.alias("r").join(hooks.alias("h"), own("r", "h") & (F.col("r.v") == F.col("h.v")), "left")
+        root = cut(hooked.select("r.case_id", "r.tp", "r.v", F.coalesce("h.low", "r.label").alias("label")))
+        for _ in range(rounds):
+            jumped = root.alias("r").join(root.select(*KEY, F.col("v").alias("at"), F.col("label").alias("to")).alias("s"), own("r", "s") & (F.col("r.label") == F.col("s.at")))
+            jumped = cut(jumped.select("r.case_id", "r.tp", "r.v", "r.label", "s.to"))
+            root = jumped.select(*KEY, "v", F.col("to").alias("label"))
+            if jumped.where("label <> to").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"pointers did not settle in {rounds} jumps")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    sizes = root.groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy(*KEY).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(*KEY, F.col("b.label").alias("label"))
-    return cells.join(best, [*KEY, "label"]).select(*KEY, *VOXEL)
+    kept = root.alias("r").join(best.alias("b"), own("r", "b") & (F.col("r.label") == F.col("b.label")), "left_semi").select("r.case_id", "r.tp", "r.v")
+    return mask.alias("m").join(kept.alias("k"), own("m", "k") & (F.struct(*[F.col(f"m.{c}").cast("long").alias(c) for c in VOXEL]) == F.col("k.v")), "left_semi").select(*KEY, *VOXEL)

@@ -117,3 +117,12 @@ def test_a_second_run_processes_only_new_files(spark, tmp_path):
     assert run() == [0, 2] and run() == [0, 2]
     spark.range(4, 7).write.mode("append").parquet(source)
     assert run() == [0, 2, 4, 6]
+
+
+def test_largest_component_follows_long_paths_and_long_axes(spark):
+    snake = [(0, y, x) for y in range(0, 20, 2) for x in range(12)] + [(0, y, 11 if y % 4 == 1 else 0) for y in range(1, 19, 2)]
+    blob = [(9, y, x) for y in range(10) for x in range(10)]
+    far = [(0, 0, 1000), (0, 0, 1001), (0, 1, 0)]
+    rows = [(1, 0, *v) for v in snake + blob] + [(2, 0, *v) for v in far]
+    got = {tuple(r) for r in voxel.largest_component(spark.createDataFrame(rows, "case_id long, tp int, z int, y int, x int")).collect()}
+    assert got == {(1, 0, *v) for v in snake} | {(2, 0, 0, 0, 1000), (2, 0, 0, 0, 1001)}
