@@ -11,9 +11,9 @@ Collision check: over all distinct entities no surrogate may stand for two, or e
 losers get the next attempt until none is left. Only occurrences, never texts, are shuffled for that; the texts with
 entities are shuffled once to meet their surrogates, and texts without pass straight through.
 
-Edge cases: null and empty texts stay as they are; repeated rows get equal results; a format whose space is used up
-(say, all numbers of four digits) keeps its last attempt after `max_attempts`; an empty table gives an empty result;
-extra columns are ignored.
+Edge cases: null and empty texts stay as they are; repeated rows get equal results; where a format's space is used up
+the losers' surrogates are widened after `max_attempts` by letters or digits (so they no longer fit the format), and
+an error tells how many are left if that does not end; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ _KNOWN = "(?:" + "|".join(x for names in GIVEN.values() for x in names) + ")"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}",
-    "secret": r"(?<!\w)AKIA[0-9A-Z]{12,20}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}\"?[^\s\"]{6,200}\"?",
+    "secret": r"(?<!\w)AKIA[0-9A-Z]{12,20}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}\"?[^\s\"]{6,}+\"?",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -174,30 +174,42 @@ def in_surface(kind: F.Column, surface: F.Column, surrogate: F.Column) -> F.Colu
         return F.when(F.regexp_replace(c, signs, F.lit("")) == "", c).otherwise(F.substr(surrogate, before, F.lit(1)))
 
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.length(surface) - 1), place), "")
+    spread = F.concat(spread, F.substr(surrogate, F.length(F.regexp_replace(surface, signs, F.lit(""))) + 1, F.length(surrogate)))
     title = F.regexp_extract(surface, f"^(?:{_HONORIFIC} )?", 0)
     person = F.concat(title, F.get(F.split(surrogate, "/", 3), 2))
     email = F.when(surface == F.upper(surface), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), spread).when(kind == "person", person).when(kind == "email", email).otherwise(surrogate)
 
 
+def _widened(kind: F.Column, surrogate: F.Column, canonical: F.Column, attempt: F.Column, max_attempts: int, seed: str) -> F.Column:
+    """From `max_attempts` on, kinds of a fixed width get ever more digits of a digest: one at first, up to 16."""
+    over = attempt - max_attempts + 1
+    count = F.least(over, F.lit(16))
+    digest = _digest(seed + ":wider", kind, canonical, attempt)
+    more = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: (_byte(digest, i) % 10).cast("string")), "")
+    return F.when((over > 0) & ~kind.isin("email", "person"), F.concat(surrogate, F.when(kind == "ip", F.lit(".")).otherwise(F.lit("")), more)).otherwise(surrogate)
+
+
 def assign_surrogates(entities: DataFrame, seed: str, max_attempts: int = 12) -> DataFrame:
-    """(kind, canonical, surrogate) for distinct (kind, canonical), free of collisions."""
+    """(kind, canonical, surrogate) for distinct (kind, canonical), free of collisions.
+
+    After max_attempts the surrogates of losers are widened, so that attempts go on until none is left; if 64 of those
+    are not enough, the number of losers is raised as an error.
+    """
     known = checkpointed(entities.select("kind", "canonical").distinct())
     state = checkpointed(known.withColumn("attempt", F.lit(0)))
-    for _ in range(max_attempts):
+    for _ in range(max_attempts + 64):
         named = with_surrogate(state, seed)
+        named = named.withColumn("surrogate", _widened(F.col("kind"), F.col("surrogate"), F.col("canonical"), F.col("attempt"), max_attempts, seed))
         winner = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("w"))
         real = known.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("is_real"))
         judged = named.join(winner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         lost = F.coalesce("is_real", F.lit(False)) | (F.col("canonical") != F.col("w.canonical"))
         state = checkpointed(judged.select("kind", "canonical", "attempt", "surrogate", lost.alias("lost")))
         if state.where("lost").isEmpty():
-            break
-        again = state.select("kind", "canonical", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"), "surrogate")
-        state = again.drop("surrogate")
-    if "surrogate" not in state.columns:
-        state = with_surrogate(state, seed)
-    return state.select("kind", "canonical", "surrogate")
+            return state.select("kind", "canonical", "surrogate")
+        state = state.select("kind", "canonical", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
+    raise RuntimeError(f"{judged.where(lost).count()} entities have no surrogate of their own")
 
 
 def replace_entities(docs: DataFrame, seed: str = "surrogates", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -281,3 +281,16 @@ def test_pipeline_stages_keep_rows_without_an_own_id(spark, tmp_path):
     even = spark.createDataFrame([(None, "x y", "a"), (None, "z w", "a"), (3, "u v", "a"), (3, "s t", "a"), (3, "s t", "a")], "doc_id long, text string, source string")
     mixed = corpus_pipeline.source_mixing(spark, even, str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in mixed) == [(0, "x y"), (0, "z w"), (3, "s t"), (3, "s t"), (3, "u v")]
+
+
+def test_pii_long_secrets_are_replaced_to_their_end(spark):
+    token = "".join(random.Random(2).choice("abcdefXYZ019") for _ in range(500))
+    got = pii.replace_entities(spark.createDataFrame([(1, f"token = {token} end")], "doc_id long, text string")).first()
+    assert got.n_entities == 1 and got.text.startswith("token = ") and got.text.endswith(" end")
+    assert token[200:] not in got.text and len(got.text) == len(f"token = {token} end")
+
+
+def test_pii_surrogates_of_a_used_up_format_stay_apart(spark):
+    rows = [("ssn", f"{i:02d}") for i in range(100)]
+    got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), "s", max_attempts=2).collect()
+    assert len(got) == len({r.surrogate for r in got}) == 100 and not {r.surrogate for r in got} & {c for _, c in rows}
