@@ -126,3 +126,9 @@ def test_largest_component_follows_long_paths_and_long_axes(spark):
     rows = [(1, 0, *v) for v in snake + blob] + [(2, 0, *v) for v in far]
     got = {tuple(r) for r in voxel.largest_component(spark.createDataFrame(rows, "case_id long, tp int, z int, y int, x int")).collect()}
     assert got == {(1, 0, *v) for v in snake} | {(2, 0, 0, 0, 1000), (2, 0, 0, 0, 1001)}
+
+
+def test_inner_folds_keep_entities_together(spark):
+    rows = spark.createDataFrame([(e, o, e % 5) for e in range(200) for o in range(6)], "entity_id long, obs_id long, fold int")
+    per = score_queries._by_entity(rows).groupBy("entity_id").agg(F.countDistinct("inner").alias("n"), F.min("inner").alias("inner")).collect()
+    assert {r.n for r in per} == {1} and {r.inner for r in per} == set(range(5))
