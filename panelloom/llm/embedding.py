@@ -108,6 +108,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, sample: int = 4096
     largest = F.array_max(F.transform("v", lambda c: F.abs(c)))
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & (largest > 0)
     usable = F.coalesce(usable, F.lit(False))
+    lengths = clean.where(usable).groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    common = lengths.orderBy(F.desc("n"), "length").first()
+    usable = usable & F.coalesce(F.size("v") == (common.length if common else 0), F.lit(False))
     # Scaled by the largest component first, so that squares neither overflow nor vanish.
     scaled = F.transform("v", lambda c: c / F.col("largest"))
     norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, c: a + c * c))

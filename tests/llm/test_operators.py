@@ -294,3 +294,9 @@ def test_pii_surrogates_of_a_used_up_format_stay_apart(spark):
     rows = [("ssn", f"{i:02d}") for i in range(100)]
     got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), "s", max_attempts=2).collect()
     assert len(got) == len({r.surrogate for r in got}) == 100 and not {r.surrogate for r in got} & {c for _, c in rows}
+
+
+def test_embedding_keeps_vectors_of_another_length_unlinked(spark):
+    rows = [(i, [1.0, 0.01 * i, 0.5], 0) for i in range(4)] + [(9, [1.0, 0.0], 0), (10, [1.0, 0.0], 0), (11, None, 0)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {i: (3, 0, i == 0) for i in range(4)} | {i: (0, i, True) for i in (9, 10, 11)}
