@@ -1,17 +1,25 @@
-"""Exact substring dedup: compressed FM-indexes over content-routed shards.
+r"""Exact substring dedup: compressed FM-indexes over content-routed shards.
 
 A window is `length` consecutive words; a word goes when a window over it also starts earlier in the corpus.
 Windows that are equal share their minimiser (the smallest hash among their `anchor`-word shingles), so runs of
 windows with one minimiser, called segments here, are routed by it: equal windows always meet in one shard, and
-the work grows with the text. Segments whose minimiser occurs once need no search. Of equal segments the earliest
-stands for all. Each shard builds an FM-index (suffix order, Burrows-Wheeler transform, bit-packed wavelet matrix)
-over its segments and streams them through it by backward search, one step per word; the interval of every suffix
-is widened to match length `length`, and the window is a repeat if the interval holds an earlier position. A
-minimiser with more than `cap` different segments (the rim of a very common passage) is not indexed: its windows
-are grouped by their own hash instead, which gives the same answer and spreads over all tasks.
-
-Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; equal rows
-(same doc_id) count as one document at equal positions, so neither removes the other; extra columns are ignored.
+the work grows with the text. Segments whose minimiser occurs once need no search.
+
+Each shard builds an FM-index (Burrows-Wheeler transform in a bit-packed wavelet matrix, common prefix lengths up to
+the threshold, one earliest place per group of equal windows; the suffix array is not kept) over the earliest
+segment of every content but the last of its minimiser, which nothing can follow. All segments but the first of their
+minimiser, which nothing can precede, are streamed through it by backward search: at every word the statistic is the
+length of the longest match that starts there, made longer by one step of the search where the match goes on, and cut
+back to the next shorter interval where it breaks off. A window is a repeat where the statistic reaches `length` and
+the earliest place of the match is another than its own. Equal streamed segments of a shard take these steps once.
+
+No key is a bottleneck: the windows of a minimiser with more than `kinds` different segments (the rim of a very common
+passage) are routed one by one, by minimiser and window hash, and a key with over `rows` streamed segments is cut into
+salts, each with a copy of the key's indexed segments. Both go through the same index and search.
+
+Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; rows are ordered
+by doc_id, then by a hash of the text, null ids last; rows equal in both count as one document, so neither removes the
+other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm._spark import checkpointed, read
-from panelloom.llm._text import shingle_hashes, span_hashes, text_blocks
+from panelloom.llm._text import mix, shingle_hashes, span_hashes, text_blocks
 from panelloom.llm._tiles import by_unit
 
 #: Windows in one segment at most; a longer run (periodic text) is cut.
 RUN = 64
+#: Roles of a segment in its shard: bits.
+INDEXED, STREAMED = 1, 2
+#: What stands for a null doc_id in orders and joins.
+NO_ID = 2**63 - 1
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,11 +88,11 @@ def segments_of(word_hash: np.ndarray, rows: np.ndarray, length: int, anchor: in
 
 
 def _segment_rows(length: int, anchor: int):
-    names = ["minimiser", "content", "doc_id", "place", "weight"]
+    names = ["minimiser", "content", "doc", "text_key", "place", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(-(2**63)))
+            ids, text_keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for block in text_blocks(batch, "text"):
                 starts, ends, rows = block.words()
                 if len(starts) < length:
@@ -92,74 +104,99 @@ def _segment_rows(length: int, anchor: int):
                 base = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=block.rows))[:-1]])
                 row = rows[first]
                 place = (first - base[row]) * 128 + windows
-                arrays = [least.view(np.int64), content.view(np.int64), ids[block.first_row + row], place, weight]
+                owner = block.first_row + row
+                arrays = [least.view(np.int64), content.view(np.int64), ids[owner], text_keys[owner], place, weight]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
     return run
 
 
-def _contents(length: int, hot: bool):
-    """Words (hashes) of the wanted segments below the cap, or (hot) the window hashes of those above it."""
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ..., size - 1 for each size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _pieces(length: int):
+    """The words (hashes) of the wanted segments of each text, addressed to the key of their shard group."""
+    names = ["key", "doc", "text_key", "first", "role", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(batch.schema.get_field_index("wanted"))
             offsets = np.asarray(wanted.offsets).astype(np.int64)
-            flat = wanted.values
-            use_all = np.asarray(flat.field("hot").cast(pa.int8())) == int(hot)
-            place_all, key_all = np.asarray(flat.field("place")), np.asarray(flat.field("minimiser"))
-            ids = np.asarray(batch.column(0).fill_null(-(2**63)))
+            place_all, key_all, role_all, parts_all, salts_all = (np.asarray(wanted.values.field(c)) for c in ("place", "minimiser", "role", "parts", "salts"))
+            ids, text_keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for block in text_blocks(batch, "text"):
                 cut = offsets[block.first_row : block.first_row + block.rows + 1]
-                use = use_all[cut[0] : cut[-1]]
-                if not use.any():
+                if cut[-1] == cut[0]:
                     continue
-                owner = np.repeat(np.arange(block.rows), np.diff(cut))[use]
-                place, key = place_all[cut[0] : cut[-1]][use], key_all[cut[0] : cut[-1]][use]
+                mine = slice(cut[0], cut[-1])
+                owner = np.repeat(np.arange(block.rows), np.diff(cut))
+                place, key, role, parts, salts = place_all[mine], key_all[mine].view(np.uint64), role_all[mine], parts_all[mine], salts_all[mine]
                 starts, ends, rows = block.words()
                 word = block.word_hashes(starts, ends)
                 base = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=block.rows))[:-1]])
                 first, windows = base[owner] + place // 128, place % 128
-                size = windows if hot else windows + length - 1
-                step = np.arange(size.sum()) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-                at = np.repeat(first, size) + step
-                if hot:
-                    whole, begins = shingle_hashes(word, rows, length)
-                    of_word = np.zeros(len(word), dtype=np.uint64)
-                    of_word[begins] = whole
-                    columns = [of_word[at].view(np.int64), ids[block.first_row + np.repeat(owner, size)], np.repeat(place // 128, size) + step]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "first"])
-                else:
-                    short = (word >> np.uint64(32)).astype(np.uint32)
-                    ends_at = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
-                    words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends_at.tobytes()), pa.py_buffer(short[at].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[block.first_row + owner]), pa.array(place // 128), words], names=["key", "doc_id", "first", "words"])
+                # Segments of a minimiser with many contents become single windows, routed by their own hash too.
+                many = np.where(parts > 0, windows, 1)
+                step = _ranges(many)
+                owner, first, key, role, parts, salts, windows = (np.repeat(x, many) for x in (owner, first + 0, key, role, parts, salts, windows))
+                first = first + step
+                size = np.where(parts > 0, length, windows + length - 1)
+                hot = np.flatnonzero(parts)
+                if len(hot):
+                    own = span_hashes(word, first[hot], first[hot] + length)
+                    key[hot] = mix(key[hot] ^ ((own % parts[hot].astype(np.uint64)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+                # A salted key: streamed pieces go to one salt, indexed ones to all.
+                where = first - base[owner]
+                salt = mix(ids[block.first_row + owner].view(np.uint64) ^ mix(where.astype(np.uint64))) % salts.astype(np.uint64)
+                copies = np.where(role & INDEXED, salts, 1)
+                to = np.repeat(salt, copies)
+                every = np.repeat(role & INDEXED, copies) > 0
+                to[every] = _ranges(copies)[every].astype(np.uint64)
+                streamed = (np.repeat(role & STREAMED, copies) > 0) & (to == np.repeat(salt, copies))
+                owner, first, key, size, where, salts = (np.repeat(x, copies) for x in (owner, first, key, size, where, salts))
+                role = every * INDEXED + streamed * STREAMED
+                key = np.where(salts > 1, mix(key ^ (to + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), key)
+                at = np.repeat(first, size) + _ranges(size)
+                short = (word >> np.uint64(32)).astype(np.uint32)
+                ends_at = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends_at.tobytes()), pa.py_buffer(short[at].tobytes())])
+                row = block.first_row + owner
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key.view(np.int64), ids[row], text_keys[row], where, role.astype(np.int32))), words], names=names)
 
     return run
 
 
+class Bits:
+    """A bit-packed sequence with the number of ones before any position."""
+
+    def __init__(self, bits: np.ndarray):
+        self.packed = np.packbits(np.pad(bits.astype(np.uint8), (0, -len(bits) % 64 + 64)), bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.packed), dtype=np.int64)]).astype(np.int32)
+
+    def ones(self, position: np.ndarray) -> np.ndarray:
+        block = position >> 6
+        part = self.packed[block] & ((np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[block] + np.bitwise_count(part)
+
+
 class WaveletMatrix:
     """Rank over a sequence of small integers: one bit-packed level per bit, with popcounts per 64-bit word."""
 
     def __init__(self, sequence: np.ndarray, sigma: int):
         self.levels = []
-        n = len(sequence)
         current = sequence
         for shift in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
             bits = ((current >> shift) & 1).astype(np.uint8)
-            packed = np.packbits(np.pad(bits, (0, -n % 64 + 64)), bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32)
-            zeros = n - int(before[-1])
-            self.levels.append((shift, packed, before, zeros))
+            level = Bits(bits)
+            self.levels.append((shift, level, len(sequence) - int(level.before[-1])))
             current = np.concatenate([current[bits == 0], current[bits == 1]])
-        symbols = np.arange(sigma)
-        self.base = self.descend(symbols, np.zeros(sigma, dtype=np.int64))
+        self.base = self.descend(np.arange(sigma), np.zeros(sigma, dtype=np.int64))
 
     def descend(self, symbol: np.ndarray, position: np.ndarray) -> np.ndarray:
-        for shift, packed, before, zeros in self.levels:
-            block = position >> 6
-            part = packed[block] & ((np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1))
-            ones = before[block] + np.bitwise_count(part)
+        for shift, level, zeros in self.levels:
+            ones = level.ones(position)
             position = np.where((symbol >> shift) & 1, zeros + ones, position - ones)
         return position
 
@@ -169,16 +206,12 @@ class WaveletMatrix:
 
 
 def suffix_order(symbols: np.ndarray, separators: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array (separators distinct, by place), and whether each suffix shares `length` symbols with its predecessor."""
+    """Suffix array (separators distinct, by place), and the symbols each suffix shares with its predecessor, up to `length`."""
     n = len(symbols)
     rank = symbols.astype(np.int64) + len(separators)
     rank[separators] = np.arange(len(separators))
-    span, order, powers = 1, None, {}
-    while True:
-        if order is not None and rank.max() == n - 1:
-            break
-        if span <= length:
-            powers[span] = rank
+    span, order, powers = 1, np.argsort(rank, kind="stable"), {1: rank}
+    while rank.max() != n - 1 and span < n:
         second = np.zeros(n, dtype=np.int64)
         second[:-span] = rank[span:] + 1
         key = rank * (int(second.max()) + 1) + second
@@ -189,81 +222,136 @@ def suffix_order(symbols: np.ndarray, separators: np.ndarray, length: int) -> tu
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(step)
         span *= 2
-        if span >= n:
-            break
-    same = np.ones(n, dtype=bool)
-    same[0] = False
+        if span <= length:
+            powers[span] = rank
+    shared = np.zeros(n, dtype=np.int64)
     a, b = order[1:], order[:-1]
-    done = 0
     for size in sorted(powers, reverse=True):
-        while done + size <= length:
-            inside = (a + done < n) & (b + done < n)
-            ranks = np.append(powers[size], -1)
-            same[1:] &= inside & (ranks[np.minimum(a + done, n)] == ranks[np.minimum(b + done, n)])
-            done += size
-    if done < length:
-        same[:] = False
-    return order, same
-
-
-def repeats_in_shard(words: list[np.ndarray], doc: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first word, words) of the stretches of the streamed segments that also start earlier in the shard."""
-    sizes = np.array([len(w) for w in words])
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    separators = starts + sizes
-    text = np.zeros(int(separators[-1]) + 1, dtype=np.int64)
-    in_text = np.ones(len(text), dtype=bool)
-    in_text[separators] = False
-    values, codes = np.unique(np.concatenate(words), return_inverse=True)
-    text[in_text] = codes + 1
-    order, same = suffix_order(text, separators, length)
-    transform = text[order - 1]
-    sigma = len(values) + 1
-    tree = WaveletMatrix(transform, sigma)
-    smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))[:-1]])
-    owner = np.repeat(np.arange(len(words)), sizes + 1)
-    offset = np.arange(len(text)) - starts[owner]
-    when = np.empty(len(text), dtype=np.int64)
-    when[np.lexsort((first[owner] + offset, doc[owner]))] = np.arange(len(text))
-    moments_equal_first = (doc[owner], first[owner] + offset)
-    block_starts = np.flatnonzero(~same)
-    block_of = np.cumsum(~same) - 1
-    earliest = np.minimum.reduceat(when[order], block_starts)
-    by_when = np.empty(len(text), dtype=np.int64)
-    by_when[when] = np.arange(len(text))
-    low = np.zeros(len(words), dtype=np.int64)
-    high = np.full(len(words), len(text), dtype=np.int64)
-    repeated = np.zeros(len(text), dtype=bool)
-    for back in range(1, int(sizes.max()) + 1):
-        alive = np.flatnonzero(sizes >= back)
-        at = starts[alive] + sizes[alive] - back
-        symbol = text[at]
-        low[alive] = smaller[symbol] + tree.rank(symbol, low[alive])
-        high[alive] = smaller[symbol] + tree.rank(symbol, high[alive])
-        if back >= length:
-            earlier = by_when[earliest[block_of[low[alive]]]]
-            repeated[at] = (high[alive] > low[alive]) & ((moments_equal_first[0][earlier] != moments_equal_first[0][at]) | (moments_equal_first[1][earlier] != moments_equal_first[1][at]))
-    hit = np.flatnonzero(repeated)
-    if not len(hit):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    begin = np.flatnonzero(np.append(True, (np.diff(hit) != 1) | (owner[hit[1:]] != owner[hit[:-1]])))
-    count = np.diff(np.append(begin, len(hit)))
-    head = hit[begin]
-    return doc[owner[head]], first[owner[head]] + offset[head], count + length - 1
+        ranks = np.append(powers[size], [-1, -2])
+        shared[1:] += size * (ranks[np.minimum(a + shared[1:], n)] == ranks[np.where(b + shared[1:] < n, b + shared[1:], n + 1)])
+    return order, np.minimum(shared, length).astype(np.int8)
+
+
+class FMIndex:
+    """Backward search over pieces of text, with what matching statistics up to `length` need besides it."""
+
+    def __init__(self, pieces: list[np.ndarray], length: int):
+        sizes = np.array([len(p) for p in pieces])
+        self.length, self.starts = length, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        separators = self.starts + sizes
+        self.size = int(separators[-1]) + 1
+        text = np.zeros(self.size, dtype=np.int64)
+        in_text = np.ones(self.size, dtype=bool)
+        in_text[separators] = False
+        self.values, codes = np.unique(np.concatenate(pieces), return_inverse=True)
+        text[in_text] = codes + 1
+        order, shared = suffix_order(text, separators, length)
+        sigma = len(self.values) + 1
+        self.tree = WaveletMatrix(text[order - 1], sigma)
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))[:-1]])
+        #: Common prefix with the suffix before; nothing is shared beyond the ends.
+        self.shared = np.append(shared, np.int8(0))
+        self._edges: dict[int, np.ndarray] = {}
+        begins = shared < length
+        begins[0] = True
+        self.groups = Bits(begins)
+        self.earliest = np.minimum.reduceat(order, np.flatnonzero(begins)).astype(np.int32)
+
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        """Symbols of words, -1 for those that the index does not hold."""
+        at = np.minimum(np.searchsorted(self.values, words), len(self.values) - 1)
+        return np.where(self.values[at] == words, at + 1, -1)
+
+    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of backward search for many intervals."""
+        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return self.smaller[symbol] + both[: len(symbol)], self.smaller[symbol] + both[len(symbol) :]
+
+    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next larger intervals and the lengths of their matches."""
+        depth = np.maximum(self.shared[low], self.shared[high]).astype(np.int64)
+        depth[(low == 0) & (high == self.size)] = 0
+        new_low, new_high = np.zeros_like(low), np.full_like(high, self.size)
+        for d in np.unique(depth[depth > 0]):
+            if d not in self._edges:
+                self._edges[d] = np.append(np.flatnonzero(self.shared[:-1] < d), self.size)
+            own, edges = np.flatnonzero(depth == d), self._edges[d]
+            new_low[own] = edges[np.searchsorted(edges, low[own], side="right") - 1]
+            new_high[own] = edges[np.searchsorted(edges, high[own], side="left")]
+        return new_low, new_high, depth
+
+    def matching_statistics(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Per word of the pieces, one after the other: the length of the longest match that starts there, and the
+        earliest place of the match in the index where the length reaches the threshold (else -1).
+
+        Lengths are exact up to the threshold and at least the threshold beyond it.
+        """
+        sizes = np.array([len(p) for p in pieces])
+        starts = np.cumsum(sizes) - sizes
+        stream = self.symbols(np.concatenate(pieces))
+        matched, place = np.zeros(len(stream), dtype=np.int32), np.full(len(stream), -1, dtype=np.int64)
+        by_size = np.argsort(-sizes, kind="stable")
+        ends, sorted_sizes = (starts + sizes)[by_size], sizes[by_size]
+        low, high = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), self.size, dtype=np.int64)
+        depth = np.zeros(len(pieces), dtype=np.int64)
+        for back in range(1, int(sorted_sizes[0]) + 1):
+            alive = int(np.searchsorted(-sorted_sizes, -back, side="right"))
+            at = ends[:alive] - back
+            symbol = stream[at]
+            unknown = np.flatnonzero(symbol < 0)
+            low[unknown], high[unknown], depth[unknown] = 0, self.size, 0
+            todo = np.flatnonzero(symbol >= 0)
+            while len(todo):
+                new_low, new_high = self.extend(symbol[todo], low[todo], high[todo])
+                found = new_high > new_low
+                own = todo[found]
+                low[own], high[own] = new_low[found], new_high[found]
+                depth[own] += 1
+                todo = todo[~found]
+                if len(todo):
+                    low[todo], high[todo], depth[todo] = self.shorten(low[todo], high[todo])
+            matched[at] = depth[:alive]
+            long = np.flatnonzero(depth[:alive] >= self.length)
+            place[at[long]] = self.earliest[self.groups.ones(low[long] + 1) - 1]
+        return matched, place
+
+
+def repeats_in_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+    """(doc, text_key, first, n) of the stretches of streamed pieces that also start earlier in the shard."""
+    role = frame["role"].to_numpy()
+    indexed, streamed = frame[role & INDEXED > 0], frame[role & STREAMED > 0]
+    none = pd.DataFrame({"doc": np.zeros(0, np.int64), "text_key": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    if not len(indexed) or not len(streamed):
+        return none
+    read_words = lambda column: [np.frombuffer(w, dtype=np.uint32) for w in column]
+    index = FMIndex(read_words(indexed["words"]), length)
+    kind, kinds = pd.factorize(streamed["words"])
+    texts = read_words(kinds)
+    matched, place = index.matching_statistics(texts)
+    sizes = np.array([len(t) for t in texts])
+    windows = (sizes - length + 1)[kind]
+    row = np.repeat(np.arange(len(streamed)), windows)
+    step = _ranges(windows)
+    at = (np.cumsum(sizes) - sizes)[kind][row] + step
+    long = np.flatnonzero(matched[at] >= length)
+    row, step, at = row[long], step[long], place[at[long]]
+    piece = np.searchsorted(index.starts, at, side="right") - 1
+    own = lambda table, c, rows: table[c].to_numpy()[rows]
+    same = (own(indexed, "doc", piece) == own(streamed, "doc", row)) & (own(indexed, "text_key", piece) == own(streamed, "text_key", row))
+    same &= own(indexed, "first", piece) + at - index.starts[piece] == own(streamed, "first", row) + step
+    row, step = row[~same], step[~same]
+    if not len(row):
+        return none
+    begin = np.flatnonzero(np.append(True, (np.diff(step) != 1) | (row[1:] != row[:-1])))
+    count = np.diff(np.append(begin, len(row)))
+    head = row[begin]
+    return pd.DataFrame({"doc": own(streamed, "doc", head), "text_key": own(streamed, "text_key", head), "first": own(streamed, "first", head) + step[begin], "n": count + length - 1})
 
 
 def _search(length: int, shard_words: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         total = 0
-
-        def search() -> pd.DataFrame:
-            frame = pd.concat(held, ignore_index=True)
-            words = [np.frombuffer(w, dtype=np.uint32) for w in frame["words"]]
-            doc, first, n = repeats_in_shard(words, frame["doc_id"].to_numpy(), frame["first"].to_numpy(), length)
-            return pd.DataFrame({"doc_id": doc, "first": first, "n": n})
-
         for frame in by_unit(frames, ["key"]):
             load = np.cumsum(frame["words"].str.len().to_numpy() // 4)
             key = frame["key"].to_numpy()
@@ -275,10 +363,10 @@ def _search(length: int, shard_words: int):
                     total += int(load[cut - 1]) - done
                     low, done = int(cut), int(load[cut - 1])
                     if total >= shard_words:
-                        yield search()
+                        yield repeats_in_shard(pd.concat(held, ignore_index=True), length)
                         held, total = [], 0
         if held:
-            yield search()
+            yield repeats_in_shard(pd.concat(held, ignore_index=True), length)
 
     return run
 
@@ -329,34 +417,42 @@ def _cut():
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, cap: int = 512, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, first, n): stretches of n words from word `first` of a document, all covered by repeats."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    segments = texts.mapInArrow(_segment_rows(length, anchor), "minimiser long, content long, doc_id long, place long, weight long")
+def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc, text_key, doc_id, text): doc stands for the id in orders, text_key tells texts of one id apart."""
+    own = F.col(id_column).cast("long")
+    return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce(F.col(text_column), F.lit(""))).cast("long").alias("text_key"), own.alias("doc_id"), F.col(text_column).alias("text"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 512, rows: int = 4096, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc, text_key, first, n): stretches of n words from word `first` of a document, all covered by repeats."""
+    texts = _texts(docs, id_column, text_column)
+    segments = texts.select("doc", "text_key", "text").mapInArrow(_segment_rows(length, anchor), "minimiser long, content long, doc long, text_key long, place long, weight long")
     often = segments.groupBy("minimiser").agg(F.sum("weight").alias("__n")).where("__n > 1").select("minimiser")
-    found = checkpointed(segments.select("minimiser", "content", "doc_id", "place").join(often, "minimiser"))
-    earliest = found.groupBy("minimiser", "content").agg(F.min(F.struct("doc_id", "place")).alias("__first"))
-    different = earliest.groupBy("minimiser").agg(F.count(F.lit(1)).alias("__kinds"))
-    firsts = earliest.join(different, "minimiser").select("minimiser", F.col("__first.doc_id").alias("doc_id"), F.col("__first.place").alias("place"), (F.col("__kinds") > cap).alias("hot"))
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "minimiser", "hot")).alias("wanted"))
-    # Three plans read the same exchange of the texts by doc_id: these two and the cut in remove_repeats.
-    contents = lambda hot, schema: texts.join(wanted, "doc_id", "left").mapInArrow(_contents(length, hot), schema)
-    cold = contents(False, "key long, doc_id long, first long, words binary").repartition("key").sortWithinPartitions("key", "doc_id", "first")
-    searched = cold.mapInPandas(_search(length, shard_words), "doc_id long, first long, n long")
-    hot = contents(True, "key long, doc_id long, first long")
-    hot_first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "first")).alias("__first"))
-    window_repeats = hot.join(hot_first, "key").where("struct(doc_id, first) <> __first").select("doc_id", "first", F.lit(length).cast("long").alias("n"))
-    later = found.join(earliest, ["minimiser", "content"]).where("doc_id <> __first.doc_id or place <> __first.place")
-    copies = later.select("doc_id", F.expr("place div 128").alias("first"), (F.col("place") % 128 + (length - 1)).alias("n"))
-    return copies.union(searched).union(window_repeats)
+    found = checkpointed(segments.join(often, "minimiser"))
+    at = F.struct("doc", "text_key", "place")
+    contents = found.groupBy("minimiser", "content").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
+    keys = contents.groupBy("minimiser").agg(F.min("first").alias("key_first"), F.max("last").alias("key_last"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+    # Whole contents beyond `kinds` are cut into windows, at most 64 of each; a salt serves `rows` streamed segments.
+    parts = F.when(F.col("kinds") > kinds, F.ceil(F.col("kinds") / kinds) * 16).otherwise(0).cast("int")
+    keys = keys.select("minimiser", "key_first", "key_last", parts.alias("parts"), F.ceil(F.col("n") / rows).cast("int").alias("salts"))
+    judged = contents.select("minimiser", "content", "first").join(keys, "minimiser")
+    inside = F.col("weight") > 1
+    role = F.when((at == F.col("first")) & (inside | (at != F.col("key_last"))), INDEXED).otherwise(0) + F.when(inside | (at != F.col("key_first")), STREAMED).otherwise(0)
+    roles = found.join(judged, ["minimiser", "content"]).select("doc", "text_key", F.struct("place", "minimiser", role.cast("int").alias("role"), "parts", "salts").alias("w")).where("w.role > 0")
+    wanted = roles.groupBy("doc", "text_key").agg(F.collect_list("w").alias("wanted"))
+    # Two plans read the same exchange of the texts: this one and the cut in remove_repeats.
+    pieces = texts.join(wanted, ["doc", "text_key"], "left").select("doc", "text_key", "text", "wanted").mapInArrow(_pieces(length), "key long, doc long, text_key long, first long, role int, words binary")
+    ordered = pieces.repartition("key").sortWithinPartitions("key", "doc", "text_key", "first")
+    return ordered.mapInPandas(_search(length, shard_words), "doc long, text_key long, first long, n long")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row once the repeated stretches are cut out."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    texts = _texts(docs, id_column, text_column)
     spans = repeated_spans(docs, id_column=id_column, text_column=text_column, **options)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    return texts.join(by_doc, "doc_id", "left").mapInArrow(_cut(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    by_doc = spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    joined = texts.join(by_doc, ["doc", "text_key"], "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_cut(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

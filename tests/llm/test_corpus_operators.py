@@ -32,7 +32,7 @@ def docs(spark, texts):
 
 
 def test_substring_equals_brute_force(docs, texts):
-    got = {r.doc_id: r for r in substring.remove_repeats(docs, cap=2, shard_words=500).collect()}
+    got = {r.doc_id: r for r in substring.remove_repeats(docs, kinds=2, rows=3, shard_words=500).collect()}
     seen = set()
     for i, t in enumerate(texts):
         words = WORDS.findall(t or "")
@@ -46,6 +46,50 @@ def test_substring_equals_brute_force(docs, texts):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_substring_with_repeated_null_ids_and_common_windows(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"{rng.choice('abcdefghij')}{rng.randrange(6)}" for _ in range(n))
+    passages = [say(24), say(45), " ".join("ab" for _ in range(90))]
+    rows = [(1, "a b c"), (2, "a b c d"), (2, "u v w x")]
+    for i in range(160):
+        rows.append((None if i % 11 == 0 else i // 2, " ".join([say(rng.randrange(30)), rng.choice(passages), say(rng.randrange(30)), rng.choice(passages), say(3)])))
+    rows += [rows[20], rows[20], (None, rows[14][1]), (500, rows[14][1]), (501, None), (502, "")]
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
+    seen, expected = {}, {}
+    for d, (i, t) in enumerate(order):
+        words = WORDS.findall(t or "")
+        gone = set()
+        for j in range(len(words) - 19):
+            if seen.setdefault(tuple(words[j : j + 20]), (d, j)) != (d, j):
+                gone.update(range(j, j + 20))
+        kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+        expected[i, t] = (i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    table = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, spans string, doc int")
+    for kinds, salted in ((512, 4096), (3, 5)):
+        got = [tuple(r) for r in substring.remove_repeats(table, kinds=kinds, rows=salted, shard_words=700).collect()]
+        assert sorted(got, key=str) == sorted((expected[r] for r in rows), key=str)
+
+
+def test_matching_statistics_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    held = [rng.integers(0, 5, size=n).astype(np.uint32) for n in (40, 7, 33, 1, 60)]
+    asked = [rng.integers(0, 6, size=n).astype(np.uint32) for n in (30, 1, 50)] + [held[2][3:29]]
+    joined = [tuple(p.tolist()) for p in held]
+    index = substring.FMIndex(held, 6)
+    matched, place = index.matching_statistics(asked)
+    at = 0
+    for piece in (tuple(p.tolist()) for p in asked):
+        for i in range(len(piece)):
+            longest = max(n for n in range(len(piece) - i + 1) if n == 0 or any(piece[i : i + n] == h[j : j + n] for h in joined for j in range(len(h))))
+            assert min(matched[at], 6) == min(longest, 6)
+            if longest >= 6:
+                first = min(int(s) + j for s, h in zip(index.starts, joined) for j in range(len(h) - 5) if h[j : j + 6] == piece[i : i + 6])
+                assert place[at] == first
+            at += 1
+
+
 def test_simhash_equals_brute_force(docs, texts):
     import xxhash
 
