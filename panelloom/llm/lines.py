@@ -2,12 +2,15 @@
 
 Lines are split at \n; lines without a word are kept and skipped when windows are formed, so a window is three
 consecutive worded lines. Windows are compared by two independent 64-bit hashes over the whole corpus; every window
-but the earliest of its kind (smallest doc_id, then position) marks its three lines, and marked lines go. The text
-itself is shuffled once, to meet its marks.
-
-Edge cases: a null text stays null with 0 lines; texts with fewer than three worded lines lose none; rows that repeat
-a doc_id count as the same place, so they do not remove each other; an empty table gives an empty result; extra
-columns are ignored.
+but the earliest of its kind marks its three lines, and marked lines go. The order is that of doc_id, then of a hash of
+the text, then of the position. The text itself is shuffled once, to meet its marks. The `HOT` most common windows, a
+bounded table, are met by broadcast, so no task has to take all rows of a window that a third of the documents share;
+every other window has at most one row in `HOT` of all.
+
+Edge cases: a null text stays null with 0 lines; an empty text has one empty line; texts with fewer than three worded
+lines lose none; rows that repeat a doc_id with other texts are documents of their own; rows equal in both count as the
+same place, so they do not remove each other; null ids come last; an empty table gives an empty result; extra columns
+are ignored unless they are carried.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from pyspark.sql import functions as F
 from panelloom.llm._spark import read
 
 _WORDED = r"[^\x20\x09-\x0D]"
+#: Most common windows that are met by broadcast.
+HOT = 1000
+#: What stands for a null doc_id in orders and joins.
+NO_ID = 2**63 - 1
 
 
 def _worded_lines(lines: str = "lines") -> F.Column:
@@ -25,13 +32,13 @@ def _worded_lines(lines: str = "lines") -> F.Column:
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.rlike(F.get(lines, i), F.lit(_WORDED)))
 
 
-def line_windows(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, place, h1, h2) of every window; place counts worded lines from 0."""
-    lines = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.filter(F.split(text_column, "\n", -1), lambda x: F.rlike(x, F.lit(_WORDED))).alias("lines"))
-    hashed = lines.where(F.size("lines") >= window).select("doc_id", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"))
+def line_windows(texts: DataFrame, window: int = 3) -> DataFrame:
+    """(doc, text_key, place, h1, h2) of every window of (doc, text_key, text); place counts worded lines from 0."""
+    lines = texts.where(F.col("text").isNotNull()).select("doc", "text_key", F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(_WORDED))).alias("lines"))
+    hashed = lines.where(F.size("lines") >= window).select("doc", "text_key", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"))
     part = lambda field, i: [F.get(f"h.{field}", i + k) for k in range(window)]
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.struct(i.cast("long").alias("place"), F.xxhash64(*part("a", i)).alias("h1"), F.xxhash64(*part("b", i)).alias("h2")))
-    return hashed.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
+    return hashed.select("doc", "text_key", F.explode(windows).alias("w")).select("doc", "text_key", "w.*")
 
 
 def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -39,14 +46,20 @@ def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "do
 
     carry: columns to hand through, packed in a struct column `row`.
     """
-    windows = line_windows(docs, window, id_column, text_column)
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
-    marks = later.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    own, text = F.col(id_column).cast("long"), F.col(text_column)
+    texts = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_key"), own.alias("doc_id"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    windows = line_windows(texts, window)
+    at = F.struct("doc", "text_key", "place")
+    first = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = first.orderBy(F.desc("n"), "h1", "h2").limit(HOT).select("h1", "h2", F.col("first").alias("hot_first"))
+    # Rows of a hot window are dealt by their own place; they have met their first already.
+    met = windows.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("h1", F.when(F.col("hot_first").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "text_key", "place")))
+    met = met.join(first.drop("n"), ["h1", "h2"], "left")
+    later = met.where(F.coalesce("hot_first", "first") != at)
+    marks = later.groupBy("doc", "text_key").agg(F.collect_set("place").alias("places"))
     covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + window - 1)))
-    marks = marks.select("doc_id", F.array_distinct(covered).alias("covered"))
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
-    joined = texts.join(marks, "doc_id", "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("worded", F.when(F.col("covered").isNotNull(), _worded_lines()))
+    marks = marks.select("doc", "text_key", F.array_distinct(covered).alias("covered"))
+    joined = texts.join(marks, ["doc", "text_key"], "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("worded", F.when(F.col("covered").isNotNull(), _worded_lines()))
     gone = joined.withColumn("gone", F.transform("covered", lambda c: F.get("worded", c.cast("int"))))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
