@@ -154,6 +154,38 @@ def test_lines_remove_later_windows(spark):
     assert got == {1: (0, "a\nb\nc\nd"), 2: (3, "x\n\ny"), 3: (0, None), 4: (0, ""), 5: (3, "")}
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c"), (2, "a b c d"), (2, "u v w x"), (None, "p q r"), (3, "o p q r"), (4, "p q r s"), (None, "y p q r"), (4, "p q r s")]
+    rows = [(i, t.replace(" ", "\n")) for i, t in rows]
+    table = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "doc_id long, text string, lines string, gone int, first int")
+    expected = {(1, 0, "a b c"), (2, 3, "d"), (2, 0, "u v w x"), (None, 3, ""), (3, 0, "o p q r"), (4, 3, "s"), (None, 3, "y")}
+    for hot in (1000, 1):
+        lines.HOT = hot
+        got = lines.remove_repeated_lines(table, carry=["lines", "gone", "first"]).collect()
+        assert {(r.doc_id, r.n_removed, (r.text or "").replace("\n", " ")) for r in got} == expected and len(got) == 8
+        assert all((r.row.lines, r.row.gone, r.row.first) == ("clash", 1, 2) for r in got)
+    lines.HOT = 1000
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "d e", " ", "f"]) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
+    rows += [(100, "\n".join(rng.choice("abcdefgh") for _ in range(5000))), (101, None), (102, "")]
+    seen, expected = set(), {}
+    for i, t in rows:
+        every = t.split("\n") if t is not None else []
+        worded = [k for k, line in enumerate(every) if WORDS.search(line)]
+        gone = set()
+        for j in range(len(worded) - 2):
+            key = tuple(every[k] for k in worded[j : j + 3])
+            if key in seen:
+                gone.update(worded[j : j + 3])
+            seen.add(key)
+        expected[i] = (len(every), len(gone), None if t is None else "\n".join(line for k, line in enumerate(every) if k not in gone))
+    got = lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got} == expected
+
+
 def test_quality_without_labels_and_with_clashing_columns(spark, docs, texts):
     assert quality.train(docs, spark.createDataFrame([], "doc_id long, quality int")) is None
     got = {r.row.doc_id: r for r in quality.judge(docs, None).collect()}
@@ -218,10 +250,21 @@ def test_packing_boundaries_are_optimal():
 
     import numpy as np
 
-    lengths, counts = np.array([1, 3, 4, 9, 10, 30]), np.array([5, 1, 2, 7, 1, 1])
-    waste = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))
-    best = min(waste([*ends, 30]) for ends in itertools.combinations(lengths[:-1], 2))
-    assert waste(packing.bucket_boundaries(lengths, counts, lengths * counts, 3)) == best
+    rng = np.random.default_rng(6)
+    for m, buckets in ((1, 3), (2, 2), (6, 3), (9, 4), (9, 1), (9, 12)):
+        lengths = np.sort(rng.choice(2000, size=m, replace=False)).astype(np.int64)
+        counts = rng.integers(1, 9, size=m)
+        waste = lambda ends: sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))  # noqa: E731, B023
+        best = min(waste([*ends, lengths[-1]]) for k in range(buckets) for ends in itertools.combinations(lengths[:-1], k))
+        found = packing.bucket_boundaries(lengths, counts, buckets)
+        assert len(found) <= buckets and waste(found) == best
+    assert packing.bucket_boundaries(np.array([1000, 1001]), np.array([5, 5]), 8) == [1000, 1001]
+
+
+def test_packing_takes_the_exact_histogram(spark):
+    table = spark.createDataFrame([(i, "w " * n) for i, n in enumerate([1000] * 3 + [1001] * 2 + [0])] + [(None, None), (2, "w"), (2, "w w"), (2, "w w")], "doc_id long, text string")
+    rows = packing.pack(table, buckets=8, token_budget=3000).collect()
+    assert len(rows) == 10 and all(r.padding == 0 for r in rows)
 
 
 def test_packing_fills_batches(docs, texts):
