@@ -13,9 +13,10 @@ length of the longest match that starts there, made longer by one step of the se
 back to the next shorter interval where it breaks off. A window is a repeat where the statistic reaches `length` and
 the earliest place of the match is another than its own. Equal streamed segments of a shard take these steps once.
 
-No key is a bottleneck: the windows of a minimiser with more than `kinds` different segments (the rim of a very common
-passage) are routed one by one, by minimiser and window hash, and a key with over `rows` streamed segments is cut into
-salts, each with a copy of the key's indexed segments. Both go through the same index and search.
+No minimiser is a bottleneck. One with over `rows` segments is spread over salts: each takes its share of the streamed
+segments and a copy of the indexed ones, which are then the earliest of each content of the whole table. If it has over
+`kinds` contents too (the rim of a very common passage), its windows are routed one by one, by their own hash as well.
+Both go through the same index and search.
 
 Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; rows are ordered
 by doc_id, then by a hash of the text, null ids last; rows equal in both count as one document, so neither removes the
@@ -39,8 +40,8 @@ from panelloom.llm._tiles import by_unit
 
 #: Windows in one segment at most; a longer run (periodic text) is cut.
 RUN = 64
-#: Roles of a segment in its shard: bits.
-INDEXED, STREAMED = 1, 2
+#: Bits of the role of a segment in its shard; without one of the first two it follows from the order in the shard.
+INDEXED, STREAMED, DOUBLED = 1, 2, 4
 #: What stands for a null doc_id in orders and joins.
 NO_ID = 2**63 - 1
 
@@ -88,7 +89,7 @@ def segments_of(word_hash: np.ndarray, rows: np.ndarray, length: int, anchor: in
 
 
 def _segment_rows(length: int, anchor: int):
-    names = ["minimiser", "content", "doc", "text_key", "place", "weight"]
+    names = ["minimiser", "content", "doc", "text_key", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,9 +104,9 @@ def _segment_rows(length: int, anchor: int):
                     continue
                 base = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=block.rows))[:-1]])
                 row = rows[first]
-                place = (first - base[row]) * 128 + windows
+                place = (first - base[row]) * 256 + windows * 2 + weight - 1
                 owner = block.first_row + row
-                arrays = [least.view(np.int64), content.view(np.int64), ids[owner], text_keys[owner], place, weight]
+                arrays = [least.view(np.int64), content.view(np.int64), ids[owner], text_keys[owner], place]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
     return run
@@ -136,28 +137,29 @@ def _pieces(length: int):
                 starts, ends, rows = block.words()
                 word = block.word_hashes(starts, ends)
                 base = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=block.rows))[:-1]])
-                first, windows = base[owner] + place // 128, place % 128
+                first, windows = base[owner] + place // 256, place % 256 // 2
+                role = role | np.where(place % 2, DOUBLED, 0)
                 # Segments of a minimiser with many contents become single windows, routed by their own hash too.
                 many = np.where(parts > 0, windows, 1)
                 step = _ranges(many)
-                owner, first, key, role, parts, salts, windows = (np.repeat(x, many) for x in (owner, first + 0, key, role, parts, salts, windows))
+                owner, first, key, role, parts, salts, windows = (np.repeat(x, many) for x in (owner, first, key, role, parts, salts, windows))
                 first = first + step
                 size = np.where(parts > 0, length, windows + length - 1)
                 hot = np.flatnonzero(parts)
                 if len(hot):
                     own = span_hashes(word, first[hot], first[hot] + length)
                     key[hot] = mix(key[hot] ^ ((own % parts[hot].astype(np.uint64)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-                # A salted key: streamed pieces go to one salt, indexed ones to all.
                 where = first - base[owner]
-                salt = mix(ids[block.first_row + owner].view(np.uint64) ^ mix(where.astype(np.uint64))) % salts.astype(np.uint64)
-                copies = np.where(role & INDEXED, salts, 1)
-                to = np.repeat(salt, copies)
-                every = np.repeat(role & INDEXED, copies) > 0
-                to[every] = _ranges(copies)[every].astype(np.uint64)
-                streamed = (np.repeat(role & STREAMED, copies) > 0) & (to == np.repeat(salt, copies))
-                owner, first, key, size, where, salts = (np.repeat(x, copies) for x in (owner, first, key, size, where, salts))
-                role = every * INDEXED + streamed * STREAMED
-                key = np.where(salts > 1, mix(key ^ (to + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), key)
+                if (salts > 1).any():
+                    # Streamed pieces go to one salt, indexed ones to all.
+                    salt = mix(ids[block.first_row + owner].view(np.uint64) ^ mix(where.astype(np.uint64))) % salts.astype(np.uint64)
+                    copies = np.where(role & INDEXED, salts, 1)
+                    own = np.repeat(salt, copies)
+                    every = np.repeat(role & INDEXED, copies) > 0
+                    to = np.where(every, _ranges(copies).astype(np.uint64), own)
+                    owner, first, key, size, where, salts, role = (np.repeat(x, copies) for x in (owner, first, key, size, where, salts, role))
+                    role = np.where((salts > 1) & (to != own), role & ~STREAMED, role)
+                    key = np.where(salts > 1, mix(key ^ (to + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), key)
                 at = np.repeat(first, size) + _ranges(size)
                 short = (word >> np.uint64(32)).astype(np.uint32)
                 ends_at = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
@@ -316,17 +318,28 @@ class FMIndex:
         return matched, place
 
 
+def roles_in_shard(frame: pd.DataFrame, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the indexed and of the streamed rows of a frame in the order of key, document and place."""
+    role, key = frame["role"].to_numpy(), frame["key"].to_numpy()
+    given, doubled = role & (INDEXED | STREAMED) > 0, role & DOUBLED > 0
+    change = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    again = pd.Series(kind).where(~given, -1 - np.arange(len(kind))).duplicated().to_numpy()
+    indexed = np.where(given, role & INDEXED > 0, (doubled | ~change[1:]) & ~again)
+    return indexed, np.where(given, role & STREAMED > 0, doubled | ~change[:-1])
+
+
 def repeats_in_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     """(doc, text_key, first, n) of the stretches of streamed pieces that also start earlier in the shard."""
-    role = frame["role"].to_numpy()
-    indexed, streamed = frame[role & INDEXED > 0], frame[role & STREAMED > 0]
     none = pd.DataFrame({"doc": np.zeros(0, np.int64), "text_key": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    if not len(indexed) or not len(streamed):
+    kind, _ = pd.factorize(frame["words"])
+    is_indexed, is_streamed = roles_in_shard(frame, kind)
+    if not is_indexed.any() or not is_streamed.any():
         return none
+    indexed, streamed = frame[is_indexed], frame[is_streamed]
     read_words = lambda column: [np.frombuffer(w, dtype=np.uint32) for w in column]
     index = FMIndex(read_words(indexed["words"]), length)
-    kind, kinds = pd.factorize(streamed["words"])
-    texts = read_words(kinds)
+    _, one_of, kind = np.unique(kind[is_streamed], return_index=True, return_inverse=True)
+    texts = read_words(streamed["words"].iloc[one_of])
     matched, place = index.matching_statistics(texts)
     sizes = np.array([len(t) for t in texts])
     windows = (sizes - length + 1)[kind]
@@ -426,22 +439,23 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 512, rows: int = 4096, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, text_key, first, n): stretches of n words from word `first` of a document, all covered by repeats."""
     texts = _texts(docs, id_column, text_column)
-    segments = texts.select("doc", "text_key", "text").mapInArrow(_segment_rows(length, anchor), "minimiser long, content long, doc long, text_key long, place long, weight long")
-    often = segments.groupBy("minimiser").agg(F.sum("weight").alias("__n")).where("__n > 1").select("minimiser")
+    segments = texts.select("doc", "text_key", "text").mapInArrow(_segment_rows(length, anchor), "minimiser long, content long, doc long, text_key long, place long")
+    often = segments.groupBy("minimiser").agg(F.sum(1 + F.col("place") % 2).alias("__n"), F.count(F.lit(1)).alias("n")).where("__n > 1").select("minimiser", "n")
     found = checkpointed(segments.join(often, "minimiser"))
+    none = F.lit(0)
+    plain = found.where(F.col("n") <= rows).select("doc", "text_key", F.struct("place", "minimiser", none.alias("role"), none.alias("parts"), F.lit(1).alias("salts")).alias("w"))
+    crowded = found.where(F.col("n") > rows)
     at = F.struct("doc", "text_key", "place")
-    contents = found.groupBy("minimiser", "content").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
-    keys = contents.groupBy("minimiser").agg(F.min("first").alias("key_first"), F.max("last").alias("key_last"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-    # Whole contents beyond `kinds` are cut into windows, at most 64 of each; a salt serves `rows` streamed segments.
+    contents = crowded.groupBy("minimiser", "content").agg(F.min(at).alias("first"))
+    counted = contents.groupBy("minimiser").agg(F.count(F.lit(1)).alias("kinds"))
+    # A content has 64 windows at most and 8 as a rule.
     parts = F.when(F.col("kinds") > kinds, F.ceil(F.col("kinds") / kinds) * 16).otherwise(0).cast("int")
-    keys = keys.select("minimiser", "key_first", "key_last", parts.alias("parts"), F.ceil(F.col("n") / rows).cast("int").alias("salts"))
-    judged = contents.select("minimiser", "content", "first").join(keys, "minimiser")
-    inside = F.col("weight") > 1
-    role = F.when((at == F.col("first")) & (inside | (at != F.col("key_last"))), INDEXED).otherwise(0) + F.when(inside | (at != F.col("key_first")), STREAMED).otherwise(0)
-    roles = found.join(judged, ["minimiser", "content"]).select("doc", "text_key", F.struct("place", "minimiser", role.cast("int").alias("role"), "parts", "salts").alias("w")).where("w.role > 0")
-    wanted = roles.groupBy("doc", "text_key").agg(F.collect_list("w").alias("wanted"))
+    judged = contents.join(counted.select("minimiser", parts.alias("parts")), "minimiser")
+    role = F.lit(STREAMED) + F.when(at == F.col("first"), INDEXED).otherwise(0)
+    salted = crowded.join(judged, ["minimiser", "content"]).select("doc", "text_key", F.struct("place", "minimiser", role.alias("role"), "parts", F.ceil(F.col("n") / rows).cast("int").alias("salts")).alias("w"))
+    wanted = plain.unionByName(salted).groupBy("doc", "text_key").agg(F.collect_list("w").alias("wanted"))
     # Two plans read the same exchange of the texts: this one and the cut in remove_repeats.
-    pieces = texts.join(wanted, ["doc", "text_key"], "left").select("doc", "text_key", "text", "wanted").mapInArrow(_pieces(length), "key long, doc long, text_key long, first long, role int, words binary")
+    pieces = texts.join(wanted, ["doc", "text_key"], "left").select("doc", "text_key", "text", "wanted", "doc_id").mapInArrow(_pieces(length), "key long, doc long, text_key long, first long, role int, words binary")
     ordered = pieces.repartition("key").sortWithinPartitions("key", "doc", "text_key", "first")
     return ordered.mapInPandas(_search(length, shard_words), "doc long, text_key long, first long, n long")
 
@@ -451,7 +465,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = _texts(docs, id_column, text_column)
     spans = repeated_spans(docs, id_column=id_column, text_column=text_column, **options)
     by_doc = spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    joined = texts.join(by_doc, ["doc", "text_key"], "left").select("doc_id", "text", "spans")
+    joined = texts.join(by_doc, ["doc", "text_key"], "left").select("doc_id", "text", "spans", "doc", "text_key")
     return joined.mapInArrow(_cut(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
