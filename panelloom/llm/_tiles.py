@@ -1,4 +1,9 @@
-"""Comparisons inside cells of any size: large cells are cut into tiles, so no task holds a whole hot cell."""
+"""Comparisons inside groups of any size, without a task that holds a whole hot group.
+
+tiled() sends every pair of rows to one unit, where all pairs count. Where only components count, chunked() cuts a group
+into chunks that share its leader, and against_rest() then meets those rows that are not in the group's largest component
+with all others: a group that hangs together, as copies do, costs a multiple of its rows, not of their square.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +16,26 @@ from pyspark.sql import functions as F
 
 
 def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
-    """Rows of cells with two or more members, sent to every tile (i, j) that must see them, with i <= j.
+    """Rows of groups with two or more members, sent to every tile (i, j) that must see them, with i <= j.
 
-    A cell of n rows has ceil(n / tile) chunks by a hash of the id; each pair of chunks is one unit of work.
+    A group of n rows has ceil(n / tile) chunks by a hash of the id; each pair of chunks is one unit of work.
     Columns added: __ti, __tj, __chunk.
     """
-    return _cut(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), keys, id_column, tile)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g") - 1))
+    return (
+        rows.join(sizes, keys)
+        .withColumn("__g", F.ceil(F.col("__n") / tile).cast("long"))
+        .withColumn("__chunk", F.expr(f"pmod(xxhash64({id_column}), __g)"))
+        .withColumn("__o", other)
+        .withColumn("__ti", F.least("__chunk", "__o"))
+        .withColumn("__tj", F.greatest("__chunk", "__o"))
+        .drop("__n", "__g", "__o")
+    )
 
 
-def tiled_once(rows: DataFrame, key: str, id_column: str, tile: int, sketch: Column, sketch_bits: int) -> DataFrame:
-    """As tiled(), for rows of two columns with unique ids in a cell, without cells that need no comparison.
+def once(rows: DataFrame, key: str, id_column: str, tile: int, sketch: Column, sketch_bits: int) -> DataFrame:
+    """chunked() for rows of two columns with unique ids in a cell, without cells that need no comparison.
 
     Cells of exactly two rows whose sketches (a non-negative int or a long made from the id) differ in more than
     sketch_bits bits are left out, and of the cells that hold the same rows one is kept: all of them would make the
@@ -29,23 +44,37 @@ def tiled_once(rows: DataFrame, key: str, id_column: str, tile: int, sketch: Col
     its side alone, which would keep the exchange from being shared.
     """
     rows = rows.select(key, id_column).where(F.col(key).isNotNull()).repartition(key)
-    counted = [F.count(F.lit(1)).alias("__n"), F.bit_xor(sketch).alias("__xor"), F.bit_xor(F.xxhash64(id_column)).alias("__set")]
+    counted = [F.count(F.lit(1)).alias("__n"), F.min(id_column).alias("__leader"), F.bit_xor(sketch).alias("__xor"), F.bit_xor(F.xxhash64(id_column)).alias("__set")]
     sizes = rows.groupBy(key).agg(*counted).where(f"__n > 2 or __n = 2 and bit_count(__xor) <= {sketch_bits}")
-    return _cut(rows, sizes.groupBy("__n", "__xor", "__set").agg(F.min(key).alias(key)).select(key, "__n"), [key], id_column, tile)
+    return chunked(rows, sizes.groupBy("__n", "__xor", "__set").agg(F.min(key).alias(key), F.min("__leader").alias("__leader")), [key], id_column, tile)
 
 
-def _cut(rows: DataFrame, sizes: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
-    chunks = F.ceil(F.col("__n") / tile)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g") - 1))
-    return (
-        rows.join(sizes, keys)
-        .withColumn("__g", chunks.cast("long"))
-        .withColumn("__chunk", F.expr(f"pmod(xxhash64({id_column}), __g)"))
-        .withColumn("__o", other)
-        .withColumn("__ti", F.least("__chunk", "__o"))
-        .withColumn("__tj", F.greatest("__chunk", "__o"))
-        .drop("__n", "__g", "__o")
-    )
+def chunked(rows: DataFrame, sizes: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
+    """Rows of the groups (keys, __n, __leader) in chunks of about `tile` rows, the leader in all; adds __ti, __tj, __g.
+
+    __g is the number of chunks; a group with one is compared whole.
+    """
+    own = F.array(F.expr(f"pmod(xxhash64({id_column}, {', '.join(keys)}), __g)"))
+    cut = rows.join(sizes.select(*keys, "__n", "__leader"), keys).withColumn("__g", F.ceil(F.col("__n") / tile).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("__g") - 1)
+    to = F.when(F.col(id_column) == F.col("__leader"), every).otherwise(own)
+    return cut.withColumn("__ti", F.explode(to)).withColumn("__tj", F.col("__ti")).drop("__n", "__leader")
+
+
+def against_rest(rows: DataFrame, linked: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
+    """Units (__ti, __tj) in which each row outside the largest component of its group meets all rows of the group.
+
+    linked: (node, component) of what is known so far. Rows of one component need no comparison, so what is left of a
+    group of n rows with r outside makes about r * n / tile + n * ceil(r / tile) rows.
+    """
+    known = rows.join(linked.select(F.col("node").alias(id_column), "component"), id_column, "left").withColumn("__c", F.coalesce("component", id_column)).drop("component")
+    per = known.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__k"))
+    sizes = per.groupBy(*keys).agg(F.sum("__k").alias("__n"), F.max(F.struct("__k", "__c")).alias("__big")).where("__n > __big.__k")
+    both = known.join(sizes, keys).withColumns({"__ng": F.ceil(F.col("__n") / tile).cast("long"), "__rg": F.ceil((F.col("__n") - F.col("__big.__k")) / tile).cast("long"), "__h": F.expr(f"xxhash64({id_column}, {', '.join(keys)})")})
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    every = both.withColumn("__ti", upto("__rg")).withColumn("__tj", F.expr("pmod(__h, __ng)"))
+    rest = both.where("__c <> __big.__c").withColumn("__tj", upto("__ng")).withColumn("__ti", F.expr("pmod(__h, __rg)"))
+    return every.unionByName(rest).drop("__c", "__n", "__big", "__ng", "__rg", "__h").withColumn("__g", F.lit(1).cast("long"))
 
 
 def by_unit(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

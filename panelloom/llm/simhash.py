@@ -5,7 +5,7 @@ Each document gets one or more 64-bit SimHash words over its word shingles. Ever
 1). Two words that differ in at most three bits agree in one half up to one bit, so on that half the anchor within
 distance 1 of the one lies within distance 2 (covering radius plus threshold) of the other: every fingerprint is
 sent to all anchors within distance 2 (1 or 16 of 2**26) and compared only with what meets it there. Distinct
-fingerprints travel, not documents, and cells of any size are cut into tiles.
+fingerprints travel, not documents, and cells of any size are cut.
 
 For similarities as low as 0.8 no exact covering is affordable: such pairs differ in some 15 % of all bits. With
 several words the same code is laid over many blocks of 31 bits drawn from all words, with threshold 0 in each: a
@@ -176,6 +176,7 @@ def _block_rows(words: int, rounds: int, first: int = 0):
 
 
 def _compare(words: int, max_bits: int):
+    """Links inside units, as spanning forests; of a cell that was cut a row (cell, null) besides."""
     keys = ["cell", "__ti", "__tj"]
     names = [f"fp{w}" for w in range(words)]
 
@@ -186,6 +187,10 @@ def _compare(words: int, max_bits: int):
         held, n_held = [], 0
         for frame in _tiles.by_unit(frames, keys):
             bounds = _tiles.unit_bounds(frame, keys)
+            heads = frame.iloc[bounds[:-1]]
+            crowded = heads.loc[(heads["__g"] > 1) & (heads["__ti"] == 0), "cell"]
+            if len(crowded):
+                yield pd.DataFrame({"a": crowded, "b": pd.array([None] * len(crowded), dtype="Int64")})
             node = frame["node"].to_numpy()
             value = np.stack([frame[c].to_numpy().view(np.uint64) for c in names])
             sizes = np.diff(bounds)
@@ -228,13 +233,26 @@ def _node(words: int) -> Column:
 
 
 def _links(distinct: DataFrame, words: int, max_bits: int, tile: int, rows) -> DataFrame:
-    """(a, b): links of nodes that meet in a cell and differ in at most max_bits bits, as spanning forests."""
+    """(a, b): links of nodes that meet in a cell and differ in at most max_bits bits, as spanning forests.
+
+    Cells of over `tile` nodes are compared in chunks first, and then the nodes outside the cell's largest component
+    with all others.
+    """
     names = [f"fp{w}" for w in range(words)]
-    anchored = distinct.select("node", *names).mapInPandas(rows, "cell long, node long")
+    prints = distinct.select("node", *names)
+    anchored = prints.mapInPandas(rows, "cell long, node long")
     sketch, sketch_bits = (F.col("node"), max_bits) if words == 1 else (F.col("node").bitwiseAND(F.lit(_LOW).cast("long")), SKETCH_BITS)
-    units = _tiles.tiled_once(anchored, "cell", "node", tile, sketch, sketch_bits).select("cell", "node", "__ti", "__tj").join(distinct.select("node", *names), "node")
-    ordered = units.repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
-    return ordered.mapInPandas(_compare(words, max_bits), "a long, b long")
+
+    def compared(units: DataFrame) -> DataFrame:
+        ordered = units.select("cell", "node", "__ti", "__tj", "__g").join(prints, "node").repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
+        return checkpointed(ordered.mapInPandas(_compare(words, max_bits), "a long, b long"))
+
+    found = compared(_tiles.once(anchored, "cell", "node", tile, sketch, sketch_bits))
+    edges, crowded = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("cell")).distinct()
+    if crowded.isEmpty():
+        return edges
+    more = compared(_tiles.against_rest(anchored.join(crowded, "cell", "left_semi"), components(edges), ["cell"], "node", tile))
+    return edges.unionByName(more.where("b is not null"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int = 3, tile: int = 1024, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -311,7 +329,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: i
     Candidates are the classes of fingerprints that share an anchor and differ in at most max_bits of 64 * words bits;
     inside a class every pair of texts is compared by its shingle sets (two empty sets are equal), and only a Jaccard
     similarity of at least `similarity` links. So no link is false; a pair is missed only if it falls into two classes.
-    A class of n texts makes n * n / set_tile rows. The rounds of blocks are done in passes, one pass's shuffles at a time.
+    A class of over set_tile texts is compared in chunks first, and then what is not in its largest component with all.
+    The rounds of blocks are done in passes, one pass's shuffles at a time.
     """
     texts = docs.select(text_key(F.col(text_column)).alias("text_key"), F.col(text_column).alias("text"))
     names = [f"fp{w}" for w in range(words)]
@@ -320,17 +339,25 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: i
     distinct = checkpointed(prints.select("node", *names).distinct())
     edges = None
     for first in range(0, rounds, rounds_a_pass):
-        new = checkpointed(_links(distinct, words, max_bits, tile, _block_rows(words, min(first + rounds_a_pass, rounds), first)))
+        new = _links(distinct, words, max_bits, tile, _block_rows(words, min(first + rounds_a_pass, rounds), first))
         edges = new if edges is None else edges.unionByName(new)
         free_shuffles(docs.sparkSession)
     classes = prints.select("text_key", "node").join(components(edges), "node", "left")
     classes = checkpointed(classes.select("text_key", F.coalesce("component", "node").alias("class")))
-    units = _tiles.tiled(classes, ["class"], "text_key", set_tile).drop("__chunk")
+    sizes = checkpointed(classes.groupBy("class").agg(F.count(F.lit(1)).alias("__n"), F.min("text_key").alias("__leader")).where("__n > 1"))
     # A text alone in its class needs no set.
-    shared = classes.join(classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class", "left_semi")
-    sets = texts.join(shared, "text_key", "left_semi").select("text_key", "text").mapInArrow(_shingle_sets(k), "text_key long, shingles binary").dropDuplicates(["text_key"])
-    ordered = units.join(sets, "text_key").repartition("class", "__ti", "__tj").sortWithinPartitions("class", "__ti", "__tj", "text_key")
-    found = components(ordered.mapInPandas(_similar(similarity), "a long, b long")).withColumnRenamed("node", "text_key")
+    shared = classes.join(sizes, "class", "left_semi")
+    sets = checkpointed(texts.join(shared, "text_key", "left_semi").select("text_key", "text").mapInArrow(_shingle_sets(k), "text_key long, shingles binary").dropDuplicates(["text_key"]))
+
+    def compared(units: DataFrame) -> DataFrame:
+        ordered = units.select("class", "text_key", "__ti", "__tj").join(sets, "text_key").repartition("class", "__ti", "__tj").sortWithinPartitions("class", "__ti", "__tj", "text_key")
+        return checkpointed(ordered.mapInPandas(_similar(similarity), "a long, b long"))
+
+    edges = compared(_tiles.chunked(classes, sizes, ["class"], "text_key", set_tile))
+    crowded = classes.join(sizes.where(F.col("__n") > set_tile), "class", "left_semi")
+    if not crowded.isEmpty():
+        edges = edges.unionByName(compared(_tiles.against_rest(crowded, components(edges), ["class"], "text_key", set_tile)))
+    found = components(edges).withColumnRenamed("node", "text_key")
     return classes.join(found, "text_key", "left").select("text_key", F.coalesce("component", "text_key").alias("component"))
 
 

@@ -436,7 +436,7 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce(F.col(text_column), F.lit(""))).cast("long").alias("text_key"), own.alias("doc_id"), F.col(text_column).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 512, rows: int = 4096, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 128, rows: int = 1024, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, text_key, first, n): stretches of n words from word `first` of a document, all covered by repeats."""
     texts = _texts(docs, id_column, text_column)
     segments = texts.select("doc", "text_key", "text").mapInArrow(_segment_rows(length, anchor), "minimiser long, content long, doc long, text_key long, place long")

@@ -132,10 +132,33 @@ def test_cells_with_the_same_rows_are_kept_once(spark):
     from panelloom.llm import _tiles
 
     rows = spark.createDataFrame([(c, n) for c in range(5) for n in (1, 3, 5)] + [(7, 1), (7, 3), (8, 1), (8, 2), (9, 1)], "cell long, node long")
-    got = [(r.cell, r.node) for r in _tiles.tiled_once(rows, "cell", "node", 10, F.col("node") % 2, 0).collect()]
+    got = [(r.cell, r.node) for r in _tiles.once(rows, "cell", "node", 10, F.col("node") % 2, 0).collect()]
     assert sorted(got) == [(0, 1), (0, 3), (0, 5), (7, 1), (7, 3)]
 
 
+def test_crowded_groups_lose_no_link(spark):
+    """Classes of several components in chunks of 4: the same components as without chunks."""
+    rng = random.Random(21)
+    rows, of = [], {}
+    for base in range(4):
+        words = [f"b{base}w{i}" for i in range(100)]
+        for copy in range(9):
+            own = list(words)
+            for place in rng.sample(range(100), 3 if copy else 0):
+                own[place] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = []
+    for tile, set_tile in ((1024, 256), (3, 4)):
+        got = simhash.similar_texts(table, max_bits=400, tile=tile, set_tile=set_tile, rounds=8)
+        keyed = table.select("doc_id", simhash.text_key(F.col("text")).alias("text_key"))
+        found = {}
+        for r in keyed.join(got, "text_key").collect():
+            found.setdefault(r.component, set()).add(r.doc_id)
+        groups.append(sorted(map(sorted, found.values())))
+    assert groups[0] == groups[1] and len(groups[0]) > 3
+
+
 def test_spanning_edges_keep_components():
     import numpy as np
 
