@@ -34,6 +34,18 @@ def keyed_uniform(seed: str, *keys: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def met_unevenly(rows: DataFrame, table: DataFrame, keys: list[str], value: str, place: list[str], hot: int = 1000) -> DataFrame:
+    """rows with `value` of table (keys, value, n) for equal keys, null where there is none; keys[0] may be changed.
+
+    n: how many rows have the keys. The `hot` most common keys, a bounded table, are met by broadcast, and their rows
+    are dealt by `place` afterwards; every other key has at most one row in `hot` of all.
+    """
+    few = table.orderBy(F.desc("n"), *keys).limit(hot).select(*keys, F.col(value).alias("__hot"))
+    kind = rows.schema[keys[0]].dataType
+    met = rows.join(F.broadcast(few), keys, "left").withColumn(keys[0], F.when(F.col("__hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*place).cast(kind)))
+    return met.join(table.select(*keys, value), keys, "left").withColumn(value, F.coalesce("__hot", value)).drop("__hot")
+
+
 def gapless_rank(df: DataFrame, group: str, order: Column, name: str, ties: list[str], buckets: int) -> DataFrame:
     """Adds the 0-based rank inside `group` by (`order`, `ties`), where `order` is a double in [0, 1).
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm._spark import read
+from panelloom.llm._spark import met_unevenly, read
 
 _WORDED = r"[^\x20\x09-\x0D]"
 #: Most common windows that are met by broadcast.
@@ -51,11 +51,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "do
     windows = line_windows(texts, window)
     at = F.struct("doc", "text_key", "place")
     first = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = first.orderBy(F.desc("n"), "h1", "h2").limit(HOT).select("h1", "h2", F.col("first").alias("hot_first"))
-    # Rows of a hot window are dealt by their own place; they have met their first already.
-    met = windows.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("h1", F.when(F.col("hot_first").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "text_key", "place")))
-    met = met.join(first.drop("n"), ["h1", "h2"], "left")
-    later = met.where(F.coalesce("hot_first", "first") != at)
+    later = met_unevenly(windows, first, ["h1", "h2"], "first", ["doc", "text_key", "place"], HOT).where(F.col("first") != at)
     marks = later.groupBy("doc", "text_key").agg(F.collect_set("place").alias("places"))
     covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + window - 1)))
     marks = marks.select("doc", "text_key", F.array_distinct(covered).alias("covered"))

@@ -1,19 +1,22 @@
 r"""Surrogates for personal data, with DataFrame functions only.
 
 One pattern finds e-mail and IP addresses, phone, card, social-security and account (IBAN) numbers, secrets (keys,
-tokens, passwords) and persons (an honorific or a known given name before capitalised names). Each entity has a
-canonical form (digits of a number, lower case of an address), and its surrogate is a keyed SHA-512 function of type,
-canonical form and attempt: digits become digits, letters letters of the same case, separators stay; the leading
+tokens, passwords) and persons: capitalised names after an honorific or a known given name, or after words that
+introduce a name ("my name is", "Dear", "regards,", "signed", "contact:" and the like), whatever the name. Each entity
+has a canonical form (digits of a number, lower case of an address), and its surrogate is a keyed SHA-512 function of
+type, canonical form and attempt: digits become digits, letters letters of the same case, separators stay; the leading
 digit of a +number and of a card stays, a valid Luhn sum stays valid; a given name is replaced by one of the same
-gender and script. Equal entities therefore get equal surrogates everywhere (coreference) however they are written.
+gender and script. Equal entities therefore get equal surrogates everywhere (coreference) however they are written: ten
+digits with or without +1 or 1 before them are one phone number, and 00 before a number is +.
 
 Collision check: over all distinct entities no surrogate may stand for two, or equal an entity of the corpus; the
-losers get the next attempt until none is left. Only occurrences, never texts, are shuffled for that; the texts with
-entities are shuffled once to meet their surrogates, and texts without pass straight through.
+losers get the next attempt until none is left. Texts are searched once; only occurrences travel for the check, and
+each text is shuffled once to meet its surrogates. The most common entities, a bounded table, are met by broadcast.
 
-Edge cases: null and empty texts stay as they are; repeated rows get equal results; where a format's space is used up
-the losers' surrogates are widened after `max_attempts` by letters or digits (so they no longer fit the format), and
-an error tells how many are left if that does not end; an empty table gives an empty result; extra columns are ignored.
+Edge cases: null and empty texts stay as they are; repeated rows get equal results; rows of one id, or of none, are told
+apart by their texts; where a format's space is used up the losers' surrogates are widened after `max_attempts` by
+letters or digits (so they no longer fit the format), and an error tells how many are left if that does not end; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm._spark import checkpointed, read
+from panelloom.llm._spark import checkpointed, met_unevenly, read
 
 #: Honorifics and given names that mark persons, by gender and script.
 HONORIFICS = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа"], "n": ["Dr", "Prof"]}
@@ -37,6 +40,9 @@ _RIME = {"latin": ["an", "el", "in", "or", "ar", "en", "il", "on"], "cyrillic":
 _HONORIFIC = "(?:" + "|".join(x for names in HONORIFICS.values() for x in names) + r")\.?"
 _KNOWN = "(?:" + "|".join(x for names in GIVEN.values() for x in names) + ")"
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+#: Words right before a name of two or three capitalised words, in any letter case.
+_CUES = ["name is", "named", "dear", "regards,", "sincerely,", "signed", "signed by", "contact", "contact:", "author:", "from:", "to:", "attn:", "name:"]
+_CUE = "(?i:" + "|".join(rf"(?<=\b{x} )" for x in _CUES) + ")"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}",
     "secret": r"(?<!\w)AKIA[0-9A-Z]{12,20}(?!\w)|(?<!\w)(?i:password|passwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}\"?[^\s\"]{6,}+\"?",
@@ -44,8 +50,8 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?!\w)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{7,15}(?!\w)",
-    "person": rf"(?<!\p{{L}}){_HONORIFIC} {_NAME}(?: {_NAME})?|(?<!\p{{L}}){_KNOWN} {_NAME}",
+    "phone": r"(?<![\w+])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{7,15}(?!\w)",
+    "person": rf"(?<!\p{{L}}){_HONORIFIC} {_NAME}(?: {_NAME})?|(?<!\p{{L}}){_KNOWN} {_NAME}|{_CUE}{_NAME}(?: {_NAME}){{1,2}}",
 }
 #: First characters that each kind can begin with; the pattern looks at a kind only where a word begins with one.
 _BEGINS = {"secret": "[AaPpSsTt]", "ip": "[0-9]", "iban": "[A-Z]", "ssn": "[0-9]", "card": "[0-9]", "phone": "[0-9+(]", "person": r"\p{Lu}", "email": "[A-Za-z0-9._%+-]"}
@@ -106,7 +112,8 @@ def canonical_form(kind: F.Column, surface: F.Column) -> F.Column:
     gender, script = _gender(surface), F.when(F.rlike(surface, F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin")
     return (
         F.when(kind == "email", F.lower(surface))
-        .when(kind.isin("phone", "card", "ssn"), F.regexp_replace(surface, "[^0-9+]", ""))
+        .when(kind == "phone", F.regexp_replace(F.regexp_replace(F.regexp_replace(surface, "[^0-9+]", ""), "^00", "+"), r"^\+?1(?=\d{10}$)", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(surface, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(surface, " ", ""))
         .when(kind == "person", F.concat_ws("/", gender, script, bare))
         .otherwise(surface)
@@ -164,17 +171,20 @@ def surrogate_form(kind: F.Column, canonical: F.Column, attempt: F.Column, diges
     )
 
 
-def in_surface(kind: F.Column, surface: F.Column, surrogate: F.Column) -> F.Column:
-    """The surrogate written as the entity was: the separators of a number, the honorific of a person, capitals."""
-    signs = F.when(kind == "iban", F.lit("[^A-Za-z0-9]")).otherwise(F.lit("[^0-9+]"))
+def in_surface(kind: F.Column, surface: F.Column, canonical: F.Column, surrogate: F.Column) -> F.Column:
+    """The surrogate written as the entity was: the separators and prefix of a number, the honorific of a person, capitals."""
+    signs = F.when(kind == "iban", F.lit("[^A-Za-z0-9]")).otherwise(F.lit("[^0-9]"))
+    bare = lambda c: F.regexp_replace(c, signs, F.lit(""))
+    # A number may be written with a prefix that its canonical form lacks; that stays.
+    prefix = F.greatest(F.length(bare(surface)) - F.length(bare(canonical)), F.lit(0))
 
     def place(i: F.Column) -> F.Column:
-        before = F.length(F.regexp_replace(F.substr(surface, F.lit(1), i + 1), signs, F.lit("")))
+        before = F.length(bare(F.substr(surface, F.lit(1), i + 1))) - prefix
         c = F.substr(surface, i + 1, F.lit(1))
-        return F.when(F.regexp_replace(c, signs, F.lit("")) == "", c).otherwise(F.substr(surrogate, before, F.lit(1)))
+        return F.when((bare(c) == "") | (before < 1), c).otherwise(F.substr(bare(surrogate), before, F.lit(1)))
 
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.length(surface) - 1), place), "")
-    spread = F.concat(spread, F.substr(surrogate, F.length(F.regexp_replace(surface, signs, F.lit(""))) + 1, F.length(surrogate)))
+    spread = F.concat(spread, F.substr(bare(surrogate), F.length(bare(surface)) - prefix + 1, F.length(surrogate)))
     title = F.regexp_extract(surface, f"^(?:{_HONORIFIC} )?", 0)
     person = F.concat(title, F.get(F.split(surrogate, "/", 3), 2))
     email = F.when(surface == F.upper(surface), F.upper(surrogate)).otherwise(surrogate)
@@ -197,9 +207,11 @@ def assign_surrogates(entities: DataFrame, seed: str, max_attempts: int = 12) ->
     are not enough, the number of losers is raised as an error.
     """
     known = checkpointed(entities.select("kind", "canonical").distinct())
-    state = checkpointed(known.withColumn("attempt", F.lit(0)))
+    # A surrogate takes about a millisecond, so tasks are cut by entities, not by their few bytes.
+    tasks = max(1, min(known.count() // 1000, 100_000))
+    state = known.withColumn("attempt", F.lit(0))
     for _ in range(max_attempts + 64):
-        named = with_surrogate(state, seed)
+        named = with_surrogate(state.repartition(tasks, "kind", "canonical"), seed)
         named = named.withColumn("surrogate", _widened(F.col("kind"), F.col("surrogate"), F.col("canonical"), F.col("attempt"), max_attempts, seed))
         winner = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("w"))
         real = known.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("is_real"))
@@ -214,22 +226,23 @@ def assign_surrogates(entities: DataFrame, seed: str, max_attempts: int = 12) ->
 
 def replace_entities(docs: DataFrame, seed: str = "surrogates", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_entities, text) of every row with surrogates in place of entities."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    found = texts.withColumn("found", F.when(F.instr("text", "@") > 0, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(PATTERN_NO_EMAIL), F.lit(0))))
-    some = found.where(F.size("found") > 0).withColumn("text_key", F.xxhash64("text"))
-    # Equal (doc_id, text) rows have equal entities; one of them stands for all.
-    spread = some.select("doc_id", "text_key", "found").distinct().select("doc_id", "text_key", F.posexplode("found").alias("place", "surface"))
+    own = F.col(id_column).cast("long")
+    texts = docs.select(F.coalesce(own, F.lit(0)).alias("doc"), F.xxhash64(text_column).alias("text_key"), own.alias("doc_id"), F.col(text_column).alias("text"))
+    found = F.when(F.instr("text", "@") > 0, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(PATTERN_NO_EMAIL), F.lit(0)))
+    spread = texts.select("doc", "text_key", F.posexplode(found).alias("place", "surface"))
     kind, surface = F.col("kind"), F.col("surface")
     seen = checkpointed(spread.withColumn("kind", entity_type(surface)).withColumn("canonical", canonical_form(kind, surface)))
-    surrogates = assign_surrogates(seen, seed)
-    written = seen.join(surrogates, ["kind", "canonical"]).select("doc_id", "text_key", F.struct("place", in_surface(kind, surface, F.col("surrogate")).alias("s")).alias("p"))
-    by_text = written.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    joined = some.join(by_text, some.doc_id.eqNullSafe(by_text.doc_id) & (some.text_key == by_text.text_key)).select(some.doc_id, "text", "found", "p")
-    pieces = F.split("text", PATTERN, -1)
+    counts = seen.groupBy("kind", "canonical").agg(F.count(F.lit(1)).alias("n"))
+    table = checkpointed(assign_surrogates(counts, seed).join(counts, ["kind", "canonical"]))
+    met = met_unevenly(seen.withColumn("form", F.col("canonical")), table, ["canonical", "kind"], "surrogate", ["doc", "text_key", "place"])
+    written = met.select("doc", "text_key", F.struct("place", in_surface(kind, surface, F.col("form"), F.col("surrogate")).alias("s")).alias("p"))
+    # Rows equal in id and text have their entities as often as there are rows; a set holds them once.
+    by_text = written.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("p")).alias("p"))
+    joined = texts.join(by_text, ["doc", "text_key"], "left")
+    pieces = F.split("text", F.when(F.instr("text", "@") > 0, PATTERN).otherwise(PATTERN_NO_EMAIL), -1)
     rebuilt = F.array_join(F.zip_with(pieces, F.transform("p", lambda x: x["s"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = joined.select("doc_id", F.size("found").cast("long").alias("n_entities"), rebuilt.alias("text"))
-    clean = found.where(F.coalesce(F.size("found"), F.lit(0)) <= 0).select("doc_id", F.lit(0).cast("long").alias("n_entities"), "text")
-    return clean.unionByName(changed)
+    n = F.when(F.col("p").isNull(), 0).otherwise(F.size("p"))
+    return joined.select("doc_id", n.cast("long").alias("n_entities"), F.when(F.col("p").isNull(), F.col("text")).otherwise(rebuilt).alias("text"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

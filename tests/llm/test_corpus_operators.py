@@ -393,6 +393,39 @@ def test_pipeline_stages_keep_rows_without_an_own_id(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in mixed) == [(0, "x y"), (0, "z w"), (3, "s t"), (3, "s t"), (3, "u v")]
 
 
+def test_pii_spellings_names_and_repeated_ids(spark):
+    rows = [(1, "call 389-555-5010 or +1 (389) 555-5010 or 1 389-555-5010"), (1, "Dear Priya Raman, my name is Wei Zhang. Kind Words Here stay."), (None, "mail a.b@c.example, 0044 20-794-6095 and +44 20-794-6095"), (None, "none"), (1, "none"), (2, "Sun " * 20000 + "389-555-5010"), (2, "Sun " * 20000 + "389-555-5010")]
+    table = spark.createDataFrame([(i, t, "clash", 1, ["x"]) for i, t in rows], "doc_id long, text string, kind string, place int, found array<string>")
+    got = sorted((r for r in pii.replace_entities(table).collect()), key=lambda r: (str(r.doc_id), len(r.text), r.text))
+    assert len(got) == len(rows) and sorted(r.n_entities for r in got) == [0, 0, 1, 1, 2, 3, 3]
+    by = {(r.doc_id, r.n_entities): r.text for r in got}
+    numbers = re.findall(r"\d{3}\W+\d{3}-\d{4}", by[1, 3])
+    assert len({re.sub(r"\D", "", n) for n in numbers}) == 1 and "+1 (" in by[1, 3] and " 1 " in by[1, 3] and "555-5010" not in by[1, 3]
+    assert by[2, 1].endswith(re.search(r"call (\S+)", by[1, 3])[1]) and by[2, 1].startswith("Sun Sun ")
+    assert "Priya" not in by[1, 2] and "Wei" not in by[1, 2] and by[1, 2].endswith("Kind Words Here stay.")
+    abroad = re.search(r"(00\d\d \S+) and \+(\S+ \S+)", by[None, 3])
+    assert abroad[1] == "00" + abroad[2] and "20-794-6095" not in by[None, 3]
+
+
+def test_pii_equals_a_plain_python_version(spark):
+    """Every entity found by the pattern is replaced, equal ones equally, distinct ones distinctly, the rest is kept."""
+    import regex
+
+    rng = random.Random(17)
+    some = lambda: rng.choice([f"u{rng.randrange(40)}@mail.example.org", f"10.0.{rng.randrange(9)}.{rng.randrange(200)}", f"555-{rng.randrange(100, 130)}-{rng.randrange(1000, 1010)}", f"Mr. John {rng.choice(['Smith', 'Jones', 'Brown'])}", f"{rng.randrange(100, 120)}-45-6789", f"token={rng.randrange(10**8, 10**8 + 20)}"])
+    rows = [(i, " and ".join(rng.choice(["plain words", some(), "v2.0 of 3"]) for _ in range(6))) for i in range(150)]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of, back = {}, {}
+    for i, t in rows:
+        parts, at = regex.split(pii.PATTERN, t), 0
+        entities = [m.group() for m in regex.finditer(pii.PATTERN, t)]
+        assert got[i].n_entities == len(entities)
+        shape = "(.+?)".join(re.escape(p) for p in parts)
+        new = re.fullmatch(shape, got[i].text).groups() if entities else ()
+        for old, put in zip(entities, new):
+            assert old != put and of.setdefault(old, put) == put and back.setdefault(put, old) == old
+
+
 def test_pii_long_secrets_are_replaced_to_their_end(spark):
     token = "".join(random.Random(2).choice("abcdefXYZ019") for _ in range(500))
     got = pii.replace_entities(spark.createDataFrame([(1, f"token = {token} end")], "doc_id long, text string")).first()
