@@ -49,7 +49,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?!\w)",
+    "card": r"(?<![\w.+])(?!00)\d(?:[ -]?\d){12,18}(?!\w)",
     "phone": r"(?<![\w+])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{7,15}(?!\w)",
     "person": rf"(?<!\p{{L}}){_HONORIFIC} {_NAME}(?: {_NAME})?|(?<!\p{{L}}){_KNOWN} {_NAME}|{_CUE}{_NAME}(?: {_NAME}){{1,2}}",
 }

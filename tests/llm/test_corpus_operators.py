@@ -443,3 +443,9 @@ def test_embedding_keeps_vectors_of_another_length_unlinked(spark):
     rows = [(i, [1.0, 0.01 * i, 0.5], 0) for i in range(4)] + [(9, [1.0, 0.0], 0), (10, [1.0, 0.0], 0), (11, None, 0)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
     assert got == {i: (3, 0, i == 0) for i in range(4)} | {i: (0, i, True) for i in (9, 10, 11)}
+
+
+def test_embedding_rows_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (2, [2.0, 0.0], 0, "x"), (None, [1.0, 0.0], 0, "x"), (3, [1.0, None], 0, "x"), (4, [], 0, "x"), (5, [0.1, 1.0], 0, "x"), (6, [0.1, 1.0], 1, "x")]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, unit string"), tile=2).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (None, 0, None, True), (3, 0, 3, True), (4, 0, 4, True), (5, 2, 1, False), (6, 0, 6, True)], key=str)
