@@ -1,15 +1,18 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative per group.
 
 Centroids are fitted per label on a bounded sample; every vector is then assigned. A vector belongs to the cell of
-its nearest centroid and is also shown to each cell that a neighbour could belong to: with unit vectors at most
+its nearest centroid and could also meet a neighbour in that neighbour's cell: with unit vectors at most
 d = sqrt(2 - 2 * cosine) apart, a neighbour of x can only lie in cell c if x is within d of the plane that divides c
-from x's own cell. So every pair at the threshold meets in a cell and recall is 1, whatever the centroids are. Equal
-vectors are compared once and counted by their number; cells of any size are cut into tiles, and a tile returns link
-counts and a spanning forest, not its pairs.
+from x's own cell. A pair is compared in the lower-numbered of its two cells, so a vector is shown to its own cell and to
+those lower ones that pass this bound. So every pair at the threshold meets exactly once and recall is 1, whatever the
+centroids are; the price is that vectors without cluster structure are shown to many cells. Equal vectors are compared
+once and counted by their number; cells of any size are cut into tiles, and a tile returns link counts and a spanning
+forest, not its pairs.
 
 Edge cases: vectors that are null, zero, of another length than most or with null or non-finite components, and rows
-with a null label, link with nothing and are kept; equal vectors (repeated rows) link with each other; an empty
-table gives an empty result; extra columns are ignored.
+with a null label, link with nothing and are kept; equal vectors (repeated rows) link with each other; rows that repeat a
+vec_id are vectors of their own; an empty table gives an empty result; extra columns are ignored. Components are joined in
+rounds whose number follows the logarithm of a component's size; over 50 raise an error.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,16 +53,49 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit_cells(distinct: DataFrame, sample: int, cell_rows: int, max_cells: int) -> dict[int, np.ndarray]:
     """Centroids per label from at most `sample` vectors in all; about one cell per cell_rows vectors of a label."""
-    sizes = {r.label: r.n for r in distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(10_000).collect()}
-    picked = distinct.select("label", "unit", keyed_uniform("cells", F.col("node").cast("string")).alias("draw")).orderBy("draw").limit(sample).toPandas()
+    draw = keyed_uniform("cells", F.col("node").cast("string"))
+    picked = distinct.select("label", "unit", draw.alias("draw")).orderBy("draw").limit(sample)
+    sizes = picked.join(distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
     out = {}
-    for label, rows in picked.groupby("label"):
-        k = min(max_cells, math.ceil(sizes.get(label, 0) / cell_rows), len(rows))
+    for label, rows in sizes.toPandas().sort_values("draw").groupby("label"):
+        k = min(max_cells, math.ceil(rows["n"].iloc[0] / cell_rows), len(rows))
         if k > 1:
-            out[int(label)] = spherical_kmeans(np.stack(rows["unit"].to_list()), k)
+            out[int(label)] = spherical_kmeans(_matrix(rows["unit"]), k)
     return out
 
 
+def _matrix(units: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(units), -1)
+
+
+def _units(length: int):
+    """The unit vectors (as bytes of doubles) of usable vectors of this length, null for others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            usable = pc.and_kleene(pc.equal(pc.list_value_length(lists), length), batch.column(1).is_valid()).fill_null(False)
+            usable = np.asarray(pc.and_(usable, batch.column(0).is_valid())).copy() & (length > 0)
+            at = np.flatnonzero(usable)
+            values = lists.take(pa.array(at)).flatten()
+            x = np.asarray(values.fill_null(float("nan")), dtype=np.float64).reshape(len(at), max(length, 1))
+            # Scaled by the largest component first, so that squares neither overflow nor vanish.
+            with np.errstate(invalid="ignore"):
+                largest = np.abs(x).max(axis=1, initial=0)
+            good = np.isfinite(largest) & (largest > 0)
+            usable[at[~good]] = False
+            x = x[good] / largest[good][:, None]
+            x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            flat = x.tobytes()
+            ends = np.cumsum(np.where(usable, 8 * length, 0))
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            valid = np.packbits(usable, bitorder="little").tobytes()
+            unit = pa.Array.from_buffers(pa.binary(), len(usable), [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), unit], names=["vec_id", "label", "unit"])
+
+    return run
+
+
 def _assign(shipped, reach: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centroids = shipped.value
@@ -65,15 +103,15 @@ def _assign(shipped, reach: float):
             for label, rows in frame.groupby("label"):
                 own = centroids.get(int(label))
                 if own is None:
-                    yield pd.DataFrame({"label": rows["label"], "cell": 0, "home": True, "node": rows["node"]})
+                    yield pd.DataFrame({"label": rows["label"], "cell": 0, "home": 0, "node": rows["node"]})
                     continue
-                x = np.stack(rows["unit"].to_list())
-                near = x @ own.T
+                near = _matrix(rows["unit"]) @ own.T
                 home = near.argmax(axis=1)
                 apart = np.linalg.norm(own[:, None, :] - own[None, :, :], axis=2)
-                shown = near[np.arange(len(x)), home][:, None] - near <= reach * apart[home] + 1e-9
+                shown = near[np.arange(len(near)), home][:, None] - near <= reach * apart[home] + 1e-9
+                shown &= np.arange(len(own))[None, :] <= home[:, None]
                 row, cell = np.nonzero(shown)
-                yield pd.DataFrame({"label": label, "cell": cell, "home": home[row] == cell, "node": rows["node"].to_numpy()[row]})
+                yield pd.DataFrame({"label": label, "cell": cell, "home": home[row], "node": rows["node"].to_numpy()[row]})
 
     return run
 
@@ -82,16 +120,16 @@ def _compare(threshold: float):
     keys = ["label", "cell", "__ti", "__tj"]
 
     def one(unit: pd.DataFrame) -> pd.DataFrame | None:
-        x = np.stack(unit["unit"].to_list())
+        x, home = _matrix(unit["unit"]), unit["home"].to_numpy()
         linked = x @ x.T >= threshold
+        linked &= np.minimum(home[:, None], home[None, :]) == unit["cell"].iloc[0]
         np.fill_diagonal(linked, False)
         chunk = unit["__chunk"].to_numpy()
         if unit["__ti"].iloc[0] != unit["__tj"].iloc[0]:
             linked &= chunk[:, None] != chunk[None, :]
         if not linked.any():
             return None
-        home = unit["home"].to_numpy()
-        found = np.where(home, linked @ unit["copies"].to_numpy(), 0)
+        found = linked @ unit["copies"].to_numpy()
         node = unit["node"].to_numpy()
         root = node[_tiles.dense_components(linked)]
         use = linked.any(axis=1)
@@ -102,32 +140,30 @@ def _compare(threshold: float):
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, sample: int = 4096, cell_rows: int = 1024, max_cells: int = 256, tile: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
-    vector = F.transform("embedding", lambda v: v.cast("double"))
-    clean = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vector.alias("v"))
-    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    largest = F.array_max(F.transform("v", lambda c: F.abs(c)))
-    usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & (largest > 0)
-    usable = F.coalesce(usable, F.lit(False))
-    lengths = clean.where(usable).groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    common = lengths.orderBy(F.desc("n"), "length").first()
-    usable = usable & F.coalesce(F.size("v") == (common.length if common else 0), F.lit(False))
-    # Scaled by the largest component first, so that squares neither overflow nor vanish.
-    scaled = F.transform("v", lambda c: c / F.col("largest"))
-    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda a, c: a + c * c))
-    good = clean.where(usable).withColumn("largest", largest).withColumn("scaled", scaled).withColumn("norm", norm)
-    good = checkpointed(good.select("vec_id", "label", F.transform("scaled", lambda c: c / F.col("norm")).alias("unit")))
-    distinct = checkpointed(good.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    clean = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    lengths = clean.where("vec_id is not null and label is not null").groupBy(F.size("embedding").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    common = lengths.where("length > 0").orderBy(F.desc("n"), "length").first()
+    vectors = clean.mapInArrow(_units(common.length if common else 0), "vec_id long, label long, unit binary")
+    # Equal vectors are known by 128 bits of their hashes.
+    vectors = checkpointed(vectors.withColumns({"k1": F.xxhash64("unit"), "k2": F.xxhash64(F.lit(7), "unit")}))
+    equal = ["label", "k1", "k2"]
+    good = vectors.where("unit is not null")
+    distinct = good.groupBy(*equal).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.any_value("unit").alias("unit"))
+    # Rows may repeat a vec_id, so vectors go by a hash of their own that keeps nothing else of it.
+    distinct = checkpointed(distinct.withColumnRenamed("node", "first_id").withColumn("node", F.xxhash64(*equal)))
     shipped = rows.sparkSession.sparkContext.broadcast(fit_cells(distinct, sample, cell_rows, max_cells))
     reach = math.sqrt(2 - 2 * threshold)
-    cells = distinct.select("label", "unit", "node").mapInPandas(_assign(shipped, reach), "label long, cell int, home boolean, node long")
+    cells = distinct.select("label", "unit", "node").mapInPandas(_assign(shipped, reach), "label long, cell int, home int, node long")
     units = _tiles.tiled(cells, ["label", "cell"], "node", tile).join(distinct.select("node", "unit", "copies"), "node")
     ordered = units.select("label", "cell", "__ti", "__tj", "__chunk", "home", "node", "unit", "copies").repartition("label", "cell", "__ti", "__tj").sortWithinPartitions("label", "cell", "__ti", "__tj", "node")
     found = checkpointed(ordered.mapInPandas(_compare(threshold), "node long, root long, links long"))
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = distinct.join(linked, "node", "left").join(links, "node", "left").select("label", "unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    members = good.join(classes, ["label", "unit"]).select("vec_id", "n_links", "component_id")
-    alone = clean.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rooted = distinct.select(*equal, "node", "first_id", "copies").join(linked, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = rooted.join(firsts, "root").select(*equal, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id")
+    members = good.select("vec_id", *equal).join(classes, equal).select("vec_id", "n_links", "component_id")
+    alone = vectors.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return members.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
