@@ -207,21 +207,28 @@ def assign_surrogates(entities: DataFrame, seed: str, max_attempts: int = 12) ->
     are not enough, the number of losers is raised as an error.
     """
     known = checkpointed(entities.select("kind", "canonical").distinct())
-    # A surrogate takes about a millisecond, so tasks are cut by entities, not by their few bytes.
-    tasks = max(1, min(known.count() // 1000, 100_000))
-    state = known.withColumn("attempt", F.lit(0))
+
+    def named(state: DataFrame) -> DataFrame:
+        # A surrogate takes about a millisecond, so tasks are cut by entities, not by their few bytes. The rows are written
+        # in that many parts: a filter on the surrogate would be moved to the other side of an exchange alone.
+        tasks = max(1, min(state.count() // 1000, 100_000))
+        out = with_surrogate(checkpointed(state.repartition(tasks, "kind", "canonical")), seed)
+        return checkpointed(out.withColumn("surrogate", _widened(F.col("kind"), F.col("surrogate"), F.col("canonical"), F.col("attempt"), max_attempts, seed)))
+
+    state = named(known.withColumn("attempt", F.lit(0)))
     for _ in range(max_attempts + 64):
-        named = with_surrogate(state.repartition(tasks, "kind", "canonical"), seed)
-        named = named.withColumn("surrogate", _widened(F.col("kind"), F.col("surrogate"), F.col("canonical"), F.col("attempt"), max_attempts, seed))
-        winner = named.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("w"))
+        winner = state.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("w"))
         real = known.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("is_real"))
-        judged = named.join(winner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
+        judged = state.join(winner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
         lost = F.coalesce("is_real", F.lit(False)) | (F.col("canonical") != F.col("w.canonical"))
         state = checkpointed(judged.select("kind", "canonical", "attempt", "surrogate", lost.alias("lost")))
-        if state.where("lost").isEmpty():
+        losers = state.where("lost").select("kind", "canonical", F.col("attempt") + 1)
+        if losers.isEmpty():
             return state.select("kind", "canonical", "surrogate")
-        state = state.select("kind", "canonical", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
-    raise RuntimeError(f"{judged.where(lost).count()} entities have no surrogate of their own")
+        # A winner keeps its surrogate: later attempts of others lose against it.
+        again = named(losers.toDF("kind", "canonical", "attempt"))
+        state = state.where("not lost").drop("lost").unionByName(again.select("kind", "canonical", "attempt", "surrogate"))
+    raise RuntimeError(f"{losers.count()} entities have no surrogate of their own")
 
 
 def replace_entities(docs: DataFrame, seed: str = "surrogates", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
