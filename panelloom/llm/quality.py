@@ -1,8 +1,8 @@
 """Quality rules: counted base rules, then a calibrated n-gram classifier against a fixed threshold.
 
-Features are hashed word unigrams, word bigrams and character (byte) 4-grams, each family as frequencies that sum to
-one. A logistic regression with an L2 penalty is fitted in its dual form on at most `max_labelled` labelled
-documents, those with the smallest keyed hashes of their ids; a quarter of them is held out to calibrate the scores
+Features are hashed word unigrams, word bigrams and 4-grams of characters (code points), each family as frequencies that
+sum to one. A logistic regression with an L2 penalty is fitted in its dual form on at most `max_labelled` labelled
+documents, those with the smallest keyed hashes of their ids (of rows that repeat an id, the least text); a quarter of them is held out to calibrate the scores
 to probabilities (Platt). The fitted weights, of fixed size, are sent to the tasks, which score whole texts in Arrow
 batches: a gather and a segmented sum, no loop over words.
 
@@ -49,13 +49,14 @@ def _families(block: TextBlock, word: np.ndarray, rows: np.ndarray) -> Iterator[
     yield (word >> top).astype(np.int64), rows
     pairs, first = shingle_hashes(word, rows, 2)
     yield (pairs >> top).astype(np.int64) + (1 << BITS), rows[first]
-    if len(block.data) >= 4:
+    lead = np.flatnonzero((block.data & 0xC0) != 0x80)
+    if len(lead) >= 4:
         lower = block.data | ((block.data >= 65) & (block.data <= 90)).astype(np.uint8) << 5
-        grams = lower[:-3].astype(np.uint32) | lower[1:-2].astype(np.uint32) << 8 | lower[2:-1].astype(np.uint32) << 16 | lower[3:].astype(np.uint32) << 24
-        grams = (grams * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        row = np.repeat(np.arange(block.rows), np.diff(block.offsets))
-        inside = row[3:] == row[:-3]
-        yield grams[inside].astype(np.int64) + (2 << BITS), row[:-3][inside]
+        ends = np.append(lead, len(block.data))
+        row = np.repeat(np.arange(block.rows), np.diff(np.searchsorted(lead, block.offsets)))
+        first = np.flatnonzero(row[3:] == row[:-3])
+        grams = span_hashes(TextBlock(lower, block.offsets, 0).byte_values(), lead[first], ends[first + 4])
+        yield (grams >> top).astype(np.int64) + (2 << BITS), row[first]
 
 
 def scores(block: TextBlock, word: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -181,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 1000, penalty:
     order = keyed_uniform(seed, F.col("doc_id").cast("string"))
     chosen = known.withColumn("draw", order).orderBy("draw", "doc_id").limit(max_labelled)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "good")
-    rows = joined.mapInArrow(_features, "doc_id long, good boolean, index array<int>, value array<float>").limit(4 * max_labelled).toArrow()
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("good").alias("good"))
+    rows = joined.mapInArrow(_features, "doc_id long, good boolean, index array<int>, value array<float>").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     y = rows["good"].to_numpy().astype(float)[order]
     if len(y) < 20 or y.min(initial=1) == y.max(initial=0):

@@ -449,3 +449,93 @@ def test_embedding_rows_that_repeat_an_id(spark):
     rows = [(1, [1.0, 0.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (2, [2.0, 0.0], 0, "x"), (None, [1.0, 0.0], 0, "x"), (3, [1.0, None], 0, "x"), (4, [], 0, "x"), (5, [0.1, 1.0], 0, "x"), (6, [0.1, 1.0], 1, "x")]
     got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, unit string"), tile=2).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (None, 0, None, True), (3, 0, 3, True), (4, 0, 4, True), (5, 2, 1, False), (6, 0, 6, True)], key=str)
+
+
+def test_base_counts_equal_brute_force(spark, texts):
+    rng = random.Random(33)
+    odd = ["a b c d e a b c d e", "# $ x|y <b>\n# $ x|y <b>\n\n \nz", "ааа бб\nааа бб\nвв", "w\u00a0v w", "\x1f one\x1f two", "é" * 5000, "\n\n\n", "a\r\na\r\nb"]
+    odd += [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) + rng.choice(["", "\n", "\nx y\nx y"]) for _ in range(60)]
+    every = [*texts, *odd]
+    rows = [(i if i % 5 else None, t, i, "clash", 1) for i, t in enumerate(every)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, place int, row string, n_words int")
+    for r in quality.judge(table, None).collect():
+        t = every[r.row.place] or ""
+        words = WORDS.findall(t)
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)} if len(windows) < 200 else {i + k for i, w in enumerate(windows) if w in twice(windows) for k in range(5)}
+        seen, repeated = set(), 0
+        for line in t.split("\n"):
+            if WORDS.search(line):
+                repeated += line in seen
+                seen.add(line)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), repeated, len(covered))
+        assert r.base_failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words)) and r.kept == (not r.base_failed) and r.row.row == "clash"
+
+
+def twice(windows):
+    counts = {}
+    for w in windows:
+        counts[w] = counts.get(w, 0) + 1
+    return {w for w, n in counts.items() if n > 1}
+
+
+def test_character_grams_are_of_code_points(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from panelloom.llm._text import text_blocks
+
+    said = ["абвгд", "abc", None, "ABCDe", "", "éééé", "абвг abcd"]
+    (block,) = text_blocks(pa.record_batch([pa.array(said)], names=["text"]), "text")
+    starts, ends, rows = block.words()
+    *_, (feature, row) = quality._families(block, block.word_hashes(starts, ends), rows)
+    grams = [(i, t[k : k + 4].lower()) for i, t in enumerate(said) if t for k in range(len(t) - 3)]
+    assert row.tolist() == [i for i, _ in grams]
+    of = {}
+    for f, (_, gram) in zip(feature.tolist(), grams):
+        assert of.setdefault(gram, f) == f
+    assert len(set(of.values())) >= len(of) - 1 and np.all(feature >= 2 << quality.BITS)
+
+
+def test_quality_training_rows_do_not_hang_on_their_order(spark):
+    rng = random.Random(2)
+    rows = [(i % 60, " ".join(rng.choice("alpha beta gamma delta".split() if i % 2 else "free win cash click".split()) for _ in range(20))) for i in range(180)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    models = [quality.train(spark.createDataFrame(r, "doc_id long, text string"), labels, max_labelled=40) for r in (rows, rows[::-1])]
+    assert (models[0].weights == models[1].weights).all() and models[0].slope == models[1].slope
+
+
+def test_shards_equal_a_plain_search(spark):
+    """The largest shard is the least possible, by trying every capacity over the groups in order."""
+    rng = random.Random(14)
+    rows = [(i if i % 6 else None, "x" * rng.choice([0, 1, 5, 40, 300])) for i in range(80)] + [(7, "y" * 900), (7, "y" * 900), (8, None)]
+    table = spark.createDataFrame([(*r, "clash", 3) for r in rows], "doc_id long, text string, h string, size int")
+    groups = {}
+    for i, t, h in table.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 4)).collect():
+        groups[h] = groups.get(h, 0) + len(t or "") + 1
+    sizes = [n for _, n in sorted(groups.items())]
+    for shards in (1, 3, 16):
+        def runs(capacity):
+            used, load = 1, 0
+            for n in sizes:
+                if load + n > capacity:
+                    used, load = used + 1, 0
+                load += n
+            return used
+
+        best = next(c for c in range(max(sizes), sum(sizes) + 1) if runs(c) <= shards)
+        got = sharding.shard(table, shards=shards).collect()
+        load, slots = {}, {}
+        for r in got:
+            load[r.shard] = load.get(r.shard, 0) + r.size
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert len(got) == len(rows) and max(load.values()) == best and all(0 <= s < shards for s in load)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_mixing_with_ties_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "d e", "x"), (None, "d e", "x"), (2, None, "y"), (3, "", None), (4, "f " * 5000, "y"), (5, "f g", None)]
+    table = spark.createDataFrame([(*r, "clash", 2) for r in rows], "doc_id long, text string, source string, key string, low int")
+    one, two = (sorted(map(tuple, mixing.mix_sources(table).collect()), key=str) for _ in range(2))
+    assert one == two and len(one) == len(rows)
+    assert all(r[6] <= 3 * r[2] for r in one)
