@@ -232,27 +232,37 @@ def _node(words: int) -> Column:
     return F.col("fp0") if words == 1 else F.xxhash64(*[f"fp{w}" for w in range(words)]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("fp0").bitwiseAND(low))
 
 
-def _links(distinct: DataFrame, words: int, max_bits: int, tile: int, rows) -> DataFrame:
+def _compared(units: DataFrame, prints: DataFrame, words: int, max_bits: int) -> DataFrame:
+    ordered = units.select("cell", "node", "__ti", "__tj", "__g").join(prints, "node").repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
+    return checkpointed(ordered.mapInPandas(_compare(words, max_bits), "a long, b long"))
+
+
+def _links(prints: DataFrame, words: int, max_bits: int, tile: int, passes: list) -> DataFrame:
     """(a, b): links of nodes that meet in a cell and differ in at most max_bits bits, as spanning forests.
 
-    Cells of over `tile` nodes are compared in chunks first, and then the nodes outside the cell's largest component
-    with all others.
+    passes: functions that give the cells of the nodes, one pass's shuffles at a time. Cells of over `tile` nodes are
+    compared in chunks first, and in the end the nodes outside the largest component of such a cell with all others.
     """
-    names = [f"fp{w}" for w in range(words)]
-    prints = distinct.select("node", *names)
-    anchored = prints.mapInPandas(rows, "cell long, node long")
+    spark = prints.sparkSession
+    anchored = lambda rows: prints.mapInPandas(rows, "cell long, node long")
     sketch, sketch_bits = (F.col("node"), max_bits) if words == 1 else (F.col("node").bitwiseAND(F.lit(_LOW).cast("long")), SKETCH_BITS)
-
-    def compared(units: DataFrame) -> DataFrame:
-        ordered = units.select("cell", "node", "__ti", "__tj", "__g").join(prints, "node").repartition("cell", "__ti", "__tj").sortWithinPartitions("cell", "__ti", "__tj", "node")
-        return checkpointed(ordered.mapInPandas(_compare(words, max_bits), "a long, b long"))
-
-    found = compared(_tiles.once(anchored, "cell", "node", tile, sketch, sketch_bits))
-    edges, crowded = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("cell")).distinct()
-    if crowded.isEmpty():
-        return edges
-    more = compared(_tiles.against_rest(anchored.join(crowded, "cell", "left_semi"), components(edges), ["cell"], "node", tile))
-    return edges.unionByName(more.where("b is not null"))
+    edges, crowded = None, []
+    for rows in passes:
+        found = _compared(_tiles.once(anchored(rows), "cell", "node", tile, sketch, sketch_bits), prints, words, max_bits)
+        edges = found.where("b is not null") if edges is None else edges.unionByName(found.where("b is not null"))
+        cells = found.where("b is null").select(F.col("a").alias("cell"))
+        if not cells.isEmpty():
+            cells, n = cells.distinct(), cells.count()
+            crowded.append(anchored(rows).join(F.broadcast(cells) if n <= 100_000 else cells, "cell", "left_semi"))
+        free_shuffles(spark)
+    if crowded:
+        linked = components(edges)
+        for rows in crowded:
+            edges = edges.unionByName(_compared(_tiles.against_rest(rows, linked, ["cell"], "node", tile), prints, words, max_bits).where("b is not null"))
+    # A node has no more links here than cells. All but the least of them hang on that one instead, which leaves few.
+    stars = edges.groupBy("a").agg(F.collect_set("b").alias("bs")).withColumn("m", F.array_min("bs"))
+    others = F.transform(F.filter("bs", lambda b: b != F.col("m")), lambda b: F.struct(b.alias("a"), F.col("m").alias("b")))
+    return stars.select(F.explode(F.concat(F.array(F.struct("a", F.col("m").alias("b"))), others)).alias("e")).select("e.*").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int = 3, tile: int = 1024, id_column: str = "doc_id", text_column: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -264,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int =
     names = [f"fp{w}" for w in range(words)]
     prints = checkpointed(fingerprints(docs, k, words, id_column, text_column))
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", _node(words))
-    edges = _links(distinct, words, max_bits, tile, _anchor_rows if words == 1 else _block_rows(words, rounds))
+    edges = _links(distinct.select("node", *names), words, max_bits, tile, [_anchor_rows if words == 1 else _block_rows(words, rounds)])
     found = components(edges)
     rooted = distinct.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -337,13 +347,11 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: i
     prints = fingerprints(texts, k, words, "text_key").withColumnRenamed("doc_id", "text_key").dropDuplicates(["text_key"])
     prints = checkpointed(prints.withColumn("node", _node(words)))
     distinct = checkpointed(prints.select("node", *names).distinct())
-    edges = None
-    for first in range(0, rounds, rounds_a_pass):
-        new = _links(distinct, words, max_bits, tile, _block_rows(words, min(first + rounds_a_pass, rounds), first))
-        edges = new if edges is None else edges.unionByName(new)
-        free_shuffles(docs.sparkSession)
+    passes = [_block_rows(words, min(first + rounds_a_pass, rounds), first) for first in range(0, rounds, rounds_a_pass)]
+    edges = _links(distinct, words, max_bits, tile, passes)
     classes = prints.select("text_key", "node").join(components(edges), "node", "left")
     classes = checkpointed(classes.select("text_key", F.coalesce("component", "node").alias("class")))
+    free_shuffles(docs.sparkSession)
     sizes = checkpointed(classes.groupBy("class").agg(F.count(F.lit(1)).alias("__n"), F.min("text_key").alias("__leader")).where("__n > 1"))
     # A text alone in its class needs no set.
     shared = classes.join(sizes, "class", "left_semi")
@@ -357,6 +365,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: i
     crowded = classes.join(sizes.where(F.col("__n") > set_tile), "class", "left_semi")
     if not crowded.isEmpty():
         edges = edges.unionByName(compared(_tiles.against_rest(crowded, components(edges), ["class"], "text_key", set_tile)))
+        free_shuffles(docs.sparkSession)
     found = components(edges).withColumnRenamed("node", "text_key")
     return classes.join(found, "text_key", "left").select("text_key", F.coalesce("component", "text_key").alias("component"))
 
