@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions.spread import running_totals
+
 
 def contract(panel: DataFrame) -> DataFrame:
     """One row: rows, missing required fields, repeated (entity, observation) keys, times that do not increase."""
@@ -76,26 +78,24 @@ def cohort_flow(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
     return df.withColumn("gate", F.explode(names)).groupBy("gate").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity_id").alias("entities"))
 
 
-def table_digest(df: DataFrame, buckets: int = 256) -> DataFrame:
-    """(rows, digest) independent of row order: row hashes are sorted and hashed per bucket, then over the buckets."""
-    rows = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h")).withColumn("b", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    per = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return per.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+def table_digest(df: DataFrame) -> DataFrame:
+    """(rows, digest) independent of row order: SHA-256 over the sums of the eight 32-bit words of the rows' SHA-256.
+
+    Sums tell repeated rows apart from single ones, need no sorted list and combine before the shuffle.
+    """
+    rows = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
+    word = lambda i: F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20, 0)"))
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(word(i), F.lit(0)).cast("string").alias(f"w{i}") for i in range(8)])
+    return sums.select("rows", F.sha2(F.concat_ws(":", *[f"w{i}" for i in range(8)]).cast("binary"), 256).alias("digest"))
 
 
 def stratified_pick(df: DataFrame, value: str, key: str, strata: int, seed: str) -> DataFrame:
     """One row of each of `strata` equal parts of the order by (value, key), chosen by sha256(seed:stratum).
 
-    The order is cut by exact percentiles first, so that ranks are taken inside ranges and not in one task.
+    Ranks are running counts over ranges of the order, not one sorted task.
     """
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(i / 64) for i in range(1, 64)])).alias("__c"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__r", F.size(F.filter("__c", lambda c: c < F.col(value)))).drop("__c")
-    counts = ranged.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    offsets = counts.select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), total.alias("__total"))
-    rank = F.row_number().over(Window.partitionBy("__r").orderBy(value, key)) - 1
-    rows = ranged.withColumn("__in", rank).join(F.broadcast(offsets), "__r").withColumn("__rank", F.col("__before") + F.col("__in"))
+    ordered = running_totals(df.withColumn("__k", F.struct(value, key)), "__k", {"__upto": F.lit(1)})
+    rows = ordered.withColumn("__rank", F.col("__upto") - 1).withColumn("__total", F.lit(df.count())).drop("__k", "__upto")
     # The first (total mod strata) parts hold one row more.
     size, extra = F.floor(F.col("__total") / strata), F.col("__total") % strata
     wide = (size + 1) * extra
@@ -104,4 +104,4 @@ def stratified_pick(df: DataFrame, value: str, key: str, strata: int, seed: str)
     start = F.when(F.col("stratum") - 1 < extra, (F.col("stratum") - 1) * (size + 1)).otherwise(wide + (F.col("stratum") - 1 - extra) * size)
     length = size + (F.col("stratum") - 1 < extra).cast("int")
     draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "stratum").cast("binary"), 256), 1, 8), 16, 10).cast("long")
-    return rows.where(F.col("__rank") - start == draw % length).drop("__r", "__in", "__before", "__total", "__rank")
+    return rows.where(F.col("__rank") - start == draw % length).drop("__total", "__rank")

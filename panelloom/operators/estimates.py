@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.seed import keyed_order
+from panelloom.functions.spread import quantiles
 from panelloom.operators import scores, voxel
 
 #: exp(-1), the Poisson(1) probability of zero draws.
@@ -68,8 +69,8 @@ def calibration_line(cases: DataFrame) -> DataFrame:
 
 def survival_by_quantile(survival: DataFrame, value: str, strata: int, years: list[float]) -> DataFrame:
     """(stratum, year, survival): Kaplan-Meier per quantile stratum 0..strata-1 of `value`, right-closed."""
-    edges = survival.agg(F.percentile(value, F.array(*[F.lit(i / strata) for i in range(1, strata)])).alias("__e"))
-    rows = survival.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("stratum", F.size(F.filter("__e", lambda e: e < F.col(value)))).drop("__e")
+    edges = quantiles(survival, value, [i / strata for i in range(1, strata)])
+    rows = survival.where(F.col(value).isNotNull()).withColumn("stratum", sum(((F.col(value) > e).cast("int") for e in edges), F.lit(0)))
     return scores.survival_at(scores.kaplan_meier(rows, ["stratum"]), years, ["stratum"])
 
 

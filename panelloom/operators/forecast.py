@@ -203,3 +203,107 @@ def cox(survival: DataFrame, covariates: list[str], penalty: float = 0.05, steps
     error = np.sqrt(np.diag(np.linalg.inv(hessian)))
     rows.unpersist()
     return [(c, float(b), float(e)) for c, b, e in zip(covariates, beta, error)]
+
+
+def triple_design(tuples: DataFrame, clinical: list[str] | None = None) -> DataFrame:
+    """Adds the six history features of a triple (and keeps the clinical ones): log volume, log change, its rate per year,
+    the horizon in years, rate times horizon, log first interval."""
+    rate = F.log(F.col("v2") / F.col("v1")) / (F.col("dt1") / 365.25)
+    horizon = F.col("dt2") / 365.25
+    features = {"log_v2": F.log("v2"), "log_change": F.log(F.col("v2") / F.col("v1")), "rate_yr": rate, "horizon_yr": horizon, "rate_x_horizon": rate * horizon, "log_dt1": F.log(F.col("dt1") / 365.25)}
+    return tuples.withColumns(features).select(*tuples.columns, *[c for c in features if c not in tuples.columns], *[c for c in clinical or [] if c not in tuples.columns])
+
+
+def predict_from_two(tuples: DataFrame, par: dict) -> DataFrame:
+    """Adds pred: the volume at the third time by the mixed model, its random effects taken from the first two points.
+
+    par: a, b, s2, d11, d12, d22 as mixed_model() gives them. The effects are blup() of the two points' sums.
+    """
+    x2, x3 = F.col("dt1") / 365.25, (F.col("dt1") + F.col("dt2")) / 365.25
+    y1, y2 = F.log("v1"), F.log("v2")
+    sums = tuples.withColumns({"n": F.lit(2.0), "sx": x2, "sxx": x2 * x2, "sy": y1 + y2, "sxy": x2 * y2, "syy": y1 * y1 + y2 * y2, "__x3": x3})
+    out = blup(sums, par)
+    return out.withColumn("pred", F.exp(par["a"] + F.col("u0") + (par["b"] + F.col("u1")) * F.col("__x3"))).select(*tuples.columns, "pred")
+
+
+def prevalence(rows: DataFrame, event: str = "event", fold: str = "fold") -> DataFrame:
+    """Adds p: the event rate of the other folds."""
+    rates = held_out_mean(rows.withColumn("__e", F.col(event).cast("double")), "__e", fold).withColumnRenamed("train_mean", "p")
+    return rows.join(F.broadcast(rates), fold)
+
+
+def model_grid(rows: DataFrame, target: str, feature_sets: dict[str, list[str]], models: dict) -> DataFrame:
+    """(features, model, n, mae, r2): out-of-fold scores of every model with every feature set, one job after the other.
+
+    models: functions (rows, features) -> rows with pred. The rows are written once, so that models do not compute them anew.
+    """
+    from panelloom.functions.spread import checkpointed
+
+    kept, out = checkpointed(rows), None
+    for name, features in feature_sets.items():
+        for model, fit in models.items():
+            y, e = F.col(target), F.col(target) - F.col("pred")
+            spread = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
+            scored = fit(kept, features).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.when(spread > 0, spread)).alias("r2"))
+            row = scored.select(F.lit(name).alias("features"), F.lit(model).alias("model"), "n", "mae", "r2")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def logistic_with_inner_cv(rows: DataFrame, features: list[str], target: str, costs: list[float], fold: str = "fold", inner: str = "inner", steps: int = 25) -> DataFrame:
+    """Adds p and cost: out-of-fold logistic regression, its cost C chosen per outer fold by inner-fold log loss (ties low).
+
+    The penalty is |beta|^2 / (2 C) on features standardised by the outer training rows; the intercept is free. All fits,
+    one per outer fold, inner fold (or none) and C, take their Newton steps together: a step is one aggregation of gradient
+    and Hessian sums by fit. Outer folds whose training rows have one class are skipped.
+    """
+    from panelloom.functions.spread import checkpointed
+
+    spark = rows.sparkSession
+    p = len(features)
+    kept = checkpointed(rows.withColumn(fold, F.col(fold).cast("int")).withColumn(inner, F.col(inner).cast("int")).withColumn("__y", F.col(target).cast("double")))
+    folds = sorted(r[0] for r in kept.select(fold).distinct().collect())
+    inners = sorted(r[0] for r in kept.select(inner).distinct().collect())
+    grams = gram_sums(kept, features, "__y", fold)
+    total = sum(grams.values())
+    scale, fits = {}, {}
+    for o in folds:
+        g = total - grams[o]
+        if g[0, 0] <= 0 or not 0 < g[0, p + 1] < g[0, 0]:
+            continue
+        mean = g[0, 1 : p + 1] / g[0, 0]
+        scale[o] = mean, np.sqrt(np.maximum(np.diag(g)[1 : p + 1] / g[0, 0] - mean**2, 0)) + 1e-9
+        fits |= {(o, i, c): np.zeros(p + 1) for i in [*inners, -1] for c in range(len(costs))}
+    z = [F.lit(1.0), *[(F.col(f) - F.get("__m", i)) / F.get("__s", i) for i, f in enumerate(features)]]
+
+    def with_fits(chosen: dict) -> DataFrame:
+        table = [(o, i, c, [float(b) for b in beta], [float(x) for x in scale[o][0]], [float(x) for x in scale[o][1]]) for (o, i, c), beta in chosen.items()]
+        return F.broadcast(spark.createDataFrame(table, "__o int, __i int, __c int, __b array<double>, __m array<double>, __s array<double>"))
+
+    score = sum((F.get("__b", i) * F.col(f"__z{i}") for i in range(p + 1)), F.lit(0.0))
+    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), score))))
+    for _ in range(steps):
+        if not fits:
+            break
+        train = kept.join(with_fits(fits), (F.col("__o") != F.col(fold)) & (F.col("__i") != F.col(inner))).withColumns({f"__z{i}": c for i, c in enumerate(z)}).withColumn("__p", chance)
+        sums = [F.sum((F.col("__y") - F.col("__p")) * F.col(f"__z{i}")).alias(f"g{i}") for i in range(p + 1)]
+        sums += [F.sum(F.col("__p") * (1 - F.col("__p")) * F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"h{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
+        most = 0.0
+        for r in train.groupBy("__o", "__i", "__c").agg(*sums).collect():
+            key = (r["__o"], r["__i"], r["__c"])
+            ridge = np.diag([1e-9, *[1 / costs[key[2]]] * p])
+            hessian = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)]) + ridge
+            step = np.linalg.solve(hessian, np.array([r[f"g{i}"] for i in range(p + 1)]) - ridge @ fits[key])
+            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+            fits[key] = fits[key] + step
+            most = max(most, float(np.abs(step).max()))
+        if most < 1e-8:
+            break
+    held = kept.join(with_fits({k: b for k, b in fits.items() if k[1] >= 0}), (F.col("__o") != F.col(fold)) & (F.col("__i") == F.col(inner))).withColumns({f"__z{i}": c for i, c in enumerate(z)})
+    loss = -F.when(F.col("__y") == 1, F.log(chance)).otherwise(F.log(1 - chance))
+    scores = held.withColumn("__l", loss).groupBy("__o", "__c", "__i").agg(F.avg("__l").alias("l")).groupBy("__o", "__c").agg(F.round(F.avg("l"), 9).alias("l"))
+    best = {r["__o"]: r.b["__c"] for r in scores.groupBy("__o").agg(F.min(F.struct("l", "__c")).alias("b")).collect()}
+    final = with_fits({(o, -1, c): fits[o, -1, c] for o, c in best.items()})
+    out = kept.join(final, F.col("__o") == F.col(fold)).withColumns({f"__z{i}": c for i, c in enumerate(z)})
+    cost = F.get(F.array(*[F.lit(float(c)) for c in costs]), F.col("__c"))
+    return out.select(*rows.columns, chance.alias("p"), cost.alias("cost"))

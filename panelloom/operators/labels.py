@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.functions.spread import quantiles
+
 
 def both_ends(a: str, b: str, cut: float) -> Column:
     """both_small, both_large or mixed, by the two ends of an interval."""
@@ -23,13 +25,13 @@ def cut(x: Column, edges: list[float], labels: list[str]) -> Column:
 
 
 def qcut(df: DataFrame, column: str, labels: list[str], name: str) -> DataFrame:
-    """Quantile bins by exact percentiles: right-closed, the lowest edge included. One row of edges is broadcast."""
+    """Quantile bins by exact quantiles: right-closed, the lowest edge included; null for null."""
     k = len(labels)
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("__edges"))
+    edges = quantiles(df, column, [i / k for i in range(1, k)])
     label = F.lit(labels[-1])
     for i in range(k - 2, -1, -1):
-        label = F.when(F.col(column) <= F.get("__edges", i), labels[i]).otherwise(label)
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), label)).drop("__edges")
+        label = F.when(F.col(column) <= edges[i], labels[i]).otherwise(label)
+    return df.withColumn(name, F.when(F.col(column).isNotNull(), label))
 
 
 def threshold_grid(pairs: DataFrame, grid: list[tuple[str, float, float, float]], size_cut: float) -> DataFrame:

@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.numbers import normal_cdf
+from panelloom.functions.spread import quantiles, running_totals
 
 
 def auc(cases: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
     """(by..., auc): area under the ROC curve with ties as one half; null if a class is missing."""
     by = by or []
     per = cases.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    below = Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    if by:
+        below = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = per.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    else:
+        ranked = running_totals(per, p, {"upto": F.col("neg")}).withColumn("below", F.col("upto") - F.col("neg"))
     total = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return ranked.groupBy(*by).agg(F.when(pairs > 0, total / pairs).alias("auc"))
@@ -32,8 +36,8 @@ def probability_scores(cases: DataFrame, by: list[str] | None = None) -> DataFra
 
 def calibration_error(cases: DataFrame, edges: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """(ece): mean absolute gap of observed and predicted rates over quantile bins; a value on an edge goes up."""
-    cut = cases.agg(F.percentile("p", F.array(*[F.lit(e) for e in edges])).alias("edges"))
-    binned = cases.crossJoin(F.broadcast(cut)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("p"))))
+    at = quantiles(cases, "p", list(edges))
+    binned = cases.withColumn("bin", sum(((F.col("p") >= e).cast("int") for e in at), F.lit(0)))
     per = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("gap"))
     return per.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
 
@@ -41,12 +45,15 @@ def calibration_error(cases: DataFrame, edges: tuple[float, ...] = (0.2, 0.4, 0.
 def kaplan_meier(survival: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., time_yr, at_risk, events, survival) at each distinct time."""
     by = by or []
-    keys = by or [F.lit(0)]
     per = survival.groupBy(*by, "time_yr").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"))
-    later = Window.partitionBy(*keys).orderBy(F.desc("time_yr"))
-    so_far = Window.partitionBy(*keys).orderBy("time_yr").rowsBetween(Window.unboundedPreceding, 0)
-    risk = per.withColumn("at_risk", F.sum("n").over(later))
     share = 1 - F.col("events") / F.col("at_risk")
+    if not by:
+        risk = running_totals(per, "time_yr", {"at_risk": F.col("n")}, descending=True)
+        steps = running_totals(risk, "time_yr", {"logs": F.when(share > 0, F.log(share)).otherwise(F.lit(0.0)), "gone": (share <= 0).cast("int")})
+        return steps.select("time_yr", "at_risk", "events", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("logs")).alias("survival"))
+    later = Window.partitionBy(*by).orderBy(F.desc("time_yr"))
+    so_far = Window.partitionBy(*by).orderBy("time_yr").rowsBetween(Window.unboundedPreceding, 0)
+    risk = per.withColumn("at_risk", F.sum("n").over(later))
     logs = F.sum(F.when(share > 0, F.log(share)).otherwise(F.lit(0.0))).over(so_far)
     gone = F.max((share <= 0).cast("int")).over(so_far)
     return risk.select(*by, "time_yr", "at_risk", "events", F.when(gone == 1, 0.0).otherwise(F.exp(logs)).alias("survival"))
@@ -76,9 +83,8 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(rho): correlation of average ranks; distinct values are ranked by running counts."""
 
     def ranks(column: str) -> DataFrame:
-        per = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        below = Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-        return per.select(F.col(column).alias(f"__{column}"), (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
+        per = running_totals(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, {"upto": F.col("n")})
+        return per.select(F.col(column).alias(f"__{column}"), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
 
     both = rows.join(ranks(x), F.col(x) == F.col(f"__{x}")).join(ranks(y), F.col(y) == F.col(f"__{y}"))
     return both.agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
@@ -123,14 +129,20 @@ def subset_fan_out(rows: DataFrame, subsets: dict) -> DataFrame:
 def robust_sd(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by..., n, sd) with sd = 1.4826 times the median absolute deviation."""
     centre = rows.groupBy(*by).agg(F.median(value).alias("__m"))
-    joined = rows.join(F.broadcast(centre), by) if by else rows.crossJoin(F.broadcast(centre))
+    joined = rows.join(centre, by) if by else rows.crossJoin(F.broadcast(centre))
     return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (1.4826 * F.median(F.abs(F.col(value) - F.col("__m")))).alias("sd"))
 
 
 def zero_interval(pairs: DataFrame, bins: int = 5, least: int = 5) -> DataFrame:
-    """(variance): robust variances of y over quantile bins of dt, extrapolated to dt = 0 by weighted least squares."""
-    edges = pairs.agg(F.percentile("dt_yr", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e"))
-    binned = pairs.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda e: e <= F.col("dt_yr")))).drop("e")
+    """(variance): robust variances of y over quantile bins of dt, extrapolated to dt = 0 by weighted least squares.
+
+    Bins of under `least` rows are left out; of fewer than 15 pairs there are two bins. Null if one bin or none is left.
+    """
+    n = pairs.count() if bins > 2 else None
+    if n is not None and n < 15:
+        bins = max(2, n // 15)
+    edges = quantiles(pairs, "dt_yr", [i / bins for i in range(1, bins)])
+    binned = pairs.withColumn("bin", sum(((F.col("dt_yr") >= e).cast("int") for e in edges), F.lit(0)))
     sd = robust_sd(binned, "y", ["bin"])
     mean = binned.groupBy("bin").agg(F.avg(F.col("dt_yr") * F.col("dt_yr")).alias("x"))
     p = sd.join(mean, "bin").where(F.col("n") >= least).withColumn("v", F.col("sd") * F.col("sd"))
@@ -142,7 +154,10 @@ def zero_interval(pairs: DataFrame, bins: int = 5, least: int = 5) -> DataFrame:
 
 def shrinkage(pairs: DataFrame) -> DataFrame:
     """(n, rms, median_sigma, p50, p90, p95) of -y over the pairs that shrink."""
-    return pairs.where("y < 0").select((-F.col("y")).alias("z")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("rms"), (F.median("z") / 0.6745).alias("median_sigma"), F.percentile("z", F.lit(0.5)).alias("p50"), F.percentile("z", F.lit(0.9)).alias("p90"), F.percentile("z", F.lit(0.95)).alias("p95"))
+    z = pairs.where("y < 0").select((-F.col("y")).alias("z"))
+    p50, p90, p95 = quantiles(z, "z", [0.5, 0.9, 0.95])
+    found = z.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("rms"))
+    return found.select("n", "rms", F.lit(p50 / 0.6745).alias("median_sigma"), F.lit(p50).alias("p50"), F.lit(p90).alias("p90"), F.lit(p95).alias("p95"))
 
 
 def noise_thresholds(sigma: DataFrame, column: str = "sigma") -> DataFrame:
@@ -188,10 +203,15 @@ def extend_folds(known: DataFrame, new: DataFrame, k: int, seed: str, entity: st
         turns.append((start, length, short))
         start += length or 0
     fresh = new.select(entity).distinct().join(known.select(entity), entity, "left_anti")
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__o", entity)) - 1
-    fresh = fresh.withColumn("__o", keyed_order(seed, F.col(entity))).withColumn("__p", place)
+    fresh = fresh.withColumn("__k", F.struct(keyed_order(seed, F.col(entity)).alias("o"), F.col(entity).alias("e")))
+    fresh = running_totals(fresh, "__k", {"__upto": F.lit(1)}).withColumn("__p", F.col("__upto") - 1)
     fold = F.lit(None).cast("int")
     for begin, length, short in reversed(turns):
         own = F.get(F.array(*[F.lit(f) for f in short]), ((F.col("__p") - begin) % len(short)).cast("int"))
         fold = F.when(F.col("__p") >= begin, own).otherwise(fold) if length is None else F.when((F.col("__p") >= begin) & (F.col("__p") < begin + length), own).otherwise(fold)
     return known.select(entity, "fold").unionByName(fresh.select(entity, fold.alias("fold")))
+
+
+def top_share(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """Rows at or above the (1 - share) quantile of `value`; ties at the edge stay in, nulls do not."""
+    return rows.where(F.col(value) >= quantiles(rows, value, [1 - share])[0])

@@ -5,9 +5,15 @@ Cases are groups; joins and aggregations are keyed by case and voxel, so work sp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions.spread import checkpointed
+
 KEY = ["case_id", "tp"]
 VOXEL = ["z", "y", "x"]
 #: Face neighbours (dz, dy, dx).
@@ -54,15 +60,20 @@ def surface(mask: DataFrame) -> DataFrame:
     return mask.join(held, [*KEY, *VOXEL], "left").where(F.coalesce("__n", F.lit(0)) < 6).drop("__n")
 
 
-def hd95(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], q: float = 0.95) -> DataFrame:
-    """(case_id, hd95): the q quantile of surface distances in both directions, pooled."""
+def hd95(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], q: float = 0.95, size: int | None = None) -> DataFrame:
+    """(case_id, hd95): the q quantile of surface distances in both directions, pooled; only cases with both masks.
+
+    A surface voxel reads its distance off the distance transform of the other surface, on a grid of `size` (found from
+    the masks where it is not given), so a case costs its grid and not the square of its surface.
+    """
     s, t = surface(a), surface(b)
+    if size is None:
+        ends = a.select(*VOXEL).unionByName(b.select(*VOXEL)).agg(F.max(F.greatest(*VOXEL))).first()[0]
+        size = 1 + (ends or 0)
 
     def nearest(p: DataFrame, r: DataFrame) -> DataFrame:
-        left = p.select("case_id", *[F.col(c).alias(f"p{c}") for c in VOXEL])
-        right = r.select("case_id", *[F.col(c).alias(f"r{c}") for c in VOXEL])
-        square = sum(((F.col(f"p{c}") - F.col(f"r{c}")) * w) * ((F.col(f"p{c}") - F.col(f"r{c}")) * w) for c, w in zip(VOXEL, spacing))
-        return left.join(right, "case_id").groupBy("case_id", *[f"p{c}" for c in VOXEL]).agg(F.sqrt(F.min(square)).alias("d")).select("case_id", "d")
+        field = distance_transform(r.withColumn("tp", F.lit(0)), size, spacing)
+        return p.select("case_id", *VOXEL).join(field.select("case_id", *VOXEL, "d"), ["case_id", *VOXEL]).select("case_id", F.sqrt("d").alias("d"))
 
     return nearest(s, t).unionByName(nearest(t, s)).groupBy("case_id").agg(F.percentile("d", F.lit(q)).alias("hd95"))
 
@@ -81,26 +92,95 @@ def border_faces(mask: DataFrame, size: int) -> DataFrame:
     return mask.groupBy(*KEY).agg(F.array_compact(F.array(*names)).alias("faces")).withColumn("touches", F.size("faces") > 0)
 
 
+def _min_plus(field: np.ndarray, axis: int, weight: float) -> np.ndarray:
+    """min over j of field[j] + weight * (i - j)**2 along an axis; one step per distance, infinite values stay."""
+    out, n = field.copy(), field.shape[axis]
+    f, o = np.moveaxis(field, axis, 0), np.moveaxis(out, axis, 0)
+    for step in range(1, n):
+        cost = weight * step * step
+        np.minimum(o[step:], f[:-step] + cost, out=o[step:])
+        np.minimum(o[:-step], f[step:] + cost, out=o[:-step])
+    return out
+
+
+def _pieces(n: int, cells: int) -> list[slice]:
+    """Slices of n grids of so many cells, some four million cells each."""
+    step = max(1, (1 << 22) // cells)
+    return [slice(low, low + step) for low in range(0, n, step)]
+
+
+def _plane_distances(size: int, weights: tuple[float, float, float], inside: bool):
+    """Rows (case, tp, x, voxels of the plane) to rows (case, tp, z, x, o, i) with the squared distances inside the plane."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for part in _pieces(len(whole), size * size):
+                frame = whole.iloc[part]
+                held = np.zeros((len(frame), size * size), dtype=bool)
+                at = [np.asarray(v, dtype=np.int64) for v in frame["at"]]
+                held[np.repeat(np.arange(len(frame)), [len(v) for v in at]), np.concatenate(at)] = True
+                held = held.reshape(-1, size, size)
+                fields = {}
+                for name, source in (("o", held), ("i", ~held)) if inside else (("o", held),):
+                    d = np.where(source, 0.0, np.inf)
+                    fields[name] = _min_plus(_min_plus(d, 1, weights[0]), 2, weights[1]).reshape(-1, size)
+                keys = {c: np.repeat(frame[c].to_numpy(), size) for c in (*KEY, "x")}
+                yield pd.DataFrame({**keys, "z": np.tile(np.arange(size), len(frame)), **{n: list(v) for n, v in fields.items()}})
+
+    return run
+
+
+def _across_planes(size: int, weight: float, inside: bool):
+    """Rows (case, tp, z, planes [(x, o, i)]) to one row per voxel of the slice with both squared distances."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("o", "i") if inside else ("o",)
+        for whole in frames:
+            for part in _pieces(len(whole), size * size):
+                frame = whole.iloc[part]
+                row = np.repeat(np.arange(len(frame)), [len(v) for v in frame["planes"]])
+                every = [p for planes in frame["planes"] for p in planes]
+                x = np.array([p["x"] for p in every])
+                out = {c: np.repeat(frame[c].to_numpy(), size * size) for c in (*KEY, "z")}
+                for name in names:
+                    # A plane without a voxel of the mask has no outside distance, and is background everywhere.
+                    field = np.full((len(frame), size, size), np.inf if name == "o" else 0.0)
+                    field[row, x] = np.stack([p[name] for p in every])
+                    out[name] = _min_plus(field, 1, weight).ravel()
+                grid = np.tile(np.arange(size * size), len(frame))
+                yield pd.DataFrame({**out, "x": grid // size, "y": grid % size})
+
+    return run
+
+
+def _distances(mask: DataFrame, size: int, spacing: tuple[float, float, float], inside: bool) -> DataFrame:
+    """(case, tp, z, x, o, i, y): squared distances of every grid voxel to the mask and, with inside, to the background.
+
+    Planes of one x that hold voxels are transformed along z and y at once, then the lines across planes: two shuffles of
+    planes and slices, in numpy batches; no group is larger than a slice of the grid.
+    """
+    wz, wy, wx = (w * w for w in spacing)
+    kinds = "o array<double>" + (", i array<double>" if inside else "")
+    kind = {c: mask.schema[c].dataType.simpleString() for c in KEY}
+    planes = mask.groupBy(*KEY, F.col("x").cast("int").alias("x")).agg(F.collect_set((F.col("z") * size + F.col("y")).cast("int")).alias("at"))
+    rows = planes.mapInPandas(_plane_distances(size, (wz, wy, wx), inside), ", ".join(f"{c} {k}" for c, k in kind.items()) + f", x int, z int, {kinds}")
+    slices = rows.groupBy(*KEY, "z").agg(F.collect_list(F.struct("x", *(("o", "i") if inside else ("o",)))).alias("planes"))
+    return slices.mapInPandas(_across_planes(size, wx, inside), ", ".join(f"{c} {k}" for c, k in kind.items()) + ", z int, o double, " + ("i double, " if inside else "") + "x int, y int")
+
+
 def distance_transform(mask: DataFrame, size: int, spacing: tuple[float, float, float]) -> DataFrame:
-    """Exact squared distance of every grid voxel to the mask, by one min-plus pass per axis along its lines."""
-    axis = F.sequence(F.lit(0), F.lit(size - 1))
-    now = mask.select(*KEY, *VOXEL, F.lit(0.0).alias("d"))
-    for c, w in zip(VOXEL, spacing):
-        rest = [v for v in VOXEL if v != c]
-        spread = now.withColumn("__to", F.explode(axis)).withColumn("d", F.col("d") + (F.col("__to") - F.col(c)) * (F.col("__to") - F.col(c)) * (w * w))
-        now = spread.groupBy(*KEY, *rest, F.col("__to").alias(c)).agg(F.min("d").alias("d"))
-    return now.select(*KEY, *VOXEL, "d")
+    """Exact squared distance of every grid voxel to the mask; cases and times without a voxel are left out."""
+    return _distances(mask, size, spacing, False).select(*KEY, *VOXEL, F.col("o").alias("d"))
 
 
 def signed_distance(mask: DataFrame, size: int, spacing: tuple[float, float, float], clip: float) -> DataFrame:
-    """(case, tp, z, y, x, sdf) on the whole grid: outside minus inside distance, clipped and scaled to [-1, 1]."""
-    axis = F.sequence(F.lit(0), F.lit(size - 1))
-    grid = mask.select(*KEY).distinct().withColumn("z", F.explode(axis)).withColumn("y", F.explode(axis)).withColumn("x", F.explode(axis))
-    background = grid.join(mask, [*KEY, *VOXEL], "left_anti")
-    outside = distance_transform(mask, size, spacing).withColumnRenamed("d", "o")
-    inside = distance_transform(background, size, spacing).withColumnRenamed("d", "i")
-    value = F.sqrt("o") - F.sqrt(F.coalesce("i", F.lit(0.0)))
-    return outside.join(inside, [*KEY, *VOXEL], "left").select(*KEY, *VOXEL, (F.least(F.lit(clip), F.greatest(F.lit(-clip), value)) / clip).alias("sdf"))
+    """(case, tp, z, y, x, sdf) on the whole grid: outside minus inside distance, clipped and scaled to [-1, 1].
+
+    A mask that fills the grid has no background, so no inside distance; cases and times without a voxel are left out.
+    """
+    background = F.when(F.col("i") < float("inf"), F.col("i")).otherwise(0.0)
+    value = F.sqrt("o") - F.sqrt(background)
+    return _distances(mask, size, spacing, True).select(*KEY, *VOXEL, (F.least(F.lit(clip), F.greatest(F.lit(-clip), value)) / clip).alias("sdf"))
 
 
 def crop(mask: DataFrame, centre: DataFrame, shape: int) -> DataFrame:
@@ -146,11 +226,11 @@ def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
 
     Voxels are compared by (z, y, x), so axes of any length do. Every voxel points at a lower one of its component; each
     round hooks the roots that neighbours point at to the least of them and then jumps pointers until all are roots, so
-    the rounds follow the logarithm of a path's length. Lineage is cut by checkpoints if configured. An error is raised
+    the rounds follow the logarithm of a path's length. Lineage is cut by checkpoints. An error is raised
     if labels have not settled after `rounds` rounds.
     """
     offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)])
-    cut = (lambda df: df.checkpoint()) if mask.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df.localCheckpoint())
+    cut = checkpointed
     here = F.struct(*[F.col(c).cast("long").alias(c) for c in VOXEL])
     voxels = mask.select(*KEY, here.alias("v")).distinct()
     told = voxels.withColumn("__o", F.explode(offsets)).select(*KEY, "v", F.struct(*[(F.col(f"v.{c}") + F.col(f"__o.d{c}")).alias(c) for c in VOXEL]).alias("w"))
@@ -180,3 +260,59 @@ def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
     best = sizes.groupBy(*KEY).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(*KEY, F.col("b.label").alias("label"))
     kept = root.alias("r").join(best.alias("b"), own("r", "b") & (F.col("r.label") == F.col("b.label")), "left_semi").select("r.case_id", "r.tp", "r.v")
     return mask.alias("m").join(kept.alias("k"), own("m", "k") & (F.struct(*[F.col(f"m.{c}").cast("long").alias(c) for c in VOXEL]) == F.col("k.v")), "left_semi").select(*KEY, *VOXEL)
+
+
+def filled_foreground(voxels: DataFrame, size: int, key: str = "case_id") -> DataFrame:
+    """Voxels (key, z, y, x) where any channel's value is not 0, and the holes that they enclose.
+
+    A hole is background that no path over faces connects with the border of the grid of `size`. Background reaches the
+    border in rounds that spread along whole lines of all three axes at once; they end when nothing new is reached.
+    """
+    front = voxels.groupBy(key, *VOXEL).agg(F.bool_or(F.coalesce(F.col("value") != 0, F.lit(False))).alias("on")).where("on").select(key, *VOXEL)
+    axis = F.sequence(F.lit(0), F.lit(size - 1))
+    grid = voxels.select(key).distinct()
+    for c in VOXEL:
+        grid = grid.withColumn(c, F.explode(axis))
+    back = grid.join(front, [key, *VOXEL], "left_anti")
+    for c in VOXEL:
+        # The number of the run of background along this axis that a voxel lies in.
+        rest = [v for v in VOXEL if v != c]
+        order = Window.partitionBy(key, *rest).orderBy(c)
+        start = F.coalesce(F.col(c) - F.lag(c).over(order) != 1, F.lit(True)).cast("int")
+        back = back.withColumn(f"run_{c}", start)
+        back = back.withColumn(f"run_{c}", F.concat_ws("/", F.lit(c), *rest, F.sum(f"run_{c}").over(order)))
+    edge = F.lit(False)
+    for c in VOXEL:
+        edge = edge | F.col(c).isin(0, size - 1)
+    state = checkpointed(back.withColumn("out", edge))
+    reached = -1
+    while (now := state.where("out").count()) != reached:
+        reached = now
+        runs = state.where("out").select(key, F.explode(F.array(*[f"run_{c}" for c in VOXEL])).alias("run")).distinct()
+        hit = F.lit(False)
+        for c in VOXEL:
+            state = state.join(runs.select(key, F.col("run").alias(f"run_{c}"), F.lit(True).alias(f"hit_{c}")), [key, f"run_{c}"], "left")
+            hit = hit | F.coalesce(f"hit_{c}", F.lit(False))
+        state = checkpointed(state.withColumn("out", F.col("out") | hit).drop(*[f"hit_{c}" for c in VOXEL]))
+    return front.unionByName(state.where("not out").select(key, *VOXEL))
+
+
+def resample_linear(values: DataFrame, size: int, new_size: int) -> DataFrame:
+    """Values (key..., z, y, x, value) on an aligned grid of another size, by trilinear interpolation between the nearest
+    source voxels; beyond the outer centres the border value holds, absent voxels are 0.
+
+    Each source voxel gives its share to the target voxels between its neighbours, one axis after the other, so there is
+    one small broadcast table of weights per axis and one aggregation per axis.
+    """
+    spark = values.sparkSession
+    out = values
+    for c in VOXEL:
+        i = F.col("__i")
+        place = F.greatest(F.lit(0.0), F.least(F.lit(float(size - 1)), (i + 0.5) * size / new_size - 0.5))
+        low = F.floor(place)
+        table = spark.range(new_size).select(F.col("id").cast("int").alias("__i")).withColumn("__p", place).withColumn("__l", low)
+        part = lambda at, w: F.struct(at.cast("int").alias("at"), w.alias("w"))
+        table = table.select("__i", F.explode(F.array(part(F.col("__l"), 1 - (F.col("__p") - F.col("__l"))), part(F.col("__l") + 1, F.col("__p") - F.col("__l")))).alias("__e")).select("__i", F.col("__e.at").alias(c), F.col("__e.w").alias("__w")).where("__w > 0")
+        rest = [v for v in out.columns if v not in (c, "value")]
+        out = out.join(F.broadcast(table), c).groupBy(*rest, F.col("__i").alias(c)).agg(F.sum(F.col("__w") * F.col("value")).alias("value"))
+    return out

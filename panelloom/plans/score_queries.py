@@ -44,14 +44,14 @@ def f05(t: Tables) -> DataFrame:
     return forecast.held_out_median(_pairs(t), "y", 5).select("test_fold", F.round("train_median", 6).alias("train_median"))
 
 
-@register("f06_shrunk_trend", _RATES + """, z as (select fold, (obs_id % 5) as inr, y, lag(y / dt_yr) over (partition by entity_id order by obs_id) * dt_yr as x from n),
+@register("f06_shrunk_trend", _RATES + """, z as (select fold, cast(('0x' || substr(md5('100:' || fold || ':' || entity_id), 1, 8)) as bigint) % 5 as inr, y, lag(y / dt_yr) over (partition by entity_id order by obs_id) * dt_yr as x from n),
 g as (select f.fold as test_fold, a.alpha, inr, avg(abs(y - a.alpha * x)) as mae from z, (values (0), (1), (2), (3), (4)) f(fold), (values (0.0), (0.25), (0.5), (1.0)) a(alpha) where z.fold <> f.fold and x is not null group by all),
 m as (select test_fold, alpha, round(avg(mae), 9) as score from g group by all)
 select test_fold::int as test_fold, first(alpha order by score, alpha)::double as alpha from m group by test_fold""")
 def f06(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = _pairs(t).withColumn("inner", (F.col("obs_id") % 5).cast("int"))
+    rows = _by_entity(_pairs(t))
     rows = rows.withColumn("x", F.lag(F.col("y") / F.col("dt_yr")).over(Window.partitionBy("entity_id").orderBy("obs_id")) * F.col("dt_yr")).where("x is not null")
     return forecast.shrunk_trend(rows, [0.0, 0.25, 0.5, 1.0], 5).select("test_fold", "alpha")
 
@@ -80,26 +80,6 @@ def f10(t: Tables) -> DataFrame:
     return forecast.blup(sums, par).select("entity_id", F.round("u0", 6).alias("u0"), F.round("u1", 6).alias("u1"), F.lit(bool(par["converged"])).alias("converged"))
 
 
-@register("f15_logistic")
-def f15(t: Tables) -> DataFrame:
-    """Out-of-fold logistic regression of quality on length, one fit per fold."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = t.scored().withColumn("log_p", F.log("p"))
-    rows = VectorAssembler(inputCols=["p", "log_p"], outputCol="x").transform(rows).cache()
-    out = None
-    for fold in range(5):
-        train = rows.where(F.col("fold") != fold)
-        if train.select("y").distinct().count() < 2:
-            continue
-        model = LogisticRegression(featuresCol="x", labelCol="y", regParam=0.01, elasticNetParam=0.0, maxIter=25, probabilityCol="q").fit(train)
-        part = model.transform(rows.where(F.col("fold") == fold)).select("doc_id", "fold", "y", F.round(vector_to_array("q")[1], 4).alias("q"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.select("doc_id", "fold", "y", F.lit(0.5).alias("q")).limit(0)
-
-
 @register("f12_gradient_boosting")
 def f12(t: Tables) -> DataFrame:
     """Absolute-loss boosted trees on the other folds, fold 0 held out."""
@@ -196,9 +176,7 @@ def e10(t: Tables) -> DataFrame:
 
 @register("e11_top_fifth", _RATES + ", c as (select quantile_cont(abs(y), 0.8) as cut from n) select obs_id, round(abs(y), 6) as change from n, c where abs(y) >= cut")
 def e11(t: Tables) -> DataFrame:
-    rows = _pairs(t).withColumn("change", F.abs("y"))
-    cut = rows.agg(F.percentile("change", F.lit(0.8)).alias("cut"))
-    return rows.crossJoin(F.broadcast(cut)).where("change >= cut").select("obs_id", F.round("change", 6).alias("change"))
+    return scores.top_share(_pairs(t).withColumn("change", F.abs("y")), "change", 0.2).select("obs_id", F.round("change", 6).alias("change"))
 
 
 @register("e12_e22_subsets", _RATES + ", s as (select 'all' as subset, * from n union all select 'long', * from n where dt_yr > 1 union all select 'small', * from n where pv < 100000 union all select 'post', * from n where post) select subset, count(*)::bigint as n, round(median(abs(y)), 6) as median_abs, round(avg((abs(v - pv) / pv > 0.2)::int), 6) as share_20 from s group by subset")
@@ -247,23 +225,11 @@ def h03(t: Tables) -> DataFrame:
     return scores.shrinkage(_pairs(t)).select("n", *[F.round(c, 6).alias(c) for c in ("rms", "median_sigma", "p50", "p90", "p95")])
 
 
-@register("h04_thresholds")
-def h04(t: Tables) -> DataFrame:
-    sigma = scores.robust_sd(_pairs(t), "y", ["post"]).withColumnRenamed("sd", "sigma")
-    return scores.noise_thresholds(sigma).select("post", *[F.round(c, 6).alias(c) for c in ("one_sided", "two_sided", "false_20", "false_50")])
-
-
 @register("i01_balanced_folds", "with r as (select o_custkey as entity_id, cast(('0x' || substr(md5('100:' || o_custkey), 1, 8)) as bigint) as o from (select distinct o_custkey from orders)) select entity_id, ((row_number() over (order by o, entity_id) - 1) % 5)::int as fold from r")
 def i01(t: Tables) -> DataFrame:
     return scores.balanced_folds(t.orders.select(F.col("o_custkey").alias("entity_id")), 5, "100")
 
 
-@register("i02_extend_folds")
-def i02(t: Tables) -> DataFrame:
-    known = scores.balanced_folds(t.orders.select(F.col("o_custkey").alias("entity_id")), 5, "100")
-    return scores.extend_folds(known, t.customer.select(F.col("c_custkey").alias("entity_id")), 5, "100")
-
-
 @register("i03_rotation", "with r as (select o_custkey as entity_id, cast(('0x' || substr(md5('100:' || o_custkey), 1, 8)) as bigint) as o from (select distinct o_custkey from orders)), f as (select entity_id, ((row_number() over (order by o, entity_id) - 1) % 5)::int as fold from r) select t.f::int as test_fold, case when fold = t.f then 'test' when fold = (t.f + 1) % 5 then 'validation' else 'train' end as role, count(*)::bigint as n from f, (values (0), (1), (2), (3), (4)) t(f) group by all")
 def i03(t: Tables) -> DataFrame:
     folds = scores.balanced_folds(t.orders.select(F.col("o_custkey").alias("entity_id")), 5, "100")

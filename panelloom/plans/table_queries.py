@@ -144,7 +144,7 @@ def e24(t: Tables) -> DataFrame:
 
 @register("k02_table_digest")
 def k02(t: Tables) -> DataFrame:
-    return C.table_digest(t.nation)
+    return C.table_digest(t.lineitem)
 
 
 @register("k04_k06_stratified_sample", "with s as (select o_orderkey, ntile(16) over (order by o_totalprice, o_orderkey) as stratum from orders), n as (select stratum, count(*) as n from s group by 1), r as (select s.*, row_number() over (partition by s.stratum order by o.o_totalprice, s.o_orderkey) - 1 as place from s join orders o using (o_orderkey)) select r.stratum::int as stratum, r.o_orderkey from r join n using (stratum) where place = cast(('0x' || substr(sha256('3:' || r.stratum), 1, 8)) as bigint) % n.n")

@@ -4,9 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import estimates, review, scores, voxel
+from panelloom.functions import spread
+from panelloom.operators import checks, estimates, forecast, intake, review, scores, summaries, voxel
 from panelloom.operators import windows as X
-from panelloom.plans import cohort_queries, panel_queries, score_queries, voxel_queries
+from panelloom.plans import cohort_queries, intake_queries, panel_queries, score_queries, table_queries, voxel_queries
 from panelloom.streaming import incremental
 
 PANEL = "entity_id string, obs_id long, t double, v double, cls string, crossed boolean, post boolean, absent boolean"
@@ -56,17 +57,27 @@ def test_folds_are_balanced_and_extend(spark):
     assert sum(sizes) == 150 and max(sizes) - min(sizes) <= 1
 
 
-@pytest.mark.parametrize("module", [panel_queries, score_queries, voxel_queries, cohort_queries])
-def test_queries_have_the_columns_of_their_sql(spark, module):
+def _plain(value):
+    if isinstance(value, float):
+        return "nan" if value != value else round(value, 6) + 0.0
+    return value
+
+
+@pytest.mark.parametrize("module", [panel_queries, score_queries, voxel_queries, cohort_queries, table_queries, intake_queries])
+def test_queries_have_the_rows_of_their_sql(spark, module):
     folder = "/root/testdata/sf0.001"
     connection = duckdb.connect()
-    for table in "customer supplier part orders lineitem events documents embeddings pages labels conversations".split():
+    for table in "region nation customer supplier part orders lineitem events documents embeddings pages labels conversations".split():
         connection.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
     sql = module.oracle_sql()
     for name, query in module.queries().items():
         if name in sql:
-            found = connection.execute(f"select * from ({sql[name]}) limit 0").description
-            assert sorted(query(spark, folder).columns) == sorted(c[0] for c in found), name
+            result = connection.execute(sql[name])
+            columns = [c[0] for c in result.description]
+            found = query(spark, folder)
+            assert sorted(found.columns) == sorted(columns), name
+            expected = sorted(repr([_plain(v) for v in row]) for row in result.fetchall())
+            assert sorted(repr([_plain(v) for v in row]) for row in found.select(*[f"`{c}`" for c in columns]).collect()) == expected, name
 
 
 def test_natural_key_sorts_digit_runs_as_numbers(spark):
@@ -132,3 +143,137 @@ def test_inner_folds_keep_entities_together(spark):
     rows = spark.createDataFrame([(e, o, e % 5) for e in range(200) for o in range(6)], "entity_id long, obs_id long, fold int")
     per = score_queries._by_entity(rows).groupBy("entity_id").agg(F.countDistinct("inner").alias("n"), F.min("inner").alias("inner")).collect()
     assert {r.n for r in per} == {1} and {r.inner for r in per} == set(range(5))
+
+
+def test_quantiles_and_running_totals_beyond_the_small_size(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=4000), np.full(3000, 0.25), rng.exponential(size=2000) * 1e6])
+    table = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.01, 0.2, 0.5, 0.75, 0.999, 1.0]
+    monkeypatch.setattr(spread, "SMALL", 50)
+    assert np.allclose(spread.quantiles(table, "v", shares), np.quantile(values, shares))
+    per = table.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    got = spread.running_totals(per, "v", {"upto": F.col("n")}).orderBy("v").collect()
+    order = np.sort(values)
+    assert [r.upto for r in got] == [int(np.searchsorted(order, r.v, side="right")) for r in got]
+    assert all(x != x for x in spread.quantiles(table.where("false"), "v", [0.5]))
+
+
+def test_manifest_files_are_checked(spark, tmp_path):
+    head = "patient_id,timepoint_id,study_days,image_path,mask_path,intervened_since_previous,no_residual_vs\n"
+    good = head + "A,t0,0,i,m,,\nA,t1,100,i,m,false,no\nA,t2,200,i,m,0,N\nA,t3,300,i,m,yes,\n"
+    (tmp_path / "good.csv").write_text(good)
+    rows = intake.load_manifest(spark, str(tmp_path / "good.csv")).orderBy("study_days").collect()
+    assert [r.intervened_since_previous for r in rows] == [None, False, False, True] and [r.no_residual_vs for r in rows] == [None, False, False, None]
+    for name, text, fault in (("empty", head, "no rows"), ("late", good + "A,t4,300,i,m,,\n", "A/t4: not_increasing"), ("twice", good + "A,t0,400,i,m,,\n", "A/t0: repeated"), ("null", good + "B,t0,,i,m,,\n", "B/t0: missing")):
+        (tmp_path / f"{name}.csv").write_text(text)
+        with pytest.raises(ValueError, match=fault):
+            intake.load_manifest(spark, str(tmp_path / f"{name}.csv"))
+    (tmp_path / "flag.csv").write_text(good + "B,t0,1,i,m,maybe,\n")
+    with pytest.raises(Exception, match="not a flag"):
+        intake.load_manifest(spark, str(tmp_path / "flag.csv")).collect()
+
+
+def test_checked_joins(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, x string")
+    right = spark.createDataFrame([(1, 5), (3, 6)], "k int, y int")
+    assert [tuple(r) for r in intake.one_to_one(left, right, ["k"]).collect()] == [(1, "a", 5)]
+    with pytest.raises(Exception, match="repeats on the right: 1"):
+        intake.one_to_one(left, right.unionByName(right), ["k"]).collect()
+    assert sorted((r.k or 0, r.n) for r in intake.unmatched(left, right, "k").collect()) == [(0, 1), (2, 1)]
+    with pytest.raises(ValueError, match="without a match: .*2"):
+        intake.many_to_one(left, right, "k")
+    assert intake.many_to_one(left, right, "k", how="inner").count() == 1
+    with pytest.raises(ValueError, match="repeats"):
+        intake.many_to_one(left, right.unionByName(right), "k")
+    merged = intake.mapped_merge(left, right.withColumnRenamed("y", "value"), {"k": "k"}, {"x": "value", "new": "value"})
+    assert sorted((r.k or 0, r.x, r.new, r.matched) for r in merged.collect()) == [(0, "c", None, False), (1, "5", 5, True), (2, "b", None, False)]
+    with pytest.raises(ValueError, match="missing"):
+        intake.mapped_merge(left, right, {"k": "id"}, {})
+
+
+def test_logistic_fits_are_stationary_and_costs_are_the_best(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 300
+    x, fold, inner = rng.normal(size=(n, 2)), rng.integers(0, 3, n), rng.integers(0, 2, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.8 * x[:, 0] - 0.5)))).astype(int)
+    rows = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), int(y[i]), int(fold[i]), int(inner[i])) for i in range(n)], "id int, a double, b double, y int, fold int, inner int")
+    costs = [0.01, 1.0]
+    got = {r.id: (r.p, r.cost) for r in forecast.logistic_with_inner_cv(rows, ["a", "b"], "y", costs).collect()}
+
+    def fit(train, cost, mean, sd):
+        z = np.column_stack([np.ones(train.sum()), (x[train] - mean) / sd])
+        beta, ridge = np.zeros(3), np.diag([0, 1 / cost, 1 / cost])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z @ beta))
+            beta = beta + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y[train] - p) - ridge @ beta)
+        return lambda rows: 1 / (1 + np.exp(-(np.column_stack([np.ones(rows.sum()), (x[rows] - mean) / sd]) @ beta)))
+
+    for f in range(3):
+        train = fold != f
+        mean, sd = x[train].mean(axis=0), x[train].std(axis=0) + 1e-9
+        loss = []
+        for cost in costs:
+            each = []
+            for i in range(2):
+                held = train & (inner == i)
+                p = fit(train & (inner != i), cost, mean, sd)(held)
+                each.append(-np.mean(np.where(y[held] == 1, np.log(p), np.log(1 - p))))
+            loss.append(np.mean(each))
+        best = costs[int(np.argmin(np.round(loss, 9)))]
+        expected = fit(train, best, mean, sd)(fold == f)
+        assert np.allclose([got[i][0] for i in np.flatnonzero(fold == f)], expected, atol=1e-6) and {got[i][1] for i in np.flatnonzero(fold == f)} == {best}
+
+
+def test_ridge_inner_cv_equals_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n = 120
+    x, fold, inner = rng.normal(size=(n, 2)), rng.integers(0, 3, n), rng.integers(0, 3, n)
+    y = x[:, 0] * 0.3 + rng.normal(size=n)
+    rows = spark.createDataFrame([(i, float(x[i, 0]), float(x[i, 1]), float(y[i]), int(fold[i]), int(inner[i])) for i in range(n)], "id int, a double, b double, y double, fold int, inner int")
+    got = {r.id: r for r in forecast.ridge_with_inner_cv(rows, ["a", "b"], "y", [0.1, 10.0, 1000.0]).collect()}
+
+    def fit(train, penalty, test):
+        mean, sd = x[train].mean(axis=0), x[train].std(axis=0) + 1e-9
+        z = (x[train] - mean) / sd
+        beta = np.linalg.solve(z.T @ z + penalty * np.eye(2), z.T @ (y[train] - y[train].mean()))
+        return y[train].mean() + (x[test] - mean) / sd @ beta
+
+    for f in range(3):
+        train = fold != f
+        score = [np.mean([np.abs(fit(train & (inner != i), p, train & (inner == i)) - y[train & (inner == i)]).mean() for i in range(3)]) for p in (0.1, 10.0, 1000.0)]
+        best = (0.1, 10.0, 1000.0)[int(np.argmin(score))]
+        own = np.flatnonzero(fold == f)
+        assert {got[i].penalty for i in own} == {best} and np.allclose([got[i].pred for i in own], fit(train, best, fold == f), atol=1e-8)
+
+
+def test_bootstrap_takes_any_estimator(spark):
+    rows = spark.createDataFrame([(e, float(e % 7 + i)) for e in range(60) for i in range(3)], "entity_id int, v double")
+    mean = lambda drawn, by: drawn.groupBy(by).agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("estimate"))
+    a = summaries.bootstrap(rows, "entity_id", 80, "s", estimator=mean).first()
+    b = summaries.bootstrap(rows, "entity_id", 80, "s", function=lambda frame: frame["v"].mean()).first()
+    assert a.replicates == b.replicates == 80 and abs(a.lo - b.lo) < 1e-9 and abs(a.hi - b.hi) < 1e-9 and a.lo < 4 < a.hi
+    few = summaries.bootstrap(rows, "entity_id", 40, "s", estimator=mean).first()
+    assert few.lo is None and few.replicates == 40
+
+
+def test_table_digest_tells_rows_apart_whatever_their_order(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k int, x string")
+    digest = lambda df: tuple(checks.table_digest(df).first())
+    assert digest(rows) == digest(rows.orderBy(F.desc("k")).select("x", "k")) and len(digest(rows)[1]) == 64
+    assert len({digest(d) for d in (rows, rows.distinct(), rows.where("false"), rows.withColumn("x", F.lit("a")))}) == 4
+
+
+def test_filled_holes_and_cubes_with_a_tunnel(spark):
+    box = [(z, y, x) for z in range(1, 6) for y in range(1, 6) for x in range(1, 6)]
+    shell = [v for v in box if not all(1 < c < 5 for c in v)]
+    tunnel = [v for v in shell if v != (1, 3, 3)]
+    rows = [(case, *v, 1.0) for case, mask in ((1, shell), (2, tunnel)) for v in mask] + [(1, 3, 3, 3, 0.0), (3, 0, 0, 0, None)]
+    got = voxel.filled_foreground(spark.createDataFrame(rows, "case_id int, z int, y int, x int, value double"), 7).groupBy("case_id").count().collect()
+    assert {r.case_id: r["count"] for r in got} == {1: 125, 2: len(tunnel)}
