@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Up to so many rows a quantile is taken in one aggregation.
-SMALL = 100_000
+SMALL = 1_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

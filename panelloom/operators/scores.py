@@ -138,9 +138,8 @@ def zero_interval(pairs: DataFrame, bins: int = 5, least: int = 5) -> DataFrame:
 
     Bins of under `least` rows are left out; of fewer than 15 pairs there are two bins. Null if one bin or none is left.
     """
-    n = pairs.count() if bins > 2 else None
-    if n is not None and n < 15:
-        bins = max(2, n // 15)
+    if bins > 2 and pairs.limit(15).count() < 15:
+        bins = 2
     edges = quantiles(pairs, "dt_yr", [i / bins for i in range(1, bins)])
     binned = pairs.withColumn("bin", sum(((F.col("dt_yr") >= e).cast("int") for e in edges), F.lit(0)))
     sd = robust_sd(binned, "y", ["bin"])

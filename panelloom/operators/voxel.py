@@ -66,7 +66,7 @@ def hd95(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], q: flo
     A surface voxel reads its distance off the distance transform of the other surface, on a grid of `size` (found from
     the masks where it is not given), so a case costs its grid and not the square of its surface.
     """
-    s, t = surface(a), surface(b)
+    s, t = checkpointed(surface(a)), checkpointed(surface(b))
     if size is None:
         ends = a.select(*VOXEL).unionByName(b.select(*VOXEL)).agg(F.max(F.greatest(*VOXEL))).first()[0]
         size = 1 + (ends or 0)

@@ -52,7 +52,7 @@ def j05(t: Tables) -> DataFrame:
 @register("j06_hd95", _M + _SURFACE + ", p as (select * from f where tp = 1), r as (select * from f where tp = 2), d as (select p.case_id, sqrt(min(pow(p.z - r.z, 2) + pow(p.y - r.y, 2) + pow(p.x - r.x, 2))) * 0.58 as d from p join r on p.case_id = r.case_id group by p.case_id, p.z, p.y, p.x union all select p.case_id, sqrt(min(pow(p.z - r.z, 2) + pow(p.y - r.y, 2) + pow(p.x - r.x, 2))) * 0.58 from p join r on p.case_id = r.case_id group by p.case_id, r.z, r.y, r.x) select case_id, round(quantile_cont(d, 0.95), 5) as hd95 from d group by case_id")
 def j06(t: Tables) -> DataFrame:
     m = t.spheres()
-    return V.hd95(m.where("tp = 1"), m.where("tp = 2"), (0.58, 0.58, 0.58)).select("case_id", F.round("hd95", 5).alias("hd95"))
+    return V.hd95(m.where("tp = 1"), m.where("tp = 2"), (0.58, 0.58, 0.58), size=12).select("case_id", F.round("hd95", 5).alias("hd95"))
 
 
 @register("j07_centroid", _M + "select case_id, tp, round(avg(z), 6) as cz, round(avg(y), 6) as cy, round(avg(x), 6) as cx from m group by case_id, tp")
