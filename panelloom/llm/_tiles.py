@@ -35,17 +35,21 @@ def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFr
 
 
 def once(rows: DataFrame, key: str, id_column: str, tile: int, sketch: Column, sketch_bits: int) -> DataFrame:
-    """chunked() for rows of two columns with unique ids in a cell, without cells that need no comparison.
+    """chunked() for rows of key and id (and component) with unique ids in a cell, without cells that need no comparison.
 
     Cells of exactly two rows whose sketches (a non-negative int or a long made from the id) differ in more than
     sketch_bits bits are left out, and of the cells that hold the same rows one is kept: all of them would make the
-    same comparisons. Equal sets are known by their size and the xor of their ids' hashes and sketches. The rows are
+    same comparisons. So are cells whose rows share one component, where rows have that column. Equal sets are known by their size and the xor of their ids' hashes and sketches. The rows are
     shuffled by cell once, for the counts and for the join with them; the filter is one that the join would infer on
     its side alone, which would keep the exchange from being shared.
     """
-    rows = rows.select(key, id_column).where(F.col(key).isNotNull()).repartition(key)
+    told = [c for c in rows.columns if c == "component"]
+    rows = rows.select(key, id_column, *told).where(F.col(key).isNotNull()).repartition(key)
     counted = [F.count(F.lit(1)).alias("__n"), F.min(id_column).alias("__leader"), F.bit_xor(sketch).alias("__xor"), F.bit_xor(F.xxhash64(id_column)).alias("__set")]
+    counted += [F.min(c).alias("__least") for c in told] + [F.max(c).alias("__most") for c in told]
     sizes = rows.groupBy(key).agg(*counted).where(f"__n > 2 or __n = 2 and bit_count(__xor) <= {sketch_bits}")
+    if told:
+        sizes = sizes.where("__least <> __most")
     return chunked(rows, sizes.groupBy("__n", "__xor", "__set").agg(F.min(key).alias(key), F.min("__leader").alias("__leader")), [key], id_column, tile)
 
 

@@ -164,13 +164,14 @@ def _block_rows(words: int, rounds: int, first: int = 0):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             node = frame["node"].to_numpy()
+            own = {c: frame[c] for c in frame.columns if c == "component"}
             packed = np.stack([frame[f"fp{w}"].to_numpy() for w in range(words)], axis=1).view(np.uint8)
             bits = np.ascontiguousarray(np.unpackbits(packed, axis=1, bitorder="little").T)
             for number, chosen in numbered:
                 value = np.zeros(len(frame), dtype=np.uint32)
                 for place, bit in enumerate(chosen):
                     value |= bits[bit].astype(np.uint32) << np.uint32(place)
-                yield pd.DataFrame({"cell": nearest_anchors(value).astype(np.int64) + (number << 32), "node": node})
+                yield pd.DataFrame({"cell": nearest_anchors(value).astype(np.int64) + (number << 32), "node": node, **own})
 
     return run
 
@@ -240,26 +241,40 @@ def _compared(units: DataFrame, prints: DataFrame, words: int, max_bits: int) ->
 def _links(prints: DataFrame, words: int, max_bits: int, tile: int, passes: list) -> DataFrame:
     """(a, b): links of nodes that meet in a cell and differ in at most max_bits bits, as spanning forests.
 
-    passes: functions that give the cells of the nodes, one pass's shuffles at a time. Cells of over `tile` nodes are
-    compared in chunks first, and in the end the nodes outside the largest component of such a cell with all others.
+    passes: functions that give the cells of the nodes, one pass's shuffles at a time. Cells whose nodes are all in one
+    component after the passes before are left out. Cells of over `tile` nodes are compared in chunks first, and in the
+    end the nodes outside the largest component of such a cell with all others.
     """
     spark = prints.sparkSession
-    anchored = lambda rows: prints.mapInPandas(rows, "cell long, node long")
     sketch, sketch_bits = (F.col("node"), max_bits) if words == 1 else (F.col("node").bitwiseAND(F.lit(_LOW).cast("long")), SKETCH_BITS)
-    edges, crowded = None, []
+    edges, linked, crowded = None, None, []
     for rows in passes:
-        found = _compared(_tiles.once(anchored(rows), "cell", "node", tile, sketch, sketch_bits), prints, words, max_bits)
-        edges = found.where("b is not null") if edges is None else edges.unionByName(found.where("b is not null"))
-        cells = found.where("b is null").select(F.col("a").alias("cell"))
-        if not cells.isEmpty():
-            cells, n = cells.distinct(), cells.count()
-            crowded.append(anchored(rows).join(F.broadcast(cells) if n <= 100_000 else cells, "cell", "left_semi"))
+        cells = prints.mapInPandas(rows, "cell long, node long")
+        known = cells
+        if linked is not None:
+            labelled = prints.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            known = labelled.mapInPandas(rows, "cell long, node long, component long")
+        found = _compared(_tiles.once(known, "cell", "node", tile, sketch, sketch_bits), prints, words, max_bits)
+        new = found.where("b is not null")
+        edges = checkpointed(_stars(new if edges is None else edges.unionByName(new)))
+        hot = found.where("b is null").select(F.col("a").alias("cell"))
+        if not hot.isEmpty():
+            hot, n = hot.distinct(), hot.count()
+            crowded.append(cells.join(F.broadcast(hot) if n <= 100_000 else hot, "cell", "left_semi"))
+        if len(passes) > 1 or crowded:
+            linked = checkpointed(components(edges))
         free_shuffles(spark)
-    if crowded:
-        linked = components(edges)
-        for rows in crowded:
-            edges = edges.unionByName(_compared(_tiles.against_rest(rows, linked, ["cell"], "node", tile), prints, words, max_bits).where("b is not null"))
-    # A node has no more links here than cells. All but the least of them hang on that one instead, which leaves few.
+    for cells in crowded:
+        more = _compared(_tiles.against_rest(cells, linked, ["cell"], "node", tile), prints, words, max_bits)
+        edges = edges.unionByName(more.where("b is not null"))
+    return _stars(edges) if crowded else edges
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: a node keeps the least of its links, on which its others hang instead.
+
+    A node has no more links than it has cells, so what is gathered for one is small.
+    """
     stars = edges.groupBy("a").agg(F.collect_set("b").alias("bs")).withColumn("m", F.array_min("bs"))
     others = F.transform(F.filter("bs", lambda b: b != F.col("m")), lambda b: F.struct(b.alias("a"), F.col("m").alias("b")))
     return stars.select(F.explode(F.concat(F.array(F.struct("a", F.col("m").alias("b"))), others)).alias("e")).select("e.*").distinct()
@@ -347,7 +362,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: i
     prints = fingerprints(texts, k, words, "text_key").withColumnRenamed("doc_id", "text_key").dropDuplicates(["text_key"])
     prints = checkpointed(prints.withColumn("node", _node(words)))
     distinct = checkpointed(prints.select("node", *names).distinct())
-    passes = [_block_rows(words, min(first + rounds_a_pass, rounds), first) for first in range(0, rounds, rounds_a_pass)]
+    # The first pass is one round alone: it joins most of what is alike, so that later passes leave out more cells.
+    ends = [*range(1, min(2, rounds + 1)), *range(rounds_a_pass, rounds, rounds_a_pass), rounds]
+    passes = [_block_rows(words, end, first) for first, end in zip([0, *ends], sorted(set(ends))) if end > first]
     edges = _links(distinct, words, max_bits, tile, passes)
     classes = prints.select("text_key", "node").join(components(edges), "node", "left")
     classes = checkpointed(classes.select("text_key", F.coalesce("component", "node").alias("class")))
