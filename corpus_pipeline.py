@@ -13,13 +13,21 @@ from panelloom.llm._spark import checkpointed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the classifier."""
+    """Documents that pass the base rules and the classifier, with all their columns.
+
+    Null and empty texts have too few words and go; equal rows share their verdict; without labels of both kinds the base
+    rules decide alone; an empty table gives an empty one.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs, model).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines of repeated three-line windows; n_chars follows the text."""
+    """Every document without the lines of repeated three-line windows; n_chars follows the text.
+
+    No row goes: a null text stays null, a text of repeated lines alone becomes empty. Rows of one id are told apart by
+    their texts, null ids come last, rows equal in both do not remove each other; an empty table gives an empty one.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = lines.remove_repeated_lines(docs, carry=rest)
     return cut.select("doc_id", "text", *[f"row.{c}" for c in rest], F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
@@ -30,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts are linked at a Jaccard similarity of 0.8 of their sets of five-word shingles, which is computed for all
     candidates; those are found by twelve SimHash words, of whose 768 bits 150 may differ (116 do on average at 0.8,
-    with a standard deviation of 10).
+    with a standard deviation of 10). Null and empty texts have no shingles and are alike; of rows with one id the one with
+    the least text hash stays, of equal rows one; an empty table gives an empty one.
     """
     return simhash.one_of_each(docs, simhash.similar_texts(docs, similarity=0.8, k=5, words=12, max_bits=150))
 
@@ -39,6 +48,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents repeated as often as the mixture takes them; every row counts, with a null or a repeated id too.
 
     Rows are known by the hash of all their columns; rows equal in everything share the copies that they are given.
+    Wordless texts are taken no time; a null source is a source of its own; an empty table gives an empty one.
     """
     weights = mixing.label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     row = F.xxhash64(*docs.columns)
@@ -53,7 +63,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and place of every document."""
+    """Bucket, batch and place of every document; a null text has length 0, repeated rows have places of their own, a null
+    id is drawn by its text, an empty table gives an empty one."""
     return packing.pack(docs)
 
 
