@@ -6,6 +6,8 @@ train on them. Fits by iteration aggregate to a few numbers a step.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,41 +170,87 @@ def blup(sums: DataFrame, par: dict) -> DataFrame:
     return out.withColumn("rss", F.col("rr") - 2 * (F.col("u0") * F.col("r0") + F.col("u1") * F.col("r1")) + fit + trace)
 
 
-def cox(survival: DataFrame, covariates: list[str], penalty: float = 0.05, steps: int = 12) -> list[tuple[str, float, float]]:
-    """(covariate, coefficient, standard error) of Cox's model with Breslow ties and an L2 penalty on the mean likelihood.
+def _polygamma(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digamma and trigamma of x > 0, by ten steps of recurrence and the asymptotic series."""
+    first, second = np.zeros(len(x)), np.zeros(len(x))
+    for _ in range(10):
+        first, second, x = first - 1 / x, second + 1 / x**2, x + 1
+    y = 1 / x**2
+    return first + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252)), second + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y / 42))
+
+
+def cox(survival: DataFrame, covariates: list[str], penalty: float = 0.05, steps: int = 25, ticks: float = 365.25) -> list[tuple[str, float, float, float, float]]:
+    """(covariate, coefficient, standard error, hazard ratio, p) of Cox's model with Efron ties, by rows of (time_yr, event).
 
-    Covariates are standardised. Each Newton step aggregates risk-set sums by distinct time (a time grid of
-    1/1000 year) and adds them up from the last time to the first over at most a few thousand rows.
+    Covariates are standardised, so a hazard ratio is that of one standard deviation; the L2 penalty is on the mean
+    likelihood; p is of Wald's test. Times are whole ticks of a year, days as they stand. A Newton step aggregates the
+    risk-set sums and those of the events by tick; the driver gets a row per tick, whose number follows the time span.
+    The sums over d events of one tick have closed forms in the digamma and trigamma functions.
     """
     stats = survival.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(covariates) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = [((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] + 1e-9)).alias(f"z{i}") for i, c in enumerate(covariates)]
-    rows = survival.select(F.round(F.col("time_yr") * 1000).cast("long").alias("time"), "event", *z).cache()
+    rows = survival.select(F.round(F.col("time_yr") * ticks).cast("long").alias("time"), F.col("event").cast("int").alias("event"), *z).cache()
     p, n = len(covariates), max(1, stats.n)
-    beta = np.zeros(p)
-    hessian = np.eye(p)
+    beta, hessian = np.zeros(p), np.eye(p)
     for _ in range(steps):
         risk = F.exp(sum((F.col(f"z{i}") * float(beta[i]) for i in range(p)), F.lit(0.0)))
-        sums = [F.sum("event").alias("d"), F.sum(risk).alias("w")]
-        sums += [F.sum(risk * F.col(f"z{i}")).alias(f"w{i}") for i in range(p)]
-        sums += [F.sum(risk * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"w{i}_{j}") for i in range(p) for j in range(i, p)]
+        parts = {"": risk, **{f"_{i}": risk * F.col(f"z{i}") for i in range(p)}, **{f"_{i}_{j}": risk * F.col(f"z{i}") * F.col(f"z{j}") for i in range(p) for j in range(i, p)}}
+        sums = [F.sum("event").alias("d"), *[F.sum(c).alias(f"w{k}") for k, c in parts.items()], *[F.sum(F.col("event") * c).alias(f"v{k}") for k, c in parts.items()]]
         sums += [F.sum(F.col("event") * F.col(f"z{i}")).alias(f"e{i}") for i in range(p)]
         g = rows.groupBy("time").agg(*sums).orderBy(F.desc("time")).toPandas()
-        w = g["w"].cumsum().to_numpy()
-        w1 = np.stack([g[f"w{i}"].cumsum() for i in range(p)], axis=1) / w[:, None]
-        gradient = g[[f"e{i}" for i in range(p)]].sum().to_numpy() - (g["d"].to_numpy()[:, None] * w1).sum(axis=0)
-        hessian = np.zeros((p, p))
+        gradient = g[[f"e{i}" for i in range(p)]].sum().to_numpy()
+        at_risk = g[[f"w{k}" for k in parts]].cumsum()
+        use = (g["d"] > 0).to_numpy()
+        d, w, v = g["d"].to_numpy(float)[use], at_risk["w"].to_numpy()[use], g["v"].to_numpy()[use]
+        w1, v1 = (np.stack([t[f"{k}_{i}"].to_numpy()[use] for i in range(p)], axis=1) for t, k in ((at_risk, "w"), (g, "v")))
+        # Over l = 0 .. d - 1: sums of 1 / (w - v l / d) and of its square.
+        top, low = _polygamma(w * d / v + 1), _polygamma(np.maximum(w * d / v - d, 0) + 1)
+        t1, t2 = d / v * (top[0] - low[0]), (d / v) ** 2 * (low[1] - top[1])
+        share, rest = v1 / v[:, None], w1 - v1 * (w / v)[:, None]
+        gradient = gradient - (d[:, None] * share + rest * t1[:, None]).sum(axis=0)
+        hessian = penalty * n * np.eye(p)
         for i in range(p):
             for j in range(i, p):
-                second = g[f"w{i}_{j}"].cumsum().to_numpy() / w
-                hessian[i, j] = hessian[j, i] = (g["d"].to_numpy() * (second - w1[:, i] * w1[:, j])).sum()
-        hessian += penalty * n * np.eye(p)
+                w2, v2 = at_risk[f"w_{i}_{j}"].to_numpy()[use], g[f"v_{i}_{j}"].to_numpy()[use]
+                second = d * v2 / v + (w2 - v2 * w / v) * t1
+                product = d * share[:, i] * share[:, j] + (share[:, i] * rest[:, j] + share[:, j] * rest[:, i]) * t1 + rest[:, i] * rest[:, j] * t2
+                hessian[i, j] += (second - product).sum()
+                hessian[j, i] = hessian[i, j]
         step = np.linalg.solve(hessian, gradient - penalty * n * beta)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
     error = np.sqrt(np.diag(np.linalg.inv(hessian)))
     rows.unpersist()
-    return [(c, float(b), float(e)) for c, b, e in zip(covariates, beta, error)]
+    return [(c, float(b), float(e), math.exp(b), math.erfc(abs(b / e) / math.sqrt(2))) for c, b, e in zip(covariates, beta, error)]
+
+
+def boosted_with_inner_cv(rows: DataFrame, features: list[str], target: str, depths: list[int], trees: list[int], fold: str = "fold", inner: str = "inner", seed: int = 7, parallelism: int = 8) -> DataFrame:
+    """Adds pred, depth and trees: out-of-fold boosted trees of absolute loss, every row predicted once.
+
+    For each outer fold the depth and number of trees are those of the least mean absolute error over the inner folds of
+    its training rows (numbered from 0, each with rows in every training set); the model is then fitted on all of these.
+    A null feature is an error of the assembler.
+    """
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from panelloom.functions.spread import checkpointed
+
+    kept = checkpointed(VectorAssembler(inputCols=features, outputCol="__x").transform(rows).withColumn(inner, F.col(inner).cast("int")))
+    bounds = kept.groupBy(fold).agg(F.max(inner).alias("inner")).collect()
+    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="pred", lossType="absolute", seed=seed)
+    grid = ParamGridBuilder().addGrid(model.maxDepth, depths).addGrid(model.maxIter, trees).build()
+    error = RegressionEvaluator(labelCol=target, predictionCol="pred", metricName="mae")
+    search = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=error, numFolds=max(r["inner"] for r in bounds) + 1, foldCol=inner, parallelism=parallelism)
+    out = None
+    for held in sorted(r[fold] for r in bounds):
+        best = search.fit(kept.where(F.col(fold) != held)).bestModel
+        part = best.transform(kept.where(F.col(fold) == held)).select(*rows.columns, "pred", F.lit(best.getMaxDepth()).alias("depth"), F.lit(best.getMaxIter()).alias("trees"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def triple_design(tuples: DataFrame, clinical: list[str] | None = None) -> DataFrame:

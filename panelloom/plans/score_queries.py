@@ -82,21 +82,16 @@ def f10(t: Tables) -> DataFrame:
 
 @register("f12_gradient_boosting")
 def f12(t: Tables) -> DataFrame:
-    """Absolute-loss boosted trees on the other folds, fold 0 held out."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = VectorAssembler(inputCols=["dt_yr", "lv"], outputCol="x").transform(_pairs(t).withColumn("lv", F.log("prev_v")))
-    model = GBTRegressor(featuresCol="x", labelCol="y", lossType="absolute", maxIter=5, maxDepth=2, seed=7).fit(rows.where("fold <> 0"))
-    scored = model.transform(rows.where("fold = 0"))
-    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 4).alias("mae"))
+    rows = _by_entity(_pairs(t)).withColumn("lv", F.log("prev_v"))
+    out = forecast.boosted_with_inner_cv(rows, ["dt_yr", "lv"], "y", [1, 2], [3, 6])
+    return out.groupBy("fold", "depth", "trees").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("y"))), 4).alias("mae"))
 
 
 @register("f18_cox")
 def f18(t: Tables) -> DataFrame:
     rows = _survival(t).withColumn("n", F.col("n_obs").cast("double"))
-    fit = forecast.cox(rows, ["log_v0", "n"])
-    return t.spark.createDataFrame([(c, round(b, 6), round(e, 6)) for c, b, e in fit], "covariate string, coefficient double, standard_error double")
+    fit = [(c, *(round(x, 6) for x in found)) for c, *found in forecast.cox(rows, ["log_v0", "n"])]
+    return t.spark.createDataFrame(fit, "covariate string, coefficient double, standard_error double, hazard_ratio double, p_value double")
 
 
 _AUC = "per as (select {by} p, sum(y) as pos, sum(1 - y) as neg from s group by {by} p), r as (select *, coalesce(sum(neg) over (partition by {part} order by p rows between unbounded preceding and 1 preceding), 0) as below from per)"
