@@ -84,6 +84,9 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         current = checkpointed(small)
         after = signature(current)
+        # The shuffles of a round are many small files where there are many partitions.
+        del both, least, large, small
+        free_shuffles(edges.sparkSession)
         if after == before:
             break
         before = after
