@@ -62,11 +62,16 @@ def gapless_rank(df: DataFrame, group: str, order: Column, name: str, ties: list
     return joined.withColumn(name, (F.col("__offset") + F.col("__in")).cast("long")).drop("__order", "__bucket", "__in", "__g", "__b", "__offset")
 
 
+#: Edges that one task reads in a round of components.
+EDGES_A_TASK = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (a, b).
 
     Alternates large-star and small-star steps, each a min aggregation and a join, until nothing changes; the
-    edge list never outgrows its first size. Nodes without an edge are absent.
+    edge list never outgrows its first size, and is kept in as many partitions as it needs. Nodes without an edge are
+    absent.
     """
 
     def signature(df: DataFrame) -> tuple:
@@ -77,12 +82,12 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = current.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        current = checkpointed(small)
+        current = checkpointed(small.coalesce(max(8, before[0] // EDGES_A_TASK)))
         after = signature(current)
         # The shuffles of a round are many small files where there are many partitions.
         del both, least, large, small

@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.llm._spark import checkpointed
+
 
 def tiled(rows: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:
     """Rows of groups with two or more members, sent to every tile (i, j) that must see them, with i <= j.
@@ -39,18 +41,21 @@ def once(rows: DataFrame, key: str, id_column: str, tile: int, sketch: Column, s
 
     Cells of exactly two rows whose sketches (a non-negative int or a long made from the id) differ in more than
     sketch_bits bits are left out, and of the cells that hold the same rows one is kept: all of them would make the
-    same comparisons. So are cells whose rows share one component, where rows have that column. Equal sets are known by their size and the xor of their ids' hashes and sketches. The rows are
-    shuffled by cell once, for the counts and for the join with them; the filter is one that the join would infer on
-    its side alone, which would keep the exchange from being shared.
+    same comparisons. So are cells whose rows share one component, where rows have that column. Equal sets are known by
+    their size and the xor of their ids' hashes and sketches. The rows are made and shuffled by cell once: a cell is
+    measured by window sums, which spill, and what is left of the rows is written before it is read twice.
     """
     told = [c for c in rows.columns if c == "component"]
-    rows = rows.select(key, id_column, *told).where(F.col(key).isNotNull()).repartition(key)
-    counted = [F.count(F.lit(1)).alias("__n"), F.min(id_column).alias("__leader"), F.bit_xor(sketch).alias("__xor"), F.bit_xor(F.xxhash64(id_column)).alias("__set")]
-    counted += [F.min(c).alias("__least") for c in told] + [F.max(c).alias("__most") for c in told]
-    sizes = rows.groupBy(key).agg(*counted).where(f"__n > 2 or __n = 2 and bit_count(__xor) <= {sketch_bits}")
+    cell = Window.partitionBy(key)
+    measures = {"__n": F.count(F.lit(1)), "__leader": F.min(id_column), "__xor": F.bit_xor(sketch), "__set": F.bit_xor(F.xxhash64(id_column))}
+    measures |= {name: f(c) for c in told for name, f in (("__least", F.min), ("__most", F.max))}
+    measured = rows.select(key, id_column, *told).where(F.col(key).isNotNull()).withColumns({name: value.over(cell) for name, value in measures.items()})
+    left = measured.where(f"__n > 2 or __n = 2 and bit_count(__xor) <= {sketch_bits}")
     if told:
-        sizes = sizes.where("__least <> __most")
-    return chunked(rows, sizes.groupBy("__n", "__xor", "__set").agg(F.min(key).alias(key), F.min("__leader").alias("__leader")), [key], id_column, tile)
+        left = left.where("__least <> __most")
+    left = checkpointed(left.select(key, id_column, "__n", "__leader", "__xor", "__set"))
+    sizes = left.groupBy("__n", "__xor", "__set").agg(F.min(key).alias(key), F.min("__leader").alias("__leader"))
+    return chunked(left.select(key, id_column), sizes, [key], id_column, tile)
 
 
 def chunked(rows: DataFrame, sizes: DataFrame, keys: list[str], id_column: str, tile: int) -> DataFrame:

@@ -239,15 +239,22 @@ def _compared(units: DataFrame, prints: DataFrame, words: int, max_bits: int) ->
 
 
 def _links(prints: DataFrame, words: int, max_bits: int, tile: int, passes: list) -> DataFrame:
-    """(a, b): links of nodes that meet in a cell and differ in at most max_bits bits, as spanning forests.
+    """(node, component) of the nodes linked to others: they meet in a cell and differ in at most max_bits bits.
 
     passes: functions that give the cells of the nodes, one pass's shuffles at a time. Cells whose nodes are all in one
-    component after the passes before are left out. Cells of over `tile` nodes are compared in chunks first, and in the
-    end the nodes outside the largest component of such a cell with all others.
+    component after the passes before are left out, and a pass goes on from those components. Cells of over `tile` nodes
+    are compared in chunks first, and in the end the nodes outside the largest component of such a cell with all others.
     """
     spark = prints.sparkSession
     sketch, sketch_bits = (F.col("node"), max_bits) if words == 1 else (F.col("node").bitwiseAND(F.lit(_LOW).cast("long")), SKETCH_BITS)
-    edges, linked, crowded = None, None, []
+    linked, crowded = None, []
+
+    def joined(new: DataFrame) -> DataFrame:
+        edges = _stars(new)
+        if linked is not None:
+            edges = edges.unionByName(linked.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return checkpointed(components(edges))
+
     for rows in passes:
         cells = prints.mapInPandas(rows, "cell long, node long")
         known = cells
@@ -255,19 +262,17 @@ def _links(prints: DataFrame, words: int, max_bits: int, tile: int, passes: list
             labelled = prints.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
             known = labelled.mapInPandas(rows, "cell long, node long, component long")
         found = _compared(_tiles.once(known, "cell", "node", tile, sketch, sketch_bits), prints, words, max_bits)
-        new = found.where("b is not null")
-        edges = checkpointed(_stars(new if edges is None else edges.unionByName(new)))
+        linked = joined(found.where("b is not null"))
         hot = found.where("b is null").select(F.col("a").alias("cell"))
         if not hot.isEmpty():
             hot, n = hot.distinct(), hot.count()
             crowded.append(cells.join(F.broadcast(hot) if n <= 100_000 else hot, "cell", "left_semi"))
-        if len(passes) > 1 or crowded:
-            linked = checkpointed(components(edges))
         free_shuffles(spark)
+    more = None
     for cells in crowded:
-        more = _compared(_tiles.against_rest(cells, linked, ["cell"], "node", tile), prints, words, max_bits)
-        edges = edges.unionByName(more.where("b is not null"))
-    return _stars(edges) if crowded else edges
+        new = _compared(_tiles.against_rest(cells, linked, ["cell"], "node", tile), prints, words, max_bits).where("b is not null")
+        more = new if more is None else more.unionByName(new)
+    return linked if more is None else joined(more)
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -289,8 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, words: int = 1, max_bits: int =
     names = [f"fp{w}" for w in range(words)]
     prints = checkpointed(fingerprints(docs, k, words, id_column, text_column))
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", _node(words))
-    edges = _links(distinct.select("node", *names), words, max_bits, tile, [_anchor_rows if words == 1 else _block_rows(words, rounds)])
-    found = components(edges)
+    found = _links(distinct.select("node", *names), words, max_bits, tile, [_anchor_rows if words == 1 else _block_rows(words, rounds)])
     rooted = distinct.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.select("root", *names).join(firsts, "root").select("component_id", *names)
@@ -348,7 +352,7 @@ def _similar(similarity: float):
     return lambda frames: _tiles.run_units(frames, keys, one)
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: int = 12, max_bits: int = 150, tile: int = 1024, set_tile: int = 256, rounds: int = 16, rounds_a_pass: int = 4, text_column: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: int = 12, max_bits: int = 150, tile: int = 1024, set_tile: int = 256, rounds: int = 16, rounds_a_pass: int = 8, text_column: str = "text") -> DataFrame:
     """(text_key, component) of every distinct text; texts are linked if their k-word shingle sets are that similar.
 
     Candidates are the classes of fingerprints that share an anchor and differ in at most max_bits of 64 * words bits;
@@ -365,8 +369,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: i
     # The first pass is one round alone: it joins most of what is alike, so that later passes leave out more cells.
     ends = [*range(1, min(2, rounds + 1)), *range(rounds_a_pass, rounds, rounds_a_pass), rounds]
     passes = [_block_rows(words, end, first) for first, end in zip([0, *ends], sorted(set(ends))) if end > first]
-    edges = _links(distinct, words, max_bits, tile, passes)
-    classes = prints.select("text_key", "node").join(components(edges), "node", "left")
+    found = _links(distinct, words, max_bits, tile, passes)
+    classes = prints.select("text_key", "node").join(found, "node", "left")
     classes = checkpointed(classes.select("text_key", F.coalesce("component", "node").alias("class")))
     free_shuffles(docs.sparkSession)
     sizes = checkpointed(classes.groupBy("class").agg(F.count(F.lit(1)).alias("__n"), F.min("text_key").alias("__leader")).where("__n > 1"))
@@ -381,7 +385,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: i
     edges = compared(_tiles.chunked(classes, sizes, ["class"], "text_key", set_tile))
     crowded = classes.join(sizes.where(F.col("__n") > set_tile), "class", "left_semi")
     if not crowded.isEmpty():
-        edges = edges.unionByName(compared(_tiles.against_rest(crowded, components(edges), ["class"], "text_key", set_tile)))
+        linked = checkpointed(components(edges))
+        more = compared(_tiles.against_rest(crowded, linked, ["class"], "text_key", set_tile))
+        edges = more.unionByName(linked.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         free_shuffles(docs.sparkSession)
     found = components(edges).withColumnRenamed("node", "text_key")
     return classes.join(found, "text_key", "left").select("text_key", F.coalesce("component", "text_key").alias("component"))
