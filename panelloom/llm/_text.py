@@ -15,6 +15,7 @@ IS_SEPARATOR = np.zeros(256, dtype=bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
 
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_VALUE = np.random.default_rng(20250611).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -52,6 +53,11 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+def ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ..., size - 1 for each size, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 @dataclass
 class TextBlock:
     """Some consecutive texts as one byte array; null texts have no bytes."""
@@ -64,11 +70,11 @@ class TextBlock:
     def rows(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Byte starts, byte ends and row numbers of the words, in order."""
+    def words(self, separator: np.ndarray = IS_SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte starts, byte ends and row numbers of the words, in order; separator: whether a byte value parts words."""
         data, offsets = self.data, self.offsets
         inside = np.zeros(len(data) + 2, dtype=bool)
-        np.logical_not(IS_SEPARATOR[data], out=inside[1:-1])
+        np.logical_not(separator[data], out=inside[1:-1])
         begin = inside[1:-1] & ~inside[:-2]
         finish = inside[1:-1] & ~inside[2:]
         cuts = offsets[1:-1]
@@ -96,6 +102,12 @@ class TextBlock:
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return span_hashes(self.byte_values(), starts, ends)
 
+    def second_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words that do not depend on word_hashes; the work follows the bytes of the given words."""
+        sizes = ends - starts
+        upto = np.cumsum(sizes)
+        return span_hashes(_OTHER_VALUE[self.data[np.repeat(starts, sizes) + ranges(sizes)]], upto - sizes, upto)
+
 
 def shingle_hashes(word_hash: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive words inside one row, and the index of each first word."""
