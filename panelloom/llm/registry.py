@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelloom.llm import chat, decontamination, embedding, infill, lines, mixing, packing, pii, quality, sharding, simhash, substring
+from panelloom.llm import chat, decontamination, embedding, infill, lines, mixing, packing, pii, quality, sharding, simhash, substring, trie
 
-_MODULES = (lines, quality, chat, mixing, sharding, embedding, packing, pii, simhash, substring, infill, decontamination)
+_MODULES = (lines, quality, chat, mixing, sharding, embedding, packing, pii, simhash, substring, infill, decontamination, trie)
 
 
 def queries() -> dict:
