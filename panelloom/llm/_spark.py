@@ -28,6 +28,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What stands for a null id in orders and joins; row_identity tells it from the id of this value.
+NO_ID = 2**63 - 1
+IDENTITY = ("doc", "text_key", "text_key2")
+
+
+def row_identity(id_column: Column, text_column: Column) -> list[Column]:
+    """(doc, text_key, text_key2): rows of equal id and text are one, others are told apart by 127 bits of the text.
+
+    In their order ids come first, then a hash of the text; null ids come last.
+    """
+    own, text = id_column.cast("long"), F.coalesce(text_column, F.lit(""))
+    bits = F.shiftleft(F.crc32(text).cast("long"), 31).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)))
+    told = bits.bitwiseOR(F.when(own.isNull(), F.lit(0)).otherwise(F.lit(-(2**63))).cast("long"))
+    return [F.coalesce(own, F.lit(NO_ID)).alias("doc"), told.alias("text_key"), F.xxhash64(F.lit(7), text).alias("text_key2")]
+
+
 def keyed_uniform(seed: str, *keys: Column) -> Column:
     """A double in (0, 1) drawn from md5(seed:key...); SQL engines agree on it."""
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *keys).cast("binary")), 1, 13)

@@ -9,8 +9,8 @@ centroids are; the price is that vectors without cluster structure are shown to
 once and counted by their number; cells of any size are cut into tiles, and a tile returns link counts and a spanning
 forest, not its pairs.
 
-Edge cases: vectors that are null, zero, of another length than most or with null or non-finite components, and rows
-with a null label, link with nothing and are kept; equal vectors (repeated rows) link with each other; rows that repeat a
+Edge cases: vectors that are null, empty, zero or with null or non-finite components, and rows with a null label, link
+with nothing and are kept; vectors of different length never link, so each length of a label is a group of its own; equal vectors (repeated rows) link with each other; rows that repeat a
 vec_id are vectors of their own; an empty table gives an empty result; extra columns are ignored. Components are joined in
 rounds whose number follows the logarithm of a component's size; over 50 raise an error.
 """
@@ -51,7 +51,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit_cells(distinct: DataFrame, sample: int, cell_rows: int, max_cells: int) -> dict[int, np.ndarray]:
+def fit_cells(distinct: DataFrame, sample: int, cell_rows: int, max_cells: int) -> dict[str, np.ndarray]:
     """Centroids per label from at most `sample` vectors in all; about one cell per cell_rows vectors of a label."""
     draw = keyed_uniform("cells", F.col("node").cast("string"))
     picked = distinct.select("label", "unit", draw.alias("draw")).orderBy("draw").limit(sample)
@@ -60,7 +60,7 @@ def fit_cells(distinct: DataFrame, sample: int, cell_rows: int, max_cells: int)
     for label, rows in sizes.toPandas().sort_values("draw").groupby("label"):
         k = min(max_cells, math.ceil(rows["n"].iloc[0] / cell_rows), len(rows))
         if k > 1:
-            out[int(label)] = spherical_kmeans(_matrix(rows["unit"]), k)
+            out[label] = spherical_kmeans(_matrix(rows["unit"]), k)
     return out
 
 
@@ -68,32 +68,33 @@ def _matrix(units: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(units), -1)
 
 
-def _units(length: int):
-    """The unit vectors (as bytes of doubles) of usable vectors of this length, null for others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            usable = pc.and_kleene(pc.equal(pc.list_value_length(lists), length), batch.column(1).is_valid()).fill_null(False)
-            usable = np.asarray(pc.and_(usable, batch.column(0).is_valid())).copy() & (length > 0)
-            at = np.flatnonzero(usable)
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The unit vectors (as bytes of doubles) of usable vectors, null for others; the label is joined by the length."""
+    for batch in batches:
+        lists = batch.column(2)
+        length = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+        usable = np.asarray(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid())) & (length > 0)
+        scaled: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(length[usable]).tolist():
+            at = np.flatnonzero(usable & (length == size))
             values = lists.take(pa.array(at)).flatten()
-            x = np.asarray(values.fill_null(float("nan")), dtype=np.float64).reshape(len(at), max(length, 1))
+            x = np.asarray(values.fill_null(float("nan")), dtype=np.float64).reshape(len(at), size)
             # Scaled by the largest component first, so that squares neither overflow nor vanish.
             with np.errstate(invalid="ignore"):
-                largest = np.abs(x).max(axis=1, initial=0)
+                largest = np.abs(x).max(axis=1)
             good = np.isfinite(largest) & (largest > 0)
             usable[at[~good]] = False
             x = x[good] / largest[good][:, None]
-            x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-            flat = x.tobytes()
-            ends = np.cumsum(np.where(usable, 8 * length, 0))
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            valid = np.packbits(usable, bitorder="little").tobytes()
-            unit = pa.Array.from_buffers(pa.binary(), len(usable), [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), unit], names=["vec_id", "label", "unit"])
-
-    return run
+            scaled[size] = at[good], x / np.sqrt((x * x).sum(axis=1))[:, None]
+        ends = np.cumsum(np.where(usable, length, 0))
+        flat = np.empty(ends[-1] if len(ends) else 0, dtype=np.float64)
+        for size, (at, x) in scaled.items():
+            flat[(ends[at] - size)[:, None] + np.arange(size)] = x
+        offsets = np.concatenate([[0], 8 * ends]).astype(np.int32)
+        valid = np.packbits(usable, bitorder="little").tobytes()
+        unit = pa.Array.from_buffers(pa.binary(), len(usable), [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+        group = pc.binary_join_element_wise(pc.cast(batch.column(1), pa.string()), pa.array(length.astype(str), pa.string()), ":")
+        yield pa.RecordBatch.from_arrays([batch.column(0), group, unit], names=["vec_id", "label", "unit"])
 
 
 def _assign(shipped, reach: float):
@@ -101,7 +102,7 @@ def _assign(shipped, reach: float):
         centroids = shipped.value
         for frame in frames:
             for label, rows in frame.groupby("label"):
-                own = centroids.get(int(label))
+                own = centroids.get(label)
                 if own is None:
                     yield pd.DataFrame({"label": rows["label"], "cell": 0, "home": 0, "node": rows["node"]})
                     continue
@@ -141,9 +142,7 @@ def _compare(threshold: float):
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, sample: int = 4096, cell_rows: int = 1024, max_cells: int = 256, tile: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
     clean = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    lengths = clean.where("vec_id is not null and label is not null").groupBy(F.size("embedding").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    common = lengths.where("length > 0").orderBy(F.desc("n"), "length").first()
-    vectors = clean.mapInArrow(_units(common.length if common else 0), "vec_id long, label long, unit binary")
+    vectors = clean.mapInArrow(_units, "vec_id long, label string, unit binary")
     # Equal vectors are known by 128 bits of their hashes.
     vectors = checkpointed(vectors.withColumns({"k1": F.xxhash64("unit"), "k2": F.xxhash64(F.lit(7), "unit")}))
     equal = ["label", "k1", "k2"]
@@ -153,7 +152,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, sample: int = 4096
     distinct = checkpointed(distinct.withColumnRenamed("node", "first_id").withColumn("node", F.xxhash64(*equal)))
     shipped = rows.sparkSession.sparkContext.broadcast(fit_cells(distinct, sample, cell_rows, max_cells))
     reach = math.sqrt(2 - 2 * threshold)
-    cells = distinct.select("label", "unit", "node").mapInPandas(_assign(shipped, reach), "label long, cell int, home int, node long")
+    cells = distinct.select("label", "unit", "node").mapInPandas(_assign(shipped, reach), "label string, cell int, home int, node long")
     units = _tiles.tiled(cells, ["label", "cell"], "node", tile).join(distinct.select("node", "unit", "copies"), "node")
     ordered = units.select("label", "cell", "__ti", "__tj", "__chunk", "home", "node", "unit", "copies").repartition("label", "cell", "__ti", "__tj").sortWithinPartitions("label", "cell", "__ti", "__tj", "node")
     found = checkpointed(ordered.mapInPandas(_compare(threshold), "node long, root long, links long"))

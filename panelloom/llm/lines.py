@@ -3,7 +3,7 @@
 Lines are split at \n; lines without a word are kept and skipped when windows are formed, so a window is three
 consecutive worded lines. Windows are compared by two independent 64-bit hashes over the whole corpus; every window
 but the earliest of its kind marks its three lines, and marked lines go. The order is that of doc_id, then of a hash of
-the text, then of the position. The text itself is shuffled once, to meet its marks. The `HOT` most common windows, a
+the text (127 bits of it tell rows of one id apart), then of the position. The text itself is shuffled once, to meet its marks. The `HOT` most common windows, a
 bounded table, are met by broadcast, so no task has to take all rows of a window that a third of the documents share;
 every other window has at most one row in `HOT` of all.
 
@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm._spark import met_unevenly, read
+from panelloom.llm._spark import IDENTITY, met_unevenly, read, row_identity
 
 _WORDED = r"[^\x20\x09-\x0D]"
 #: Most common windows that are met by broadcast.
 HOT = 1000
-#: What stands for a null doc_id in orders and joins.
-NO_ID = 2**63 - 1
 
 
 def _worded_lines(lines: str = "lines") -> F.Column:
@@ -33,12 +31,12 @@ def _worded_lines(lines: str = "lines") -> F.Column:
 
 
 def line_windows(texts: DataFrame, window: int = 3) -> DataFrame:
-    """(doc, text_key, place, h1, h2) of every window of (doc, text_key, text); place counts worded lines from 0."""
-    lines = texts.where(F.col("text").isNotNull()).select("doc", "text_key", F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(_WORDED))).alias("lines"))
-    hashed = lines.where(F.size("lines") >= window).select("doc", "text_key", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"))
+    """(identity of the row, place, h1, h2) of every window of (identity of the row, text); place counts worded lines from 0."""
+    lines = texts.where(F.col("text").isNotNull()).select(*IDENTITY, F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(_WORDED))).alias("lines"))
+    hashed = lines.where(F.size("lines") >= window).select(*IDENTITY, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"))
     part = lambda field, i: [F.get(f"h.{field}", i + k) for k in range(window)]
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.struct(i.cast("long").alias("place"), F.xxhash64(*part("a", i)).alias("h1"), F.xxhash64(*part("b", i)).alias("h2")))
-    return hashed.select("doc", "text_key", F.explode(windows).alias("w")).select("doc", "text_key", "w.*")
+    return hashed.select(*IDENTITY, F.explode(windows).alias("w")).select(*IDENTITY, "w.*")
 
 
 def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -47,15 +45,15 @@ def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "do
     carry: columns to hand through, packed in a struct column `row`.
     """
     own, text = F.col(id_column).cast("long"), F.col(text_column)
-    texts = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_key"), own.alias("doc_id"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    texts = docs.select(*row_identity(own, text), own.alias("doc_id"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
     windows = line_windows(texts, window)
-    at = F.struct("doc", "text_key", "place")
+    at = F.struct(*IDENTITY, "place")
     first = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = met_unevenly(windows, first, ["h1", "h2"], "first", ["doc", "text_key", "place"], HOT).where(F.col("first") != at)
-    marks = later.groupBy("doc", "text_key").agg(F.collect_set("place").alias("places"))
+    later = met_unevenly(windows, first, ["h1", "h2"], "first", [*IDENTITY, "place"], HOT).where(F.col("first") != at)
+    marks = later.groupBy(*IDENTITY).agg(F.collect_set("place").alias("places"))
     covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + window - 1)))
-    marks = marks.select("doc", "text_key", F.array_distinct(covered).alias("covered"))
-    joined = texts.join(marks, ["doc", "text_key"], "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("worded", F.when(F.col("covered").isNotNull(), _worded_lines()))
+    marks = marks.select(*IDENTITY, F.array_distinct(covered).alias("covered"))
+    joined = texts.join(marks, list(IDENTITY), "left").withColumn("lines", F.split("text", "\n", -1)).withColumn("worded", F.when(F.col("covered").isNotNull(), _worded_lines()))
     gone = joined.withColumn("gone", F.transform("covered", lambda c: F.get("worded", c.cast("int"))))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")

@@ -18,6 +18,9 @@ segments and a copy of the indexed ones, which are then the earliest of each con
 `kinds` contents too (the rim of a very common passage), its windows are routed one by one, by their own hash as well.
 Both go through the same index and search.
 
+Words are known by 64 bits of their hash: a window could be taken for another only where two words share all 64 and the
+other nineteen are equal. Rows are known by their id, or that they have none, and 127 bits of the hashes of their text.
+
 Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; rows are ordered
 by doc_id, then by a hash of the text, null ids last; rows equal in both count as one document, so neither removes the
 other; an empty table gives an empty result; extra columns are ignored.
@@ -34,16 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm._spark import checkpointed, read
-from panelloom.llm._text import mix, shingle_hashes, span_hashes, text_blocks
+from panelloom.llm._spark import IDENTITY, checkpointed, read, row_identity
+from panelloom.llm._text import mix, ranges, shingle_hashes, span_hashes, text_blocks
 from panelloom.llm._tiles import by_unit
 
 #: Windows in one segment at most; a longer run (periodic text) is cut.
 RUN = 64
 #: Bits of the role of a segment in its shard; without one of the first two it follows from the order in the shard.
 INDEXED, STREAMED, DOUBLED = 1, 2, 4
-#: What stands for a null doc_id in orders and joins.
-NO_ID = 2**63 - 1
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,11 +90,11 @@ def segments_of(word_hash: np.ndarray, rows: np.ndarray, length: int, anchor: in
 
 
 def _segment_rows(length: int, anchor: int):
-    names = ["minimiser", "content", "doc", "text_key", "place"]
+    names = ["minimiser", "content", *IDENTITY, "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text_keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            identity = [np.asarray(batch.column(i)) for i in range(3)]
             for block in text_blocks(batch, "text"):
                 starts, ends, rows = block.words()
                 if len(starts) < length:
@@ -106,27 +107,22 @@ def _segment_rows(length: int, anchor: int):
                 row = rows[first]
                 place = (first - base[row]) * 256 + windows * 2 + weight - 1
                 owner = block.first_row + row
-                arrays = [least.view(np.int64), content.view(np.int64), ids[owner], text_keys[owner], place]
+                arrays = [least.view(np.int64), content.view(np.int64), *(x[owner] for x in identity), place]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
 
     return run
 
 
-def _ranges(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ..., size - 1 for each size, one after the other."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
 def _pieces(length: int):
     """The words (hashes) of the wanted segments of each text, addressed to the key of their shard group."""
-    names = ["key", "doc", "text_key", "first", "role", "words"]
+    names = ["key", *IDENTITY, "first", "role", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(batch.schema.get_field_index("wanted"))
             offsets = np.asarray(wanted.offsets).astype(np.int64)
             place_all, key_all, role_all, parts_all, salts_all = (np.asarray(wanted.values.field(c)) for c in ("place", "minimiser", "role", "parts", "salts"))
-            ids, text_keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            identity = [np.asarray(batch.column(i)) for i in range(3)]
             for block in text_blocks(batch, "text"):
                 cut = offsets[block.first_row : block.first_row + block.rows + 1]
                 if cut[-1] == cut[0]:
@@ -141,7 +137,7 @@ def _pieces(length: int):
                 role = role | np.where(place % 2, DOUBLED, 0)
                 # Segments of a minimiser with many contents become single windows, routed by their own hash too.
                 many = np.where(parts > 0, windows, 1)
-                step = _ranges(many)
+                step = ranges(many)
                 owner, first, key, role, parts, salts, windows = (np.repeat(x, many) for x in (owner, first, key, role, parts, salts, windows))
                 first = first + step
                 size = np.where(parts > 0, length, windows + length - 1)
@@ -152,20 +148,19 @@ def _pieces(length: int):
                 where = first - base[owner]
                 if (salts > 1).any():
                     # Streamed pieces go to one salt, indexed ones to all.
-                    salt = mix(ids[block.first_row + owner].view(np.uint64) ^ mix(where.astype(np.uint64))) % salts.astype(np.uint64)
+                    salt = mix(identity[0][block.first_row + owner].view(np.uint64) ^ mix(where.astype(np.uint64))) % salts.astype(np.uint64)
                     copies = np.where(role & INDEXED, salts, 1)
                     own = np.repeat(salt, copies)
                     every = np.repeat(role & INDEXED, copies) > 0
-                    to = np.where(every, _ranges(copies).astype(np.uint64), own)
+                    to = np.where(every, ranges(copies).astype(np.uint64), own)
                     owner, first, key, size, where, salts, role = (np.repeat(x, copies) for x in (owner, first, key, size, where, salts, role))
                     role = np.where((salts > 1) & (to != own), role & ~STREAMED, role)
                     key = np.where(salts > 1, mix(key ^ (to + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)), key)
-                at = np.repeat(first, size) + _ranges(size)
-                short = (word >> np.uint64(32)).astype(np.uint32)
-                ends_at = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
-                words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends_at.tobytes()), pa.py_buffer(short[at].tobytes())])
+                at = np.repeat(first, size) + ranges(size)
+                ends_at = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends_at.tobytes()), pa.py_buffer(word[at].tobytes())])
                 row = block.first_row + owner
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key.view(np.int64), ids[row], text_keys[row], where, role.astype(np.int32))), words], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key.view(np.int64), *(x[row] for x in identity), where, role.astype(np.int32))), words], names=names)
 
     return run
 
@@ -329,14 +324,14 @@ def roles_in_shard(frame: pd.DataFrame, kind: np.ndarray) -> tuple[np.ndarray, n
 
 
 def repeats_in_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """(doc, text_key, first, n) of the stretches of streamed pieces that also start earlier in the shard."""
-    none = pd.DataFrame({"doc": np.zeros(0, np.int64), "text_key": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+    """(identity of the row, first, n) of the stretches of streamed pieces that also start earlier in the shard."""
+    none = pd.DataFrame({c: np.zeros(0, np.int64) for c in (*IDENTITY, "first", "n")})
     kind, _ = pd.factorize(frame["words"])
     is_indexed, is_streamed = roles_in_shard(frame, kind)
     if not is_indexed.any() or not is_streamed.any():
         return none
     indexed, streamed = frame[is_indexed], frame[is_streamed]
-    read_words = lambda column: [np.frombuffer(w, dtype=np.uint32) for w in column]
+    read_words = lambda column: [np.frombuffer(w, dtype=np.uint64) for w in column]
     index = FMIndex(read_words(indexed["words"]), length)
     _, one_of, kind = np.unique(kind[is_streamed], return_index=True, return_inverse=True)
     texts = read_words(streamed["words"].iloc[one_of])
@@ -344,13 +339,13 @@ def repeats_in_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     sizes = np.array([len(t) for t in texts])
     windows = (sizes - length + 1)[kind]
     row = np.repeat(np.arange(len(streamed)), windows)
-    step = _ranges(windows)
+    step = ranges(windows)
     at = (np.cumsum(sizes) - sizes)[kind][row] + step
     long = np.flatnonzero(matched[at] >= length)
     row, step, at = row[long], step[long], place[at[long]]
     piece = np.searchsorted(index.starts, at, side="right") - 1
     own = lambda table, c, rows: table[c].to_numpy()[rows]
-    same = (own(indexed, "doc", piece) == own(streamed, "doc", row)) & (own(indexed, "text_key", piece) == own(streamed, "text_key", row))
+    same = np.logical_and.reduce([own(indexed, c, piece) == own(streamed, c, row) for c in IDENTITY])
     same &= own(indexed, "first", piece) + at - index.starts[piece] == own(streamed, "first", row) + step
     row, step = row[~same], step[~same]
     if not len(row):
@@ -358,7 +353,7 @@ def repeats_in_shard(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     begin = np.flatnonzero(np.append(True, (np.diff(step) != 1) | (row[1:] != row[:-1])))
     count = np.diff(np.append(begin, len(row)))
     head = row[begin]
-    return pd.DataFrame({"doc": own(streamed, "doc", head), "text_key": own(streamed, "text_key", head), "first": own(streamed, "first", head) + step[begin], "n": count + length - 1})
+    return pd.DataFrame({c: own(streamed, c, head) for c in IDENTITY} | {"first": own(streamed, "first", head) + step[begin], "n": count + length - 1})
 
 
 def _search(length: int, shard_words: int):
@@ -366,7 +361,7 @@ def _search(length: int, shard_words: int):
         held: list[pd.DataFrame] = []
         total = 0
         for frame in by_unit(frames, ["key"]):
-            load = np.cumsum(frame["words"].str.len().to_numpy() // 4)
+            load = np.cumsum(frame["words"].str.len().to_numpy() // 8)
             key = frame["key"].to_numpy()
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
             low, done = 0, 0
@@ -431,41 +426,40 @@ def _cut():
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc, text_key, doc_id, text): doc stands for the id in orders, text_key tells texts of one id apart."""
-    own = F.col(id_column).cast("long")
-    return docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc"), F.crc32(F.coalesce(F.col(text_column), F.lit(""))).cast("long").alias("text_key"), own.alias("doc_id"), F.col(text_column).alias("text"))
+    """The identity of each row (doc stands for the id in orders, the keys tell texts of one id apart), doc_id, text."""
+    return docs.select(*row_identity(F.col(id_column), F.col(text_column)), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 128, rows: int = 1024, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc, text_key, first, n): stretches of n words from word `first` of a document, all covered by repeats."""
-    texts = _texts(docs, id_column, text_column)
-    segments = texts.select("doc", "text_key", "text").mapInArrow(_segment_rows(length, anchor), "minimiser long, content long, doc long, text_key long, place long")
+    """(identity of the row, first, n): stretches of n words from word `first` of a document, all covered by repeats."""
+    texts, longs = _texts(docs, id_column, text_column), ", ".join(f"{c} long" for c in IDENTITY)
+    segments = texts.select(*IDENTITY, "text").mapInArrow(_segment_rows(length, anchor), f"minimiser long, content long, {longs}, place long")
     often = segments.groupBy("minimiser").agg(F.sum(1 + F.col("place") % 2).alias("__n"), F.count(F.lit(1)).alias("n")).where("__n > 1").select("minimiser", "n")
     found = checkpointed(segments.join(often, "minimiser"))
     none = F.lit(0)
-    plain = found.where(F.col("n") <= rows).select("doc", "text_key", F.struct("place", "minimiser", none.alias("role"), none.alias("parts"), F.lit(1).alias("salts")).alias("w"))
+    plain = found.where(F.col("n") <= rows).select(*IDENTITY, F.struct("place", "minimiser", none.alias("role"), none.alias("parts"), F.lit(1).alias("salts")).alias("w"))
     crowded = found.where(F.col("n") > rows)
-    at = F.struct("doc", "text_key", "place")
+    at = F.struct(*IDENTITY, "place")
     contents = crowded.groupBy("minimiser", "content").agg(F.min(at).alias("first"))
     counted = contents.groupBy("minimiser").agg(F.count(F.lit(1)).alias("kinds"))
     # A content has 64 windows at most and 8 as a rule.
     parts = F.when(F.col("kinds") > kinds, F.ceil(F.col("kinds") / kinds) * 16).otherwise(0).cast("int")
     judged = contents.join(counted.select("minimiser", parts.alias("parts")), "minimiser")
     role = F.lit(STREAMED) + F.when(at == F.col("first"), INDEXED).otherwise(0)
-    salted = crowded.join(judged, ["minimiser", "content"]).select("doc", "text_key", F.struct("place", "minimiser", role.alias("role"), "parts", F.ceil(F.col("n") / rows).cast("int").alias("salts")).alias("w"))
-    wanted = plain.unionByName(salted).groupBy("doc", "text_key").agg(F.collect_list("w").alias("wanted"))
+    salted = crowded.join(judged, ["minimiser", "content"]).select(*IDENTITY, F.struct("place", "minimiser", role.alias("role"), "parts", F.ceil(F.col("n") / rows).cast("int").alias("salts")).alias("w"))
+    wanted = plain.unionByName(salted).groupBy(*IDENTITY).agg(F.collect_list("w").alias("wanted"))
     # Two plans read the same exchange of the texts: this one and the cut in remove_repeats.
-    pieces = texts.join(wanted, ["doc", "text_key"], "left").select("doc", "text_key", "text", "wanted", "doc_id").mapInArrow(_pieces(length), "key long, doc long, text_key long, first long, role int, words binary")
-    ordered = pieces.repartition("key").sortWithinPartitions("key", "doc", "text_key", "first")
-    return ordered.mapInPandas(_search(length, shard_words), "doc long, text_key long, first long, n long")
+    pieces = texts.join(wanted, list(IDENTITY), "left").select(*IDENTITY, "text", "wanted", "doc_id").mapInArrow(_pieces(length), f"key long, {longs}, first long, role int, words binary")
+    ordered = pieces.repartition("key").sortWithinPartitions("key", *IDENTITY, "first")
+    return ordered.mapInPandas(_search(length, shard_words), f"{longs}, first long, n long")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row once the repeated stretches are cut out."""
     texts = _texts(docs, id_column, text_column)
     spans = repeated_spans(docs, id_column=id_column, text_column=text_column, **options)
-    by_doc = spans.groupBy("doc", "text_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    joined = texts.join(by_doc, ["doc", "text_key"], "left").select("doc_id", "text", "spans", "doc", "text_key")
+    by_doc = spans.groupBy(*IDENTITY).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    joined = texts.join(by_doc, list(IDENTITY), "left").select("doc_id", "text", "spans", *IDENTITY)
     return joined.mapInArrow(_cut(), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

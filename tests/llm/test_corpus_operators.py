@@ -439,10 +439,10 @@ def test_pii_surrogates_of_a_used_up_format_stay_apart(spark):
     assert len(got) == len({r.surrogate for r in got}) == 100 and not {r.surrogate for r in got} & {c for _, c in rows}
 
 
-def test_embedding_keeps_vectors_of_another_length_unlinked(spark):
+def test_embedding_links_vectors_of_equal_length_only(spark):
     rows = [(i, [1.0, 0.01 * i, 0.5], 0) for i in range(4)] + [(9, [1.0, 0.0], 0), (10, [1.0, 0.0], 0), (11, None, 0)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
-    assert got == {i: (3, 0, i == 0) for i in range(4)} | {i: (0, i, True) for i in (9, 10, 11)}
+    assert got == {i: (3, 0, i == 0) for i in range(4)} | {9: (1, 9, True), 10: (1, 9, False), 11: (0, 11, True)}
 
 
 def test_embedding_rows_that_repeat_an_id(spark):
@@ -539,3 +539,55 @@ def test_mixing_with_ties_repeated_rows_and_null_ids(spark):
     one, two = (sorted(map(tuple, mixing.mix_sources(table).collect()), key=str) for _ in range(2))
     assert one == two and len(one) == len(rows)
     assert all(r[6] <= 3 * r[2] for r in one)
+
+
+def clashing_words(count):
+    """Pairs of words of which the repository's 64-bit word hashes share their upper 32 bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from panelloom.llm._text import text_blocks
+
+    seen, pairs = {}, []
+    words = [f"v{i}" for i in range(500_000)]
+    for block in text_blocks(pa.record_batch([pa.array([" ".join(words)])], names=["text"]), "text", 1 << 26):
+        upper = (block.word_hashes(*block.words()[:2]) >> np.uint64(32)).tolist()
+        for i, h in enumerate(upper):
+            if h in seen and len(pairs) < count:
+                pairs.append((words[seen[h]], words[i]))
+            seen[h] = i
+    assert len(pairs) == count
+    return pairs
+
+
+def test_substring_tells_words_apart_that_share_half_their_hash(spark):
+    rows = []
+    for k, (one, other) in enumerate(clashing_words(10)):
+        opening = " ".join(f"w{k}x{i}" for i in range(19))
+        rows += [(2 * k, f"{opening} {one}"), (2 * k + 1, f"{opening} {other}")]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0] * 20
+
+
+def texts_of_one_crc(make):
+    seen = {}
+    for i in range(10**6):
+        text = make(i)
+        key = zlib.crc32(text.encode())
+        if key in seen:
+            return make(seen[key]), text
+        seen[key] = i
+    raise AssertionError
+
+
+def test_rows_without_id_whose_texts_share_a_crc_are_two_rows(spark):
+    common = "\n".join(f"line {i} of what both hold" for i in range(3))
+    one, other = texts_of_one_crc(lambda i: f"{common}\n" + "\n".join(f"own {i} {k}" for k in range(6)))
+    rows = [(1, common), (None, one), (None, other), (2**63 - 1, one)]
+    got = lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # The row with an id comes before the rows without, so of the equal texts the one without loses its lines.
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 3), (0, 9), (1, 0), (2**63 - 1, 3)]
+    words = " ".join(f"c{i}" for i in range(20))
+    one, other = texts_of_one_crc(lambda i: f"{words} " + " ".join(f"own{i}n{k}" for k in range(25)))
+    got = substring.remove_repeats(spark.createDataFrame([(1, words), (None, one), (None, other)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 45, 20), (0, 45, 20), (1, 20, 0)]
