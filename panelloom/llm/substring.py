@@ -19,7 +19,7 @@ segments and a copy of the indexed ones, which are then the earliest of each con
 Both go through the same index and search.
 
 Words are known by 64 bits of their hash: a window could be taken for another only where two words share all 64 and the
-other nineteen are equal. Rows are known by their id, or that they have none, and 127 bits of the hashes of their text.
+other nineteen are equal. Rows are known by their id, or that they have none, and 63 bits of the hashes of their text.
 
 Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; rows are ordered
 by doc_id, then by a hash of the text, null ids last; rows equal in both count as one document, so neither removes the
@@ -37,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm._spark import IDENTITY, checkpointed, read, row_identity
+from panelloom.llm._spark import checkpointed, read, row_identity
 from panelloom.llm._text import mix, ranges, shingle_hashes, span_hashes, text_blocks
 from panelloom.llm._tiles import by_unit
 
+#: What tells rows apart: the id, and 63 bits of the text and whether there is an id. Segments carry it, so it is kept short.
+IDENTITY = ("doc", "text_key")
 #: Windows in one segment at most; a longer run (periodic text) is cut.
 RUN = 64
 #: Bits of the role of a segment in its shard; without one of the first two it follows from the order in the shard.
@@ -94,7 +96,7 @@ def _segment_rows(length: int, anchor: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            identity = [np.asarray(batch.column(i)) for i in range(3)]
+            identity = [np.asarray(batch.column(i)) for i in range(len(IDENTITY))]
             for block in text_blocks(batch, "text"):
                 starts, ends, rows = block.words()
                 if len(starts) < length:
@@ -122,7 +124,7 @@ def _pieces(length: int):
             wanted = batch.column(batch.schema.get_field_index("wanted"))
             offsets = np.asarray(wanted.offsets).astype(np.int64)
             place_all, key_all, role_all, parts_all, salts_all = (np.asarray(wanted.values.field(c)) for c in ("place", "minimiser", "role", "parts", "salts"))
-            identity = [np.asarray(batch.column(i)) for i in range(3)]
+            identity = [np.asarray(batch.column(i)) for i in range(len(IDENTITY))]
             for block in text_blocks(batch, "text"):
                 cut = offsets[block.first_row : block.first_row + block.rows + 1]
                 if cut[-1] == cut[0]:
@@ -427,7 +429,7 @@ def _cut():
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The identity of each row (doc stands for the id in orders, the keys tell texts of one id apart), doc_id, text."""
-    return docs.select(*row_identity(F.col(id_column), F.col(text_column)), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return docs.select(*row_identity(F.col(id_column), F.col(text_column))[: len(IDENTITY)], F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 128, rows: int = 1024, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
