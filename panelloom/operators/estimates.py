@@ -4,33 +4,36 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.seed import keyed_order
-from panelloom.functions.spread import quantiles
+from panelloom.functions.groups import group_quantiles, group_totals
+from panelloom.functions.seed import keyed_fraction
+from panelloom.functions.spread import checkpointed, quantiles, running_totals
 from panelloom.operators import scores, voxel
 
-#: exp(-1), the Poisson(1) probability of zero draws.
-POISSON_ZERO = 0.36787944117144233
+def bootstrap_weights(rows: DataFrame, entity: str, replicates: int, seed: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., entity, replicate, times): every replicate draws as many entities as there are, with replacement.
 
-
-def poisson_edges(most: int = 7) -> list[float]:
-    """Cumulative Poisson(1) probabilities of 0, 1, ... draws; a uniform number at or above k of them draws k times."""
-    edges, total, term = [], 0.0, POISSON_ZERO
-    for k in range(1, most + 1):
-        total += term
-        edges.append(total)
-        term /= k
-    return edges
-
-
-def bootstrap_weights(rows: DataFrame, entity: str, replicates: int, seed: str) -> DataFrame:
-    """(entity, replicate, times) for entities drawn at least once; times is Poisson(1) from md5(seed:replicate:entity)."""
-    each = rows.select(entity).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = keyed_order(seed, F.col("replicate"), F.col(entity)) / F.lit(4294967296.0)
-    times = sum(((u >= edge).cast("int") for edge in poisson_edges()), F.lit(0))
-    return each.withColumn("times", times).where("times > 0")
+    Entities are numbered from 0 in their order (inside each group of `by`). Draw j of a replicate, one for each of the n
+    entities, takes number floor(u n), where u comes from md5(seed:replicate:j): an exact multinomial draw whose times sum
+    to n. Draws are made and counted in parallel, no replicate is a list. Entities that a replicate leaves out have no row;
+    null entities and null keys are left out.
+    """
+    by = by or []
+    known = rows.select(*by, entity).distinct().na.drop()
+    if by:
+        numbered = group_totals(known, by, [entity], {"__k": F.lit(1)})
+        sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        numbered = checkpointed(numbered.join(sizes, by))
+    else:
+        numbered = checkpointed(running_totals(known, entity, {"__k": F.lit(1)}))
+        numbered = numbered.withColumn("__n", F.lit(numbered.count()))
+    numbered = numbered.withColumn("__k", (F.col("__k") - 1).cast("long"))
+    draws = numbered.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    place = F.floor(keyed_fraction(seed, F.col("replicate"), F.col("__k")) * F.col("__n")).cast("long")
+    times = draws.select(*by, "replicate", place.alias("__k")).groupBy(*by, "replicate", "__k").agg(F.count(F.lit(1)).alias("times"))
+    return numbered.select(*by, entity, "__k").join(times, [*by, "__k"]).select(*by, entity, "replicate", "times")
 
 
 def interval(estimates: DataFrame, column: str, least: int = 50) -> DataFrame:
@@ -48,11 +51,7 @@ def bootstrap_auc(cases: DataFrame, entity: str, replicates: int, seed: str) ->
     drawn = counts.join(bootstrap_weights(cases, entity, replicates, seed), entity)
     w = F.col("__n") * F.col("times")
     per = drawn.groupBy("replicate", "p").agg(F.sum(w * F.col("y")).alias("pos"), F.sum(w * (1 - F.col("y"))).alias("neg"))
-    below = Window.partitionBy("replicate").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    pairs = F.sum("pos") * F.sum("neg")
-    area = F.when(pairs > 0, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / pairs)
-    return interval(ranked.groupBy("replicate").agg(area.alias("auc")), "auc")
+    return interval(scores.area_of_counts(per, ["replicate"]), "auc")
 
 
 def calibration_line(cases: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def stratified_noise(rows: DataFrame, value: str, strata: dict[str, Column], lea
 def log_ratio_summary(pairs: DataFrame, measured: Column, native: Column, least: int = 10) -> DataFrame:
     """(n, mean, sd, p05, p95) of ln(measured / native) over pairs where both are above 0; null below `least` pairs."""
     rows = pairs.where((measured > 0) & (native > 0)).select(F.log(measured / native).alias("r"))
-    stats = rows.agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.percentile("r", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    stats = rows.agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd")).crossJoin(F.broadcast(group_quantiles(rows, [], "r", [0.05, 0.95])))
     enough = F.col("n") >= least
     return stats.select("n", *[F.when(enough, c).alias(name) for name, c in (("mean", F.col("mean")), ("sd", F.col("sd")), ("p05", F.get("q", 0)), ("p95", F.get("q", 1)))])
 

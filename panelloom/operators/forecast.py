@@ -48,7 +48,9 @@ def held_out_mean(rows: DataFrame, value: str, fold: str = "fold") -> DataFrame:
 def held_out_median(rows: DataFrame, value: str, folds: int, fold: str = "fold") -> DataFrame:
     """(fold, train_median): each row goes to the folds that train on it."""
     roles = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold).cast("int")))
-    return rows.select(roles.alias("test_fold"), value).groupBy("test_fold").agg(F.median(value).alias("train_median"))
+    from panelloom.functions.groups import group_quantiles
+
+    return group_quantiles(rows.select(roles.alias("test_fold"), value), ["test_fold"], value, [0.5]).select("test_fold", F.get("q", 0).alias("train_median"))
 
 
 def shrunk_trend(rows: DataFrame, alphas: list[float], folds: int) -> DataFrame:

@@ -9,20 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions.groups import count_dominated, group_quantiles, group_totals
 from panelloom.functions.numbers import normal_cdf
-from panelloom.functions.spread import quantiles, running_totals
+from panelloom.functions.spread import checkpointed, quantiles, running_totals
 
 
 def auc(cases: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
     """(by..., auc): area under the ROC curve with ties as one half; null if a class is missing."""
-    by = by or []
-    per = cases.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    if by:
-        below = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = per.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    else:
-        ranked = running_totals(per, p, {"upto": F.col("neg")}).withColumn("below", F.col("upto") - F.col("neg"))
-    total = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    per = cases.groupBy(*(by or []), p).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    return area_of_counts(per.withColumnRenamed(p, "p"), by or [])
+
+
+def area_of_counts(per: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., auc) of counts (by..., p, pos, neg), one row per distinct p of a group; keys of `by` are not null."""
+    ranked = group_totals(per, by, ["p"], {"upto": F.col("neg")}) if by else running_totals(per, "p", {"upto": F.col("neg")})
+    total = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     pairs = F.sum("pos") * F.sum("neg")
     return ranked.groupBy(*by).agg(F.when(pairs > 0, total / pairs).alias("auc"))
 
@@ -51,12 +52,9 @@ def kaplan_meier(survival: DataFrame, by: list[str] | None = None) -> DataFrame:
         risk = running_totals(per, "time_yr", {"at_risk": F.col("n")}, descending=True)
         steps = running_totals(risk, "time_yr", {"logs": F.when(share > 0, F.log(share)).otherwise(F.lit(0.0)), "gone": (share <= 0).cast("int")})
         return steps.select("time_yr", "at_risk", "events", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("logs")).alias("survival"))
-    later = Window.partitionBy(*by).orderBy(F.desc("time_yr"))
-    so_far = Window.partitionBy(*by).orderBy("time_yr").rowsBetween(Window.unboundedPreceding, 0)
-    risk = per.withColumn("at_risk", F.sum("n").over(later))
-    logs = F.sum(F.when(share > 0, F.log(share)).otherwise(F.lit(0.0))).over(so_far)
-    gone = F.max((share <= 0).cast("int")).over(so_far)
-    return risk.select(*by, "time_yr", "at_risk", "events", F.when(gone == 1, 0.0).otherwise(F.exp(logs)).alias("survival"))
+    risk = group_totals(per, by, ["time_yr"], {"at_risk": F.col("n")}, descending=True)
+    steps = group_totals(risk, by, ["time_yr"], {"logs": F.when(share > 0, F.log(share)).otherwise(F.lit(0.0)), "gone": (share <= 0).cast("int")})
+    return steps.select(*by, "time_yr", "at_risk", "events", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("logs")).alias("survival"))
 
 
 def survival_at(curve: DataFrame, years: list[float], by: list[str] | None = None) -> DataFrame:
@@ -66,47 +64,55 @@ def survival_at(curve: DataFrame, years: list[float], by: list[str] | None = Non
     return at.groupBy(*(by or []), "year").agg(F.coalesce(last["survival"], F.lit(1.0)).alias("survival"))
 
 
-def concordance(cases: DataFrame, by: str) -> DataFrame:
+def concordance(cases: DataFrame, by: str, leaf: int = 1 << 17) -> DataFrame:
     """(by, c_index) over comparable pairs: an event at time a and any case with a later time; equal risks count one half.
 
-    cases: by, time, event, risk. Cases are grouped by (time, risk) first, so the join is over distinct values.
+    cases: by, time, event, risk, none of them null; null without a comparable pair. Pairs are counted, not made: those with
+    a later time and a smaller risk by count_dominated, equal risks and all comparable pairs by running totals.
     """
-    per = cases.groupBy(by, "time", "risk").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("n"))
-    a, b = per.where("d > 0").alias("a"), per.alias("b")
-    pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a.time") < F.col("b.time")))
-    weight = F.col("a.d") * F.col("b.n")
-    good = F.when(F.col("a.risk") > F.col("b.risk"), weight).when(F.col("a.risk") == F.col("b.risk"), weight / 2).otherwise(0)
-    return pairs.groupBy(F.col(f"a.{by}").alias(by)).agg((F.sum(good) / F.sum(weight)).alias("c_index"))
+    per = checkpointed(cases.groupBy(by, "time", "risk").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("n")))
+    good = count_dominated(per, by, ["time", "risk"], ["risk", "time"], "d", "n", leaf)
 
+    def later_cases(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Per group of `by`: the sum over events of the cases with a later time and equal keys."""
+        upto = group_totals(rows, keys, ["time"], {"upto": F.col("n")})
+        return upto.groupBy(*keys).agg((F.sum("n") * F.sum("d") - F.sum(F.col("d") * F.col("upto"))).cast("double").alias("pairs")).groupBy(by).agg(F.sum("pairs").alias("pairs"))
 
-def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(rho): correlation of average ranks; distinct values are ranked by running counts."""
+    equal = later_cases(per, [by, "risk"]).withColumnRenamed("pairs", "equal")
+    every = later_cases(per.groupBy(by, "time").agg(F.sum("d").alias("d"), F.sum("n").alias("n")), [by])
+    joined = every.join(good, by, "left").join(equal, by, "left")
+    return joined.select(by, F.when(F.col("pairs") > 0, (F.coalesce("total", F.lit(0.0)) + F.coalesce("equal", F.lit(0.0)) / 2) / F.col("pairs")).alias("c_index"))
+
+
+def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., rho): correlation of average ranks inside each group; distinct values are ranked by running counts."""
+    by = by or []
 
     def ranks(column: str) -> DataFrame:
-        per = running_totals(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, {"upto": F.col("n")})
-        return per.select(F.col(column).alias(f"__{column}"), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
+        counts = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
+        per = group_totals(counts, by, [column], {"upto": F.col("n")}) if by else running_totals(counts, column, {"upto": F.col("n")})
+        return per.select(*by, column, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{column}"))
 
-    both = rows.join(ranks(x), F.col(x) == F.col(f"__{x}")).join(ranks(y), F.col(y) == F.col(f"__{y}"))
-    return both.agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"))
+    pairs = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.join(ranks(x), [*by, x]).join(ranks(y), [*by, y])
+    a, b, n = F.col(f"rank_{x}"), F.col(f"rank_{y}"), F.col("n")
+    # Ranks are centred by their mean, (N + 1) / 2, which the whole group's weights give.
+    sums = both.groupBy(*by).agg(F.sum(n).alias("n"), *[F.sum(n * c).alias(k) for k, c in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))])
+    spread = lambda u, v, uv: F.col(uv) - F.col(u) * F.col(v) / F.col("n")
+    within = spread("a", "a", "aa") * spread("b", "b", "bb")
+    return sums.select(*by, F.when(within > 0, spread("a", "b", "ab") / F.sqrt(within)).alias("rho"))
 
 
 def cluster_bootstrap(rows: DataFrame, value: str, replicates: int, seed: str, entity: str = "entity_id") -> DataFrame:
-    """(mean, lo, hi): the mean of `value` with a 95 % interval from resampling entities with replacement.
+    """(mean, lo, hi): the mean of `value` with a 95 % interval from drawing as many entities as there are, with replacement.
 
-    Per-entity sums stand for the rows. A replicate draws as many entities as there are; how often an entity is drawn
-    is Poisson(1) from md5(seed:replicate:entity), the limit of resampling, so no replicate needs a sorted list.
+    Per-entity sums stand for the rows.
     """
-    from panelloom.functions.seed import keyed_order
+    from panelloom.operators.estimates import bootstrap_weights
 
-    sums = rows.groupBy(entity).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    each = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = keyed_order(seed, F.col("replicate"), F.col(entity)) / F.lit(4294967296.0)
-    times, acc, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 8):
-        acc += term
-        times = times + (u >= acc).cast("int")
-        term /= k
-    per = each.withColumn("times", times).groupBy("replicate").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("m"))
+    sums = checkpointed(rows.groupBy(entity).agg(F.sum(value).alias("s"), F.count(value).alias("n")))
+    drawn = sums.join(bootstrap_weights(sums, entity, replicates, seed), entity)
+    per = drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("m"))
     interval = per.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(F.broadcast(interval)).select("mean", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
 
@@ -116,8 +122,20 @@ def finite_summary(rows: DataFrame, metrics: list[str], by: list[str]) -> DataFr
     from panelloom.functions.numbers import finite
 
     stacked = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("s")).select(*by, "s.*")
-    ok = F.when(finite(F.col("x")), F.col("x"))
-    return stacked.withColumn("ok", ok).groupBy(*by, "metric").agg(F.count("ok").alias("n_finite"), (F.count(F.lit(1)) - F.count("ok")).alias("n_nonfinite"), F.avg("ok").alias("mean"), F.when(F.count("ok") > 0, F.coalesce(F.stddev_samp("ok"), F.lit(0.0))).alias("std"), F.median("ok").alias("median"))
+    ok = stacked.withColumn("ok", F.when(finite(F.col("x")), F.col("x")))
+    keys = [*by, "metric"]
+    flat = ok.groupBy(*keys).agg(F.count("ok").alias("n_finite"), (F.count(F.lit(1)) - F.count("ok")).alias("n_nonfinite"), F.avg("ok").alias("mean"), F.when(F.count("ok") > 0, F.coalesce(F.stddev_samp("ok"), F.lit(0.0))).alias("std"))
+    return with_quantiles(flat, ok, keys, "ok", {"median": 0.5})
+
+
+def with_quantiles(flat: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Adds exact quantiles of `value` per group to one row per group; null keys are a group."""
+    q = group_quantiles(rows, by, value, list(shares.values()))
+    named = q.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], *[F.get("q", i).alias(n) for i, n in enumerate(shares)])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return (flat.join(named, same, "left") if by else flat.crossJoin(F.broadcast(named))).drop(*[f"__k{i}" for i in range(len(by))])
 
 
 def subset_fan_out(rows: DataFrame, subsets: dict) -> DataFrame:
@@ -128,9 +146,10 @@ def subset_fan_out(rows: DataFrame, subsets: dict) -> DataFrame:
 
 def robust_sd(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by..., n, sd) with sd = 1.4826 times the median absolute deviation."""
-    centre = rows.groupBy(*by).agg(F.median(value).alias("__m"))
-    joined = rows.join(centre, by) if by else rows.crossJoin(F.broadcast(centre))
-    return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (1.4826 * F.median(F.abs(F.col(value) - F.col("__m")))).alias("sd"))
+    kept = checkpointed(rows.select(*by, value))
+    centre = group_quantiles(kept, by, value, [0.5]).select(*by, F.get("q", 0).alias("__m"))
+    joined = (kept.join(centre, by) if by else kept.crossJoin(F.broadcast(centre))).withColumn("__away", F.abs(F.col(value) - F.col("__m")))
+    return with_quantiles(joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), joined, by, "__away", {"__mad": 0.5}).select(*by, "n", (1.4826 * F.col("__mad")).alias("sd"))
 
 
 def zero_interval(pairs: DataFrame, bins: int = 5, least: int = 5) -> DataFrame:

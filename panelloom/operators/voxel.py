@@ -195,15 +195,26 @@ def crop(mask: DataFrame, centre: DataFrame, shape: int) -> DataFrame:
 
 def normalise(voxels: DataFrame, key: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Values scaled to [-1, 1] between percentiles of the finite foreground (<> 0); background and non-finite: -1."""
+    from panelloom.functions.groups import group_quantiles
     from panelloom.functions.numbers import finite
 
     good = finite(F.col("value")) & (F.col("value") != 0)
-    edges = voxels.groupBy(key).agg(F.percentile(F.when(good, F.col("value")), F.array(F.lit(low), F.lit(high))).alias("q"))
+    edges = group_quantiles(voxels.select(key, F.when(good, F.col("value")).alias("value")), [key], "value", [low, high]).drop("n")
     a, b = F.get("q", 0), F.get("q", 1)
     scaled = 2 * (F.least(b, F.greatest(a, F.col("value"))) - a) / F.greatest(b - a, F.lit(1e-6)) - 1
     return voxels.join(edges, key).withColumn("value", F.when(good, scaled).otherwise(-1.0)).drop("q")
 
 
+def intensity_range(voxels: DataFrame, key: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(key, n, lo, q_low, q_high, hi) of the finite values of each case."""
+    from panelloom.functions.numbers import finite
+    from panelloom.operators.scores import with_quantiles
+
+    rows = voxels.select(key, F.when(finite(F.col("value")), F.col("value")).alias("value"))
+    flat = rows.groupBy(key).agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return with_quantiles(flat, rows, [key], "value", {"q_low": low, "q_high": high})
+
+
 def resample_nearest(mask: DataFrame, size: int, new_size: int) -> DataFrame:
     """The mask on an aligned grid of another size: target voxel i reads source floor((i + 1/2) size / new_size)."""
     axis = F.sequence(F.lit(0), F.lit(new_size - 1))

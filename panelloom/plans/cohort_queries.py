@@ -10,7 +10,7 @@ from panelloom.operators import estimates as E
 from panelloom.operators import review as R
 from panelloom.operators import voxel as V
 from panelloom.plans.panel_queries import SURVIVAL_SQL
-from panelloom.plans.score_queries import _RATES, _S, _pairs, _survival
+from panelloom.plans.score_queries import _RATES, _S, _pairs, _survival, draws_sql
 from panelloom.plans.tables import Register, Tables, panel_sql
 from panelloom.plans.voxel_queries import _M, _OVERLAP
 from panelloom.sources import tables as T
@@ -110,14 +110,9 @@ def b20(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.when(least < float("inf"), F.round(least, 6)).alias("overlap"), F.concat_ws(";", flags).alias("flags"))
 
 
-_EDGES = " + ".join(f"(u >= {edge!r}::double)::int" for edge in E.poisson_edges())
-
-
-@register("e16_e17_bootstrap_auc", _S + f""", b as (select doc_id % 40 as block, y, p from s), w as (
-  select block, replicate, {_EDGES} as times from (
-    select block, replicate, cast(('0x' || substr(md5('5:' || replicate || ':' || block), 1, 8)) as bigint) / 4294967296.0::double as u
-    from (select distinct block from b), (select unnest(generate_series(1, 100)) as replicate))),
-g as (select replicate, p, sum(times * y) as pos, sum(times * (1 - y)) as neg from b join w using (block) where times > 0 group by all),
+@register("e16_e17_bootstrap_auc", _S + """, b as (select doc_id % 40 as entity_id, y, p from s),
+""" + draws_sql("b", "5", 100) + """,
+g as (select r as replicate, p, sum(times * y) as pos, sum(times * (1 - y)) as neg from b join drawn using (entity_id) group by all),
 r as (select *, coalesce(sum(neg) over (partition by replicate order by p rows between unbounded preceding and 1 preceding), 0) as below from g),
 a as (select replicate, sum(pos * (below + neg / 2.0::double)) / (sum(pos) * sum(neg)) as auc from r group by replicate having sum(pos) * sum(neg) > 0)
 select count(*)::bigint as replicates, round(case when count(*) > 50 then quantile_cont(auc, 0.025) end, 6) as lo, round(case when count(*) > 50 then quantile_cont(auc, 0.975) end, 6) as hi from a""")

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from panelloom.operators import forecast, intake, scores, summaries
 from panelloom.operators import voxel as V
 from panelloom.operators import windows as X
-from panelloom.operators.estimates import poisson_edges
 from panelloom.plans.panel_queries import _W
-from panelloom.plans.score_queries import _KM, _RATES, _by_entity, _pairs, _survival
+from panelloom.plans.score_queries import _KM, _RATES, _by_entity, _pairs, _survival, draws_sql
 from panelloom.plans.tables import Register, Tables, panel_sql
 from panelloom.plans.voxel_queries import _GRID, _dense
 from panelloom.sources import tables as T
@@ -68,13 +67,10 @@ def c06(t: Tables) -> DataFrame:
     return intake.mapped_merge(t.orders.select("o_orderkey", "o_orderstatus"), source, {"o_orderkey": "l_orderkey"}, {"o_orderstatus": "status", "shipped": "ship"})
 
 
-_EDGES = " + ".join(f"(u >= {edge!r}::double)::int" for edge in poisson_edges())
-
-
-@register("c10_e18_paired", _RATES + f""", d as (select 'drift' as model, entity_id, obs_id, abs(y - 0.1 * dt_yr) - abs(y) as difference from n union all select 'half', entity_id, obs_id, abs(y - 0.5 * dt_yr) - abs(y) from n),
+@register("c10_e18_paired", _RATES + """, d as (select 'drift' as model, entity_id, obs_id, abs(y - 0.1 * dt_yr) - abs(y) as difference from n union all select 'half', entity_id, obs_id, abs(y - 0.5 * dt_yr) - abs(y) from n),
 s as (select model, entity_id, sum(difference) as s, count(*) as n from d group by all),
-w as (select entity_id, r, {_EDGES} as times from (select entity_id, r.r as r, cast(('0x' || substr(md5('9:' || r.r || ':' || entity_id), 1, 8)) as bigint) / 4294967296.0::double as u from (select distinct entity_id from d), generate_series(1, 100) r(r))),
-m as (select model, r, sum(times * s) / sum(times * n) as m from s join w using (entity_id) where times > 0 group by all),
+""" + draws_sql("d", "9", 100, "model") + """,
+m as (select s.model, r, sum(times * s) / sum(times * s.n) as m from s join drawn on s.model = drawn.model and s.entity_id = drawn.entity_id group by all),
 c as (select model, count(m) as replicates, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by model)
 select d.model, count(*)::bigint as n, round(avg((difference < 0)::int), 6) as better, any_value(c.replicates)::bigint as replicates, round(avg(difference), 6) as mean, round(any_value(c.lo), 6) as lo, round(any_value(c.hi), 6) as hi from d join c on c.model = d.model group by d.model""")
 def c10(t: Tables) -> DataFrame:
@@ -112,6 +108,42 @@ def _triples(t: Tables) -> DataFrame:
     return X.tuple_table(t.panel()).where("dt1 > 0 and v1 > 0 and v2 > 0 and v3 > 0")
 
 
+_FORECASTS = _TRIPLES + """, f as (
+  select 'persistence' as method, entity_id, v2 as pred, v2, v3 from e
+  union all select 'linear', entity_id, greatest(v2 + (v2 - v1) / dt1 * dt2, 0), v2, v3 from e
+  union all select 'log_linear', entity_id, least(v2 * exp(least(ln(v2 / v1) / dt1 * dt2, 50.0)), 1e12), v2, v3 from e
+)"""
+
+
+def _forecasts(t: Tables) -> DataFrame:
+    return forecast.error_columns(forecast.trajectory_forecasts(_triples(t)))
+
+
+@register("e08_case_summary", panel_sql(_FORECASTS + """, x as (
+  select method, entity_id, 'abs_rvd' as metric, abs(pred - v3) / v3 as x from f
+  union all select method, entity_id, 'abs_log_ratio', abs(ln(greatest(pred, 1) / v3)) from f
+), i as (select * from x where metric = 'abs_rvd'), """ + draws_sql("i", "21", 60, "method, metric") + """,
+s as (select method, metric, entity_id, sum(x) as s, count(x) as c from i group by all),
+m as (select s.method, s.metric, r, sum(times * s) / sum(times * c) as m from s join drawn on s.method = drawn.method and s.metric = drawn.metric and s.entity_id = drawn.entity_id group by all),
+q as (select method, metric, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by all),
+p2 as (select method, metric, avg(m) as entity_mean, count(*) as entities from (select method, metric, entity_id, avg(x) as m from x group by all) group by all),
+g as (select method, metric, count(*) as cases, avg(x) as mean, stddev_samp(x) as std, median(x) as median from x group by all)
+select g.method, g.metric, g.cases::bigint as cases, p2.entities::bigint as entities, g.cases::bigint as finite_cases, 0::bigint as nonfinite_cases, round(g.mean, 5) as mean, round(std, 5) as std, round(median, 6) as median,
+       round(entity_mean, 5) as entity_mean, round(lo, 5) as lo, round(hi, 5) as hi
+from g join p2 on g.method = p2.method and g.metric = p2.metric left join q on g.method = q.method and g.metric = q.metric"""))
+def e08_cases(t: Tables) -> DataFrame:
+    out = summaries.case_summary(_forecasts(t), ["abs_rvd", "abs_log_ratio"], "entity_id", ["method"], 60, "21", ["abs_rvd"])
+    return out.withColumns({c: F.round(c, 6 if c == "median" else 5) for c in ("mean", "std", "median", "entity_mean", "lo", "hi")})
+
+
+@register("e08_change_agreement", panel_sql(_FORECASTS + """, c as (select method, (pred - v2) / v2 as a, (v3 - v2) / v2 as b from f),
+z as (select method, a, b, rank() over (partition by method order by a) + (count(*) over (partition by method, a) - 1) / 2.0 as ra, rank() over (partition by method order by b) + (count(*) over (partition by method, b) - 1) / 2.0 as rb from c)
+select method, count(*)::bigint as pairs, case when stddev_pop(ra) > 0 then round(corr(ra, rb), 6) end as rho, round(avg((sign(a) = sign(b))::int), 6) as direction from z group by method"""))
+def e08_agreement(t: Tables) -> DataFrame:
+    out = summaries.change_agreement(_forecasts(t), "predicted_change", "target_change", ["method"])
+    return out.withColumns({"rho": F.round("rho", 6), "direction": F.round("direction", 6)})
+
+
 @register("f09_triple_design", panel_sql(_TRIPLES + " select entity_id, v1, v2, v3, round(ln(v2), 6) as log_v2, round(ln(v2 / v1), 6) as log_change, round(ln(v2 / v1) / (dt1 / 365.25), 4) as rate_yr, round(dt2 / 365.25, 6) as horizon_yr, round(ln(v2 / v1) / (dt1 / 365.25) * dt2 / 365.25, 4) as rate_x_horizon, round(ln(dt1 / 365.25), 6) as log_dt1 from e"))
 def f09(t: Tables) -> DataFrame:
     digits = {"log_v2": 6, "log_change": 6, "rate_yr": 4, "horizon_yr": 6, "rate_x_horizon": 4, "log_dt1": 6}

@@ -177,7 +177,9 @@ def e11(t: Tables) -> DataFrame:
 @register("e12_e22_subsets", _RATES + ", s as (select 'all' as subset, * from n union all select 'long', * from n where dt_yr > 1 union all select 'small', * from n where pv < 100000 union all select 'post', * from n where post) select subset, count(*)::bigint as n, round(median(abs(y)), 6) as median_abs, round(avg((abs(v - pv) / pv > 0.2)::int), 6) as share_20 from s group by subset")
 def e12(t: Tables) -> DataFrame:
     rows = scores.subset_fan_out(_pairs(t), {"all": F.lit(True), "long": F.col("dt_yr") > 1, "small": F.col("prev_v") < 100000, "post": F.col("post")})
-    return rows.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(F.abs("y")), 6).alias("median_abs"), F.round(F.avg((F.abs(F.col("v") - F.col("prev_v")) / F.col("prev_v") > 0.2).cast("int")), 6).alias("share_20"))
+    rows = rows.withColumn("a", F.abs("y"))
+    flat = rows.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.abs(F.col("v") - F.col("prev_v")) / F.col("prev_v") > 0.2).cast("int")), 6).alias("share_20"))
+    return scores.with_quantiles(flat, rows, ["subset"], "a", {"median_abs": 0.5}).withColumn("median_abs", F.round("median_abs", 6))
 
 
 @register("e14_spearman", "with r as (select o_totalprice as x, round(o_totalprice / 1000) * 7 % 100 as y from orders), k as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from r) select round(corr(rx, ry), 6) as rho from k")
@@ -186,10 +188,15 @@ def e14(t: Tables) -> DataFrame:
     return scores.spearman(rows, "x", "y").select(F.round("rho", 6).alias("rho"))
 
 
-_POISSON = " + ".join(f"(u >= {c!r})::int" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))
+def draws_sql(source: str, seed: str, replicates: int, by: str = "") -> str:
+    """CTEs ent (by, entity_id, k, n) and drawn (by, entity_id, r, times): n draws with replacement a replicate."""
+    part, comma, same = (f"partition by {by} ", f"{by}, ", " and ".join(f"ent.{c.strip()} = pick.{c.strip()}" for c in by.split(",")) + " and ") if by else ("", "", "")
+    return f"""ent as (select {comma}entity_id, row_number() over ({part}order by entity_id) - 1 as k, count(*) over ({part.strip()}) as n from (select distinct {comma}entity_id from {source})),
+pick as (select {comma}r, floor(cast(('0x' || substr(md5('{seed}:' || r || ':' || k), 1, 13)) as bigint) / 4503599627370496.0::double * n) as k, count(*) as times from ent, generate_series(1, {replicates}) g(r) group by all),
+drawn as (select {", ".join(f"ent.{c.strip()}" for c in by.split(",")) + ", " if by else ""}ent.entity_id, r, times from ent join pick on {same}ent.k = pick.k)"""
 
 
-@register("e15_cluster_bootstrap", _RATES + f", s as (select entity_id, sum(abs(y)) as s, count(*) as n from n group by 1), d as (select r.r, s, n, cast(('0x' || substr(md5('boot:' || r.r || ':' || entity_id), 1, 8)) as bigint) / 4294967296.0 as u from s, generate_series(1, 200) r(r)), m as (select r, sum(({_POISSON}) * s) / sum(({_POISSON}) * n) as m from d group by r) select (select round(sum(s) / sum(n), 6) from s) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from m")
+@register("e15_cluster_bootstrap", _RATES + ", s as (select entity_id, sum(abs(y)) as s, count(*) as n from n group by 1), " + draws_sql("n", "boot", 200) + ", m as (select r, sum(times * s) / sum(times * s.n) as m from s join drawn using (entity_id) group by r) select (select round(sum(s) / sum(n), 6) from s) as mean, round(quantile_cont(m, 0.025), 6) as lo, round(quantile_cont(m, 0.975), 6) as hi from m")
 def e15(t: Tables) -> DataFrame:
     out = scores.cluster_bootstrap(_pairs(t).withColumn("a", F.abs("y")), "a", 200, "boot")
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators import checks as C
+from panelloom.operators import summaries
 from panelloom.plans.tables import Register, Tables, panel_sql
 
 register = Register()
@@ -121,9 +122,8 @@ def e03(t: Tables) -> DataFrame:
 
 @register("e04_quartiles", "select event_type, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.75), 6) as q75, min(value) as lo, max(value) as hi from events group by 1")
 def e04(t: Tables) -> DataFrame:
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = t.events.groupBy("event_type").agg(q.alias("q"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return rows.select("event_type", *[F.round(F.get("q", i), 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "lo", "hi")
+    rows = summaries.five_numbers(t.events, "value", ["event_type"])
+    return rows.select("event_type", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], "lo", "hi")
 
 
 @register("e05_crosstab", "select o_orderpriority, count(*) filter (o_orderstatus = 'F')::bigint as F, count(*) filter (o_orderstatus = 'O')::bigint as O, count(*) filter (o_orderstatus = 'P')::bigint as P from orders group by 1")

@@ -99,8 +99,8 @@ def j11(t: Tables) -> DataFrame:
 
 @register("j17_intensity_range", _GRID + "select vec_id, count(*) filter (isfinite(value))::bigint as n, round(min(value), 6) as lo, round(quantile_cont(value, 0.01), 6) as p01, round(quantile_cont(value, 0.99), 6) as p99, round(max(value), 6) as hi from g group by vec_id")
 def j17(t: Tables) -> DataFrame:
-    rows = _dense(t).groupBy("vec_id").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.max("value").alias("hi"))
-    return rows.select("vec_id", "n", F.round("lo", 6).alias("lo"), F.round(F.get("q", 0), 6).alias("p01"), F.round(F.get("q", 1), 6).alias("p99"), F.round("hi", 6).alias("hi"))
+    rows = V.intensity_range(_dense(t), "vec_id")
+    return rows.select("vec_id", "n", *[F.round(c, 6).alias(n) for c, n in (("lo", "lo"), ("q_low", "p01"), ("q_high", "p99"), ("hi", "hi"))])
 
 
 @register("a17_dense_rows", _GRID + "select vec_id, (p // 16)::int as z, (p // 4 % 4)::int as y, (p % 4)::int as x, round(value, 6) as value from g")
