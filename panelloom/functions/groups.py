@@ -140,7 +140,7 @@ def count_dominated(rows: DataFrame, by: str, first: list[str], second: list[str
     `second`, a part is then a group of its own. Work and rows are n log n whatever the groups are.
     """
     spark = rows.sparkSession
-    left = checkpointed(rows.select(F.col(by).alias("__by"), *{*first, *second}, F.col(weight).cast("double").alias("__w"), F.col(count).cast("double").alias("__c")).withColumn("__node", F.xxhash64("__by")))
+    left = checkpointed(rows.select(F.col(by).alias("__by"), *dict.fromkeys([*first, *second]), F.col(weight).cast("double").alias("__w"), F.col(count).cast("double").alias("__c")).withColumn("__node", F.xxhash64("__by")))
     out = spark.createDataFrame([], left.select("__by", F.lit(0.0).alias("total")).schema)
 
     def counted(frame: pd.DataFrame) -> pd.DataFrame:

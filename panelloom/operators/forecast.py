@@ -128,28 +128,97 @@ def ridge_with_inner_cv(rows: DataFrame, features: list[str], target: str, penal
     return rows.withColumn(fold, F.col(fold).cast("int")).join(F.broadcast(chosen), fold).withColumn("pred", pred).drop("__beta")
 
 
-def mixed_model(points: DataFrame, iterations: int = 30) -> tuple[dict, DataFrame]:
-    """Random intercept and slope of y on x per entity, by EM over per-entity sums; (parameters, sums).
-
-    points: entity_id, x, y. Each step is one aggregation of expressions over one row per entity.
+def entity_sums(points: DataFrame) -> DataFrame:
+    """(entity_id, n, sx, sxx, sy, sxy, syy) of (entity_id, x, y): all that a linear mixed model needs of an entity."""
+    x, y = F.col("x"), F.col("y")
+    return points.groupBy("entity_id").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(k) for k, c in (("sx", x), ("sxx", x * x), ("sy", y), ("sxy", x * y), ("syy", y * y))])
+
+
+def _information(frame, factor: np.ndarray) -> np.ndarray:
+    """Sums over entities of X'WX (3), X'Wy (2), y'Wy and log |I + L'X'XL| for a (complex) Cholesky factor (l11, l21, l22)."""
+    n, sx, sxx, sy, sxy, syy = (frame[c].to_numpy(np.float64) for c in ("n", "sx", "sxx", "sy", "sxy", "syy"))
+    l11, l21, l22 = factor
+    # P = X'X L, v = L'X'y, K = I + L'X'X L.
+    p11, p12, p21, p22 = n * l11 + sx * l21, sx * l22, sx * l11 + sxx * l21, sxx * l22
+    k11, k12, k22 = 1 + l11 * p11 + l21 * p21, l11 * p12 + l21 * p22, 1 + l22 * p22
+    det = k11 * k22 - k12 * k12
+    v1, v2 = l11 * sy + l21 * sxy, l22 * sxy
+    inner = lambda a1, a2, b1, b2: (k22 * a1 * b1 - k12 * (a1 * b2 + a2 * b1) + k11 * a2 * b2) / det
+    parts = (n - inner(p11, p12, p11, p12), sx - inner(p11, p12, p21, p22), sxx - inner(p21, p22, p21, p22), sy - inner(p11, p12, v1, v2), sxy - inner(p21, p22, v1, v2), syy - inner(v1, v2, v1, v2), np.log(det))
+    return np.array([x.sum() for x in parts])
+
+
+def _restricted(sums: np.ndarray, total: float) -> tuple[complex, np.ndarray, complex]:
+    """-2 x the restricted log likelihood (without constants), the fixed effects and the residual variance."""
+    a11, a12, a22, b1, b2, c, logs = sums
+    det = a11 * a22 - a12 * a12
+    beta = np.array([(a22 * b1 - a12 * b2) / det, (a11 * b2 - a12 * b1) / det])
+    rest = c - beta[0] * b1 - beta[1] * b2
+    return (total - 2) * np.log(rest) + logs + np.log(det), beta, rest / (total - 2)
+
+
+def mixed_model(points: DataFrame, iterations: int = 40, tolerance: float = 1e-6) -> tuple[dict, DataFrame]:
+    """Random intercept and slope of y on x per entity by restricted maximum likelihood; (parameters, sums per entity).
+
+    The covariance of the random effects is s2 L L' with a lower triangular L, so it is never indefinite; s2 and the fixed
+    effects are profiled out. A job evaluates the criterion at several factors at once over one row per entity and returns
+    seven sums for each; derivatives come from complex steps. Newton steps are damped until the Hessian is positive
+    definite and tried at several lengths together; where none improves, steps down the gradient and along single
+    parameters are. Parameters: a, b (fixed), s2, d11, d12, d22, criterion, converged. Fewer than three points raise.
     """
-    sums = points.groupBy("entity_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("y") * F.col("y")).alias("syy")).cache()
-    t = sums.agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sy", "sxy", "syy")], F.count(F.lit(1)).alias("m")).first()
-    slope = (t.n * t.sxy - t.sx * t.sy) / max(t.n * t.sxx - t.sx * t.sx, 1e-12)
-    par = {"a": (t.sy - slope * t.sx) / t.n, "b": slope, "s2": 0.5, "d11": 0.5, "d12": 0.0, "d22": 0.1, "converged": False}
+    from panelloom.functions.spread import checkpointed
+
+    sums = checkpointed(entity_sums(points.where("x is not null and y is not null")))
+    total = sums.agg(F.sum("n")).first()[0] or 0.0
+    if total < 3:
+        raise ValueError("a mixed model needs three points or more")
+    narrow = sums.drop("entity_id")
+
+    def evaluated(factors: list[np.ndarray]) -> list[tuple[complex, np.ndarray, complex]]:
+        def run(frames):
+            import pandas as pd
+
+            found = np.zeros((len(factors), 7), dtype=complex)
+            for frame in frames:
+                found += np.array([_information(frame, f) for f in factors])
+            yield pd.DataFrame({"factor": np.arange(len(factors)), **{f"{part}{i}": getattr(found[:, i], part) for part in ("real", "imag") for i in range(7)}})
+
+        columns = [f"{part}{i}" for part in ("real", "imag") for i in range(7)]
+        rows = narrow.mapInPandas(run, "factor int, " + ", ".join(f"{c} double" for c in columns)).groupBy("factor").agg(*[F.sum(c).alias(c) for c in columns]).collect()
+        by_factor = {r["factor"]: np.array([complex(r[f"real{i}"], r[f"imag{i}"]) for i in range(7)]) for r in rows}
+        return [_restricted(by_factor[i], total) for i in range(len(factors))]
+
+    tiny, apart = 1e-20, 1e-4
+    unit = np.eye(3)
+    theta, value, converged = np.array([1.0, 0.0, 0.5]), math.inf, False
     for _ in range(iterations):
-        step = blup(sums, par)
-        new = step.agg(
-            F.avg("u0").alias("u0"), F.avg("u1").alias("u1"),
-            F.avg(F.col("c11") + F.col("u0") * F.col("u0")).alias("d11"), F.avg(F.col("c12") + F.col("u0") * F.col("u1")).alias("d12"), F.avg(F.col("c22") + F.col("u1") * F.col("u1")).alias("d22"),
-            F.sum("rss").alias("rss"),
-        ).first()
-        old = dict(par)
-        par |= {"a": par["a"] + new.u0, "b": par["b"] + new.u1, "s2": max(new.rss / t.n, 1e-9), "d11": max(new.d11, 1e-9), "d12": new.d12, "d22": max(new.d22, 1e-9)}
-        par["converged"] = all(abs(par[k] - old[k]) < 1e-4 * (1 + abs(old[k])) for k in ("a", "b", "s2", "d11", "d22"))
-        if par["converged"]:
+        centres = [theta, *[theta + sign * apart * unit[k] for k in range(3) for sign in (1, -1)]]
+        slopes = evaluated([c + 1j * tiny * unit[k] for c in centres for k in range(3)])
+        gradients = np.array([s[0].imag / tiny for s in slopes]).reshape(-1, 3)
+        value, gradient = slopes[0][0].real, gradients[0]
+        if np.abs(gradient).max() < tolerance * (1 + abs(value)):
+            converged = True
+            break
+        hessian = (gradients[1::2] - gradients[2::2]) / (2 * apart)
+        hessian = (hessian + hessian.T) / 2
+        bend, axes = np.linalg.eigh(hessian)
+        step = -axes @ ((axes.T @ gradient) / np.maximum(np.abs(bend), 1e-8 * max(1.0, np.abs(bend).max())))
+        downhill = -gradient / max(np.abs(gradient).max(), 1e-300)
+        tries = [theta + step * 0.5**k for k in range(12)] + [theta + downhill * 0.1**k for k in range(1, 8)] + [theta + sign * 0.1**k * u for u in unit for sign in (1, -1) for k in range(1, 6)]
+        values = np.array([e[0].real for e in evaluated([t.astype(complex) for t in tries])])
+        values[~np.isfinite(values)] = math.inf
+        newton = np.flatnonzero(values[:12] < value)
+        best = int(newton[0]) if len(newton) else int(values.argmin())
+        if values[best] >= value:
+            # Nothing near is better to within rounding.
+            converged = bool(np.abs(gradient).max() < 1e-3 * (1 + abs(value)))
             break
-    return par, sums
+        theta = tries[best]
+    ((value, beta, s2),) = evaluated([theta.astype(complex)])
+    l11, l21, l22 = theta
+    s2 = s2.real
+    covariance = {"d11": s2 * l11 * l11, "d12": s2 * l11 * l21, "d22": s2 * (l21 * l21 + l22 * l22)}
+    return {"a": beta[0].real, "b": beta[1].real, "s2": s2, **{k: float(v) for k, v in covariance.items()}, "criterion": value.real, "converged": converged}, sums
 
 
 def blup(sums: DataFrame, par: dict) -> DataFrame:
@@ -181,52 +250,88 @@ def _polygamma(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252)), second + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y / 42))
 
 
-def cox(survival: DataFrame, covariates: list[str], penalty: float = 0.05, steps: int = 25, ticks: float = 365.25) -> list[tuple[str, float, float, float, float]]:
+def cox(survival: DataFrame, covariates: list[str], penalty: float = 0.05, steps: int = 25, ticks: float | None = None) -> list[tuple[str, float, float, float, float]]:
     """(covariate, coefficient, standard error, hazard ratio, p) of Cox's model with Efron ties, by rows of (time_yr, event).
 
     Covariates are standardised, so a hazard ratio is that of one standard deviation; the L2 penalty is on the mean
-    likelihood; p is of Wald's test. Times are whole ticks of a year, days as they stand. A Newton step aggregates the
-    risk-set sums and those of the events by tick; the driver gets a row per tick, whose number follows the time span.
-    The sums over d events of one tick have closed forms in the digamma and trigamma functions.
+    likelihood; p is of Wald's test. Times are taken as they stand, or in whole `ticks` of a year. A Newton step sums risks,
+    weighted covariates and their products by time, deals the times by ranges, and takes the sums over risk sets as running
+    totals inside the ranges: the driver gets one row of totals per range, then p + p^2 numbers. The sums over d events of
+    one time have closed forms in the digamma and trigamma functions. Null times, events or covariates are left out.
     """
+    from panelloom.functions.spread import checkpointed
+
+    survival = survival.where(F.col("time_yr").isNotNull() & F.col("event").isNotNull() & sum((F.col(c).isNull().cast("int") for c in covariates), F.lit(0)).eqNullSafe(0))
     stats = survival.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(covariates) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = [((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] + 1e-9)).alias(f"z{i}") for i, c in enumerate(covariates)]
-    rows = survival.select(F.round(F.col("time_yr") * ticks).cast("long").alias("time"), F.col("event").cast("int").alias("event"), *z).cache()
+    time = F.col("time_yr").cast("double") if ticks is None else F.round(F.col("time_yr") * ticks).cast("double")
+    rows = checkpointed(survival.select(time.alias("time"), F.col("event").cast("int").alias("event"), *z))
     p, n = len(covariates), max(1, stats.n)
+    names = ["", *[f"_{i}" for i in range(p)], *[f"_{i}_{j}" for i in range(p) for j in range(i, p)]]
+    own, events = [f"w{k}" for k in names], [f"v{k}" for k in names]
     beta, hessian = np.zeros(p), np.eye(p)
     for _ in range(steps):
         risk = F.exp(sum((F.col(f"z{i}") * float(beta[i]) for i in range(p)), F.lit(0.0)))
         parts = {"": risk, **{f"_{i}": risk * F.col(f"z{i}") for i in range(p)}, **{f"_{i}_{j}": risk * F.col(f"z{i}") * F.col(f"z{j}") for i in range(p) for j in range(i, p)}}
-        sums = [F.sum("event").alias("d"), *[F.sum(c).alias(f"w{k}") for k, c in parts.items()], *[F.sum(F.col("event") * c).alias(f"v{k}") for k, c in parts.items()]]
-        sums += [F.sum(F.col("event") * F.col(f"z{i}")).alias(f"e{i}") for i in range(p)]
-        g = rows.groupBy("time").agg(*sums).orderBy(F.desc("time")).toPandas()
-        gradient = g[[f"e{i}" for i in range(p)]].sum().to_numpy()
-        at_risk = g[[f"w{k}" for k in parts]].cumsum()
-        use = (g["d"] > 0).to_numpy()
-        d, w, v = g["d"].to_numpy(float)[use], at_risk["w"].to_numpy()[use], g["v"].to_numpy()[use]
-        w1, v1 = (np.stack([t[f"{k}_{i}"].to_numpy()[use] for i in range(p)], axis=1) for t, k in ((at_risk, "w"), (g, "v")))
-        # Over l = 0 .. d - 1: sums of 1 / (w - v l / d) and of its square.
-        top, low = _polygamma(w * d / v + 1), _polygamma(np.maximum(w * d / v - d, 0) + 1)
-        t1, t2 = d / v * (top[0] - low[0]), (d / v) ** 2 * (low[1] - top[1])
-        share, rest = v1 / v[:, None], w1 - v1 * (w / v)[:, None]
-        gradient = gradient - (d[:, None] * share + rest * t1[:, None]).sum(axis=0)
-        hessian = penalty * n * np.eye(p)
-        for i in range(p):
-            for j in range(i, p):
-                w2, v2 = at_risk[f"w_{i}_{j}"].to_numpy()[use], g[f"v_{i}_{j}"].to_numpy()[use]
-                second = d * v2 / v + (w2 - v2 * w / v) * t1
-                product = d * share[:, i] * share[:, j] + (share[:, i] * rest[:, j] + share[:, j] * rest[:, i]) * t1 + rest[:, i] * rest[:, j] * t2
-                hessian[i, j] += (second - product).sum()
-                hessian[j, i] = hessian[i, j]
-        step = np.linalg.solve(hessian, gradient - penalty * n * beta)
+        sums = [F.sum("event").alias("d"), *[F.sum(c).alias(f"w{k}") for k, c in parts.items()], *[F.sum(F.col("event") * c).alias(f"v{k}") for k, c in parts.items()], *[F.sum(F.col("event") * F.col(f"z{i}")).alias(f"e{i}") for i in range(p)]]
+        dealt = checkpointed(rows.groupBy("time").agg(*sums).repartitionByRange(F.desc("time")).sortWithinPartitions(F.desc("time")).withColumn("__r", F.spark_partition_id()))
+        totals = dealt.groupBy("__r").agg(*[F.sum(c).alias(c) for c in own]).orderBy("__r").toPandas()
+        later = dict(zip(totals["__r"], (totals[own].cumsum() - totals[own]).to_numpy()))
+        score = np.zeros(p)
+        bend = np.zeros((p, p))
+        shape = ", ".join(f"g{i} double" for i in range(p)) + ", " + ", ".join(f"h{i}_{j} double" for i in range(p) for j in range(p))
+        for r in dealt.mapInPandas(_cox_terms(p, own, events, later), shape).collect():
+            score += np.array([r[f"g{i}"] for i in range(p)])
+            bend += np.array([[r[f"h{i}_{j}"] for j in range(p)] for i in range(p)])
+        hessian = bend + penalty * n * np.eye(p)
+        step = np.linalg.solve(hessian, score - penalty * n * beta)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
     error = np.sqrt(np.diag(np.linalg.inv(hessian)))
-    rows.unpersist()
     return [(c, float(b), float(e), math.exp(b), math.erfc(abs(b / e) / math.sqrt(2))) for c, b, e in zip(covariates, beta, error)]
 
 
+def _cox_terms(p: int, own: list[str], events: list[str], later: dict):
+    """One row of score and information sums per range of times, in descending order; `later`: risk sums before a range."""
+
+    def run(frames):
+        import pandas as pd
+
+        score, bend, seen = np.zeros(p), np.zeros((p, p)), None
+        place = {k: i for i, k in enumerate(own)}
+        for g in frames:
+            if not len(g):
+                continue
+            if seen is None:
+                seen = later[g["__r"].iloc[0]].copy()
+            at_risk = g[own].to_numpy().cumsum(axis=0) + seen
+            seen = at_risk[-1]
+            score += g[[f"e{i}" for i in range(p)]].sum().to_numpy()
+            use = (g["d"] > 0).to_numpy()
+            if not use.any():
+                continue
+            at_risk, dying, d = at_risk[use], g[events].to_numpy()[use], g["d"].to_numpy(float)[use]
+            w, v = at_risk[:, 0], dying[:, 0]
+            w1, v1 = at_risk[:, 1 : p + 1], dying[:, 1 : p + 1]
+            # Over l = 0 .. d - 1: sums of 1 / (w - v l / d) and of its square.
+            top, low = _polygamma(w * d / v + 1), _polygamma(np.maximum(w * d / v - d, 0) + 1)
+            t1, t2 = d / v * (top[0] - low[0]), (d / v) ** 2 * (low[1] - top[1])
+            share, rest = v1 / v[:, None], w1 - v1 * (w / v)[:, None]
+            score -= (d[:, None] * share + rest * t1[:, None]).sum(axis=0)
+            for i in range(p):
+                for j in range(i, p):
+                    k = place[f"w_{i}_{j}"]
+                    w2, v2 = at_risk[:, k], dying[:, k]
+                    second = d * v2 / v + (w2 - v2 * w / v) * t1
+                    product = d * share[:, i] * share[:, j] + (share[:, i] * rest[:, j] + share[:, j] * rest[:, i]) * t1 + rest[:, i] * rest[:, j] * t2
+                    bend[i, j] += (second - product).sum()
+                    bend[j, i] = bend[i, j]
+        yield pd.DataFrame({**{f"g{i}": [score[i]] for i in range(p)}, **{f"h{i}_{j}": [bend[i, j]] for i in range(p) for j in range(p)}})
+
+    return run
+
+
 def boosted_with_inner_cv(rows: DataFrame, features: list[str], target: str, depths: list[int], trees: list[int], fold: str = "fold", inner: str = "inner", seed: int = 7, parallelism: int = 8) -> DataFrame:
     """Adds pred, depth and trees: out-of-fold boosted trees of absolute loss, every row predicted once.
 

@@ -6,10 +6,12 @@ one row per value, not per case.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions.groups import count_dominated, group_quantiles, group_totals
+from panelloom.functions.groups import count_dominated, dominance, group_quantiles, group_totals
 from panelloom.functions.numbers import normal_cdf
 from panelloom.functions.spread import checkpointed, quantiles, running_totals
 
@@ -71,6 +73,9 @@ def concordance(cases: DataFrame, by: str, leaf: int = 1 << 17) -> DataFrame:
     a later time and a smaller risk by count_dominated, equal risks and all comparable pairs by running totals.
     """
     per = checkpointed(cases.groupBy(by, "time", "risk").agg(F.sum("event").alias("d"), F.count(F.lit(1)).alias("n")))
+    largest = per.groupBy(by).count().agg(F.max("count")).first()[0]
+    if not largest or largest <= leaf:
+        return per.groupBy(by).applyInPandas(_concordance_of_fold(by), f"`{by}` {per.schema[by].dataType.simpleString()}, c_index double")
     good = count_dominated(per, by, ["time", "risk"], ["risk", "time"], "d", "n", leaf)
 
     def later_cases(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,6 +89,23 @@ def concordance(cases: DataFrame, by: str, leaf: int = 1 << 17) -> DataFrame:
     return joined.select(by, F.when(F.col("pairs") > 0, (F.coalesce("total", F.lit(0.0)) + F.coalesce("equal", F.lit(0.0)) / 2) / F.col("pairs")).alias("c_index"))
 
 
+def _concordance_of_fold(by: str):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["time", "risk"])
+        time, risk, d, n = (frame[c].to_numpy(np.float64) for c in ("time", "risk", "d", "n"))
+        from_here = np.append(n[::-1].cumsum()[::-1], 0)
+        every = float((d * from_here[np.searchsorted(time, time, side="right")]).sum())
+        rank = np.empty(len(frame), dtype=np.int64)
+        by_risk = np.lexsort((time, risk))
+        rank[by_risk] = np.arange(len(frame))
+        upto = n[by_risk].cumsum()
+        last = np.searchsorted(risk[by_risk], risk[by_risk], side="right") - 1
+        equal = float((d[by_risk] * (upto[last] - upto)).sum())
+        return pd.DataFrame({by: frame[by].iloc[:1].to_numpy(), "c_index": [(dominance(rank, d, n) + equal / 2) / every if every else None]})
+
+    return run
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """(by..., rho): correlation of average ranks inside each group; distinct values are ranked by running counts."""
     by = by or []

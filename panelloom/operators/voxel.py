@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions.groups import group_quantiles
 from panelloom.functions.spread import checkpointed
 
 KEY = ["case_id", "tp"]
@@ -63,19 +64,24 @@ def surface(mask: DataFrame) -> DataFrame:
 def hd95(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], q: float = 0.95, size: int | None = None) -> DataFrame:
     """(case_id, hd95): the q quantile of surface distances in both directions, pooled; only cases with both masks.
 
-    A surface voxel reads its distance off the distance transform of the other surface, on a grid of `size` (found from
-    the masks where it is not given), so a case costs its grid and not the square of its surface.
+    Each surface reads its distances off the transform of the other one, inside the numpy batch that makes a slice of it;
+    no voxel row of the grid is made. A case's grid is its own (up to its largest coordinate, or `size`).
     """
-    s, t = checkpointed(surface(a)), checkpointed(surface(b))
-    if size is None:
-        ends = a.select(*VOXEL).unionByName(b.select(*VOXEL)).agg(F.max(F.greatest(*VOXEL))).first()[0]
-        size = 1 + (ends or 0)
+    sides = surface(a.select("case_id", F.lit(0).alias("tp"), *VOXEL).unionByName(b.select("case_id", F.lit(1).alias("tp"), *VOXEL)))
+    sides = checkpointed(sides)
+    other = sides.withColumn("tp", 1 - F.col("tp"))
+    return group_quantiles(surface_distances(sides, other, spacing, size), ["case_id"], "d", [q]).select("case_id", F.get("q", 0).alias("hd95"))
 
-    def nearest(p: DataFrame, r: DataFrame) -> DataFrame:
-        field = distance_transform(r.withColumn("tp", F.lit(0)), size, spacing)
-        return p.select("case_id", *VOXEL).join(field.select("case_id", *VOXEL, "d"), ["case_id", *VOXEL]).select("case_id", F.sqrt("d").alias("d"))
 
-    return nearest(s, t).unionByName(nearest(t, s)).groupBy("case_id").agg(F.percentile("d", F.lit(q)).alias("hd95"))
+def surface_distances(points: DataFrame, reference: DataFrame, spacing: tuple[float, float, float], size: int | None = None) -> DataFrame:
+    """(case_id, tp, d): the distance of every point to the nearest reference voxel of its case and time; without one, no row."""
+    every = points.select("case_id", *VOXEL).unionByName(reference.select("case_id", *VOXEL))
+    sizes = every.groupBy("case_id").agg((1 + F.max(F.greatest(*VOXEL))).cast("int").alias("size")) if size is None else None
+    planes = _planes(reference, size if sizes is None else None, sizes)
+    slices = _slices(planes, spacing, False)
+    asked = points.groupBy(*KEY, F.col("z").cast("int").alias("z")).agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).alias("asked"))
+    kind = {c: points.schema[c].dataType.simpleString() for c in KEY}
+    return slices.join(asked, [*KEY, "z"]).mapInPandas(_read_slices(spacing[2] ** 2), ", ".join(f"{c} {k}" for c, k in kind.items()) + ", d double")
 
 
 def centroid(mask: DataFrame) -> DataFrame:
@@ -92,8 +98,16 @@ def border_faces(mask: DataFrame, size: int) -> DataFrame:
     return mask.groupBy(*KEY).agg(F.array_compact(F.array(*names)).alias("faces")).withColumn("touches", F.size("faces") > 0)
 
 
+#: Lines up to this length take one vectorised step per distance; longer ones a lower envelope, linear in their length.
+SHORT = 48
+
+
 def _min_plus(field: np.ndarray, axis: int, weight: float) -> np.ndarray:
-    """min over j of field[j] + weight * (i - j)**2 along an axis; one step per distance, infinite values stay."""
+    """min over j of field[j] + weight * (i - j)**2 along an axis; infinite values stay."""
+    lines = np.moveaxis(field, axis, -1)
+    if lines.shape[-1] > SHORT:
+        flat = np.ascontiguousarray(lines).reshape(-1, lines.shape[-1])
+        return np.moveaxis(lower_envelope(flat, weight).reshape(lines.shape), -1, axis)
     out, n = field.copy(), field.shape[axis]
     f, o = np.moveaxis(field, axis, 0), np.moveaxis(out, axis, 0)
     for step in range(1, n):
@@ -103,19 +117,59 @@ def _min_plus(field: np.ndarray, axis: int, weight: float) -> np.ndarray:
     return out
 
 
-def _pieces(n: int, cells: int) -> list[slice]:
-    """Slices of n grids of so many cells, some four million cells each."""
-    step = max(1, (1 << 22) // cells)
-    return [slice(low, low + step) for low in range(0, n, step)]
+def lower_envelope(lines: np.ndarray, weight: float) -> np.ndarray:
+    """min over j of lines[:, j] + weight * (i - j)**2 for all i, by the lower envelope of the parabolas of each line.
+
+    All lines advance together: a step adds the parabola of one place, takes away those that it hides, and at the end every
+    place reads the parabola that is lowest there. A parabola comes and goes once, so a line costs its length.
+    """
+    count, n = lines.shape
+    top = np.full(count, -1)
+    at = np.zeros((count, n + 1), dtype=np.int64)
+    begin = np.full((count, n + 2), np.inf)
+    for q in range(n):
+        height = lines[:, q]
+        left = np.flatnonzero(np.isfinite(height))
+        while len(left):
+            k = top[left]
+            v = at[left, np.maximum(k, 0)]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cross = np.where(k >= 0, (height[left] - lines[left, v]) / (2 * weight * (q - v)) + (q + v) / 2, -np.inf)
+            hidden = (k >= 0) & (cross <= begin[left, np.maximum(k, 0)])
+            stay = left[~hidden]
+            top[stay] += 1
+            at[stay, top[stay]] = q
+            begin[stay, top[stay]] = cross[~hidden]
+            begin[stay, top[stay] + 1] = np.inf
+            left = left[hidden]
+            top[left] -= 1
+    out = np.full_like(lines, np.inf)
+    some = np.flatnonzero(top >= 0)
+    place = np.zeros(len(some), dtype=np.int64)
+    for q in range(n):
+        on = np.flatnonzero(begin[some, place + 1] < q)
+        while len(on):
+            place[on] += 1
+            on = on[begin[some[on], place[on] + 1] < q]
+        v = at[some, place]
+        out[some, q] = lines[some, v] + weight * (q - v) ** 2
+    return out
+
+
+def _pieces(frame: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(size, rows) of grids of one size, some four million cells at a time."""
+    for size, rows in frame.groupby("size"):
+        step = max(1, (1 << 22) // int(size) ** 2)
+        for low in range(0, len(rows), step):
+            yield int(size), rows.iloc[low : low + step]
 
 
-def _plane_distances(size: int, weights: tuple[float, float, float], inside: bool):
-    """Rows (case, tp, x, voxels of the plane) to rows (case, tp, z, x, o, i) with the squared distances inside the plane."""
+def _plane_distances(weights: tuple[float, float], inside: bool):
+    """Rows (case, tp, size, x, voxels of the plane) to rows (case, tp, size, x, z, o, i): squared distances inside the plane."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
-            for part in _pieces(len(whole), size * size):
-                frame = whole.iloc[part]
+            for size, frame in _pieces(whole):
                 held = np.zeros((len(frame), size * size), dtype=bool)
                 at = [np.asarray(v, dtype=np.int64) for v in frame["at"]]
                 held[np.repeat(np.arange(len(frame)), [len(v) for v in at]), np.concatenate(at)] = True
@@ -124,48 +178,76 @@ def _plane_distances(size: int, weights: tuple[float, float, float], inside: boo
                 for name, source in (("o", held), ("i", ~held)) if inside else (("o", held),):
                     d = np.where(source, 0.0, np.inf)
                     fields[name] = _min_plus(_min_plus(d, 1, weights[0]), 2, weights[1]).reshape(-1, size)
-                keys = {c: np.repeat(frame[c].to_numpy(), size) for c in (*KEY, "x")}
+                keys = {c: np.repeat(frame[c].to_numpy(), size) for c in (*KEY, "size", "x")}
                 yield pd.DataFrame({**keys, "z": np.tile(np.arange(size), len(frame)), **{n: list(v) for n, v in fields.items()}})
 
     return run
 
 
-def _across_planes(size: int, weight: float, inside: bool):
-    """Rows (case, tp, z, planes [(x, o, i)]) to one row per voxel of the slice with both squared distances."""
+def _slice_fields(frame: pd.DataFrame, size: int, weight: float, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Per name the squared distances (row, x, y) of the slices in the rows of `planes`, joined across planes."""
+    row = np.repeat(np.arange(len(frame)), [len(v) for v in frame["planes"]])
+    every = [p for planes in frame["planes"] for p in planes]
+    x, out = np.array([p["x"] for p in every]), {}
+    for name in names:
+        # A plane without a voxel of the mask has no outside distance, and is background everywhere.
+        field = np.full((len(frame), size, size), np.inf if name == "o" else 0.0)
+        field[row, x] = np.stack([p[name] for p in every])
+        out[name] = _min_plus(field, 1, weight)
+    return out
+
+
+def _across_planes(weight: float, inside: bool):
+    """Rows (case, tp, size, z, planes [(x, o, i)]) to one row per voxel of the slice with both squared distances."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("o", "i") if inside else ("o",)
         for whole in frames:
-            for part in _pieces(len(whole), size * size):
-                frame = whole.iloc[part]
-                row = np.repeat(np.arange(len(frame)), [len(v) for v in frame["planes"]])
-                every = [p for planes in frame["planes"] for p in planes]
-                x = np.array([p["x"] for p in every])
-                out = {c: np.repeat(frame[c].to_numpy(), size * size) for c in (*KEY, "z")}
-                for name in names:
-                    # A plane without a voxel of the mask has no outside distance, and is background everywhere.
-                    field = np.full((len(frame), size, size), np.inf if name == "o" else 0.0)
-                    field[row, x] = np.stack([p[name] for p in every])
-                    out[name] = _min_plus(field, 1, weight).ravel()
+            for size, frame in _pieces(whole):
+                fields = _slice_fields(frame, size, weight, ("o", "i") if inside else ("o",))
+                keys = {c: np.repeat(frame[c].to_numpy(), size * size) for c in (*KEY, "z")}
                 grid = np.tile(np.arange(size * size), len(frame))
-                yield pd.DataFrame({**out, "x": grid // size, "y": grid % size})
+                yield pd.DataFrame({**keys, **{n: f.ravel() for n, f in fields.items()}, "x": grid // size, "y": grid % size})
 
     return run
 
 
+def _read_slices(weight: float):
+    """Rows (case, tp, size, z, planes, asked [(x, y)]) to the distances at the asked places."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for size, frame in _pieces(whole):
+                field = _slice_fields(frame, size, weight, ("o",))["o"]
+                row = np.repeat(np.arange(len(frame)), [len(v) for v in frame["asked"]])
+                x, y = (np.array([p[c] for asked in frame["asked"] for p in asked]) for c in ("x", "y"))
+                yield pd.DataFrame({**{c: frame[c].to_numpy()[row] for c in KEY}, "d": np.sqrt(field[row, x, y])})
+
+    return run
+
+
+def _planes(mask: DataFrame, size: int | None, sizes: DataFrame | None) -> DataFrame:
+    """(case, tp, size, x, at): the voxels of each plane of one x that holds any, as numbers z * size + y."""
+    sized = mask.withColumn("size", F.lit(size)) if sizes is None else mask.join(sizes, "case_id")
+    return sized.groupBy(*KEY, "size", F.col("x").cast("int").alias("x")).agg(F.collect_set((F.col("z") * F.col("size") + F.col("y")).cast("int")).alias("at"))
+
+
+def _slices(planes: DataFrame, spacing: tuple[float, float, float], inside: bool) -> DataFrame:
+    """(case, tp, size, z, planes): planes transformed along z and y at once, gathered by slice."""
+    kinds = "o array<double>" + (", i array<double>" if inside else "")
+    kind = ", ".join(f"{c} {planes.schema[c].dataType.simpleString()}" for c in KEY)
+    rows = planes.mapInPandas(_plane_distances((spacing[0] ** 2, spacing[1] ** 2), inside), f"{kind}, size int, x int, z int, {kinds}")
+    return rows.groupBy(*KEY, "size", "z").agg(F.collect_list(F.struct("x", *(("o", "i") if inside else ("o",)))).alias("planes"))
+
+
 def _distances(mask: DataFrame, size: int, spacing: tuple[float, float, float], inside: bool) -> DataFrame:
     """(case, tp, z, x, o, i, y): squared distances of every grid voxel to the mask and, with inside, to the background.
 
     Planes of one x that hold voxels are transformed along z and y at once, then the lines across planes: two shuffles of
     planes and slices, in numpy batches; no group is larger than a slice of the grid.
     """
-    wz, wy, wx = (w * w for w in spacing)
-    kinds = "o array<double>" + (", i array<double>" if inside else "")
-    kind = {c: mask.schema[c].dataType.simpleString() for c in KEY}
-    planes = mask.groupBy(*KEY, F.col("x").cast("int").alias("x")).agg(F.collect_set((F.col("z") * size + F.col("y")).cast("int")).alias("at"))
-    rows = planes.mapInPandas(_plane_distances(size, (wz, wy, wx), inside), ", ".join(f"{c} {k}" for c, k in kind.items()) + f", x int, z int, {kinds}")
-    slices = rows.groupBy(*KEY, "z").agg(F.collect_list(F.struct("x", *(("o", "i") if inside else ("o",)))).alias("planes"))
-    return slices.mapInPandas(_across_planes(size, wx, inside), ", ".join(f"{c} {k}" for c, k in kind.items()) + ", z int, o double, " + ("i double, " if inside else "") + "x int, y int")
+    kind = ", ".join(f"{c} {mask.schema[c].dataType.simpleString()}" for c in KEY)
+    slices = _slices(_planes(mask, size, None), spacing, inside)
+    return slices.mapInPandas(_across_planes(spacing[2] ** 2, inside), f"{kind}, z int, o double, " + ("i double, " if inside else "") + "x int, y int")
 
 
 def distance_transform(mask: DataFrame, size: int, spacing: tuple[float, float, float]) -> DataFrame:
@@ -195,7 +277,6 @@ def crop(mask: DataFrame, centre: DataFrame, shape: int) -> DataFrame:
 
 def normalise(voxels: DataFrame, key: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Values scaled to [-1, 1] between percentiles of the finite foreground (<> 0); background and non-finite: -1."""
-    from panelloom.functions.groups import group_quantiles
     from panelloom.functions.numbers import finite
 
     good = finite(F.col("value")) & (F.col("value") != 0)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelloom.operators import forecast
@@ -51,6 +52,78 @@ def test_cox_of_one_tie_of_all_rows(spark):
     assert abs(b) < 1e-9 and e > 0 and abs(ratio - 1) < 1e-9 and abs(p - 1) < 1e-6
 
 
+@pytest.mark.parametrize("p", [1, 2, 3, 4])
+def test_cox_of_distinct_real_times(spark, p):
+    """One to four covariates: the score of the likelihood is zero at the result."""
+    rng = np.random.default_rng(p)
+    n = 90
+    x = rng.normal(size=(n, p)) * np.arange(1, p + 1)
+    time = rng.exponential(size=n)
+    event = (rng.random(n) < 0.6).astype(int)
+    names = [f"c{i}" for i in range(p)]
+    table = [(float(t), int(e), *map(float, r)) for t, e, r in zip(time, event, x)] + [(None, 1, *[0.5] * p)]
+    rows = spark.createDataFrame(table, "time_yr double, event int, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    beta = np.array([r[1] for r in forecast.cox(rows, names)])
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
+    for u in np.eye(p) * 1e-4:
+        slope = (_efron(beta + u, time, event, z, 0.05) - _efron(beta - u, time, event, z, 0.05)) / 2e-4
+        assert abs(slope) < 1e-5
+
+
+def _dense_restricted(points, s2, d):
+    """-2 x the restricted log likelihood of an intercept and slope per entity, from whole covariance matrices."""
+    value, information, right = 0.0, np.zeros((2, 2)), np.zeros(2)
+    blocks = []
+    for e in sorted({r[0] for r in points}):
+        x = np.array([[1.0, r[1]] for r in points if r[0] == e])
+        y = np.array([r[2] for r in points if r[0] == e])
+        v = s2 * np.eye(len(x)) + x @ d @ x.T
+        w = np.linalg.inv(v)
+        value += np.linalg.slogdet(v)[1]
+        information += x.T @ w @ x
+        right += x.T @ w @ y
+        blocks.append((x, y, w))
+    beta = np.linalg.solve(information, right)
+    value += sum((y - x @ beta) @ w @ (y - x @ beta) for x, y, w in blocks)
+    return value + np.linalg.slogdet(information)[1], beta
+
+
+def _growing(entities, seed, d):
+    rng = np.random.default_rng(seed)
+    factor = np.linalg.cholesky(np.array(d) + 1e-12 * np.eye(2))
+    out = []
+    for e in range(entities):
+        u = factor @ rng.normal(size=2)
+        for x in np.sort(rng.random(rng.integers(1, 7)) * 4):
+            out.append((e, float(x), float(1.5 + u[0] + (0.3 + u[1]) * x + rng.normal() * 0.4)))
+    return out
+
+
+def test_mixed_model_is_the_minimum_of_the_restricted_likelihood(spark):
+    points = _growing(200, 8, [[0.8, -0.1], [-0.1, 0.2]])
+    par, sums = forecast.mixed_model(spark.createDataFrame(points, "entity_id int, x double, y double"))
+    assert par["converged"] and sums.count() == 200
+    at = np.array([par["s2"], par["d11"], par["d12"], par["d22"]])
+    of = lambda v: _dense_restricted(points, v[0], np.array([[v[1], v[2]], [v[2], v[3]]]))
+    value, beta = of(at)
+    assert np.allclose(beta, [par["a"], par["b"]], rtol=1e-6)
+    for k in range(4):
+        for sign in (1, -1):
+            moved = at.copy()
+            moved[k] += sign * 1e-3
+            assert of(moved)[0] > value - 1e-6
+    slope = [(of(at + 1e-5 * u)[0] - of(at - 1e-5 * u)[0]) / 2e-5 for u in np.eye(4)]
+    assert np.abs(slope).max() < 5e-3
+
+
+def test_mixed_model_without_slopes_stays_definite(spark):
+    points = _growing(60, 2, [[0.5, 0.0], [0.0, 0.0]])
+    par, _ = forecast.mixed_model(spark.createDataFrame(points, "entity_id int, x double, y double"))
+    assert par["d11"] * par["d22"] - par["d12"] ** 2 >= -1e-12 and par["d22"] < 0.05 and math.isfinite(par["criterion"])
+    with pytest.raises(ValueError):
+        forecast.mixed_model(spark.createDataFrame(points[:2], "entity_id int, x double, y double"))
+
+
 def test_boosted_trees_take_the_setting_of_the_inner_folds(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor

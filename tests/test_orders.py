@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions import groups
-from panelloom.operators import scores
+from panelloom.operators import estimates, scores, voxel
 
 
 def pairs_by_hand(rows):
@@ -69,7 +69,7 @@ def test_quantiles_of_the_whole_table_as_one_group(spark):
     rows = spark.range(999).select((F.col("id") * 38 % 999).cast("double").alias("v"))
     for small in (10**6, 10):
         (r,) = groups.group_quantiles(rows, [], "v", [0.5, 0.1], small=small).collect()
-        assert (r.n, r.q) == (999, [499.0, 99.8])
+        assert r.n == 999 and np.allclose(r.q, [499.0, 99.8], rtol=1e-12)
 
 
 def test_running_totals_inside_a_crowded_group(spark):
@@ -80,3 +80,38 @@ def test_running_totals_inside_a_crowded_group(spark):
         for r in got:
             before = [o for g, o in table if g == r.g and (o >= r.o if down else o <= r.o)]
             assert (r.s, r.k) == (sum(before), len(before))
+
+
+def test_every_replicate_draws_as_many_entities_as_there_are(spark):
+    rows = spark.createDataFrame([("a", e) for e in range(37)] + [("b", e) for e in range(5)] * 3 + [("b", None)], "g string, e int")
+    for by, sizes in (([], {(): 37}), (["g"], {("a",): 37, ("b",): 5})):
+        drawn = estimates.bootstrap_weights(rows, "e", 30, "s", by).groupBy(*by, "replicate").agg(F.sum("times").alias("n"), F.count_distinct("e").alias("k")).collect()
+        assert len(drawn) == 30 * len(sizes)
+        for r in drawn:
+            n = sizes[tuple(r[c] for c in by)]
+            assert r.n == n and 1 <= r.k <= n
+        # Of 37 entities a replicate leaves out about 37 / e.
+        assert 20 < np.mean([r.k for r in drawn if r.n == 37]) < 27
+
+
+def test_distances_of_long_lines_equal_all_pairs(spark):
+    """A grid of 60 a side takes lower envelopes; two cases of different size share the batches."""
+    rng = np.random.default_rng(4)
+    mask = {c: np.unique(rng.integers(0, n, size=(12, 3)), axis=0) for c, n in ((1, 60), (2, 9))}
+    rows = spark.createDataFrame([(c, 0, *map(int, v)) for c, vs in mask.items() for v in vs], "case_id int, tp int, z int, y int, x int")
+    asked = {c: rng.integers(0, 60 if c == 1 else 9, size=(40, 3)) for c in mask}
+    points = spark.createDataFrame([(c, 0, *map(int, v)) for c, vs in asked.items() for v in vs], "case_id int, tp int, z int, y int, x int")
+    spacing = np.array([0.5, 1.0, 2.0])
+    got = voxel.surface_distances(points, rows, tuple(spacing)).collect()
+    for c in mask:
+        want = [min(np.sqrt((((p - v) * spacing) ** 2).sum()) for v in mask[c]) for p in asked[c]]
+        assert np.allclose(sorted(r.d for r in got if r.case_id == c), sorted(want))
+
+
+def test_lower_envelope_equals_all_parabolas():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 60, 130):
+        f = np.where(rng.random((200, n)) < 0.2, rng.random((200, n)) * 50, np.inf)
+        i = np.arange(n)
+        want = (f[:, None, :] + 0.7 * (i[:, None] - i[None, :]) ** 2).min(axis=2)
+        assert np.allclose(voxel.lower_envelope(f, 0.7), want)
