@@ -45,6 +45,8 @@ from panelloom.llm._tiles import by_unit
 IDENTITY = ("doc", "text_key")
 #: Windows in one segment at most; a longer run (periodic text) is cut.
 RUN = 64
+#: Bytes of text that a task takes apart at a time; byte and word arrays are some fifty times as large.
+BLOCK = 1 << 20
 #: Bits of the role of a segment in its shard; without one of the first two it follows from the order in the shard.
 INDEXED, STREAMED, DOUBLED = 1, 2, 4
 
@@ -97,7 +99,7 @@ def _segment_rows(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             identity = [np.asarray(batch.column(i)) for i in range(len(IDENTITY))]
-            for block in text_blocks(batch, "text"):
+            for block in text_blocks(batch, "text", BLOCK):
                 starts, ends, rows = block.words()
                 if len(starts) < length:
                     continue
@@ -125,7 +127,7 @@ def _pieces(length: int):
             offsets = np.asarray(wanted.offsets).astype(np.int64)
             place_all, key_all, role_all, parts_all, salts_all = (np.asarray(wanted.values.field(c)) for c in ("place", "minimiser", "role", "parts", "salts"))
             identity = [np.asarray(batch.column(i)) for i in range(len(IDENTITY))]
-            for block in text_blocks(batch, "text"):
+            for block in text_blocks(batch, "text", BLOCK):
                 cut = offsets[block.first_row : block.first_row + block.rows + 1]
                 if cut[-1] == cut[0]:
                     continue
@@ -392,7 +394,7 @@ def _cut():
             n_words = np.zeros(batch.num_rows, np.int64)
             removed = np.zeros(batch.num_rows, np.int64)
             digests: list[str] = []
-            for block in text_blocks(batch, "text"):
+            for block in text_blocks(batch, "text", BLOCK):
                 starts, ends, rows = block.words()
                 counts = np.bincount(rows, minlength=block.rows)
                 base = np.concatenate([[0], np.cumsum(counts)])
@@ -432,7 +434,7 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(*row_identity(F.col(id_column), F.col(text_column))[: len(IDENTITY)], F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 128, rows: int = 1024, shard_words: int = 1 << 18, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 20, anchor: int = 6, kinds: int = 128, rows: int = 1024, shard_words: int = 1 << 17, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(identity of the row, first, n): stretches of n words from word `first` of a document, all covered by repeats."""
     texts, longs = _texts(docs, id_column, text_column), ", ".join(f"{c} long" for c in IDENTITY)
     segments = texts.select(*IDENTITY, "text").mapInArrow(_segment_rows(length, anchor), f"minimiser long, content long, {longs}, place long")
