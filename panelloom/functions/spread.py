@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Up to so many rows a quantile is taken in one aggregation.
 SMALL = 1_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, or spark.checkpoint.dir; a temporary folder only in local mode, where one machine
+    has all tasks. A cluster without such a setting is an error: a folder of one machine would be missing on the others."""
+    context = spark.sparkContext
+    known = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if known is None and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return known or tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the session's checkpoint folder; a temporary one is set only where none is configured."""
+    """Cuts the lineage in the session's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -118,3 +118,43 @@ def fold_diagnostics(rows: DataFrame, value: str) -> DataFrame:
     total = per.agg(F.sum("n_test").alias("__n"), F.sum("__s").alias("__t"))
     n = F.col("__n") - F.col("n_test")
     return per.crossJoin(F.broadcast(total)).select("fold", n.alias("n_train"), "n_test", F.when(n > 0, (F.col("__t") - F.col("__s")) / n).alias("train_mean"))
+
+
+def review_selection(rows: DataFrame, key: str, overlap: str, passed: Column, sample_passed: int, seed: str, most_flagged: int | None = None) -> DataFrame:
+    """(key, overlap, kind, place): cases to review, flagged ones first by their overlap, then a sample of the passed ones.
+
+    Every flagged case is taken, or the `most_flagged` with the least overlap; null overlaps count as infinite. The sample
+    has one case of each of `sample_passed` strata of the order by overlap. Of rows with one key the flagged one with the
+    least overlap counts. place numbers the selection from 0.
+    """
+    from panelloom.functions.spread import running_totals
+    from panelloom.operators.checks import stratified_pick
+
+    known = rows.select(key, F.coalesce(F.col(overlap).cast("double"), F.lit(float("inf"))).alias("overlap"), F.coalesce(passed, F.lit(False)).alias("__passed"))
+    flagged = known.where("not __passed").groupBy(key).agg(F.min("overlap").alias("overlap"))
+    kept = flagged if most_flagged is None else flagged.orderBy("overlap", key).limit(most_flagged)
+    rest = known.where("__passed").groupBy(key).agg(F.min("overlap").alias("overlap")).join(flagged, key, "left_anti")
+    picked = kept.withColumn("kind", F.lit("flagged"))
+    if sample_passed > 0:
+        picked = picked.unionByName(stratified_pick(rest, "overlap", key, sample_passed, seed).select(key, "overlap", F.lit("passed").alias("kind")))
+    order = F.struct((F.col("kind") == "passed").alias("late"), F.when(F.col("kind") == "flagged", F.col("overlap")).otherwise(0.0).alias("o"), F.col(key).alias("k"))
+    numbered = running_totals(picked.withColumn("__at", order), "__at", {"__n": F.lit(1)})
+    return numbered.select(key, "overlap", "kind", (F.col("__n") - 1).cast("long").alias("place"))
+
+
+def require_columns(rows: DataFrame, required: list[str]) -> DataFrame:
+    """The rows as they are; an error that names the missing columns."""
+    lost = missing_columns(rows, required)
+    if lost:
+        raise ValueError(f"columns are missing: {lost}")
+    return rows
+
+
+def checked_folds(rows: DataFrame, entity: str = "entity_id", fold: str = "fold") -> DataFrame:
+    """The rows as they are; an error when they are read if an entity has two folds or none, so that no fold's training
+    rows hold an entity of its test rows."""
+    per = rows.groupBy(entity).agg(F.min(fold).alias("__a"), F.max(fold).alias("__b"), F.count_if(F.col(fold).isNull()).alias("__n"))
+    fault = F.concat(F.lit("entity in several folds or none: "), F.coalesce(F.col(entity).cast("string"), F.lit("null")))
+    bad = (F.col("__n") > 0) | (F.col("__a") != F.col("__b"))
+    checked = per.select(F.col(entity).alias("__e"), F.when(~bad, F.col("__a")).otherwise(F.raise_error(fault).cast(rows.schema[fold].dataType)).alias("__fold"))
+    return rows.join(checked, F.col(entity).eqNullSafe(F.col("__e"))).withColumn(fold, F.col("__fold")).drop("__e", "__fold")

@@ -5,7 +5,6 @@ Every path may be on any store that Spark reads; nothing is listed or opened on
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
-    return f"{base}/tables-{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint folder."""
+    from panelloom.functions.spread import shared_folder
+
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def read_attributes(spark: SparkSession, path: str, tab_separated: bool = False) -> DataFrame:
