@@ -53,6 +53,13 @@ def held_out_median(rows: DataFrame, value: str, folds: int, fold: str = "fold")
     return group_quantiles(rows.select(roles.alias("test_fold"), value), ["test_fold"], value, [0.5]).select("test_fold", F.get("q", 0).alias("train_median"))
 
 
+def median_out_of_fold(rows: DataFrame, target: str, fold: str = "fold") -> DataFrame:
+    """Adds pred: the median of the target over the other folds."""
+    folds = 1 + (rows.agg(F.max(fold)).first()[0] or 0)
+    medians = held_out_median(rows, target, folds, fold).select(F.col("test_fold").cast("int").alias("__f"), F.col("train_median").alias("pred"))
+    return rows.join(F.broadcast(medians), F.col(fold).cast("int") == F.col("__f"), "left").drop("__f")
+
+
 def shrunk_trend(rows: DataFrame, alphas: list[float], folds: int) -> DataFrame:
     """(test_fold, alpha): the factor of rate x horizon with the least mean (over inner folds) absolute error; ties go low.
 
@@ -332,34 +339,6 @@ def _cox_terms(p: int, own: list[str], events: list[str], later: dict):
     return run
 
 
-def boosted_with_inner_cv(rows: DataFrame, features: list[str], target: str, depths: list[int], trees: list[int], fold: str = "fold", inner: str = "inner", seed: int = 7, parallelism: int = 8) -> DataFrame:
-    """Adds pred, depth and trees: out-of-fold boosted trees of absolute loss, every row predicted once.
-
-    For each outer fold the depth and number of trees are those of the least mean absolute error over the inner folds of
-    its training rows (numbered from 0, each with rows in every training set); the model is then fitted on all of these.
-    A null feature is an error of the assembler.
-    """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    from panelloom.functions.spread import checkpointed
-
-    kept = checkpointed(VectorAssembler(inputCols=features, outputCol="__x").transform(rows).withColumn(inner, F.col(inner).cast("int")))
-    bounds = kept.groupBy(fold).agg(F.max(inner).alias("inner")).collect()
-    model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="pred", lossType="absolute", seed=seed)
-    grid = ParamGridBuilder().addGrid(model.maxDepth, depths).addGrid(model.maxIter, trees).build()
-    error = RegressionEvaluator(labelCol=target, predictionCol="pred", metricName="mae")
-    search = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=error, numFolds=max(r["inner"] for r in bounds) + 1, foldCol=inner, parallelism=parallelism)
-    out = None
-    for held in sorted(r[fold] for r in bounds):
-        best = search.fit(kept.where(F.col(fold) != held)).bestModel
-        part = best.transform(kept.where(F.col(fold) == held)).select(*rows.columns, "pred", F.lit(best.getMaxDepth()).alias("depth"), F.lit(best.getMaxIter()).alias("trees"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def triple_design(tuples: DataFrame, clinical: list[str] | None = None) -> DataFrame:
     """Adds the six history features of a triple (and keeps the clinical ones): log volume, log change, its rate per year,
     the horizon in years, rate times horizon, log first interval."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.operators import forecast, intake, scores, summaries
+from panelloom.operators import boosting, forecast, intake, scores, summaries
 from panelloom.operators import voxel as V
 from panelloom.operators import windows as X
 from panelloom.plans.panel_queries import _W
@@ -165,7 +165,8 @@ def f11(t: Tables) -> DataFrame:
 def f13(t: Tables) -> DataFrame:
     rows = _by_entity(_pairs(t)).withColumn("lv", F.log("prev_v")).withColumn("p", F.col("post").cast("double"))
     ridge = lambda r, features: forecast.ridge_with_inner_cv(r, features, "y", [0.1, 10.0, 1000.0])
-    models = {"persistence": lambda r, _: r.withColumn("pred", F.lit(0.0)), "ridge": ridge}
+    boosted = lambda r, features: boosting.boosted_out_of_fold(r, features, "y", "obs_id")
+    models = {"persistence": lambda r, _: r.withColumn("pred", F.lit(0.0)), "median": lambda r, _: forecast.median_out_of_fold(r, "y"), "ridge": ridge, "boosting": boosted}
     out = forecast.model_grid(rows, "y", {"time": ["dt_yr"], "time_size": ["dt_yr", "lv"], "all": ["dt_yr", "lv", "p"]}, models)
     return out.select("features", "model", "n", F.round("mae", 5).alias("mae"), F.round("r2", 5).alias("r2"))
 

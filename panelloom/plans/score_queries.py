@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.seed import keyed_order
-from panelloom.operators import forecast, scores
+from panelloom.operators import boosting, forecast, scores
 from panelloom.operators import windows as X
 from panelloom.plans.panel_queries import _LAG, _USABLE, SURVIVAL_SQL
 from panelloom.plans.tables import SCORED_SQL, Register, Tables, panel_sql
@@ -83,8 +83,8 @@ def f10(t: Tables) -> DataFrame:
 @register("f12_gradient_boosting")
 def f12(t: Tables) -> DataFrame:
     rows = _by_entity(_pairs(t)).withColumn("lv", F.log("prev_v"))
-    out = forecast.boosted_with_inner_cv(rows, ["dt_yr", "lv"], "y", [1, 2], [3, 6])
-    return out.groupBy("fold", "depth", "trees").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("y"))), 4).alias("mae"))
+    out = boosting.boosted_out_of_fold(rows, ["dt_yr", "lv"], "y", "obs_id")
+    return out.groupBy("fold", "depth", "rate", "trees").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("y"))), 4).alias("mae"))
 
 
 @register("f18_cox")

@@ -4,9 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
-from panelloom.operators import forecast
+from panelloom.operators import boosting, forecast
 
 
 def _efron(beta, time, event, z, penalty):
@@ -124,32 +122,81 @@ def test_mixed_model_without_slopes_stays_definite(spark):
         forecast.mixed_model(spark.createDataFrame(points[:2], "entity_id int, x double, y double"))
 
 
-def test_boosted_trees_take_the_setting_of_the_inner_folds(spark):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rng = np.random.default_rng(3)
-    table = [(i, i % 3, i // 3 % 2, float(x), float(np.sign(x) * 2 + (x > 1) * 3 + rng.normal() / 10)) for i, x in enumerate(rng.normal(size=90))]
-    rows = spark.createDataFrame(table, "id int, fold int, inner int, x double, y double")
-    got = forecast.boosted_with_inner_cv(rows, ["x"], "y", [1, 2], [1, 3], parallelism=2).collect()
-    assert sorted(r.id for r in got) == list(range(90))
-    held = VectorAssembler(inputCols=["x"], outputCol="v").transform(rows)
-
-    def fitted(train, test, depth, trees):
-        model = GBTRegressor(featuresCol="v", labelCol="y", lossType="absolute", seed=7, maxDepth=depth, maxIter=trees).fit(train)
-        return {r.id: r.prediction for r in model.transform(test).collect()}
-
-    train = held.where("fold <> 1")
-    mae = {}
-    for depth in (1, 2):
-        for trees in (1, 3):
+def _plain_tree(x, gradient, rest, depth, least, rate, edges):
+    """Nested tuples by trying every feature and every threshold between neighbouring values of the training rows."""
+    best = (1e-12, None)
+    base = gradient.sum() ** 2 / len(x) if len(x) else 0.0
+    for f in range(x.shape[1] if depth else 0):
+        for edge in edges[f]:
+            left = x[:, f] <= edge
+            if left.sum() >= least and (~left).sum() >= least:
+                gain = gradient[left].sum() ** 2 / left.sum() + gradient[~left].sum() ** 2 / (~left).sum() - base
+                if gain > best[0] + 1e-9:
+                    best = (gain, (f, edge, left))
+    if best[1] is None:
+        return rate * float(np.median(rest))
+    f, edge, left = best[1]
+    return f, edge, _plain_tree(x[left], gradient[left], rest[left], depth - 1, least, rate, edges), _plain_tree(x[~left], gradient[~left], rest[~left], depth - 1, least, rate, edges)
+
+
+def _plain_value(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def _plain_boosting(x, y, depth, rate, trees, least):
+    start = float(np.median(y))
+    now, grown = np.full(len(y), start), []
+    known = [np.unique(c) for c in x.T]
+    edges = [(k[1:] + k[:-1]) / 2 for k in known]
+    for _ in range(trees):
+        tree = _plain_tree(x, np.sign(y - now), y - now, depth, least, rate, edges)
+        now = now + np.array([_plain_value(tree, r) for r in x])
+        grown.append(tree)
+    return lambda r: start + sum(_plain_value(t, r) for t in grown)
+
+
+def _steps(n, seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(n, 2)), 1)
+    return x, np.sign(x[:, 0]) * 2 + (x[:, 1] > 0.5) * x[:, 0] + rng.normal(size=n) / 5
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_boosting_equals_a_plain_version(depth):
+    x, y = _steps(120, depth)
+    model = boosting.fit(x, y, depth, 0.3, 6, least=8)
+    plain = _plain_boosting(x, y, depth, 0.3, 6, 8)
+    assert np.allclose(boosting.predict(model, x), [plain(r) for r in x], atol=1e-12)
+
+
+def test_boosting_takes_the_setting_of_the_inner_folds(spark):
+    x, y = _steps(120, 5)
+    table = [(i, i % 3, i // 3 % 2, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))] + [(500, 0, 0, None, 1.0, 1.0)]
+    rows = spark.createDataFrame(table, "id int, fold int, inner int, a double, b double, y double")
+    grid = ({"depth": 1, "rate": 0.3, "trees": 4}, {"depth": 2, "rate": 0.3, "trees": 8})
+    got = {r.id: r for r in boosting.boosted_out_of_fold(rows, ["a", "b"], "y", "id", grid, least=5).collect()}
+    assert len(got) == 121 and got[500].pred is None
+    fold, inner = np.arange(120) % 3, np.arange(120) // 3 % 2
+    for o in range(3):
+        errors = []
+        for s in grid:
             each = []
             for i in range(2):
-                out = fitted(train.where(F.col("inner") != i), train.where(F.col("inner") == i), depth, trees)
-                each.append(np.mean([abs(p - table[k][4]) for k, p in out.items()]))
-            mae[depth, trees] = np.mean(each)
-    best = min(mae.values())
-    mine = [r for r in got if r.fold == 1]
-    assert len({(r.depth, r.trees) for r in mine}) == 1 and mae[mine[0].depth, mine[0].trees] <= best + 1e-9
-    want = fitted(train, held.where("fold = 1"), mine[0].depth, mine[0].trees)
-    assert all(abs(r.pred - want[r.id]) < 1e-9 for r in mine)
+                use, held = (fold != o) & (inner != i), (fold != o) & (inner == i)
+                plain = _plain_boosting(x[use], y[use], s["depth"], s["rate"], s["trees"], 5)
+                each.append(np.mean([abs(plain(r) - v) for r, v in zip(x[held], y[held])]))
+            errors.append(np.mean(each))
+        best = grid[int(np.argmin(errors))]
+        plain = _plain_boosting(x[fold != o], y[fold != o], best["depth"], best["rate"], best["trees"], 5)
+        for k in np.flatnonzero(fold == o):
+            assert (got[k].depth, got[k].trees) == (best["depth"], best["trees"]) and abs(got[k].pred - plain(x[k])) < 1e-9
+
+
+def test_boosting_bins_many_values_by_quantiles():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5000, 1))
+    (edges,) = boosting.bin_edges(x, 255)
+    counts = np.bincount(boosting.binned(x, [edges])[:, 0])
+    assert len(counts) <= 255 and counts.max() < 3 * 5000 / 255
