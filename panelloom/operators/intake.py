@@ -72,15 +72,20 @@ def unmatched(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 def many_to_one(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Rows with the columns of the one table row of their key; a repeated table key, or with how = "left" a row without
-    a match, is an error that names it (ten at most). An inner join drops what is not matched."""
-    twice = table.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(10).collect()
-    if twice:
-        raise ValueError(f"{key} repeats: {sorted(str(r[key]) for r in twice)}")
+    a match, is an error that names it when the join runs. An inner join drops what is not matched.
+
+    Both checks ride on the join: the table's keys are counted where the join deals them, and a left row looks at its own
+    match. A null key matches nothing.
+    """
+    kind = table.schema[key].dataType
+    twice = F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast(kind)
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    single = table.where(F.col(key).isNotNull()).withColumn(key, F.when(n == 1, F.col(key)).otherwise(twice)).withColumn("__in", F.lit(True))
+    joined = rows.join(single, key, how)
     if how == "left":
-        lost = unmatched(rows, table, key).orderBy(key).limit(10).collect()
-        if lost:
-            raise ValueError(f"{key} without a match: {[str(r[key]) for r in lost]}")
-    return rows.join(table, key, how)
+        lost = F.raise_error(F.concat(F.lit(f"{key} without a match: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(rows.schema[key].dataType)
+        joined = joined.withColumn(key, F.when(F.col("__in"), F.col(key)).otherwise(lost))
+    return joined.drop("__in")
 
 
 def override_merge(rows: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -113,17 +118,21 @@ def empty_partitions(roles: DataFrame, by: str = "test_fold", expected: tuple[st
 def cached_by_keys(spark: SparkSession, path: str, keys: DataFrame, measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The table at path if its key set equals that of `keys`, else measure(keys), written there first.
 
-    Keys are compared by both differences; a folder that cannot be read as a table counts as none.
+    Keys are compared by both differences. Only a folder that does not exist counts as no table; one that cannot be read,
+    or that lacks a key column, is an error.
     """
     from pyspark.errors import AnalysisException
 
     names = keys.columns
     try:
         held = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        same = False
+    else:
         known, asked = held.select(*names), keys
         same = known.exceptAll(asked.distinct()).isEmpty() and asked.distinct().exceptAll(known.distinct()).isEmpty()
-    except AnalysisException:
-        same = False
     if not same:
         measure(keys).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -206,10 +206,15 @@ def noise_thresholds(sigma: DataFrame, column: str = "sigma") -> DataFrame:
     return sigma.withColumns({"one_sided": F.exp(1.645 * s) - 1, "two_sided": F.exp(1.96 * s) - 1, "false_20": 1 - normal_cdf(F.log(F.lit(1.2)) / s), "false_50": 1 - normal_cdf(F.log(F.lit(1.5)) / s)})
 
 
-def balanced_folds(entities: DataFrame, k: int, seed: str, entity: str = "entity_id", ranges: int = 64) -> DataFrame:
-    """(entity, fold): rank by md5 order, modulo k; ranks come from counts of ranges of the order, not one sorted task."""
+def balanced_folds(entities: DataFrame, k: int, seed: str, entity: str = "entity_id", ranges: int | None = None) -> DataFrame:
+    """(entity, fold): rank by md5 order, modulo k; ranks come from counts of ranges of the order, not one sorted task.
+
+    There are four ranges per shuffle partition and 64 at least, so they grow with what the session is set up for.
+    """
     from panelloom.functions.seed import keyed_order
 
+    ranges = ranges or max(64, 4 * int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     rows = entities.select(entity).distinct().withColumn("__o", keyed_order(seed, F.col(entity))).withColumn("__r", F.floor(F.col("__o") * ranges / 4294967296.0).cast("int"))
     counts = rows.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)

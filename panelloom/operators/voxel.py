@@ -313,21 +313,22 @@ def tile_starts(size: Column, patch: Column, step: float) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.bround(gap * i).cast("int"))
 
 
-def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
-    """Voxels of the largest 26-connected component per (case, tp); ties go to the component with the lowest voxel.
+def component_labels(mask: DataFrame, faces: bool = False, rounds: int = 100) -> DataFrame:
+    """(case_id, tp, v, label): the lowest voxel (z, y, x) of the component of each distinct voxel v.
 
-    Voxels are compared by (z, y, x), so axes of any length do. Every voxel points at a lower one of its component; each
-    round hooks the roots that neighbours point at to the least of them and then jumps pointers until all are roots, so
-    the rounds follow the logarithm of a path's length. Lineage is cut by checkpoints. An error is raised
-    if labels have not settled after `rounds` rounds.
+    Neighbours share a corner, or with `faces` a face. Voxels are compared by (z, y, x), so axes of any length do. Every
+    voxel points at a lower one of its component; each round hooks the roots that neighbours point at to the least of them
+    and then jumps pointers until all are roots, so the rounds follow the logarithm of a path's length. Lineage is cut by
+    checkpoints. An error is raised if labels have not settled after `rounds` rounds.
     """
-    offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)])
+    steps = FACES if faces else [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
+    offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in steps])
     cut = checkpointed
     here = F.struct(*[F.col(c).cast("long").alias(c) for c in VOXEL])
     voxels = mask.select(*KEY, here.alias("v")).distinct()
     told = voxels.withColumn("__o", F.explode(offsets)).select(*KEY, "v", F.struct(*[(F.col(f"v.{c}") + F.col(f"__o.d{c}")).alias(c) for c in VOXEL]).alias("w"))
     # Each pair of neighbours once; groups with a null key are kept apart by null-safe joins.
-    own = lambda a, b: F.col(f"{a}.case_id").eqNullSafe(F.col(f"{b}.case_id")) & F.col(f"{a}.tp").eqNullSafe(F.col(f"{b}.tp"))
+    own = _same_case
     edges = cut(told.where("w < v").alias("e").join(voxels.alias("t"), own("e", "t") & (F.col("e.w") == F.col("t.v")), "left_semi"))
     root = cut(voxels.withColumn("label", F.col("v")))
     for _ in range(rounds):
@@ -348,6 +349,17 @@ def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
             raise RuntimeError(f"pointers did not settle in {rounds} jumps")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return root
+
+
+def _same_case(a: str, b: str) -> Column:
+    return F.col(f"{a}.case_id").eqNullSafe(F.col(f"{b}.case_id")) & F.col(f"{a}.tp").eqNullSafe(F.col(f"{b}.tp"))
+
+
+def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
+    """Voxels of the largest 26-connected component per (case, tp); ties go to the component with the lowest voxel."""
+    own = _same_case
+    root = component_labels(mask, rounds=rounds)
     sizes = root.groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy(*KEY).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(*KEY, F.col("b.label").alias("label"))
     kept = root.alias("r").join(best.alias("b"), own("r", "b") & (F.col("r.label") == F.col("b.label")), "left_semi").select("r.case_id", "r.tp", "r.v")
@@ -357,8 +369,8 @@ def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
 def filled_foreground(voxels: DataFrame, size: int, key: str = "case_id") -> DataFrame:
     """Voxels (key, z, y, x) where any channel's value is not 0, and the holes that they enclose.
 
-    A hole is background that no path over faces connects with the border of the grid of `size`. Background reaches the
-    border in rounds that spread along whole lines of all three axes at once; they end when nothing new is reached.
+    A hole is a face-connected component of the background without a voxel on the border of the grid of `size`; the rounds
+    that label components follow the logarithm of their paths, however they wind.
     """
     front = voxels.groupBy(key, *VOXEL).agg(F.bool_or(F.coalesce(F.col("value") != 0, F.lit(False))).alias("on")).where("on").select(key, *VOXEL)
     axis = F.sequence(F.lit(0), F.lit(size - 1))
@@ -366,27 +378,15 @@ def filled_foreground(voxels: DataFrame, size: int, key: str = "case_id") -> Dat
     for c in VOXEL:
         grid = grid.withColumn(c, F.explode(axis))
     back = grid.join(front, [key, *VOXEL], "left_anti")
-    for c in VOXEL:
-        # The number of the run of background along this axis that a voxel lies in.
-        rest = [v for v in VOXEL if v != c]
-        order = Window.partitionBy(key, *rest).orderBy(c)
-        start = F.coalesce(F.col(c) - F.lag(c).over(order) != 1, F.lit(True)).cast("int")
-        back = back.withColumn(f"run_{c}", start)
-        back = back.withColumn(f"run_{c}", F.concat_ws("/", F.lit(c), *rest, F.sum(f"run_{c}").over(order)))
+    labels = component_labels(back.select(F.col(key).alias("case_id"), F.lit(0).alias("tp"), *VOXEL), faces=True)
     edge = F.lit(False)
     for c in VOXEL:
-        edge = edge | F.col(c).isin(0, size - 1)
-    state = checkpointed(back.withColumn("out", edge))
-    reached = -1
-    while (now := state.where("out").count()) != reached:
-        reached = now
-        runs = state.where("out").select(key, F.explode(F.array(*[f"run_{c}" for c in VOXEL])).alias("run")).distinct()
-        hit = F.lit(False)
-        for c in VOXEL:
-            state = state.join(runs.select(key, F.col("run").alias(f"run_{c}"), F.lit(True).alias(f"hit_{c}")), [key, f"run_{c}"], "left")
-            hit = hit | F.coalesce(f"hit_{c}", F.lit(False))
-        state = checkpointed(state.withColumn("out", F.col("out") | hit).drop(*[f"hit_{c}" for c in VOXEL]))
-    return front.unionByName(state.where("not out").select(key, *VOXEL))
+        edge = edge | F.col(f"v.{c}").isin(0, size - 1)
+    open_ones = labels.where(edge).select("case_id", "label").distinct().alias("o")
+    same = F.col("l.case_id").eqNullSafe(F.col("o.case_id")) & (F.col("l.label") == F.col("o.label"))
+    holes = labels.alias("l").join(open_ones, same, "left_anti")
+    kinds = {c: front.schema[c].dataType for c in VOXEL}
+    return front.unionByName(holes.select(F.col("case_id").alias(key), *[F.col(f"v.{c}").cast(kinds[c]).alias(c) for c in VOXEL]))
 
 
 def resample_linear(values: DataFrame, size: int, new_size: int) -> DataFrame:
