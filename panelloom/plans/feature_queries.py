@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.operators import estimates, sketches, tiles
+from panelloom.operators import estimates, sketches, tabulate, tiles
 from panelloom.operators import review as R
 from panelloom.plans.panel_queries import _RUNS
 from panelloom.plans.score_queries import _RATES, _pairs
@@ -136,3 +136,14 @@ def k02(t: Tables) -> DataFrame:
 
     rows = t.lineitem.select(F.col("l_linenumber").cast("string").alias("l"), F.col("l_orderkey").cast("string").alias("o"), F.col("l_quantity").cast("long").cast("string").alias("q"), F.col("l_returnflag").alias("r"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("w"))
     return checks.table_digest(rows)
+
+
+@register("l01_numbered_rows", "select o_orderkey, (row_number() over (order by o_orderstatus, o_totalprice desc, o_orderkey) - 1)::bigint as place from orders")
+def l01(t: Tables) -> DataFrame:
+    return tabulate.numbered(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), [F.col("o_orderstatus"), -F.col("o_totalprice")], ["o_orderkey"]).select("o_orderkey", "place")
+
+
+@register("m03_set_relation", "with a as (select distinct l_suppkey as k from lineitem where l_quantity > 49), b as (select s_suppkey as k from supplier where s_suppkey % 3 > 0), j as (select a.k as x, b.k as y from a full join b on a.k = b.k) select count(*) filter (y is null)::bigint as only_a, count(*) filter (x is null)::bigint as only_b, count(*) filter (x is not null and y is not null)::bigint as both, count(*) filter (x is null or y is null) = 0 as equal from j")
+def m03(t: Tables) -> DataFrame:
+    a, b = t.lineitem.where("l_quantity > 49").select(F.col("l_suppkey").alias("k")), t.supplier.where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("k"))
+    return tabulate.set_relation(a, b, "k")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.seed import keyed_order
 from panelloom.operators import boosting, forecast, scores
+from panelloom.operators import tabulate as B
 from panelloom.operators import windows as X
 from panelloom.plans.panel_queries import _LAG, _USABLE, SURVIVAL_SQL
 from panelloom.plans.tables import SCORED_SQL, Register, Tables, panel_sql
@@ -140,15 +141,13 @@ def g09(t: Tables) -> DataFrame:
 
 @register("g10_agreement", _S + "select (p >= 0.5)::int as event, y, count(*)::bigint as n from s group by all")
 def g10(t: Tables) -> DataFrame:
-    return t.scored().groupBy((F.col("p") >= 0.5).cast("int").alias("event"), "y").agg(F.count(F.lit(1)).alias("n"))
+    return B.agreement(t.scored(), (F.col("p") >= 0.5).cast("int"), "y")
 
 
 @register("g12_g13_soft_dice", _S + "select entity_id as class, round(sum(p * y), 4) as tp, round(sum(p * (1 - y)), 4) as fp, round(sum((1 - p) * y), 4) as fn, round(sum((1 - p) * (1 - y)), 4) as tn, round((2 * sum(p * y) + 1e-6) / (2 * sum(p * y) + sum(p * (1 - y)) + sum((1 - p) * y) + 1e-6), 6) as dice from s group by entity_id")
 def g12(t: Tables) -> DataFrame:
-    p, y = F.col("p"), F.col("y")
-    sums = t.scored().groupBy(F.col("entity_id").alias("class")).agg(F.sum(p * y).alias("tp"), F.sum(p * (1 - y)).alias("fp"), F.sum((1 - p) * y).alias("fn"), F.sum((1 - p) * (1 - y)).alias("tn"))
-    dice = (2 * F.col("tp") + 1e-6) / (2 * F.col("tp") + F.col("fp") + F.col("fn") + 1e-6)
-    return sums.select("class", *[F.round(c, 4).alias(c) for c in ("tp", "fp", "fn", "tn")], F.round(dice, 6).alias("dice"))
+    sums = B.soft_confusion(t.scored().withColumnRenamed("entity_id", "class"), "y", "p", "class")
+    return sums.select("class", *[F.round(c, 4).alias(c) for c in ("tp", "fp", "fn", "tn")], F.round("dice", 6).alias("dice"))
 
 
 @register("e06_finite_summary", "with r as (select l_linenumber, case when l_discount = 0 then 'nan'::double else l_tax / l_discount end as ratio, l_quantity as quantity from lineitem), m as (select l_linenumber, 'ratio' as metric, ratio as x from r union all select l_linenumber, 'quantity', quantity from r) select l_linenumber, metric, count(*) filter (isfinite(x))::bigint as n_finite, count(*) filter (not isfinite(x))::bigint as n_nonfinite, round(avg(x) filter (isfinite(x)), 6) as mean, round(stddev_samp(x) filter (isfinite(x)), 6) as std, round(median(x) filter (isfinite(x)), 6) as median from m group by l_linenumber, metric")
@@ -160,13 +159,12 @@ def e06(t: Tables) -> DataFrame:
 
 @register("e09_two_stage_mean", "select round(avg(m), 3) as mean from (select o_custkey, avg(o_totalprice) as m from orders group by 1)")
 def e09(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m")).agg(F.round(F.avg("m"), 3).alias("mean"))
+    return B.two_stage_mean(t.orders, "o_totalprice", "o_custkey").select(F.round("mean", 3).alias("mean"))
 
 
 @register("e10_fold_means", _RATES + ", f as (select fold, avg(abs(y)) as m, count(*) as n from n group by fold) select round(avg(m), 6) as mean, round(stddev_samp(m), 6) as std, sum(n)::bigint as n from f")
 def e10(t: Tables) -> DataFrame:
-    per = _pairs(t).groupBy("fold").agg(F.avg(F.abs("y")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return per.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("std"), F.sum("n").alias("n"))
+    return B.fold_means(_pairs(t).withColumn("a", F.abs("y")), "a").select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
 @register("e11_top_fifth", _RATES + ", c as (select quantile_cont(abs(y), 0.8) as cut from n) select obs_id, round(abs(y), 6) as change from n, c where abs(y) >= cut")
@@ -204,9 +202,8 @@ def e15(t: Tables) -> DataFrame:
 
 @register("e18_e19_paired_difference", _RATES + " select round(avg(abs(y - 0.1 * dt_yr) - abs(y)), 6) as mean_difference, round(avg((abs(y - 0.1 * dt_yr) < abs(y))::int), 6) as better, round(1 - sum((y - 0.1 * dt_yr) * (y - 0.1 * dt_yr)) / sum(y * y), 6) as r2_zero, round(1 - sum((y - 0.1 * dt_yr) * (y - 0.1 * dt_yr)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) as r2 from n")
 def e18(t: Tables) -> DataFrame:
-    rows = _pairs(t).withColumn("e", F.col("y") - 0.1 * F.col("dt_yr"))
-    y, e = F.col("y"), F.col("e")
-    return rows.agg(F.round(F.avg(F.abs(e) - F.abs(y)), 6).alias("mean_difference"), F.round(F.avg((F.abs(e) < F.abs(y)).cast("int")), 6).alias("better"), F.round(1 - F.sum(e * e) / F.sum(y * y), 6).alias("r2_zero"), F.round(1 - F.sum(e * e) / (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(F.lit(1))), 6).alias("r2"))
+    out = B.fit_scores(_pairs(t), F.col("y"), 0.1 * F.col("dt_yr"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean_difference", "better", "r2_zero", "r2")])
 
 
 @register("h01_robust_sd", _RATES + ", m as (select post, median(y) as m from n group by post) select n.post, count(*)::bigint as n, round(1.4826 * median(abs(y - m)), 6) as sd from n join m on n.post = m.post group by n.post")
@@ -240,12 +237,9 @@ def i03(t: Tables) -> DataFrame:
 
 @register("i04_inner_folds", "with o as (select distinct o_custkey as entity_id from orders) select entity_id, f.f::int as outer_fold, (cast(('0x' || substr(md5('100:' || f.f || ':' || entity_id), 1, 8)) as bigint) % 5)::int as inner_fold from o, (values (0), (1), (2)) f(f)")
 def i04(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_custkey").alias("entity_id")).distinct().withColumn("outer_fold", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    return rows.withColumn("inner_fold", (keyed_order("100", F.col("outer_fold"), F.col("entity_id")) % 5).cast("int"))
+    return B.inner_folds(t.orders.select(F.col("o_custkey").alias("entity_id")), "entity_id", 3, 5, "100")
 
 
 @register("i05_m02_complete_and_disjoint", "with f as (select distinct o_custkey % 5 as fold, o_custkey from orders) select count(distinct fold)::bigint as folds, (select count(*) from (select o_custkey from f where fold = 0 intersect select o_custkey from f where fold <> 0))::bigint as shared from f")
 def i05(t: Tables) -> DataFrame:
-    rows = t.orders.select((F.col("o_custkey") % 5).alias("fold"), "o_custkey").distinct()
-    shared = rows.where("fold = 0").select("o_custkey").intersect(rows.where("fold <> 0").select("o_custkey"))
-    return rows.agg(F.countDistinct("fold").alias("folds")).crossJoin(shared.agg(F.count(F.lit(1)).alias("shared")))
+    return B.fold_overlap(t.orders.select((F.col("o_custkey") % 5).alias("fold"), "o_custkey"), "fold", "o_custkey", 0)
\ No newline at end of file

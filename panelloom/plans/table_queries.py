@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.operators import checks as C
 from panelloom.operators import summaries
+from panelloom.operators import tabulate as B
 from panelloom.plans.tables import Register, Tables, panel_sql
 
 register = Register()
@@ -27,8 +28,7 @@ def a05(t: Tables) -> DataFrame:
 
 @register("a07_minimal_file_list", "select unnest([c_name || '/image_' || (case when c_acctbal > 5000 then 'late' else 'early' end), c_name || '/mask_' || (case when c_acctbal > 5000 then 'late' else 'early' end)]) as path from customer")
 def a07(t: Tables) -> DataFrame:
-    variant = F.when(F.col("c_acctbal") > 5000, "late").otherwise("early")
-    return t.customer.select(F.explode(F.array(*[F.concat_ws("/", "c_name", F.concat(F.lit(k), variant)) for k in ("image_", "mask_")])).alias("path"))
+    return B.minimal_files(t.customer, "c_name", F.when(F.col("c_acctbal") > 5000, "late").otherwise("early"))
 
 
 @register("a08_path_validation", "with u as (select page_id, regexp_replace(url, '^https?://', '') as path from pages) select page_id, not (path like '/%' or path like '%..%' or not regexp_matches(path, '^[A-Za-z0-9_./?=&#-]+$')) as safe, count(*) over (partition by path) > 1 as repeated from u")
@@ -117,7 +117,7 @@ def e02(t: Tables) -> DataFrame:
 
 @register("e03_count_histogram", "select n::bigint as n, count(*)::bigint as entities from (select o_custkey, count(*) as n from orders group by 1) group by n")
 def e03(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("entities"))
+    return B.count_histogram(t.orders, "o_custkey")
 
 
 @register("e04_quartiles", "select event_type, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.75), 6) as q75, min(value) as lo, max(value) as hi from events group by 1")
@@ -128,7 +128,7 @@ def e04(t: Tables) -> DataFrame:
 
 @register("e05_crosstab", "select o_orderpriority, count(*) filter (o_orderstatus = 'F')::bigint as F, count(*) filter (o_orderstatus = 'O')::bigint as O, count(*) filter (o_orderstatus = 'P')::bigint as P from orders group by 1")
 def e05(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+    return B.crosstab(t.orders, "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
 
 
 @register("e21_cohort_flow", panel_sql(" select 'all' as gate, count(*)::bigint as n, count(distinct entity_id)::bigint as entities from p union all select 'present', count(*), count(distinct entity_id) from p where not absent union all select 'untreated', count(*), count(distinct entity_id) from p where not absent and not post"))
@@ -154,12 +154,12 @@ def k04(t: Tables) -> DataFrame:
 
 @register("l02_l04_first_rows", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders) where n = 1 order by o_custkey limit 100")
 def l02(t: Tables) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return t.orders.withColumn("n", rank).where("n = 1").orderBy("o_custkey").select("o_custkey", "o_orderkey").limit(100)
+    rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey")
+    return B.first_per_key(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).orderBy("o_custkey").select("o_custkey", "o_orderkey").limit(100)
 
 
 @register("m01_m03_m04_sets", "with a as (select distinct o_custkey as k from orders), b as (select c_custkey as k from customer) select (select count(*) from (select k from a except select k from b))::bigint as only_a, (select count(*) from (select k from b except select k from a))::bigint as only_b, (select count(*) from (select k from a union all select k from b))::bigint as rows_of_both")
 def m01(t: Tables) -> DataFrame:
-    a, b = t.orders.select(F.col("o_custkey").alias("k")).distinct(), t.customer.select(F.col("c_custkey").alias("k"))
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(a.exceptAll(b), "only_a").crossJoin(n(b.exceptAll(a), "only_b")).crossJoin(n(a.unionByName(b), "rows_of_both"))
+    a, b = t.orders.select(F.col("o_custkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))
+    rows = a.distinct().unionByName(b).agg(F.count(F.lit(1)).alias("rows_of_both"))
+    return B.set_relation(a, b, "k").select("only_a", "only_b").crossJoin(F.broadcast(rows))
\ No newline at end of file
