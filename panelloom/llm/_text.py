@@ -117,7 +117,7 @@ def shingle_hashes(word_hash: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.
     return span_hashes(word_hash, first, first + k), first
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[TextBlock]:
+def text_blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[TextBlock]:
     """Cuts a batch into blocks of whole texts of about `limit` bytes, so that arrays stay small."""
     array = batch.column(batch.schema.get_field_index(column))
     if isinstance(array, pa.ChunkedArray):

@@ -34,8 +34,8 @@ from panelloom.llm._spark import checkpointed, components, free_shuffles, read
 from panelloom.llm._text import TextBlock, mix, text_blocks
 
 XXH64_SEED = 42
-#: With several words, two rows alone in a cell are compared if 31 fixed bits of theirs differ in at most so many: at
-#: similarity 0.8 that is 5 on average and over 12 for one pair in some 2000 (which may meet elsewhere), at chance 15.
+#: With several words, a pair is a candidate only if 31 fixed bits of theirs differ in at most so many, whatever the size of
+#: the cell they meet in: at similarity 0.8 that is 5 on average and over 12 for one pair in some 3000, at chance 15.
 SKETCH_BITS = 12
 #: Pairs that a task holds before it sends on a spanning forest of them; components need no more than that.
 HELD_PAIRS = 1 << 19
@@ -181,8 +181,10 @@ def _compare(words: int, max_bits: int):
     keys = ["cell", "__ti", "__tj"]
     names = [f"fp{w}" for w in range(words)]
 
-    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(a[w] ^ b[w]).astype(np.int16) for w in range(words))
+    def near(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the words a, b of the nodes i, j are near enough."""
+        close = sum(np.bitwise_count(a[w] ^ b[w]).astype(np.int16) for w in range(words)) <= max_bits
+        return close if words == 1 else close & (np.bitwise_count((i ^ j) & np.int64(_LOW)) <= SKETCH_BITS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n_held = [], 0
@@ -200,13 +202,13 @@ def _compare(words: int, max_bits: int):
             left, right = [], []
             for s in range(1, min(8, len(node))):
                 i = np.flatnonzero((unit[s:] == unit[:-s]) & small[s:])
-                i = i[distance(value[:, i], value[:, i + s]) <= max_bits]
+                i = i[near(value[:, i], value[:, i + s], node[i], node[i + s])]
                 left.append(node[i])
                 right.append(node[i + s])
             for u in np.flatnonzero(sizes > 8):
                 v = value[:, bounds[u] : bounds[u + 1]]
-                root = _tiles.dense_components(distance(v[:, :, None], v[:, None, :]) <= max_bits)
                 members = node[bounds[u] : bounds[u + 1]]
+                root = _tiles.dense_components(near(v[:, :, None], v[:, None, :], members[:, None], members[None, :]))
                 own = np.flatnonzero(root != np.arange(len(root)))
                 left.append(members[own])
                 right.append(members[root[own]])
@@ -355,7 +357,8 @@ def _similar(similarity: float):
 def similar_texts(docs: DataFrame, similarity: float = 0.8, k: int = 5, words: int = 12, max_bits: int = 150, tile: int = 1024, set_tile: int = 256, rounds: int = 16, rounds_a_pass: int = 8, text_column: str = "text") -> DataFrame:
     """(text_key, component) of every distinct text; texts are linked if their k-word shingle sets are that similar.
 
-    Candidates are the classes of fingerprints that share an anchor and differ in at most max_bits of 64 * words bits;
+    Candidates are the classes of fingerprints that share an anchor and differ in at most max_bits of 64 * words bits and
+    in at most SKETCH_BITS of 31 fixed ones;
     inside a class every pair of texts is compared by its shingle sets (two empty sets are equal), and only a Jaccard
     similarity of at least `similarity` links. So no link is false; a pair is missed only if it falls into two classes.
     A class of over set_tile texts is compared in chunks first, and then what is not in its largest component with all.

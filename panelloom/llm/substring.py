@@ -46,7 +46,7 @@ IDENTITY = ("doc", "text_key")
 #: Windows in one segment at most; a longer run (periodic text) is cut.
 RUN = 64
 #: Bytes of text that a task takes apart at a time; byte and word arrays are some fifty times as large.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bits of the role of a segment in its shard; without one of the first two it follows from the order in the shard.
 INDEXED, STREAMED, DOUBLED = 1, 2, 4
 

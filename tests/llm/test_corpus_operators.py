@@ -591,3 +591,25 @@ def test_rows_without_id_whose_texts_share_a_crc_are_two_rows(spark):
     one, other = texts_of_one_crc(lambda i: f"{words} " + " ".join(f"own{i}n{k}" for k in range(25)))
     got = substring.remove_repeats(spark.createDataFrame([(1, words), (None, one), (None, other)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 45, 20), (0, 45, 20), (1, 20, 0)]
+
+
+def test_similar_texts_are_found_at_the_threshold(spark):
+    """Sixty pairs of a similarity from 0.80 to 0.85 over five-word shingles: nine in ten at least meet, nothing else does."""
+    rng = random.Random(21)
+    rows = []
+    for pair in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(240)]
+        other = list(words)
+        for place in range(20, 20 + 40 * (4 + pair % 2), 40):
+            other[place] = f"n{rng.randrange(10**6)}"
+        sets = [{tuple(t[i : i + 5]) for i in range(236)} for t in (words, other)]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) <= 0.85
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = simhash.similar_texts(docs).join(docs.select("doc_id", simhash.text_key(F.col("text")).alias("text_key")), "text_key").collect()
+    members = {}
+    for r in classes:
+        members.setdefault(r.component, []).append(r.doc_id)
+    groups = [sorted(m) for m in members.values()]
+    assert all(len(m) == 1 or (len(m) == 2 and m[0] // 2 == m[1] // 2) for m in groups)
+    assert sum(len(m) == 2 for m in groups) >= 54
