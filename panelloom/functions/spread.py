@@ -31,21 +31,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running_totals(rows: DataFrame, order: str, totals: dict[str, Column], descending: bool = False) -> DataFrame:
-    """Adds, per name, the sum of an expression over all rows up to and with this one in the order of unique `order` values.
+def by_ranges(rows: DataFrame, order: str, descending: bool = False) -> DataFrame:
+    """The rows dealt by ranges of unique `order` values, with the number of the range as __r; written, so ranges stay as they
+    are. Nulls of `order` come first, as Spark sorts them (last if descending)."""
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    return checkpointed(rows.repartitionByRange(by).withColumn("__r", F.spark_partition_id()))
 
-    Rows are dealt by ranges of the order and written once, so that ranges stay as they are; the sums before a range
-    come from one row per range. Nulls of `order` come first, as Spark sorts them (last if descending).
-    """
+
+def range_totals(dealt: DataFrame, order: str, totals: dict[str, Column], descending: bool = False) -> DataFrame:
+    """Running totals over rows dealt by_ranges(), which keep __r: several may follow each other on the same ranges."""
     by = F.col(order).desc() if descending else F.col(order).asc()
-    dealt = checkpointed(rows.repartitionByRange(by).withColumn("__r", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     per = dealt.groupBy("__r").agg(*[F.sum(c).alias(f"__{n}") for n, c in totals.items()])
     offsets = per.select(F.col("__r"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in totals])
     inside = Window.partitionBy("__r").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     # One row per partition of the range exchange: as few as there are shuffle partitions.
     joined = dealt.join(F.broadcast(offsets), "__r")
-    return joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in totals.items()}).drop("__r", *[f"__{n}" for n in totals])
+    return joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in totals.items()}).drop(*[f"__{n}" for n in totals])
+
+
+def running_totals(rows: DataFrame, order: str, totals: dict[str, Column], descending: bool = False) -> DataFrame:
+    """Adds, per name, the sum of an expression over all rows up to and with this one in the order of unique `order` values.
+
+    The sums before a range come from one row per range.
+    """
+    return range_totals(by_ranges(rows, order, descending), order, totals, descending).drop("__r")
 
 
 def quantiles(df: DataFrame, column: str | Column, shares: list[float]) -> list[float]:
@@ -55,17 +65,17 @@ def quantiles(df: DataFrame, column: str | Column, shares: list[float]) -> list[
     a few thousandths of the rows at a time, so that no task ever holds the distinct values of a large column.
     """
     c = F.col(column) if isinstance(column, str) else column
-    rows = df.select(c.cast("double").alias("v")).where("v is not null")
+    # Written once: the column may come out of windows, and it is read at least twice.
+    rows = checkpointed(df.select(c.cast("double").alias("v")).where("v is not null"))
     n = rows.count()
     if n == 0:
         return [math.nan for _ in shares]
     if n <= SMALL:
         return list(rows.agg(F.percentile("v", F.array(*[F.lit(float(q)) for q in shares]))).first()[0])
-    kept = checkpointed(rows)
     out = []
     for q in shares:
         place = q * (n - 1)
-        low, high = (_order_statistic(kept, n, math.floor(place)), _order_statistic(kept, n, math.ceil(place)))
+        low, high = (_order_statistic(rows, n, math.floor(place)), _order_statistic(rows, n, math.ceil(place)))
         out.append(low + (high - low) * (place - math.floor(place)))
     return out
 

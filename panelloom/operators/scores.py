@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.groups import count_dominated, dominance, group_quantiles, group_totals
 from panelloom.functions.numbers import normal_cdf
-from panelloom.functions.spread import checkpointed, quantiles, running_totals
+from panelloom.functions.spread import by_ranges, checkpointed, quantiles, range_totals, running_totals
 
 
 def auc(cases: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
@@ -51,8 +51,11 @@ def kaplan_meier(survival: DataFrame, by: list[str] | None = None) -> DataFrame:
     per = survival.groupBy(*by, "time_yr").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"))
     share = 1 - F.col("events") / F.col("at_risk")
     if not by:
-        risk = running_totals(per, "time_yr", {"at_risk": F.col("n")}, descending=True)
-        steps = running_totals(risk, "time_yr", {"logs": F.when(share > 0, F.log(share)).otherwise(F.lit(0.0)), "gone": (share <= 0).cast("int")})
+        # Both totals go over the same ranges: who is at risk is the whole number less those before.
+        dealt = by_ranges(per, "time_yr")
+        total = dealt.agg(F.sum("n").alias("__all"))
+        risk = range_totals(dealt, "time_yr", {"__upto": F.col("n")}).crossJoin(F.broadcast(total)).withColumn("at_risk", F.col("__all") - F.col("__upto") + F.col("n"))
+        steps = range_totals(risk, "time_yr", {"logs": F.when(share > 0, F.log(share)).otherwise(F.lit(0.0)), "gone": (share <= 0).cast("int")})
         return steps.select("time_yr", "at_risk", "events", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("logs")).alias("survival"))
     risk = group_totals(per, by, ["time_yr"], {"at_risk": F.col("n")}, descending=True)
     steps = group_totals(risk, by, ["time_yr"], {"logs": F.when(share > 0, F.log(share)).otherwise(F.lit(0.0)), "gone": (share <= 0).cast("int")})
