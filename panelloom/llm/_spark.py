@@ -3,19 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the session's checkpoint folder; a temporary one is set only where none is configured."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from panelloom.functions.spread import checkpointed as checkpointed
 
 
 def free_shuffles(spark: SparkSession) -> None:
