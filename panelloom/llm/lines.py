@@ -34,7 +34,8 @@ def line_windows(texts: DataFrame, window: int = 3) -> DataFrame:
     """(identity of the row, place, h1, h2) of every window of (identity of the row, text); place counts worded lines from 0."""
     lines = texts.where(F.col("text").isNotNull()).select(*IDENTITY, F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(_WORDED))).alias("lines"))
     hashed = lines.where(F.size("lines") >= window).select(*IDENTITY, F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("h"))
-    part = lambda field, i: [F.get(f"h.{field}", i + k) for k in range(window)]
+    # The element first, then its field: the field of the whole array would be taken anew for every window.
+    part = lambda field, i: [F.get("h", i + k).getField(field) for k in range(window)]
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.struct(i.cast("long").alias("place"), F.xxhash64(*part("a", i)).alias("h1"), F.xxhash64(*part("b", i)).alias("h2")))
     return hashed.select(*IDENTITY, F.explode(windows).alias("w")).select(*IDENTITY, "w.*")
 
