@@ -30,7 +30,9 @@ def bootstrap_weights(rows: DataFrame, entity: str, replicates: int, seed: str,
         numbered = checkpointed(running_totals(known, entity, {"__k": F.lit(1)}))
         numbered = numbered.withColumn("__n", F.lit(numbered.count()))
     numbered = numbered.withColumn("__k", (F.col("__k") - 1).cast("long"))
-    draws = numbered.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # The entities are few rows in few partitions, the draws are not.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, numbered.count() * replicates // 2_000_000)
+    draws = numbered.repartition(tasks).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     place = F.floor(keyed_fraction(seed, F.col("replicate"), F.col("__k")) * F.col("__n")).cast("long")
     times = draws.select(*by, "replicate", place.alias("__k")).groupBy(*by, "replicate", "__k").agg(F.count(F.lit(1)).alias("times"))
     return numbered.select(*by, entity, "__k").join(times, [*by, "__k"]).select(*by, entity, "replicate", "times")

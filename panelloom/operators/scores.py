@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.groups import count_dominated, dominance, group_quantiles, group_totals
 from panelloom.functions.numbers import normal_cdf
+from panelloom.functions.seed import keyed_fraction
 from panelloom.functions.spread import by_ranges, checkpointed, quantiles, range_totals, running_totals
 
 
@@ -128,18 +129,23 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
     return sums.select(*by, F.when(within > 0, spread("a", "b", "ab") / F.sqrt(within)).alias("rho"))
 
 
-def cluster_bootstrap(rows: DataFrame, value: str, replicates: int, seed: str, entity: str = "entity_id") -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, value: str, replicates: int, seed: str, entity: str = "entity_id", small: int = 1_000_000) -> DataFrame:
     """(mean, lo, hi): the mean of `value` with a 95 % interval from drawing as many entities as there are, with replacement.
 
-    Per-entity sums stand for the rows.
+    Per-entity sums stand for the rows; the draws are those of bootstrap_weights. A draw looks its entity's sums up in a
+    broadcast table where there are up to `small` entities, and meets them in a shuffle beyond that.
     """
-    from panelloom.operators.estimates import bootstrap_weights
-
-    sums = checkpointed(rows.groupBy(entity).agg(F.sum(value).alias("s"), F.count(value).alias("n")))
-    drawn = sums.join(bootstrap_weights(sums, entity, replicates, seed), entity)
-    per = drawn.groupBy("replicate").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("m"))
+    sums = rows.groupBy(entity).agg(F.sum(value).alias("s"), F.count(value).alias("n")).where(F.col(entity).isNotNull())
+    numbered = checkpointed(running_totals(sums, entity, {"__k": F.lit(1)}).select((F.col("__k") - 1).cast("long").alias("__k"), "s", "n"))
+    count = numbered.count()
+    # The entities are few rows in few partitions, the draws are not.
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, count * replicates // 2_000_000)
+    draws = numbered.select("__k").repartition(tasks).select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "__k")
+    place = F.floor(keyed_fraction(seed, F.col("replicate"), F.col("__k")) * F.lit(count)).cast("long")
+    table = F.broadcast(numbered) if count <= small else numbered
+    per = draws.select("replicate", place.alias("__k")).join(table, "__k").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("m"))
     interval = per.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(F.broadcast(interval)).select("mean", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
+    return numbered.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(F.broadcast(interval)).select("mean", F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
 
 
 def finite_summary(rows: DataFrame, metrics: list[str], by: list[str]) -> DataFrame:
