@@ -1,7 +1,7 @@
 """Boosted trees of absolute loss: settings by inner folds, every outer fold predicted out of fold.
 
-Fits are independent, so Spark deals them: one group of rows per (outer fold, inner fold) fits all settings on its training
-rows and scores its held-out rows. Features are binned, a tree grows level by level from sums of gradients by node and bin,
+Fits are independent, so Spark deals them: one group of rows per (outer fold, inner fold, setting) fits its training rows and
+scores its held-out rows; groups are dealt by ranges, so that tasks take one fit each and not the several of a hash. Features are binned, a tree grows level by level from sums of gradients by node and bin,
 its leaves take the median of the residuals. A group holds at most `max_rows` training rows: above it a fit takes a sample
 by md5 of the row's key, so that memory is bounded; predictions and errors of the outer folds cover all rows.
 """
@@ -41,7 +41,8 @@ def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1)
+    """The bin of every row and feature; a feature's bins lie together in memory."""
+    return np.asfortranarray(np.stack([np.searchsorted(e, x[:, i], side="left") for i, e in enumerate(edges)], axis=1))
 
 
 def grow(codes: np.ndarray, gradient: np.ndarray, sizes: list[int], depth: int, least: int) -> tuple[list, np.ndarray]:
@@ -76,9 +77,11 @@ def grow(codes: np.ndarray, gradient: np.ndarray, sizes: list[int], depth: int,
 
 def descend(codes: np.ndarray, node: np.ndarray, splits: list) -> np.ndarray:
     """Nodes one level down; a node without a split sends all its rows to the left."""
-    feature = np.array([s[0] if s else 0 for s in splits])
-    edge = np.array([s[1] if s else np.iinfo(np.int64).max for s in splits])
-    return 2 * node + (codes[np.arange(len(codes)), feature[node]] > edge[node])
+    right = np.zeros(len(codes), dtype=bool)
+    for f in {s[0] for s in splits if s}:
+        edge = np.array([s[1] if s and s[0] == f else np.iinfo(np.int64).max for s in splits])
+        right |= codes[:, f] > edge[node]
+    return 2 * node + right
 
 
 def fit(x: np.ndarray, y: np.ndarray, depth: int, rate: float, trees: int, least: int = 10, bins: int = 255) -> dict:
@@ -91,12 +94,12 @@ def fit(x: np.ndarray, y: np.ndarray, depth: int, rate: float, trees: int, least
         rest = y - now
         levels, leaf = grow(codes, np.sign(rest), sizes, depth, least)
         values = np.zeros(1 << depth)
-        order = np.lexsort((rest, leaf))
-        ends = np.searchsorted(leaf[order], np.arange((1 << depth) + 1))
         for k in range(1 << depth):
-            if ends[k + 1] > ends[k]:
-                mine = rest[order[ends[k] : ends[k + 1]]]
-                values[k] = rate * (mine[(len(mine) - 1) // 2] + mine[len(mine) // 2]) / 2
+            mine = rest[leaf == k]
+            if len(mine):
+                low, high = (len(mine) - 1) // 2, len(mine) // 2
+                mine.partition([low, high])
+                values[k] = rate * (mine[low] + mine[high]) / 2
         now += values[leaf]
         out.append((levels, values.tolist()))
     return {"edges": [e.tolist() for e in edges], "start": start, "trees": out}
@@ -137,16 +140,18 @@ def boosted_out_of_fold(rows: DataFrame, features: list[str], target: str, key:
         held = frame["h"].to_numpy()
         x, y = frame[names].to_numpy(np.float64), frame["y"].to_numpy(np.float64)
         out = []
-        for number, setting in enumerate(grid):
-            if (~held).sum() and held.sum():
-                model = fit(x[~held], y[~held], **setting, least=least)
-                out.append((frame["o"].iloc[0], number, float(np.abs(predict(model, x[held]) - y[held]).mean())))
+        if (~held).any() and held.any():
+            number = int(frame["setting"].iloc[0])
+            model = fit(x[~held], y[~held], **grid[number], least=least)
+            out.append((frame["o"].iloc[0], number, float(np.abs(predict(model, x[held]) - y[held]).mean())))
         return pd.DataFrame(out, columns=["o", "setting", "mae"])
 
     inners = [r[0] for r in kept.select("i").distinct().collect()]
-    groups = train.withColumn("g", F.explode(F.array(*[F.lit(i) for i in sorted(inners)]))).select("o", "g", (F.col("g") == F.col("i")).alias("h"), "k", *columns)
-    # Each group is one fit of every setting; rows are sorted so that sums do not depend on their order.
-    errors = groups.groupBy("o", "g").applyInPandas(lambda d: scored(d.sort_values(["k", *columns])), "o int, setting int, mae double")
+    fits = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(s).alias("setting")) for i in sorted(inners) for s in range(len(grid))]))
+    groups = train.withColumn("fit", fits).select("o", "fit.g", "fit.setting", (F.col("fit.g") == F.col("i")).alias("h"), "k", *columns)
+    dealt = groups.repartitionByRange(len(counts) * len(inners) * len(grid), "o", "g", "setting")
+    # Rows are sorted so that sums do not depend on their order.
+    errors = dealt.groupBy("o", "g", "setting").applyInPandas(lambda d: scored(d.sort_values(["k", *columns])), "o int, setting int, mae double")
     means = errors.groupBy("o", "setting").agg(F.round(F.avg("mae"), 9).alias("mae"))
     best = {r.o: r.b.setting for r in means.groupBy("o").agg(F.min(F.struct("mae", "setting")).alias("b")).collect()}
 
@@ -156,7 +161,7 @@ def boosted_out_of_fold(rows: DataFrame, features: list[str], target: str, key:
         model = fit(frame[names].to_numpy(np.float64), frame["y"].to_numpy(np.float64), **grid[best.get(o, 0)], least=least)
         return pd.DataFrame({"o": [o], "model": [json.dumps(model)]})
 
-    models = {r.o: json.loads(r.model) for r in train.select("o", "k", *columns).groupBy("o").applyInPandas(final, "o int, model string").collect()}
+    models = {r.o: json.loads(r.model) for r in train.select("o", "k", *columns).repartitionByRange(len(counts), "o").groupBy("o").applyInPandas(final, "o int, model string").collect()}
     shipped = spark.sparkContext.broadcast(models)
 
     def predicted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
