@@ -426,6 +426,39 @@ def test_pii_equals_a_plain_python_version(spark):
             assert old != put and of.setdefault(old, put) == put and back.setdefault(put, old) == old
 
 
+def test_pii_parts_of_names_are_entities(spark):
+    rows = [(1, "Mr. John Smith met Mrs. Smith. Mr. Smith left, said Dr. Smith"), (2, "Priya Raman wrote to Wei Zhang. Ms. Priya Raman and Mr. Zhang agreed"), (3, "Ship From: New York to: Los Angeles. Dear Customer Service, Supreme Court said no"), (4, "Г-жа Анна Иванова; Mrs. John"), (5, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_entities, r.text) for r in pii.replace_entities(table, "k").collect()}
+    name = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+)\. Mr\. (\w+) left, said Dr\. (\w+)", got[1][1]).groups()
+    assert got[1][0] == 4 and len(set(name[1:])) == 1 and name[0] != "John" and name[1] != "Smith" and not name[0].endswith("a")
+    both = re.fullmatch(r"(\w+) (\w+) wrote to (\w+) (\w+)\. Ms\. (\w+) (\w+) and Mr\. (\w+) agreed", got[2][1]).groups()
+    assert got[2][0] == 4 and both[:2] == both[4:6] and both[3] == both[6] and not {"Priya", "Raman", "Wei", "Zhang"} & set(both) and len(set(both)) == 4
+    assert both[0] in pii.GIVEN["f", "latin"] or both[0].endswith("a")
+    assert got[3] == (0, rows[2][1]) and got[5] == (0, None)
+    anna = re.fullmatch(r"Г-жа ([А-я]+) ([А-я]+); Mrs\. (\w+)", got[4][1]).groups()
+    assert anna[0] != "Анна" and anna[1] != "Иванова" and anna[0][-1] in "аья" and anna[2] == name[0]
+    # The key decides: another one gives other surrogates, the same one the same.
+    again, other = ({r.doc_id: r.text for r in pii.replace_entities(table, k).collect()} for k in ("k", "l"))
+    assert again == {i: t for i, (_, t) in got.items()} and other[1] != again[1]
+
+
+def test_pii_digest_is_an_hmac(spark):
+    import hmac
+
+    row = spark.createDataFrame([("ssn", "123456789", 3)], "kind string, canonical string, attempt int")
+    for key in ("k", "long " * 40):
+        got = row.select(pii._digest(key, F.col("kind"), F.col("canonical"), F.col("attempt"))).first()[0]
+        assert got.lower() == hmac.new(key.encode(), b"ssn\x1f3\x1f123456789", "sha512").hexdigest()
+
+
+def test_pii_more_given_names_than_the_list_stay_apart(spark):
+    rows = [("given", f"f/latin/Name{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(100)] + [("given", "m/latin/Nameaa"), ("surname", "n/latin/Nameaa")]
+    got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), "s").collect()
+    assert len(got) == 102 == len({r.surrogate.split("/")[2] for r in got})
+    assert all(r.surrogate.split("/")[0] == r.canonical.split("/")[0] for r in got)
+
+
 def test_pii_long_secrets_are_replaced_to_their_end(spark):
     token = "".join(random.Random(2).choice("abcdefXYZ019") for _ in range(500))
     got = pii.replace_entities(spark.createDataFrame([(1, f"token = {token} end")], "doc_id long, text string")).first()
