@@ -20,6 +20,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct, so that helper columns cannot clash with them."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits of all columns; columns with maps, which have no hash, count by their JSON."""
+    mapped = {f.name for f in docs.schema if "map<" in f.dataType.simpleString()}
+    return F.xxhash64(*[F.to_json(F.struct(F.col(quoted(c)))) if c in mapped else F.col(quoted(c)) for c in docs.columns])
+
+
 #: What stands for a null id in orders and joins; row_identity tells it from the id of this value.
 NO_ID = 2**63 - 1
 IDENTITY = ("doc", "text_key", "text_key2")

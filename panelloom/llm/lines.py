@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm._spark import IDENTITY, met_unevenly, read, row_identity
+from panelloom.llm._spark import IDENTITY, met_unevenly, quoted, read, row_identity
 
 _WORDED = r"[^\x20\x09-\x0D]"
 #: Most common windows that are met by broadcast.
@@ -46,7 +46,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = 3, id_column: str = "do
     carry: columns to hand through, packed in a struct column `row`.
     """
     own, text = F.col(id_column).cast("long"), F.col(text_column)
-    texts = docs.select(*row_identity(own, text), own.alias("doc_id"), text.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    texts = docs.select(*row_identity(own, text), own.alias("doc_id"), text.alias("text"), *([F.struct(*[F.col(quoted(c)) for c in carry]).alias("row")] if carry else []))
     windows = line_windows(texts, window)
     at = F.struct(*IDENTITY, "place")
     first = windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
-from panelloom.llm._spark import keyed_uniform, read
+from panelloom.llm._spark import keyed_uniform, read, whole_row
 from panelloom.llm._text import TextBlock, shingle_hashes, span_hashes, text_blocks
 
 #: Log2 of the hashed dimensions of each of the three families.
@@ -226,9 +227,11 @@ def _score(shipped):
 def judge(docs: DataFrame, model: Model | None, threshold: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """The counts, base_failed, quality_probability and kept of every row; its own columns are packed in `row`."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    schema = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(shipped), f"row {schema}, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality_probability double").drop("text")
+    rows = docs.select(whole_row(docs).alias("row"), F.col("text"))
+    schema = StructType([*rows.schema.fields])
+    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+        schema = schema.add(name, LongType())
+    scored = rows.mapInArrow(_score(shipped), schema.add("quality_probability", DoubleType())).drop("text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("quality_probability", F.lit(1.0)) >= threshold))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import _tiles
-from panelloom.llm._spark import checkpointed, components, free_shuffles, read
+from panelloom.llm._spark import checkpointed, components, free_shuffles, read, row_hash, whole_row
 from panelloom.llm._text import TextBlock, mix, text_blocks
 
 XXH64_SEED = 42
@@ -402,14 +402,14 @@ def one_of_each(docs: DataFrame, classes: DataFrame, id_column: str = "doc_id",
     Only keys are grouped; rows that are equal in everything are told by their count and thinned on their own.
     """
     keys = ["__id", "__text", "__row"]
-    keyed = docs.withColumns({"__id": F.col(id_column), "__text": text_key(F.col(text_column)), "__row": F.xxhash64(*docs.columns)})
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(id_column).alias("__id"), text_key(F.col(text_column)).alias("__text"), row_hash(docs).alias("__row"))
     rows = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).join(classes.withColumnRenamed("text_key", "__text"), "__text")
     firsts = rows.groupBy("component").agg(F.min(F.struct(F.col("__id").isNull().alias("__none"), *keys, "__n")).alias("f"))
     firsts = checkpointed(firsts.select(F.col("component").alias("__component"), *[F.col(f"f.{c}").alias(f"{c}_f") for c in (*keys, "__n")]))
     same = F.col("__id").eqNullSafe(F.col("__id_f")) & (F.col("__text") == F.col("__text_f")) & (F.col("__row") == F.col("__row_f"))
     alone = keyed.join(firsts.where("__n_f = 1"), same, "left_semi")
     several = keyed.join(firsts.where("__n_f > 1"), same).dropDuplicates(["__component"])
-    return alone.select(*docs.columns).unionByName(several.select(*docs.columns))
+    return alone.select("row").unionByName(several.select("row")).select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,18 @@ def test_every_stage_takes_an_empty_table(spark, folder):
         assert out.columns == docs.columns or name == "packing"
 
 
+def test_stages_hand_any_column_through(spark, folder):
+    """Names with dots and backticks, names of helper columns, and maps."""
+    odd = {"a.b": F.lit("dot"), "t`k": F.lit(1), "__id": F.lit(2), "__key": F.lit(3), "__copy": F.lit("c"), "row": F.lit("r"), "component": F.lit(4), "m": F.create_map(F.lit("k"), F.lit(5))}
+    docs = spark.createDataFrame(pages(8), DOCUMENT).withColumns(odd)
+    names = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and {tuple(str(r[c]) for c in names) for r in rows} == {("dot", "1", "2", "3", "c", "r", "4", "{'k': 5}")}, name
+
+
 def test_the_last_stage_places_every_row(spark, folder):
     docs = spark.createDataFrame(pages(8), DOCUMENT)
     out = corpus_pipeline.length_packing(spark, docs, folder).collect()
