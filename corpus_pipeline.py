@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.spread import shared_folder
 from panelloom.llm import lines, mixing, packing, quality, simhash
-from panelloom.llm._spark import checkpointed
+from panelloom.llm._spark import checkpointed, quoted, row_hash, whole_row
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = lines.remove_repeated_lines(docs, carry=rest)
-    return cut.select("doc_id", "text", *[f"row.{c}" for c in rest], F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
+    return cut.select("doc_id", "text", *[F.col("row").getField(c).alias(c) for c in rest], F.length("text").cast("long").alias("n_chars")).select(*[quoted(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,15 +51,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Wordless texts are taken no time; a null source is a source of its own; an empty table gives an empty one.
     """
     weights = mixing.label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    row = F.xxhash64(*docs.columns)
+    row = row_hash(docs)
     mixed = mixing.mix_sources(docs, weights, row=row).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
     copies = checkpointed(mixed.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n")).where("__copies > 0"))
-    keyed = docs.withColumn("__key", row)
-    same = (F.col("__key") == F.col("__row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    keyed = docs.select(whole_row(docs).alias("row"), row.alias("__key"), F.col("doc_id").cast("long").alias("__doc"))
+    same = (F.col("__key") == F.col("__row")) & F.col("__doc").eqNullSafe(F.col("__id"))
     alone = keyed.join(copies.where("__n = 1"), same)
-    several = keyed.join(copies.where("__n > 1"), same).dropDuplicates(["doc_id", "__key"])
+    several = keyed.join(copies.where("__n > 1"), same).dropDuplicates(["__doc", "__key"])
     taken = alone.unionByName(several)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))).select(*docs.columns)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long"))).alias("__copy")).select("row.*")
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
