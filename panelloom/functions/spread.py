@@ -31,6 +31,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The frame as a side of a join that meets the other one in a shuffle. Spark takes what comes out of explode() or a Python
+    function for as small as what it was made of, and would collect it at the driver to broadcast it."""
+    return df.hint("merge")
+
+
 def by_ranges(rows: DataFrame, order: str, descending: bool = False) -> DataFrame:
     """The rows dealt by ranges of unique `order` values, with the number of the range as __r; written, so ranges stay as they
     are. Nulls of `order` come first, as Spark sorts them (last if descending)."""

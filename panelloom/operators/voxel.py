@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.groups import group_quantiles
-from panelloom.functions.spread import checkpointed
+from panelloom.functions.spread import checkpointed, shuffled
 
 KEY = ["case_id", "tp"]
 VOXEL = ["z", "y", "x"]
@@ -22,7 +22,11 @@ FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
 def spheres(cases: DataFrame, size: int = 12) -> DataFrame:
-    """Sphere masks at three times: radius 2 + n mod 3, changing by -0.4, 0 or 0.5 a step, centre shifted by n mod 2."""
+    """Sphere masks at three times: radius 2 + n mod 3, changing by -0.4, 0 or 0.5 a step, centre shifted by n mod 2.
+
+    Cases are few rows in few partitions, their voxels are not: cases are dealt over the shuffle partitions first.
+    """
+    cases = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id")
     n = F.col("case_id")
     rate = F.when(n % 3 == 0, -0.4).when(n % 3 == 1, 0.0).otherwise(0.5)
     radius = 2 + n % 3 + rate * F.col("tp")
@@ -54,11 +58,16 @@ def overlap(a: DataFrame, b: DataFrame, by: str = "case_id") -> DataFrame:
 
 
 def surface(mask: DataFrame) -> DataFrame:
-    """Voxels with a face neighbour outside the mask; outside the grid counts as background."""
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in FACES]))
-    around = mask.withColumn("__s", steps).select(*KEY, (F.col("z") + F.col("__s.dz")).alias("z"), (F.col("y") + F.col("__s.dy")).alias("y"), (F.col("x") + F.col("__s.dx")).alias("x"))
-    held = around.groupBy(*KEY, *VOXEL).agg(F.count(F.lit(1)).alias("__n"))
-    return mask.join(held, [*KEY, *VOXEL], "left").where(F.coalesce("__n", F.lit(0)) < 6).drop("__n")
+    """Voxels with a face neighbour outside the mask, each once; outside the grid counts as background.
+
+    Every voxel tells itself and its neighbours, each from a side of its own, so that one aggregation finds the voxels of the
+    mask that are not told from all sides.
+    """
+    own = 1 << len(FACES)
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit(1 << i).alias("side")) for i, (a, b, c) in enumerate([*FACES, (0, 0, 0)])]))
+    told = mask.withColumn("__s", steps).select(*KEY, *[(F.col(c) + F.col(f"__s.d{c}")).alias(c) for c in VOXEL], F.col("__s.side").alias("__side"))
+    sides = told.groupBy(*KEY, *VOXEL).agg(F.bit_or("__side").alias("__sides"))
+    return sides.where((F.col("__sides") >= own) & (F.col("__sides") < 2 * own - 1)).select(*KEY, *VOXEL)
 
 
 def hd95(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], q: float = 0.95, size: int | None = None) -> DataFrame:

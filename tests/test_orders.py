@@ -115,3 +115,19 @@ def test_lower_envelope_equals_all_parabolas():
         i = np.arange(n)
         want = (f[:, None, :] + 0.7 * (i[:, None] - i[None, :]) ** 2).min(axis=2)
         assert np.allclose(voxel.lower_envelope(f, 0.7), want)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masks_are_not_collected_for_joins(spark):
+    suppliers = spark.range(30).withColumnRenamed("id", "case_id")
+    mask = voxel.spheres(suppliers)
+    assert "Broadcast" not in _plan(voxel.surface(mask))
+
+
+def test_a_repeated_voxel_is_one_voxel_of_a_surface(spark):
+    cube = [(1, 0, z, y, x) for z in range(3) for y in range(3) for x in range(3)]
+    got = [tuple(r) for r in voxel.surface(spark.createDataFrame(cube * 2, "case_id int, tp int, z int, y int, x int")).collect()]
+    assert sorted(got) == sorted(set(cube) - {(1, 0, 1, 1, 1)})
