@@ -276,7 +276,7 @@ def signed_distance(mask: DataFrame, size: int, spacing: tuple[float, float, flo
 
 def crop(mask: DataFrame, centre: DataFrame, shape: int) -> DataFrame:
     """Voxels inside a cube of `shape` around the rounded (half to even) centre, in its own coordinates; nothing wraps."""
-    out = mask.join(centre, KEY)
+    out = mask.join(shuffled(centre), KEY)
     for c in VOXEL:
         out = out.withColumn(c, (F.col(c) - F.bround(F.col(f"c{c}") - shape / 2)).cast("int"))
     for c in VOXEL:
@@ -292,7 +292,7 @@ def normalise(voxels: DataFrame, key: str, low: float = 0.005, high: float = 0.9
     edges = group_quantiles(voxels.select(key, F.when(good, F.col("value")).alias("value")), [key], "value", [low, high]).drop("n")
     a, b = F.get("q", 0), F.get("q", 1)
     scaled = 2 * (F.least(b, F.greatest(a, F.col("value"))) - a) / F.greatest(b - a, F.lit(1e-6)) - 1
-    return voxels.join(edges, key).withColumn("value", F.when(good, scaled).otherwise(-1.0)).drop("q")
+    return voxels.join(shuffled(edges), key).withColumn("value", F.when(good, scaled).otherwise(-1.0)).drop("q")
 
 
 def intensity_range(voxels: DataFrame, key: str, low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -125,6 +125,7 @@ def test_masks_are_not_collected_for_joins(spark):
     suppliers = spark.range(30).withColumnRenamed("id", "case_id")
     mask = voxel.spheres(suppliers)
     assert "Broadcast" not in _plan(voxel.surface(mask))
+    assert "Broadcast" not in _plan(voxel.crop(mask, voxel.centroid(mask), 6))
 
 
 def test_a_repeated_voxel_is_one_voxel_of_a_surface(spark):
