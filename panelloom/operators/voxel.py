@@ -79,7 +79,8 @@ def hd95(a: DataFrame, b: DataFrame, spacing: tuple[float, float, float], q: flo
     sides = surface(a.select("case_id", F.lit(0).alias("tp"), *VOXEL).unionByName(b.select("case_id", F.lit(1).alias("tp"), *VOXEL)))
     sides = checkpointed(sides)
     other = sides.withColumn("tp", 1 - F.col("tp"))
-    return group_quantiles(surface_distances(sides, other, spacing, size), ["case_id"], "d", [q]).select("case_id", F.get("q", 0).alias("hd95"))
+    distances = checkpointed(surface_distances(sides, other, spacing, size))
+    return group_quantiles(distances, ["case_id"], "d", [q]).select("case_id", F.get("q", 0).alias("hd95"))
 
 
 def surface_distances(points: DataFrame, reference: DataFrame, spacing: tuple[float, float, float], size: int | None = None) -> DataFrame:
@@ -90,7 +91,7 @@ def surface_distances(points: DataFrame, reference: DataFrame, spacing: tuple[fl
     slices = _slices(planes, spacing, False)
     asked = points.groupBy(*KEY, F.col("z").cast("int").alias("z")).agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).alias("asked"))
     kind = {c: points.schema[c].dataType.simpleString() for c in KEY}
-    return slices.join(asked, [*KEY, "z"]).mapInPandas(_read_slices(spacing[2] ** 2), ", ".join(f"{c} {k}" for c, k in kind.items()) + ", d double")
+    return slices.join(shuffled(asked), [*KEY, "z"]).mapInPandas(_read_slices(spacing[2] ** 2), ", ".join(f"{c} {k}" for c, k in kind.items()) + ", d double")
 
 
 def centroid(mask: DataFrame) -> DataFrame:
@@ -236,7 +237,7 @@ def _read_slices(weight: float):
 
 def _planes(mask: DataFrame, size: int | None, sizes: DataFrame | None) -> DataFrame:
     """(case, tp, size, x, at): the voxels of each plane of one x that holds any, as numbers z * size + y."""
-    sized = mask.withColumn("size", F.lit(size)) if sizes is None else mask.join(sizes, "case_id")
+    sized = mask.withColumn("size", F.lit(size)) if sizes is None else mask.join(shuffled(sizes), "case_id")
     return sized.groupBy(*KEY, "size", F.col("x").cast("int").alias("x")).agg(F.collect_set((F.col("z") * F.col("size") + F.col("y")).cast("int")).alias("at"))
 
 

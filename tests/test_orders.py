@@ -126,6 +126,8 @@ def test_masks_are_not_collected_for_joins(spark):
     mask = voxel.spheres(suppliers)
     assert "Broadcast" not in _plan(voxel.surface(mask))
     assert "Broadcast" not in _plan(voxel.crop(mask, voxel.centroid(mask), 6))
+    assert "Broadcast" not in _plan(voxel.surface_distances(mask, mask, (1.0, 1.0, 1.0), 12))
+    assert "Broadcast" not in _plan(voxel.surface_distances(mask, mask, (1.0, 1.0, 1.0)))
 
 
 def test_a_repeated_voxel_is_one_voxel_of_a_surface(spark):
