@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.groups import group_quantiles, group_totals
 from panelloom.functions.seed import keyed_fraction
-from panelloom.functions.spread import checkpointed, quantiles, running_totals
+from panelloom.functions.spread import checkpointed, quantiles, running_totals, shuffled
 from panelloom.operators import scores, voxel
 
 def bootstrap_weights(rows: DataFrame, entity: str, replicates: int, seed: str, by: list[str] | None = None) -> DataFrame:
@@ -131,7 +131,7 @@ def evaluate(predictions: dict[str, DataFrame], target: DataFrame, spacing: tupl
     for method, mask in predictions.items():
         rows = voxel.overlap(mask, target)
         if spacing is not None:
-            rows = rows.join(voxel.hd95(mask, target, spacing), "case_id", "left")
+            rows = rows.join(shuffled(voxel.hd95(mask, target, spacing)), "case_id", "left")
         rows = rows.withColumn("method", F.lit(method))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -128,6 +128,8 @@ def test_masks_are_not_collected_for_joins(spark):
     assert "Broadcast" not in _plan(voxel.crop(mask, voxel.centroid(mask), 6))
     assert "Broadcast" not in _plan(voxel.surface_distances(mask, mask, (1.0, 1.0, 1.0), 12))
     assert "Broadcast" not in _plan(voxel.surface_distances(mask, mask, (1.0, 1.0, 1.0)))
+    scores = estimates.evaluate({"first": mask.where("tp = 0")}, mask.where("tp = 2"), (1.0, 1.0, 1.0))
+    assert "Broadcast" not in _plan(scores)
 
 
 def test_a_repeated_voxel_is_one_voxel_of_a_surface(spark):
