@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.groups import group_quantiles
@@ -323,34 +325,133 @@ def tile_starts(size: Column, patch: Column, step: float) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.bround(gap * i).cast("int"))
 
 
-def component_labels(mask: DataFrame, faces: bool = False, rounds: int = 100) -> DataFrame:
-    """(case_id, tp, v, label): the lowest voxel (z, y, x) of the component of each distinct voxel v.
+#: Voxels along an axis of the blocks in which components are first labelled, and voxels that are labelled at once.
+BLOCK, AT_ONCE = 16, 1 << 20
+
+
+def _least_places(place: np.ndarray, steps: list[tuple[int, int, int]]) -> np.ndarray:
+    """Per place (grid number * BLOCK^3 + voxel, ascending) the index of the least place of its component inside the block."""
+    inside = place % BLOCK**3
+    at = (inside // BLOCK**2, inside // BLOCK % BLOCK, inside % BLOCK)
+    ends = []
+    for step in steps:
+        if step > (0, 0, 0):
+            continue
+        kept = np.ones(len(place), dtype=bool)
+        for c, d in zip(at, step):
+            kept &= (c + d >= 0) & (c + d < BLOCK)
+        here = np.flatnonzero(kept)
+        asked = place[here] + (step[0] * BLOCK + step[1]) * BLOCK + step[2]
+        found = np.searchsorted(place, asked)
+        met = place[found] == asked
+        ends.append((here[met], found[met]))
+    a, b = (np.concatenate(e) for e in zip(*ends))
+    root = np.arange(len(place))
+    while True:
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = root[root]
+            if np.array_equal(further, root):
+                break
+            root = further
+
+
+def _block_labels(steps: list[tuple[int, int, int]], keys: list[str]):
+    """Rows (keys..., at: voxels of the block) to one row (keys..., label: the least voxel, at) per component in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            upto = np.cumsum(pc.list_value_length(whole.column("at")).to_numpy())
+            low = 0
+            while low < whole.num_rows:
+                before = upto[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(upto, before + AT_ONCE, side="right")))
+                batch = whole.slice(low, high - low)
+                low = high
+                at = batch.column("at")
+                row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(at).to_numpy())
+                place = np.sort(row * BLOCK**3 + at.flatten().to_numpy())
+                root = _least_places(place, steps)
+                order = np.argsort(root, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(root[order]) > 0])
+                least = place[root[order][first]]
+                voxels = pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)].astype(np.int32)), pa.array((place[order] % BLOCK**3).astype(np.int32)))
+                told = [batch.column(c).take(pa.array(least // BLOCK**3)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*told, pa.array((least % BLOCK**3).astype(np.int32)), voxels], names=[*keys, "label", "at"])
+
+    return run
+
 
-    Neighbours share a corner, or with `faces` a face. Voxels are compared by (z, y, x), so axes of any length do. Every
-    voxel points at a lower one of its component; each round hooks the roots that neighbours point at to the least of them
-    and then jumps pointers until all are roots, so the rounds follow the logarithm of a path's length. Lineage is cut by
-    checkpoints. An error is raised if labels have not settled after `rounds` rounds.
+def _voxel_of(code: Column) -> Column:
+    """The voxel (z, y, x) of a place in the block (bz, by, bx)."""
+    inside = (F.floor(code / BLOCK**2), F.floor(code / BLOCK) % BLOCK, code % BLOCK)
+    return F.struct(*[(F.col(f"b{c}") * BLOCK + p).cast("long").alias(c) for c, p in zip(VOXEL, inside)])
+
+
+def _components(mask: DataFrame, faces: bool, rounds: int) -> DataFrame:
+    """(case_id, tp, bz, by, bx, label, at): the components cut by blocks, `at` the places of their voxels in the block.
+
+    Blocks of 16^3 voxels are labelled in numpy, many blocks of any cases at a time. Only where a case has several blocks
+    are voxels on the faces of blocks told to the blocks beside them; the components of blocks that meet there are then
+    joined in rounds. A voxel without a coordinate is left out.
     """
     steps = FACES if faces else [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
+    block = [f"b{c}" for c in VOXEL]
+    wide = mask.select(*KEY, *[F.col(c).cast("long").alias(c) for c in VOXEL]).na.drop(subset=VOXEL)
+    place = [F.pmod(F.col(c), F.lit(BLOCK)).cast("int") for c in VOXEL]
+    placed = wide.select(*KEY, *[F.floor(F.col(c) / BLOCK).alias(f"b{c}") for c in VOXEL], ((place[0] * BLOCK + place[1]) * BLOCK + place[2]).alias("p"))
+    gathered = placed.groupBy(*KEY, *block).agg(F.collect_set("p").alias("at"))
+    kind = ", ".join(f"{c} {gathered.schema[c].dataType.simpleString()}" for c in [*KEY, *block])
+    parts = gathered.mapInArrow(_block_labels(steps, [*KEY, *block]), f"{kind}, label int, at array<int>")
+    parts = checkpointed(parts.withColumn("label", _voxel_of(F.col("label"))))
+    number = F.struct(*block)
+    several = parts.groupBy(*KEY).agg(F.min(number).alias("first"), F.max(number).alias("last")).where("first <> last").select(*KEY)
+    crowd = checkpointed(parts.alias("p").join(shuffled(several.alias("s")), _same_case("p", "s"), "left_semi"))
+    if crowd.isEmpty():
+        return parts
     offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in steps])
-    cut = checkpointed
-    here = F.struct(*[F.col(c).cast("long").alias(c) for c in VOXEL])
-    voxels = mask.select(*KEY, here.alias("v")).distinct()
-    told = voxels.withColumn("__o", F.explode(offsets)).select(*KEY, "v", F.struct(*[(F.col(f"v.{c}") + F.col(f"__o.d{c}")).alias(c) for c in VOXEL]).alias("w"))
-    # Each pair of neighbours once; groups with a null key are kept apart by null-safe joins.
-    own = _same_case
-    edges = cut(told.where("w < v").alias("e").join(voxels.alias("t"), own("e", "t") & (F.col("e.w") == F.col("t.v")), "left_semi"))
-    root = cut(voxels.withColumn("label", F.col("v")))
+    outer = crowd.withColumn("p", F.explode("at")).withColumn("v", _voxel_of(F.col("p"))).select(*KEY, *block, "v", "label")
+    on_face = F.lit(False)
+    for c in VOXEL:
+        on_face = on_face | F.pmod(F.col(f"v.{c}"), F.lit(BLOCK)).isin(0, BLOCK - 1)
+    outer = outer.where(on_face)
+    told = outer.withColumn("__o", F.explode(offsets)).withColumn("w", F.struct(*[(F.col(f"v.{c}") + F.col(f"__o.d{c}")).alias(c) for c in VOXEL]))
+    # Each pair of neighbours in different blocks once; groups with a null key are kept apart by null-safe joins.
+    beyond = F.lit(False)
+    for c in VOXEL:
+        beyond = beyond | (F.floor(F.col(f"w.{c}") / BLOCK) != F.col(f"b{c}"))
+    met = told.where(beyond & (F.col("w") < F.col("v"))).alias("e").join(shuffled(outer.alias("t")), _same_case("e", "t") & (F.col("e.w") == F.col("t.v")))
+    edges = checkpointed(met.select("e.case_id", "e.tp", F.col("e.label").alias("v"), F.col("t.label").alias("w")).distinct())
+    root = _settled(edges, rounds).select(*KEY, F.col("v").alias("label"), F.col("label").alias("least"))
+    joined = parts.alias("p").join(shuffled(root.alias("r")), _same_case("p", "r") & (F.col("p.label") == F.col("r.label")), "left")
+    return checkpointed(joined.select(*[F.col(f"p.{c}") for c in [*KEY, *block]], F.coalesce("r.least", "p.label").alias("label"), "p.at"))
+
+
+def _settled(edges: DataFrame, rounds: int) -> DataFrame:
+    """(case_id, tp, v, label): the least node that each node of the edges (v, w) reaches.
+
+    Every node points at a lower one that it reaches; each round hooks the roots that neighbours point at to the least of
+    them and then jumps pointers until all are roots, so the rounds follow the logarithm of a path's length. Lineage is cut
+    by checkpoints. An error is raised if labels have not settled after `rounds` rounds.
+    """
+    own, cut = _same_case, checkpointed
+    nodes = edges.select(*KEY, "v").union(edges.select(*KEY, "w")).distinct()
+    root = cut(nodes.withColumn("label", F.col("v")))
     for _ in range(rounds):
-        labelled = edges.alias("e").join(root.alias("r"), own("e", "r") & (F.col("e.v") == F.col("r.v"))).select("e.*", F.col("r.label").alias("a"))
-        labelled = labelled.alias("e").join(root.alias("r"), own("e", "r") & (F.col("e.w") == F.col("r.v"))).select(*[F.col(f"e.{c}") for c in KEY], "a", F.col("r.label").alias("b"))
+        labelled = edges.alias("e").join(shuffled(root.alias("r")), own("e", "r") & (F.col("e.v") == F.col("r.v"))).select("e.*", F.col("r.label").alias("a"))
+        labelled = labelled.alias("e").join(shuffled(root.alias("r")), own("e", "r") & (F.col("e.w") == F.col("r.v"))).select(*[F.col(f"e.{c}") for c in KEY], "a", F.col("r.label").alias("b"))
         hooks = cut(labelled.where("a <> b").groupBy(*KEY, F.greatest("a", "b").alias("v")).agg(F.min(F.least("a", "b")).alias("low")))
         if hooks.isEmpty():
             break
-        hooked = root.alias("r").join(hooks.alias("h"), own("r", "h") & (F.col("r.v") == F.col("h.v")), "left")
+        hooked = root.alias("r").join(shuffled(hooks.alias("h")), own("r", "h") & (F.col("r.v") == F.col("h.v")), "left")
         root = cut(hooked.select("r.case_id", "r.tp", "r.v", F.coalesce("h.low", "r.label").alias("label")))
         for _ in range(rounds):
-            jumped = root.alias("r").join(root.select(*KEY, F.col("v").alias("at"), F.col("label").alias("to")).alias("s"), own("r", "s") & (F.col("r.label") == F.col("s.at")))
+            jumped = root.alias("r").join(shuffled(root.select(*KEY, F.col("v").alias("at"), F.col("label").alias("to")).alias("s")), own("r", "s") & (F.col("r.label") == F.col("s.at")))
             jumped = cut(jumped.select("r.case_id", "r.tp", "r.v", "r.label", "s.to"))
             root = jumped.select(*KEY, "v", F.col("to").alias("label"))
             if jumped.where("label <> to").isEmpty():
@@ -362,18 +463,27 @@ def component_labels(mask: DataFrame, faces: bool = False, rounds: int = 100) ->
     return root
 
 
+def component_labels(mask: DataFrame, faces: bool = False, rounds: int = 100) -> DataFrame:
+    """(case_id, tp, v, label): the lowest voxel (z, y, x) of the component of each distinct voxel v.
+
+    Neighbours share a corner, or with `faces` a face. Voxels are compared by (z, y, x), so axes of any length do.
+    """
+    return _components(mask, faces, rounds).withColumn("p", F.explode("at")).select(*KEY, _voxel_of(F.col("p")).alias("v"), "label")
+
+
 def _same_case(a: str, b: str) -> Column:
     return F.col(f"{a}.case_id").eqNullSafe(F.col(f"{b}.case_id")) & F.col(f"{a}.tp").eqNullSafe(F.col(f"{b}.tp"))
 
 
 def largest_component(mask: DataFrame, rounds: int = 100) -> DataFrame:
-    """Voxels of the largest 26-connected component per (case, tp); ties go to the component with the lowest voxel."""
+    """Voxels of the largest 26-connected component per (case, tp), each once; ties go to the one with the lowest voxel."""
     own = _same_case
-    root = component_labels(mask, rounds=rounds)
-    sizes = root.groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("n"))
+    parts = _components(mask, False, rounds)
+    sizes = parts.groupBy(*KEY, "label").agg(F.sum(F.size("at")).alias("n"))
     best = sizes.groupBy(*KEY).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b")).select(*KEY, F.col("b.label").alias("label"))
-    kept = root.alias("r").join(best.alias("b"), own("r", "b") & (F.col("r.label") == F.col("b.label")), "left_semi").select("r.case_id", "r.tp", "r.v")
-    return mask.alias("m").join(kept.alias("k"), own("m", "k") & (F.struct(*[F.col(f"m.{c}").cast("long").alias(c) for c in VOXEL]) == F.col("k.v")), "left_semi").select(*KEY, *VOXEL)
+    kept = parts.alias("p").join(shuffled(best.alias("b")), own("p", "b") & (F.col("p.label") == F.col("b.label")), "left_semi")
+    voxels = kept.withColumn("p", F.explode("at")).select(*KEY, _voxel_of(F.col("p")).alias("v"))
+    return voxels.select(*KEY, *[F.col(f"v.{c}").cast(mask.schema[c].dataType).alias(c) for c in VOXEL])
 
 
 def filled_foreground(voxels: DataFrame, size: int, key: str = "case_id") -> DataFrame:

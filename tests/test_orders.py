@@ -128,6 +128,7 @@ def test_masks_are_not_collected_for_joins(spark):
     assert "Broadcast" not in _plan(voxel.crop(mask, voxel.centroid(mask), 6))
     assert "Broadcast" not in _plan(voxel.surface_distances(mask, mask, (1.0, 1.0, 1.0), 12))
     assert "Broadcast" not in _plan(voxel.surface_distances(mask, mask, (1.0, 1.0, 1.0)))
+    assert "Broadcast" not in _plan(voxel.largest_component(mask))
     scores = estimates.evaluate({"first": mask.where("tp = 0")}, mask.where("tp = 2"), (1.0, 1.0, 1.0))
     assert "Broadcast" not in _plan(scores)
 
@@ -136,3 +137,40 @@ def test_a_repeated_voxel_is_one_voxel_of_a_surface(spark):
     cube = [(1, 0, z, y, x) for z in range(3) for y in range(3) for x in range(3)]
     got = [tuple(r) for r in voxel.surface(spark.createDataFrame(cube * 2, "case_id int, tp int, z int, y int, x int")).collect()]
     assert sorted(got) == sorted(set(cube) - {(1, 0, 1, 1, 1)})
+
+
+def _flood(voxels, steps):
+    labels, left = {}, set(voxels)
+    while left:
+        least = min(left)
+        left.discard(least)
+        stack = [least]
+        while stack:
+            v = stack.pop()
+            labels[v] = least
+            for s in steps:
+                w = tuple(a + b for a, b in zip(v, s))
+                if w in left:
+                    left.discard(w)
+                    stack.append(w)
+    return labels
+
+
+def test_components_across_blocks_match_a_flood(spark):
+    rng = np.random.default_rng(4)
+    masks = {(c, t): {tuple(int(i) for i in v) for v in rng.integers(-20, 24, (n, 3))} for c, t, n in ((1, 0, 9000), (1, 1, 16000), (None, 0, 7000))}
+    frame = spark.createDataFrame([(*k, *v) for k, m in masks.items() for v in m] + [(1, 0, None, 1, 1)], "case_id long, tp int, z int, y int, x int")
+    corners = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
+    for faces, steps in ((True, voxel.FACES), (False, corners)):
+        got = {}
+        for r in voxel.component_labels(frame, faces).collect():
+            assert (r.case_id, r.tp, tuple(r.v)) not in got
+            got[r.case_id, r.tp, tuple(r.v)] = tuple(r.label)
+        assert got == {(*k, v): least for k, m in masks.items() for v, least in _flood(m, steps).items()}
+
+
+def test_blocks_without_a_neighbour_take_no_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(voxel, "_settled", lambda *a: rounds.append(a))
+    mask = voxel.spheres(spark.range(9).withColumnRenamed("id", "case_id"))
+    assert voxel.largest_component(mask).count() == mask.count() and not rounds
