@@ -12,30 +12,33 @@ from panelloom.functions.seed import keyed_fraction
 from panelloom.functions.spread import checkpointed, quantiles, running_totals, shuffled
 from panelloom.operators import scores, voxel
 
-def bootstrap_weights(rows: DataFrame, entity: str, replicates: int, seed: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., entity, replicate, times): every replicate draws as many entities as there are, with replacement.
+
+def bootstrap_weights(rows: DataFrame, entity: str, replicates: int, seed: str, by: list[str] | None = None, carried: list[str] | None = None) -> DataFrame:
+    """(by..., entity, replicate, times, carried...): every replicate draws as many entities as there are, with replacement.
 
     Entities are numbered from 0 in their order (inside each group of `by`). Draw j of a replicate, one for each of the n
     entities, takes number floor(u n), where u comes from md5(seed:replicate:j): an exact multinomial draw whose times sum
-    to n. Draws are made and counted in parallel, no replicate is a list. Entities that a replicate leaves out have no row;
-    null entities and null keys are left out.
+    to n. Draws are made and counted in parallel, no replicate is a list; groups of as many entities have the same draws, so
+    these are made once, and dealt once by the entity's number. Entities that a replicate leaves out have no row; null
+    entities and null keys are left out. Columns of `carried` come along; rows has one row per group and entity then.
     """
-    by = by or []
-    known = rows.select(*by, entity).distinct().na.drop()
+    by, carried = by or [], carried or []
+    known = (rows.select(*by, entity, *carried) if carried else rows.select(*by, entity).distinct()).na.drop(subset=[*by, entity])
     if by:
         numbered = group_totals(known, by, [entity], {"__k": F.lit(1)})
         sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
         numbered = checkpointed(numbered.join(sizes, by))
     else:
         numbered = checkpointed(running_totals(known, entity, {"__k": F.lit(1)}))
-        numbered = numbered.withColumn("__n", F.lit(numbered.count()))
+        numbered = numbered.withColumn("__n", F.lit(numbered.count()).cast("long"))
     numbered = numbered.withColumn("__k", (F.col("__k") - 1).cast("long"))
+    places = checkpointed(numbered.select("__n", "__k").distinct())
     # The entities are few rows in few partitions, the draws are not.
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, numbered.count() * replicates // 2_000_000)
-    draws = numbered.repartition(tasks).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, places.count() * replicates // 2_000_000)
+    draws = places.repartition(tasks).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     place = F.floor(keyed_fraction(seed, F.col("replicate"), F.col("__k")) * F.col("__n")).cast("long")
-    times = draws.select(*by, "replicate", place.alias("__k")).groupBy(*by, "replicate", "__k").agg(F.count(F.lit(1)).alias("times"))
-    return numbered.select(*by, entity, "__k").join(times, [*by, "__k"]).select(*by, entity, "replicate", "times")
+    times = draws.select("__n", place.alias("__k"), "replicate").repartition(tasks, "__n", "__k").groupBy("__n", "__k", "replicate").agg(F.count(F.lit(1)).alias("times"))
+    return times.join(shuffled(numbered), ["__n", "__k"]).select(*by, entity, "replicate", "times", *carried)
 
 
 def interval(estimates: DataFrame, column: str, least: int = 50) -> DataFrame:

@@ -30,10 +30,10 @@ def clustered_mean(rows: DataFrame, value: str, entity: str, replicates: int, se
     A group draws as many entities as it has; sums per entity meet the replicates, not rows. The interval is null with 50
     finite replicates or fewer.
     """
-    sums = checkpointed(rows.groupBy(*by, entity).agg(F.sum(value).alias("__s"), F.count(value).alias("__n")))
-    means = sums.groupBy(*by).agg((F.sum("__s") / F.sum("__n")).alias("mean"))
-    drawn = sums.join(bootstrap_weights(sums, entity, replicates, seed, by), [*by, entity])
-    per = drawn.groupBy(*by, "replicate").agg((F.sum(F.col("times") * F.col("__s")) / F.sum(F.col("times") * F.col("__n"))).alias("__m"))
+    sums = checkpointed(rows.groupBy(*by, entity).agg(F.sum(value).alias("__s"), F.count(value).alias("__n_values")))
+    means = sums.groupBy(*by).agg((F.sum("__s") / F.sum("__n_values")).alias("mean"))
+    drawn = bootstrap_weights(sums, entity, replicates, seed, by, ["__s", "__n_values"])
+    per = drawn.groupBy(*by, "replicate").agg((F.sum(F.col("times") * F.col("__s")) / F.sum(F.col("times") * F.col("__n_values"))).alias("__m"))
     q = F.percentile("__m", F.array(F.lit(0.025), F.lit(0.975)))
     ends = per.groupBy(*by).agg(F.count("__m").alias("replicates"), q.alias("__q"))
     enough = F.col("replicates") > 50

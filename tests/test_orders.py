@@ -174,3 +174,17 @@ def test_blocks_without_a_neighbour_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(voxel, "_settled", lambda *a: rounds.append(a))
     mask = voxel.spheres(spark.range(9).withColumnRenamed("id", "case_id"))
     assert voxel.largest_component(mask).count() == mask.count() and not rounds
+
+
+def test_groups_of_as_many_entities_share_their_draws(spark):
+    rows = spark.createDataFrame([(g, e, float(e)) for g, n in (("a", 40), ("b", 40), ("c", 25)) for e in range(n)] + [("a", None, 1.0), (None, 3, 1.0)], "g string, e int, s double")
+    drawn = estimates.bootstrap_weights(rows, "e", 20, "7", ["g"], ["s"])
+    got = {(r.g, r.replicate, r.e): (r.times, r.s) for r in drawn.collect()}
+    assert all(s == e for (_, _, e), (_, s) in got.items())
+    totals = {}
+    for (g, replicate, _), (times, _) in got.items():
+        totals[g, replicate] = totals.get((g, replicate), 0) + times
+    assert totals == {(g, k): n for g, n in (("a", 40), ("b", 40), ("c", 25)) for k in range(1, 21)}
+    assert {k[1:]: v for k, v in got.items() if k[0] == "a"} == {k[1:]: v for k, v in got.items() if k[0] == "b"}
+    plain = {(r.g, r.replicate, r.e): r.times for r in estimates.bootstrap_weights(rows, "e", 20, "7", ["g"]).collect()}
+    assert plain == {k: times for k, (times, _) in got.items()}
