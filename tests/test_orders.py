@@ -188,3 +188,8 @@ def test_groups_of_as_many_entities_share_their_draws(spark):
     assert {k[1:]: v for k, v in got.items() if k[0] == "a"} == {k[1:]: v for k, v in got.items() if k[0] == "b"}
     plain = {(r.g, r.replicate, r.e): r.times for r in estimates.bootstrap_weights(rows, "e", 20, "7", ["g"]).collect()}
     assert plain == {k: times for k, (times, _) in got.items()}
+
+
+def test_voxels_of_a_small_file_are_made_in_many_tasks(spark):
+    mask = voxel.spheres(spark.range(400).coalesce(1).withColumnRenamed("id", "case_id"))
+    assert mask.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
