@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from panelloom.functions.groups import group_quantiles
 from panelloom.functions.spread import checkpointed, shuffled
@@ -492,20 +493,23 @@ def filled_foreground(voxels: DataFrame, size: int, key: str = "case_id") -> Dat
     A hole is a face-connected component of the background without a voxel on the border of the grid of `size`; the rounds
     that label components follow the logarithm of their paths, however they wind.
     """
-    front = voxels.groupBy(key, *VOXEL).agg(F.bool_or(F.coalesce(F.col("value") != 0, F.lit(False))).alias("on")).where("on").select(key, *VOXEL)
     axis = F.sequence(F.lit(0), F.lit(size - 1))
     grid = voxels.select(key).distinct()
     for c in VOXEL:
-        grid = grid.withColumn(c, F.explode(axis))
-    back = grid.join(front, [key, *VOXEL], "left_anti")
-    labels = component_labels(back.select(F.col(key).alias("case_id"), F.lit(0).alias("tp"), *VOXEL), faces=True)
+        grid = grid.withColumn(c, F.explode(axis.cast(ArrayType(voxels.schema[c].dataType))))
+    given = voxels.select(key, *VOXEL, F.coalesce(F.col("value") != 0, F.lit(False)).alias("on"), F.lit(False).alias("in_grid"))
+    told = given.unionByName(grid.withColumns({"on": F.lit(False), "in_grid": F.lit(True)}))
+    cells = checkpointed(told.groupBy(key, *VOXEL).agg(F.bool_or("on").alias("on"), F.bool_or("in_grid").alias("in_grid")))
+    back = cells.where("not on and in_grid").select(F.col(key).alias("case_id"), F.lit(0).alias("tp"), *VOXEL)
+    parts = _components(back, True, 100).withColumn("voxels", F.transform("at", _voxel_of))
     edge = F.lit(False)
     for c in VOXEL:
-        edge = edge | F.col(f"v.{c}").isin(0, size - 1)
-    open_ones = labels.where(edge).select("case_id", "label").distinct().alias("o")
+        edge = edge | F.exists(f"voxels.{c}", lambda v: v.isin(0, size - 1))
+    open_ones = parts.where(edge).select("case_id", "label").distinct().alias("o")
     same = F.col("l.case_id").eqNullSafe(F.col("o.case_id")) & (F.col("l.label") == F.col("o.label"))
-    holes = labels.alias("l").join(open_ones, same, "left_anti")
-    kinds = {c: front.schema[c].dataType for c in VOXEL}
+    holes = parts.alias("l").join(shuffled(open_ones), same, "left_anti").withColumn("v", F.explode("voxels"))
+    kinds = {c: voxels.schema[c].dataType for c in VOXEL}
+    front = cells.where("on").select(key, *VOXEL)
     return front.unionByName(holes.select(F.col("case_id").alias(key), *[F.col(f"v.{c}").cast(kinds[c]).alias(c) for c in VOXEL]))
 
 

@@ -193,3 +193,12 @@ def test_groups_of_as_many_entities_share_their_draws(spark):
 def test_voxels_of_a_small_file_are_made_in_many_tasks(spark):
     mask = voxel.spheres(spark.range(400).coalesce(1).withColumnRenamed("id", "case_id"))
     assert mask.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_holes_across_blocks_are_filled_without_a_broadcast(spark):
+    box = [(z, y, x) for z in range(1, 19) for y in range(1, 19) for x in range(1, 19)]
+    shell = [v for v in box if not all(1 < c < 18 for c in v)]
+    rows = [(1, *v, 1.0) for v in shell] + [(1, 25, 0, 0, 1.0), (2, 0, 0, 0, 0.0)]
+    filled = voxel.filled_foreground(spark.createDataFrame(rows, "case_id int, z int, y int, x int, value double"), 20)
+    assert "Broadcast" not in _plan(filled)
+    assert sorted(tuple(r) for r in filled.collect()) == sorted([(1, *v) for v in box] + [(1, 25, 0, 0)])
