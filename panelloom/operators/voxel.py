@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -94,7 +93,7 @@ def surface_distances(points: DataFrame, reference: DataFrame, spacing: tuple[fl
     slices = _slices(planes, spacing, False)
     asked = points.groupBy(*KEY, F.col("z").cast("int").alias("z")).agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))).alias("asked"))
     kind = {c: points.schema[c].dataType.simpleString() for c in KEY}
-    return slices.join(shuffled(asked), [*KEY, "z"]).mapInPandas(_read_slices(spacing[2] ** 2), ", ".join(f"{c} {k}" for c, k in kind.items()) + ", d double")
+    return slices.join(shuffled(asked), [*KEY, "z"]).mapInArrow(_read_slices(spacing[2] ** 2), ", ".join(f"{c} {k}" for c, k in kind.items()) + ", d double")
 
 
 def centroid(mask: DataFrame) -> DataFrame:
@@ -169,43 +168,62 @@ def lower_envelope(lines: np.ndarray, weight: float) -> np.ndarray:
     return out
 
 
-def _pieces(frame: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    """(size, rows) of grids of one size, some four million cells at a time."""
-    for size, rows in frame.groupby("size"):
-        step = max(1, (1 << 22) // int(size) ** 2)
-        for low in range(0, len(rows), step):
-            yield int(size), rows.iloc[low : low + step]
+#: Cells of grids that a Python task takes at once.
+CELLS = 1 << 19
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(size, rows) of grids of one size, some CELLS of their planes at a time; rows stay in Arrow."""
+    for batch in batches:
+        sizes = batch.column("size").to_numpy()
+        for size in np.unique(sizes):
+            rows = batch if (sizes == size).all() else batch.take(pa.array(np.flatnonzero(sizes == size)))
+            step = max(1, CELLS // int(size) ** 2)
+            for low in range(0, rows.num_rows, step):
+                yield int(size), rows.slice(low, step)
+
+
+def _repeated(batch: pa.RecordBatch, columns: list[str], row: np.ndarray) -> dict[str, pa.Array]:
+    return {c: batch.column(c).take(pa.array(row)) for c in columns}
+
+
+def _lines(field: np.ndarray) -> pa.Array:
+    """The last axis of an array as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, field.size + 1, field.shape[-1], dtype=np.int32)), pa.array(field.ravel()))
+
+
+def _counts(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
 def _plane_distances(weights: tuple[float, float], inside: bool):
     """Rows (case, tp, size, x, voxels of the plane) to rows (case, tp, size, x, z, o, i): squared distances inside the plane."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in frames:
-            for size, frame in _pieces(whole):
-                held = np.zeros((len(frame), size * size), dtype=bool)
-                at = [np.asarray(v, dtype=np.int64) for v in frame["at"]]
-                held[np.repeat(np.arange(len(frame)), [len(v) for v in at]), np.concatenate(at)] = True
-                held = held.reshape(-1, size, size)
-                fields = {}
-                for name, source in (("o", held), ("i", ~held)) if inside else (("o", held),):
-                    d = np.where(source, 0.0, np.inf)
-                    fields[name] = _min_plus(_min_plus(d, 1, weights[0]), 2, weights[1]).reshape(-1, size)
-                keys = {c: np.repeat(frame[c].to_numpy(), size) for c in (*KEY, "size", "x")}
-                yield pd.DataFrame({**keys, "z": np.tile(np.arange(size), len(frame)), **{n: list(v) for n, v in fields.items()}})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, batch in _pieces(batches):
+            n = batch.num_rows
+            at = batch.column("at")
+            held = np.zeros((n, size * size), dtype=bool)
+            held[np.repeat(np.arange(n), _counts(at)), at.flatten().to_numpy()] = True
+            held = held.reshape(-1, size, size)
+            columns = _repeated(batch, [*KEY, "size", "x"], np.repeat(np.arange(n), size))
+            columns["z"] = pa.array(np.tile(np.arange(size, dtype=np.int32), n))
+            for name, source in (("o", held), ("i", ~held)) if inside else (("o", held),):
+                columns[name] = _lines(_min_plus(_min_plus(np.where(source, 0.0, np.inf), 1, weights[0]), 2, weights[1]))
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _slice_fields(frame: pd.DataFrame, size: int, weight: float, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+def _slice_fields(batch: pa.RecordBatch, size: int, weight: float, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """Per name the squared distances (row, x, y) of the slices in the rows of `planes`, joined across planes."""
-    row = np.repeat(np.arange(len(frame)), [len(v) for v in frame["planes"]])
-    every = [p for planes in frame["planes"] for p in planes]
-    x, out = np.array([p["x"] for p in every]), {}
+    planes = batch.column("planes")
+    every = planes.flatten()
+    row, x, out = np.repeat(np.arange(batch.num_rows), _counts(planes)), every.field("x").to_numpy(), {}
     for name in names:
         # A plane without a voxel of the mask has no outside distance, and is background everywhere.
-        field = np.full((len(frame), size, size), np.inf if name == "o" else 0.0)
-        field[row, x] = np.stack([p[name] for p in every])
+        field = np.full((batch.num_rows, size, size), np.inf if name == "o" else 0.0)
+        field[row, x] = every.field(name).flatten().to_numpy().reshape(-1, size)
         out[name] = _min_plus(field, 1, weight)
     return out
 
@@ -213,13 +231,13 @@ def _slice_fields(frame: pd.DataFrame, size: int, weight: float, names: tuple[st
 def _across_planes(weight: float, inside: bool):
     """Rows (case, tp, size, z, planes [(x, o, i)]) to one row per voxel of the slice with both squared distances."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in frames:
-            for size, frame in _pieces(whole):
-                fields = _slice_fields(frame, size, weight, ("o", "i") if inside else ("o",))
-                keys = {c: np.repeat(frame[c].to_numpy(), size * size) for c in (*KEY, "z")}
-                grid = np.tile(np.arange(size * size), len(frame))
-                yield pd.DataFrame({**keys, **{n: f.ravel() for n, f in fields.items()}, "x": grid // size, "y": grid % size})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, batch in _pieces(batches):
+            fields = _slice_fields(batch, size, weight, ("o", "i") if inside else ("o",))
+            columns = _repeated(batch, [*KEY, "z"], np.repeat(np.arange(batch.num_rows), size * size))
+            grid = np.tile(np.arange(size * size, dtype=np.int32), batch.num_rows)
+            columns |= {n: pa.array(f.ravel()) for n, f in fields.items()}
+            yield pa.RecordBatch.from_pydict(columns | {"x": pa.array(grid // size), "y": pa.array(grid % size)})
 
     return run
 
@@ -227,13 +245,14 @@ def _across_planes(weight: float, inside: bool):
 def _read_slices(weight: float):
     """Rows (case, tp, size, z, planes, asked [(x, y)]) to the distances at the asked places."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in frames:
-            for size, frame in _pieces(whole):
-                field = _slice_fields(frame, size, weight, ("o",))["o"]
-                row = np.repeat(np.arange(len(frame)), [len(v) for v in frame["asked"]])
-                x, y = (np.array([p[c] for asked in frame["asked"] for p in asked]) for c in ("x", "y"))
-                yield pd.DataFrame({**{c: frame[c].to_numpy()[row] for c in KEY}, "d": np.sqrt(field[row, x, y])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, batch in _pieces(batches):
+            field = _slice_fields(batch, size, weight, ("o",))["o"]
+            asked = batch.column("asked")
+            places = asked.flatten()
+            row = np.repeat(np.arange(batch.num_rows), _counts(asked))
+            d = np.sqrt(field[row, places.field("x").to_numpy(), places.field("y").to_numpy()])
+            yield pa.RecordBatch.from_pydict(_repeated(batch, KEY, row) | {"d": pa.array(d)})
 
     return run
 
@@ -248,7 +267,7 @@ def _slices(planes: DataFrame, spacing: tuple[float, float, float], inside: bool
     """(case, tp, size, z, planes): planes transformed along z and y at once, gathered by slice."""
     kinds = "o array<double>" + (", i array<double>" if inside else "")
     kind = ", ".join(f"{c} {planes.schema[c].dataType.simpleString()}" for c in KEY)
-    rows = planes.mapInPandas(_plane_distances((spacing[0] ** 2, spacing[1] ** 2), inside), f"{kind}, size int, x int, z int, {kinds}")
+    rows = planes.mapInArrow(_plane_distances((spacing[0] ** 2, spacing[1] ** 2), inside), f"{kind}, size int, x int, z int, {kinds}")
     return rows.groupBy(*KEY, "size", "z").agg(F.collect_list(F.struct("x", *(("o", "i") if inside else ("o",)))).alias("planes"))
 
 
@@ -260,7 +279,7 @@ def _distances(mask: DataFrame, size: int, spacing: tuple[float, float, float],
     """
     kind = ", ".join(f"{c} {mask.schema[c].dataType.simpleString()}" for c in KEY)
     slices = _slices(_planes(mask, size, None), spacing, inside)
-    return slices.mapInPandas(_across_planes(spacing[2] ** 2, inside), f"{kind}, z int, o double, " + ("i double, " if inside else "") + "x int, y int")
+    return slices.mapInArrow(_across_planes(spacing[2] ** 2, inside), f"{kind}, z int, o double, " + ("i double, " if inside else "") + "x int, y int")
 
 
 def distance_transform(mask: DataFrame, size: int, spacing: tuple[float, float, float]) -> DataFrame:

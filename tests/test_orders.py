@@ -1,6 +1,7 @@
 """Orders of skewed groups: concordance, quantiles and running totals against direct computations."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,10 @@ def test_holes_across_blocks_are_filled_without_a_broadcast(spark):
     filled = voxel.filled_foreground(spark.createDataFrame(rows, "case_id int, z int, y int, x int, value double"), 20)
     assert "Broadcast" not in _plan(filled)
     assert sorted(tuple(r) for r in filled.collect()) == sorted([(1, *v) for v in box] + [(1, 25, 0, 0)])
+
+
+def test_distances_take_a_bounded_number_of_cells_at_once():
+    n = 5000
+    planes = pa.RecordBatch.from_pydict({"case_id": pa.array(range(n)), "tp": pa.array([0] * n, pa.int32()), "size": pa.array([12] * n, pa.int32()), "x": pa.array([3] * n, pa.int32()), "at": pa.array([[7, 20]] * n, pa.list_(pa.int32()))})
+    out = list(voxel._plane_distances((1.0, 1.0), True)(iter([planes])))
+    assert max(len(b.column("o").flatten()) for b in out) <= voxel.CELLS and sum(b.num_rows for b in out) == 12 * n
