@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions import groups
-from panelloom.operators import estimates, scores, voxel
+from panelloom.operators import estimates, scores, tiles, voxel
 
 
 def pairs_by_hand(rows):
@@ -210,3 +210,19 @@ def test_distances_take_a_bounded_number_of_cells_at_once():
     planes = pa.RecordBatch.from_pydict({"case_id": pa.array(range(n)), "tp": pa.array([0] * n, pa.int32()), "size": pa.array([12] * n, pa.int32()), "x": pa.array([3] * n, pa.int32()), "at": pa.array([[7, 20]] * n, pa.list_(pa.int32()))})
     out = list(voxel._plane_distances((1.0, 1.0), True)(iter([planes])))
     assert max(len(b.column("o").flatten()) for b in out) <= voxel.CELLS and sum(b.num_rows for b in out) == 12 * n
+
+
+def test_blocks_of_tiles_are_summed_many_at_a_time(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(z), int(y), int(x), [float(v) for v in rng.normal(size=27)]) for k in ("a", "b", None) for z, y, x in rng.integers(0, 6, (5, 3)).tolist() + [[0, 0, 0]] * 2]
+    merged = tiles.merge_tiles_3d(spark.createDataFrame(rows, "k string, z0 int, y0 int, x0 int, values array<double>"), "k", 3, block=2)
+    assert "FlatMapGroups" not in _plan(merged)
+    w, top = tiles.axis_weight(3), {}
+    for k, z0, y0, x0, values in rows:
+        for i, v in enumerate(values):
+            z, y, x = i // 9, i // 3 % 3, i % 3
+            a = top.setdefault((k, z0 + z, y0 + y, x0 + x), [0.0, 0.0])
+            a[0] += w[z] * w[y] * w[x] * v
+            a[1] += w[z] * w[y] * w[x]
+    got = {(r.k, r.z, r.y, r.x): r.value for r in merged.collect()}
+    assert got == {k: pytest.approx(a / b) for k, (a, b) in top.items()}
