@@ -75,12 +75,13 @@ def f17(t: Tables) -> DataFrame:
 
 @register("d14_stream_runs", panel_sql(_RUNS + " select entity_id, obs_id, run_id::bigint as run_id from s"))
 def d14_stream(t: Tables) -> DataFrame:
-    """The panel arrives in three parts by time, with a restart after each."""
+    """The panel arrives in three parts by time, with a restart after each; an entity's rows of a part lie in one file, as a batch
+    takes some files of a part only."""
     folder = T.scratch(t.spark)
     panel = t.panel().select("entity_id", "obs_id", "t", "v", "crossed", "absent")
     out = panel
     for part in (F.col("t") < 800, (F.col("t") >= 800) & (F.col("t") < 1600), F.col("t") >= 1600):
-        panel.where(part).write.mode("append").parquet(f"{folder}/in")
+        panel.where(part).repartition("entity_id").write.mode("append").parquet(f"{folder}/in")
         out = runs.restartable_runs(t.spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress")
     return out.where("status = 'new'").select("entity_id", "obs_id", "run_id")
 

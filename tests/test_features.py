@@ -4,12 +4,14 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelloom.functions import spread
 from panelloom.operators import checks, estimates, review, scores, sketches, summaries, tiles, voxel, windows
+from panelloom.plans import feature_queries, panel_queries
 from panelloom.sources import pairing, tables
 from panelloom.streaming import runs
 
@@ -161,6 +163,61 @@ def test_a_stream_of_runs_goes_on_after_a_restart(spark, tmp_path):
     assert [(r.entity_id, r.t, r.run_id) for r in again.where("status = 'late'").collect()] == [(3, 0.25, None)]
 
 
+class _Held:
+    """A value state, and the handle that gives it out."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_one_call_takes_the_runs_of_many_entities():
+    rng = np.random.default_rng(3)
+    n, state, got, want, last = 2400, _Held(), [], [], {}
+    panel = pd.DataFrame({"entity_id": rng.integers(0, 90, n), "obs_id": rng.integers(0, 3, n), "t": rng.integers(0, 40, n).astype(float), "v": rng.choice([0.0, 5.0], n), "crossed": rng.random(n) < 0.3, "absent": rng.random(n) < 0.2})
+    panel["v"] = panel["v"].where(panel["t"] % 7 > 0, -1.0)
+    panel = panel.drop_duplicates(["entity_id", "t", "obs_id"])
+    # Later batches bring some rows from before the last ones, and some of them again.
+    for batch in (panel[panel["t"] < 15], panel[(panel["t"] >= 12) & (panel["t"] < 30)], panel[panel["t"] >= 29]):
+        batch = pd.concat([batch, batch.iloc[::5]])
+        processor = runs.Runs()
+        processor.init(state)
+        for out in processor.handleInputRows((7,), iter([batch.iloc[::2], batch.iloc[1::2]]), None):
+            got += [(r.entity_id, r.obs_id, r.t, None if pd.isna(r.run_id) else int(r.run_id), r.status) for r in out.itertuples(index=False)]
+        for r in batch.sort_values(["entity_id", "t", "obs_id"]).itertuples(index=False):
+            place, run = last.get(r.entity_id, ((-math.inf, 0), 0))
+            if (r.t, r.obs_id) < place:
+                want.append((r.entity_id, r.obs_id, r.t, None, "late"))
+            elif (r.t, r.obs_id) > place:
+                usable = r.v > 0 and not r.absent
+                last[r.entity_id] = ((r.t, r.obs_id), run + int(r.crossed or not usable))
+                want += [(r.entity_id, r.obs_id, r.t, last[r.entity_id][1], "new")] if usable else []
+    assert sorted(got, key=str) == sorted(want, key=str) and {r[4] for r in got} == {"new", "late"}
+
+
+def test_streamed_parts_of_many_files_bring_no_late_rows(spark, tmp_path):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.repartition(70).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = feature_queries.queries()["d14_stream_runs"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = panel_queries.queries()["d14_restartable_runs"](spark, str(tmp_path)).collect()
+    assert len(got) > 0 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 # Sketches and tiles
 
 
