@@ -5,6 +5,7 @@ Cases are groups; joins and aggregations are keyed by case and voxel, so work sp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +22,18 @@ KEY = ["case_id", "tp"]
 VOXEL = ["z", "y", "x"]
 #: Face neighbours (dz, dy, dx).
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+#: Cases a partition that are made into voxels.
+CASES = 1024
 
 
 def spheres(cases: DataFrame, size: int = 12) -> DataFrame:
     """Sphere masks at three times: radius 2 + n mod 3, changing by -0.4, 0 or 0.5 a step, centre shifted by n mod 2.
 
-    Cases are few rows in few partitions, their voxels are not: cases are dealt over the shuffle partitions first.
+    Cases are few rows in few partitions, their voxels are not: cases are dealt over the shuffle partitions first, and over more
+    of them above CASES a partition, so that what a task sorts does not grow with the cases.
     """
-    cases = cases.repartition(int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id")
+    partitions = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cases = cases.repartition(max(partitions, math.ceil(cases.count() / CASES)), "case_id")
     n = F.col("case_id")
     rate = F.when(n % 3 == 0, -0.4).when(n % 3 == 1, 0.0).otherwise(0.5)
     radius = 2 + n % 3 + rate * F.col("tp")

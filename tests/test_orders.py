@@ -226,3 +226,10 @@ def test_blocks_of_tiles_are_summed_many_at_a_time(spark):
             a[1] += w[z] * w[y] * w[x]
     got = {(r.k, r.z, r.y, r.x): r.value for r in merged.collect()}
     assert got == {k: pytest.approx(a / b) for k, (a, b) in top.items()}
+
+
+def test_partitions_of_voxels_do_not_grow_with_the_cases(spark):
+    mask = voxel.spheres(spark.range(6000).withColumnRenamed("id", "case_id"))
+    held = mask.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("case_id").alias("n"))
+    most, every = held.agg(F.max("n"), F.sum("n")).first()
+    assert every == 6000 and most < 1300
