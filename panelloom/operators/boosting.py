@@ -9,10 +9,12 @@ by md5 of the row's key, so that memory is bounded; predictions and errors of th
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ GRID = (
     {"depth": 3, "rate": 0.1, "trees": 100},
 )
 
+#: Combinations of bins up to which a model is a table of its values.
+CELLS = 1 << 18
+
 
 def bin_edges(x: np.ndarray, bins: int) -> list[np.ndarray]:
     """Per feature the upper ends of all bins but the last: midpoints of distinct values, or quantiles where they are many."""
@@ -105,17 +110,31 @@ def fit(x: np.ndarray, y: np.ndarray, depth: int, rate: float, trees: int, least
     return {"edges": [e.tolist() for e in edges], "start": start, "trees": out}
 
 
-def predict(model: dict, x: np.ndarray) -> np.ndarray:
-    codes = binned(x, [np.asarray(e) for e in model["edges"]])
-    out = np.full(len(x), model["start"])
+def walked(model: dict, codes: np.ndarray) -> np.ndarray:
+    """The model's values of rows of bins, tree by tree."""
+    out = np.full(len(codes), model["start"])
     for levels, values in model["trees"]:
-        node = np.zeros(len(x), dtype=np.int64)
+        node = np.zeros(len(codes), dtype=np.int64)
         for splits in levels:
             node = descend(codes, node, splits)
         out += np.asarray(values)[node]
     return out
 
 
+def tabulated(model: dict) -> np.ndarray | None:
+    """The model's values of all combinations of bins, an axis a feature; None above CELLS of them."""
+    sizes = [len(e) + 1 for e in model["edges"]]
+    if math.prod(sizes) > CELLS:
+        return None
+    return walked(model, np.asfortranarray(np.indices(sizes).reshape(len(sizes), -1).T)).reshape(sizes)
+
+
+def predict(model: dict, x: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """The model's values of rows, looked up in its table if that is given: the same numbers without a walk of the trees."""
+    codes = binned(x, [np.asarray(e) for e in model["edges"]])
+    return walked(model, codes) if table is None else table[tuple(codes.T)]
+
+
 def boosted_out_of_fold(rows: DataFrame, features: list[str], target: str, key: str, grid: tuple[dict, ...] = GRID, fold: str = "fold", inner: str = "inner", max_rows: int = 200_000, least: int = 10) -> DataFrame:
     """Adds pred, depth, rate and trees: every row predicted by a model of the other folds.
 
@@ -159,23 +178,28 @@ def boosted_out_of_fold(rows: DataFrame, features: list[str], target: str, key:
         frame = frame.sort_values(["k", *columns])
         o = int(frame["o"].iloc[0])
         model = fit(frame[names].to_numpy(np.float64), frame["y"].to_numpy(np.float64), **grid[best.get(o, 0)], least=least)
-        return pd.DataFrame({"o": [o], "model": [json.dumps(model)]})
+        table = tabulated(model)
+        return pd.DataFrame({"o": [o], "model": [json.dumps(model)], "cells": [None if table is None else table.tobytes()]})
 
-    models = {r.o: json.loads(r.model) for r in train.select("o", "k", *columns).repartitionByRange(len(counts), "o").groupBy("o").applyInPandas(final, "o int, model string").collect()}
+    models = {}
+    for r in train.select("o", "k", *columns).repartitionByRange(len(counts), "o").groupBy("o").applyInPandas(final, "o int, model string, cells binary").collect():
+        model = json.loads(r.model)
+        models[r.o] = (model, None if r.cells is None else np.frombuffer(r.cells).reshape([len(e) + 1 for e in model["edges"]]))
     shipped = spark.sparkContext.broadcast(models)
 
-    def predicted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = np.full(len(frame), np.nan)
-            x = frame[names].to_numpy(np.float64)
-            for o, model in shipped.value.items():
-                own = np.flatnonzero((frame["f"] == o).to_numpy() & np.isfinite(x).all(axis=1))
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last columns are the fold and the features; the others pass as they are."""
+        for batch in batches:
+            passed, made = batch.columns[: -1 - len(names)], [c.to_numpy(zero_copy_only=False) for c in batch.columns[-1 - len(names) :]]
+            x, out = np.stack(made[1:], axis=1).astype(np.float64), np.full(batch.num_rows, np.nan)
+            for o, (model, table) in shipped.value.items():
+                own = np.flatnonzero((made[0] == o) & np.isfinite(x).all(axis=1))
                 if len(own):
-                    out[own] = predict(model, x[own])
-            yield pd.DataFrame({**{c: frame[c] for c in frame.columns if c not in ("f", *names)}, "pred": out})
+                    out[own] = predict(model, x[own], table)
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(out)], names=[*batch.schema.names[: len(passed)], "pred"])
 
     wide = rows.select("*", F.col(fold).cast("int").alias("f"), *numbers[:-1])
     kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in rows.schema)
-    out = wide.mapInPandas(predicted, f"{kinds}, pred double").withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
+    out = wide.mapInArrow(predicted, f"{kinds}, pred double").withColumn("pred", F.when(~F.isnan("pred"), F.col("pred")))
     chosen = F.get(F.array(*[F.struct(*[F.lit(grid[best.get(o, 0)][c]).alias(c) for c in ("depth", "rate", "trees")]) for o in sorted(counts)]), F.array_position(F.array(*[F.lit(o) for o in sorted(counts)]), F.col(fold).cast("int")).cast("int") - 1)
     return out.withColumn("__s", chosen).select("*", "__s.depth", "__s.rate", "__s.trees").drop("__s")

@@ -7,6 +7,7 @@ train on them. Fits by iteration aggregate to a few numbers a step.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -366,22 +367,27 @@ def prevalence(rows: DataFrame, event: str = "event", fold: str = "fold") -> Dat
     return rows.join(F.broadcast(rates), fold)
 
 
-def model_grid(rows: DataFrame, target: str, feature_sets: dict[str, list[str]], models: dict) -> DataFrame:
+def model_grid(rows: DataFrame, target: str, feature_sets: dict[str, list[str]], models: dict, plain: dict | None = None) -> DataFrame:
     """(features, model, n, mae, r2): out-of-fold scores of every model with every feature set, one job after the other.
 
-    models: functions (rows, features) -> rows with pred. The rows are written once, so that models do not compute them anew.
+    models: functions (rows, features) -> rows with pred; plain: functions (rows) -> rows with pred of models that take no
+    features, which are fitted and scored once for all sets. The rows are written once, so that models do not compute them anew.
     """
     from panelloom.functions.spread import checkpointed
 
-    kept, out = checkpointed(rows), None
+    kept, out = checkpointed(rows), []
+    y, e = F.col(target), F.col(target) - F.col("pred")
+    spread = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
+
+    def scored(fitted: DataFrame, model: str, sets: list[str]) -> DataFrame:
+        found = fitted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.when(spread > 0, spread)).alias("r2"))
+        return found.select(F.explode(F.array(*[F.lit(s) for s in sets])).alias("features"), F.lit(model).alias("model"), "n", "mae", "r2")
+
+    for model, fit in (plain or {}).items():
+        out.append(scored(fit(kept), model, list(feature_sets)))
     for name, features in feature_sets.items():
-        for model, fit in models.items():
-            y, e = F.col(target), F.col(target) - F.col("pred")
-            spread = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y)
-            scored = fit(kept, features).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), (1 - F.sum(e * e) / F.when(spread > 0, spread)).alias("r2"))
-            row = scored.select(F.lit(name).alias("features"), F.lit(model).alias("model"), "n", "mae", "r2")
-            out = row if out is None else out.unionByName(row)
-    return out
+        out += [scored(fit(kept, features), model, [name]) for model, fit in models.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 def logistic_with_inner_cv(rows: DataFrame, features: list[str], target: str, costs: list[float], fold: str = "fold", inner: str = "inner", steps: int = 25) -> DataFrame:

@@ -166,8 +166,8 @@ def f13(t: Tables) -> DataFrame:
     rows = _by_entity(_pairs(t)).withColumn("lv", F.log("prev_v")).withColumn("p", F.col("post").cast("double"))
     ridge = lambda r, features: forecast.ridge_with_inner_cv(r, features, "y", [0.1, 10.0, 1000.0])
     boosted = lambda r, features: boosting.boosted_out_of_fold(r, features, "y", "obs_id")
-    models = {"persistence": lambda r, _: r.withColumn("pred", F.lit(0.0)), "median": lambda r, _: forecast.median_out_of_fold(r, "y"), "ridge": ridge, "boosting": boosted}
-    out = forecast.model_grid(rows, "y", {"time": ["dt_yr"], "time_size": ["dt_yr", "lv"], "all": ["dt_yr", "lv", "p"]}, models)
+    plain = {"persistence": lambda r: r.withColumn("pred", F.lit(0.0)), "median": lambda r: forecast.median_out_of_fold(r, "y")}
+    out = forecast.model_grid(rows, "y", {"time": ["dt_yr"], "time_size": ["dt_yr", "lv"], "all": ["dt_yr", "lv", "p"]}, {"ridge": ridge, "boosting": boosted}, plain)
     return out.select("features", "model", "n", F.round("mae", 5).alias("mae"), F.round("r2", 5).alias("r2"))
 
 

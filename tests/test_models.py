@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from panelloom.operators import boosting, forecast
+from pyspark.sql import functions as F
 
 
 def _efron(beta, time, event, z, penalty):
@@ -200,3 +201,27 @@ def test_boosting_bins_many_values_by_quantiles():
     (edges,) = boosting.bin_edges(x, 255)
     counts = np.bincount(boosting.binned(x, [edges])[:, 0])
     assert len(counts) <= 255 and counts.max() < 3 * 5000 / 255
+
+
+def test_a_table_of_bins_holds_the_values_of_the_trees(monkeypatch):
+    x, y = _steps(3000, 8)
+    model = boosting.fit(x, y, 3, 0.1, 20)
+    table = boosting.tabulated(model)
+    assert table.shape == tuple(len(e) + 1 for e in model["edges"])
+    assert (boosting.predict(model, x, table) == boosting.predict(model, x)).all()
+    monkeypatch.setattr(boosting, "CELLS", table.size - 1)
+    assert boosting.tabulated(model) is None
+
+
+def test_models_without_features_are_fitted_once(spark):
+    rows = spark.createDataFrame([(i, i % 3, float(i % 7)) for i in range(30)], "id int, fold int, y double")
+    fitted = []
+
+    def middle(r):
+        fitted.append("median")
+        return forecast.median_out_of_fold(r, "y")
+
+    ahead = lambda r, features: r.withColumn("pred", F.lit(float(len(features))))
+    got = {(r.features, r.model): (r.n, r.mae) for r in forecast.model_grid(rows, "y", {"a": ["id"], "b": ["id", "fold"]}, {"ahead": ahead}, {"median": middle}).collect()}
+    assert fitted == ["median"] and set(got) == {(s, m) for s in "ab" for m in ("ahead", "median")}
+    assert got["a", "median"] == got["b", "median"] and got["a", "ahead"] != got["b", "ahead"]
