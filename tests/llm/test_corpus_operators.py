@@ -478,6 +478,58 @@ def test_embedding_links_vectors_of_equal_length_only(spark):
     assert got == {i: (3, 0, i == 0) for i in range(4)} | {9: (1, 9, True), 10: (1, 9, False), 11: (0, 11, True)}
 
 
+def _spread_vectors(seed):
+    """600 vectors without structure, 20 close copies and a dense group of 80; a brute-force table of links at 0.98."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(600, 40))
+    x = np.concatenate([x, x[:20] + rng.normal(size=(20, 40)) * 0.08, x[50] + rng.normal(size=(80, 40)) * 0.11]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    return x, (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+
+
+def test_embedding_copies_only_vectors_that_may_have_neighbours(spark, monkeypatch):
+    x, linked = _spread_vectors(11)
+    shown = []
+    tiled = embedding._tiles.tiled
+    monkeypatch.setattr(embedding._tiles, "tiled", lambda *a: shown.append((a[0].count(), (out := tiled(*a)).count())) or out)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding.near_duplicates(rows, cell_rows=50, tile=50).collect()}
+    assert got == {i: int(n) for i, n in enumerate(linked.sum(axis=1))} and max(got.values()) > 20
+    # Before, each of the 700 was shown to several cells and tiles.
+    ((in_cells, in_tiles),) = shown
+    assert in_cells <= 2 * linked.any(axis=1).sum() < 260 and in_tiles <= 2 * in_cells
+
+
+@pytest.mark.parametrize("part_rows", [1000, 60])
+def test_embedding_sketches_miss_no_link(spark, part_rows):
+    import numpy as np
+
+    x, linked = _spread_vectors(12)
+    table = [(i, v.tobytes(), f"0:{x.shape[1]}") for i, v in enumerate(x)]
+    distinct = spark.createDataFrame(table, "node long, vector binary, label string")
+    group = {r.node: r.component for r in embedding.near_groups(distinct, "<f4", 0.98, 300, part_rows).collect()}
+    a, b = np.nonzero(linked)
+    assert len(a) > 100 and all(group[i] == group[j] for i, j in zip(a.tolist(), b.tolist()))
+    assert len(group) < 130
+
+
+def test_embedding_sketch_pairs_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centre = rng.integers(-120, 121, (30, 24))
+    q = np.clip(centre[rng.integers(0, 30, 900)] + rng.integers(-12, 13, (900, 24)), -127, 127).astype(np.int8)
+    apart = ((q[:, None, :].astype(int) - q[None, :, :]) ** 2).sum(axis=2)
+    near = apart <= (embedding.REACH + 24**0.5) ** 2
+    for within, left in ((True, 900), (False, 350)):
+        sides = near if within else near & ((np.arange(900) < left)[:, None] != (np.arange(900) < left)[None, :])
+        forest = embedding._Forest(900, hold=500)
+        embedding.near_sketches(q, left, within, forest, leaf=40, first=8, wide=100)
+        assert (forest.settle() == embedding._tiles.dense_components(sides)).all() and 1 < len(set(forest.root)) < 900
+
+
 def test_embedding_rows_that_repeat_an_id(spark):
     rows = [(1, [1.0, 0.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (1, [0.0, 1.0], 0, "x"), (2, [2.0, 0.0], 0, "x"), (None, [1.0, 0.0], 0, "x"), (3, [1.0, None], 0, "x"), (4, [], 0, "x"), (5, [0.1, 1.0], 0, "x"), (6, [0.1, 1.0], 1, "x")]
     got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, unit string"), tile=2).collect()
