@@ -203,6 +203,73 @@ def test_boosting_bins_many_values_by_quantiles():
     assert len(counts) <= 255 and counts.max() < 3 * 5000 / 255
 
 
+def test_boosting_fits_all_rows_of_a_large_table(spark):
+    rows = spark.range(440_000).selectExpr("id", "cast(id % 2 as int) as fold", "cast(id div 2 % 2 as int) as inner", "cast(hash(id, 1) % 300 as double) as a", "hash(id, 2) / 2147483648 + sin(hash(id, 1) % 300 / 40) as y")
+    grid = ({"depth": 2, "rate": 0.5, "trees": 2},)
+    got = boosting.boosted_out_of_fold(rows, ["a"], "y", "id", grid).toPandas()
+    x, y, fold = got[["a"]].to_numpy(), got["y"].to_numpy(), got["fold"].to_numpy()
+    for o in range(2):
+        # 220000 training rows: 20000 were left out before.
+        model = boosting.fit(x[fold != o], y[fold != o], **grid[0])
+        assert np.array_equal(boosting.predict(model, x[fold == o]), got["pred"].to_numpy()[fold == o])
+
+
+@pytest.mark.parametrize("bins", [7, 40])
+def test_edges_of_all_fits_equal_those_of_their_rows(spark, bins):
+    rng = np.random.default_rng(4)
+    f, i = rng.integers(0, 3, 700), rng.integers(0, 2, 700)
+    x = np.stack([rng.normal(size=700), rng.integers(0, 30, 700) / 4, rng.integers(0, 2, 700)], axis=1)
+    rows = spark.createDataFrame([(int(a), int(b), *map(float, v)) for a, b, v in zip(f, i, x)], "f int, i int, x0 double, x1 double, x2 double")
+    fits = [(o, g) for o in range(3) for g in (0, 1, None)]
+    for (o, g), edges in zip(fits, boosting.exact_edges(rows, ["x0", "x1", "x2"], fits, bins)):
+        expected = boosting.bin_edges(x[(f != o) & ((i != g) if g is not None else True)], bins)
+        assert [e.tolist() for e in edges] == [e.tolist() for e in expected]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 9])
+@pytest.mark.parametrize("n", [20_000, 20_001])
+def test_middle_values_of_many_cells(monkeypatch, n, digits):
+    monkeypatch.setattr(boosting, "AT_ONCE", 50)
+    rng = np.random.default_rng(n)
+    starts = np.unique(np.concatenate([[0, n], rng.integers(0, n, 40)]))
+    y = np.round(rng.normal(size=n), digits)
+    for a, b in zip(starts[:-1], starts[1:]):
+        y[a:b].sort()
+    now = np.round(rng.normal(size=len(starts) - 1), 1)
+    rest = np.sort(y - np.repeat(now, np.diff(starts)))
+    assert boosting._middle(y, starts[:-1], starts[1:], now) == (rest[(n - 1) // 2], rest[n // 2])
+
+
+def test_boosting_by_bisection_equals_all_residuals_at_once(monkeypatch):
+    x, y = _steps(3000, 9)
+    y = np.round(y, 1)
+    model = boosting.fit(x, y, 3, 0.1, 12)
+    monkeypatch.setattr(boosting, "AT_ONCE", 100)
+    assert boosting.fit(x, y, 3, 0.1, 12) == model
+
+
+def test_targets_are_sorted_inside_cells():
+    rng = np.random.default_rng(2)
+    y, starts = rng.normal(size=500), np.array([0, 3, 4, 200, 260, 500])
+    for some in (1, 60, 1000):
+        got = y.copy()
+        boosting.sort_cells(got, starts, some)
+        assert all(np.array_equal(got[a:b], np.sort(y[a:b])) for a, b in zip(starts[:-1], starts[1:]))
+
+
+def test_boosting_of_more_features_than_a_long_has_codes(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(200, 9)), 1)
+    y = x[:, 8] + x[:, 0] / 3
+    names = [f"v{k}" for k in range(9)]
+    rows = spark.createDataFrame([(k, k % 2, k // 2 % 2, *map(float, v), float(t)) for k, (v, t) in enumerate(zip(x, y))], ["id", "fold", "inner", *names, "y"])
+    grid = ({"depth": 2, "rate": 0.5, "trees": 5},)
+    got = boosting.boosted_out_of_fold(rows, names, "y", "id", grid, least=5).toPandas().sort_values("id")
+    for o in range(2):
+        own = np.arange(200) % 2 == o
+        assert np.array_equal(boosting.predict(boosting.fit(x[~own], y[~own], **grid[0], least=5), x[own]), got["pred"].to_numpy()[own])
+
+
 def test_a_table_of_bins_holds_the_values_of_the_trees(monkeypatch):
     x, y = _steps(3000, 8)
     model = boosting.fit(x, y, 3, 0.1, 20)
